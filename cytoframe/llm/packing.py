@@ -54,6 +54,16 @@ def _pack_ids(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _cut(word: str) -> list[str]:
+    """Parts of a word with tokens of their own: at a single line break, and before a last comma or stop after a letter."""
+    head, found, tail = word.partition("\n")
+    if found and head[-1:].strip() and tail[:1].strip() and "\n" not in tail:
+        return [*_cut(head), "\n", *_cut(tail)]
+    if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+        return [word[:-1], word[-1]]
+    return [word]
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
@@ -73,10 +83,14 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         else:
             head, *rest = t.split(" ")
             split[i] = [head, *[" " + w for w in rest]]
-    new = list({w for ws in split.values() for w in ws if w not in words})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
+    new = {w: _cut(w) for ws in split.values() for w in ws if w not in words}
+    fresh = list({p for ps in new.values() for p in ps if p not in words})
+    for at in range(0, len(fresh), 20_000):
+        part = fresh[at : at + 20_000]
         words.update(zip(part, (_pack_ids(e.ids) for e in encode(part, add_special_tokens=False))))
+    for w, ps in new.items():
+        if len(ps) > 1:
+            words[w] = b"".join([words[p] for p in ps])
     out: list[bytes] = [b""] * len(texts)
     get = words.__getitem__
     for i, ws in split.items():
