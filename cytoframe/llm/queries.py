@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, line_dedup, media, packing, simhash
+from . import embed_dedup, langid, line_dedup, media, packing, quality, simhash
 from ._common import table
 
 
@@ -14,6 +14,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.digest(table(spark, sf_dir, "embeddings"))
 
@@ -30,8 +34,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_embedding_dedup, op5_line_dedup, op6_simhash_dedup, op8_best_fit_packing, op9_media_columns)}
+    every = (
+        op1_quality_classifier,
+        op3_embedding_dedup,
+        op5_line_dedup,
+        op6_simhash_dedup,
+        op8_best_fit_packing,
+        op9_media_columns,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
