@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, line_dedup, media, packing, quality, simhash
+from . import embed_dedup, langid, line_dedup, media, mixing, packing, quality, simhash
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.digest(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier,
+        op2_source_mixing,
         op3_embedding_dedup,
         op5_line_dedup,
         op6_simhash_dedup,
