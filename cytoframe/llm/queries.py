@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, line_dedup, media, mixing, packing, quality, simhash
+from . import embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, simhash
 from ._common import table
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_quality_classifier,
         op2_source_mixing,
         op3_embedding_dedup,
+        op4_lm_scoring,
         op5_line_dedup,
         op6_simhash_dedup,
         op8_best_fit_packing,
