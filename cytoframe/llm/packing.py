@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -30,13 +31,29 @@ from ._common import Written
 SEQUENCE = 2048
 GROUP_PIECES = 4096
 OPEN_BINS = 4096
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: A space with white space beside it: there the cut before a space is not a token's edge.
 _LOOSE = re.compile(r" \s|\s ")
 
 
-def _worker_store(path: str) -> dict:
-    """This Python worker's tokenizer and word cache, kept between its tasks."""
+class _Kept(dict):
+    """What make(key) gave, for up to CACHE_WORDS keys at a time."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
+def _worker_store(path: str) -> tuple:
+    """This Python worker's tokenizer and the ids of words that it has met, kept between its tasks.
+
+    Two layers: a word's parts repeat more than the word with its marks does.
+    """
     store = sys.modules.setdefault("_cyto_worker_store", types.ModuleType("_cyto_worker_store")).__dict__
     if path not in store:
         from tokenizers import Tokenizer
@@ -44,23 +61,31 @@ def _worker_store(path: str) -> dict:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        store[path] = {"tok": tok, "words": {}}
+        parts = _Kept(lambda part: _pack_ids(tok.encode(part, add_special_tokens=False).ids))
+
+        def word(w: str) -> bytes:
+            cut = _cut(w[1:] if w[:1] == "\0" else " " + w)
+            return parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
+
+        store[path] = tok, _Kept(word)
     return store[path]
 
 
 def _pack_ids(ids) -> bytes:
-    import numpy as np
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
-    return np.asarray(ids, "<u4").tobytes()
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _cut(word: str) -> list[str]:
-    """Parts of a word with tokens of their own: at a single line break, and before a last comma or stop after a letter."""
+    """Parts of a word with tokens of their own: at a single line break, and before the marks after its last letter or digit."""
     head, found, tail = word.partition("\n")
     if found and head[-1:].strip() and tail[:1].strip() and "\n" not in tail:
         return [*_cut(head), "\n", *_cut(tail)]
-    if word[-1:] in (",", ".") and word[-2:-1].isalpha():
-        return [word[:-1], word[-1]]
+    core = word.rstrip(_MARKS)
+    if len(core) < len(word) and core[-1:].isalnum():
+        return [core, word[len(core) :]]
     return [word]
 
 
@@ -68,36 +93,16 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     A token never reaches over the cut before a space that stands alone
-    between two other characters, so such texts are cut there and each
-    distinct word is encoded once per worker; other texts go in whole.
+    between two other characters, so such texts are cut there; a worker keeps
+    the ids of words, and of their parts, that it has met. Other texts go in whole.
     """
-    store = _worker_store(path)
-    tok, words = store["tok"], store["words"]
-    if len(words) > CACHE_WORDS:
-        words.clear()
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    split, whole = {}, {}
-    for i, t in enumerate(texts):
-        if _LOOSE.search(t) or t[:1] == " " or t[-1:] == " ":
-            whole[i] = t
+    tok, words = _worker_store(path)
+    get, out = words.__getitem__, []
+    for t in texts:
+        if _LOOSE.search(t) or t[:1] == " " or t[-1:] == " " or "\0" in t:
+            out.append(_pack_ids(tok.encode(t, add_special_tokens=False).ids))
         else:
-            head, *rest = t.split(" ")
-            split[i] = [head, *[" " + w for w in rest]]
-    new = {w: _cut(w) for ws in split.values() for w in ws if w not in words}
-    fresh = list({p for ps in new.values() for p in ps if p not in words})
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        words.update(zip(part, (_pack_ids(e.ids) for e in encode(part, add_special_tokens=False))))
-    for w, ps in new.items():
-        if len(ps) > 1:
-            words[w] = b"".join([words[p] for p in ps])
-    out: list[bytes] = [b""] * len(texts)
-    get = words.__getitem__
-    for i, ws in split.items():
-        out[i] = b"".join(map(get, ws))
-    if whole:
-        for i, e in zip(whole, encode(list(whole.values()), add_special_tokens=False)):
-            out[i] = _pack_ids(e.ids)
+            out.append(b"".join(map(get, ("\0" + t).split(" "))))  # the mark: no space before the first
     return out
 
 
