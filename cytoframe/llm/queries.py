@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, simhash
+from . import embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, simhash, suffix_dedup
 from ._common import table
 
 
@@ -34,6 +34,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_lm_scoring,
         op5_line_dedup,
         op6_simhash_dedup,
+        op7_suffix_dedup,
         op8_best_fit_packing,
         op9_media_columns,
         op10_language_id,
