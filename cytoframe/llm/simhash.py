@@ -17,7 +17,6 @@ part, but never name a component; one of nothing but such rows is null.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,14 +80,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp)."""
+    """(doc_id, text_hash, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _byte(position: int) -> Column:
@@ -145,7 +144,7 @@ def fingerprint_links(fps: DataFrame, list_cap: int = LIST_CAP, bucket_rows: int
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, text_hash, fp, component_id) of every row; text_hash is xxhash64(text)."""
     held = Written(fingerprints(docs)).df
     first = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
     fps = Written(first).df
@@ -153,7 +152,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     named = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
-    return held.join(of, "fp").select("doc_id", "fp", "component_id")
+    return held.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
