@@ -8,20 +8,25 @@ row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = 256
 
 
-def _part(values: DataFrame, v: str) -> Column:
-    cuts = values.agg(F.percentile_approx(v, [i / CUTS for i in range(1, CUTS)], 2000)).first()[0] or []
+_FRACTIONS = [i / CUTS for i in range(1, CUTS)]
+
+
+def _part(values: DataFrame, v: str, cuts: list[float] | None) -> Column:
+    if cuts is None:
+        cuts = values.agg(F.percentile_approx(v, _FRACTIONS, 2000)).first()[0] or []
     return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(v))) if cuts else F.lit(0)
 
 
-def running_total(values: DataFrame, v: str, n: str) -> DataFrame:
+def running_total(values: DataFrame, v: str, n: str, cuts: list[float] | None = None) -> DataFrame:
     """values (distinct v) with _upto, the sum of n over all values at most v, and _part, its range."""
-    x = values.withColumn("_part", _part(values, v))
+    x = values.withColumn("_part", _part(values, v, cuts))
     base = x.groupBy("_part").agg(F.sum(n).alias("_sum"))
     base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     own = F.sum(n).over(Window.partitionBy("_part").orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
@@ -46,9 +51,10 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str = "bh", alpha: float =
     v = F.col(p).cast("double")
     some = F.coalesce(v, F.lit(1.0)) if missing == "one" else v
     counted = df.select(some.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").groupBy("_v").agg(F.count("*").alias("_n"))
-    total = counted.agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_v") > 0.5, F.col("_n"))).alias("high")).first()
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)  # read by each pass below
+    total = counted.agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_v") > 0.5, F.col("_n"))).alias("high"), F.percentile_approx("_v", _FRACTIONS, 2000).alias("cuts")).first()
     n = total["n"] or 0
-    ranked = running_total(counted, "_v", "_n")
+    ranked = running_total(counted, "_v", "_n", total["cuts"] or [])
     factor, first = 1.0, 1.0
     if method == "by":  # sum of 1 / i by its expansion beyond what is summed directly
         import math

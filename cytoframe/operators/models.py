@@ -116,7 +116,7 @@ def glm(sites: DataFrame, samples: list[str], x_full: np.ndarray, x_reduced: np.
                     c = np.atleast_2d(np.asarray(contrasts, float))
                     v = full["beta"] @ c.T
                     mid = np.einsum("ai,sij,bj->sab", c, full["cov"], c) * phi[:, None, None]
-                    stat = np.einsum("sa,sab,sb->s", np.nan_to_num(v), np.linalg.pinv(mid), np.nan_to_num(v)) / k
+                    stat = np.einsum("sa,sab,sb->s", np.nan_to_num(v), np.linalg.pinv(np.nan_to_num(mid)), np.nan_to_num(v)) / k
                     stat[np.isnan(v).any(axis=1)] = np.nan
                     est, se = v[:, 0], np.sqrt(mid[:, 0, 0])
                 ok = ~np.isnan(stat)
