@@ -8,10 +8,11 @@ row.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 CUTS = 256
 
 
@@ -48,10 +49,10 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str = "bh", alpha: float =
     all ("drop"); their q is null either way. The two-stage methods estimate the
     number of true nulls from a first pass at alpha (tsbky: alpha / (1 + alpha)).
     """
+    df = written(df)  # sums of doubles may differ in the last digit from pass to pass, and p is joined by value below
     v = F.col(p).cast("double")
     some = F.coalesce(v, F.lit(1.0)) if missing == "one" else v
     counted = df.select(some.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").groupBy("_v").agg(F.count("*").alias("_n"))
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)  # read by each pass below
     total = counted.agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_v") > 0.5, F.col("_n"))).alias("high"), F.percentile_approx("_v", _FRACTIONS, 2000).alias("cuts")).first()
     n = total["n"] or 0
     ranked = running_total(counted, "_v", "_n", total["cuts"] or [])

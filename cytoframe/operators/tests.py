@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.tables import written
 
 SITE = ["chrom", "pos"]
 
@@ -158,6 +159,7 @@ def permuted_pvalues(observed: DataFrame, null: DataFrame, p: str = "pvalue") ->
     Counts come from the union of both tables' distinct values in order, once
     summed by value; no row meets every other.
     """
+    observed = written(observed)  # joined by value below
     v = observed.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.lit(0).cast("bigint").alias("_n")).union(null.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.count("*").alias("_n")))
     from . import fdr
 
