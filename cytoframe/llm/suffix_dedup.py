@@ -3,17 +3,18 @@
 A byte goes if it is covered by a `window`-byte string that also starts in a
 document with a smaller id. Windows are dealt to buckets by their minimizer
 (the least hash among their 16-byte grams), so equal windows meet in one bucket
-whatever document they are in. Neighbouring windows with one minimizer travel
-as one string of at most 84 bytes; those whose minimizer only one document has
-are done with. In a bucket the distinct strings are the text of a run-length
-index: its Burrows-Wheeler transform kept as runs, with text positions sampled
+whatever document they are in. A first pass sends 40 bits of each minimizer and
+finds those that two documents have; all others are done with. A second pass
+sends the text around the shared ones: neighbouring windows with one minimizer
+are one string of at most 84 bytes. In a bucket the distinct strings are the
+text of a run-length index: its Burrows-Wheeler transform kept as runs, with text positions sampled
 at the runs' heads. Longest matches with the lexicographic predecessor are
 compared at the heads alone and stream on from there, one less with each
 position; where they fall below a window, a new class of equal windows begins,
 and of a class all but the least document's windows are marked.
 
-Equal strings of one batch of documents are combined before the shuffle: all
-but the least document's are marked at once. So a passage that a third of all
+Equal minimizers and strings of one batch of documents are combined before the
+shuffle: all but the least document's are marked at once. So a passage that a third of all
 documents share is one string a batch. Buckets hold about `bucket_bytes` of
 text each, whatever the input's size.
 
@@ -219,29 +220,136 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return struct.pack("<II", len(arrays[0]), len(raw)) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
+_ID = np.uint64((1 << 40) - 1)
+
+
+def _pack40(ids: np.ndarray) -> bytes:
+    return np.ascontiguousarray(ids.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _batched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
+    """(ids, text hashes, pieces, their offsets, shared minimizers) of some documents at a time; windows start in one piece each."""
+    own: list[list] = [[], [], [], [], []]
+    size = 0
+    for b in batches:
+        shared = b.column("ids").to_pylist() if "ids" in b.schema.names else [None] * b.num_rows
+        for i, th, t, ids in zip(b.column("_doc").to_pylist(), b.column("_th").to_pylist(), b.column("text"), shared):
+            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            for at in range(0, max(1, len(data) - window + 1), _BATCH_BYTES):
+                piece = data[at : at + _BATCH_BYTES + window - 1]
+                if len(piece) < window:
+                    continue
+                for col, v in zip(own, (i, th, piece, at, ids)):
+                    col.append(v)
+                size += len(piece)
+                if size >= _BATCH_BYTES:
+                    yield np.array(own[0], np.int64), np.array(own[1], np.int64), own[2], np.array(own[3], np.int64), own[4]
+                    own, size = [[], [], [], [], []], 0
+    if own[0]:
+        yield np.array(own[0], np.int64), np.array(own[1], np.int64), own[2], np.array(own[3], np.int64), own[4]
+
+
+def _strings(parts: list[bytes], window: int):
+    lens = np.array([len(p) for p in parts], np.int64)
+    x = np.frombuffer(b"".join(parts), np.uint8)
+    no = np.repeat(np.arange(len(parts)), lens)
+    starts, ends, gram = strings_of(x, no, window)
+    h = _mixed(gram_hashes_at(x, gram)) if len(gram) else np.zeros(0, np.uint64)
+    return x, starts, ends, gram, no[starts], (np.cumsum(lens) - lens), h
+
+
+def _cut_by(bucket: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    return order, zip(b[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(b)).tolist())
+
+
+def _minimizers(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Blobs of (document, 40 bits of a minimizer) for the buckets; rows with a document are minimizers already known to be shared."""
+    names = ["bucket", "blob", "doc"]
+    for ids, _, parts, _, _ in _batched(batches, window):
+        _, starts, _, _, of, _, h = _strings(parts, window)
+        if not len(starts):
+            continue
+        doc = ids[of]
+        order = np.lexsort((doc, h))
+        g, d = h[order], doc[order]
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))  # a document counts once
+        g, d = g[new], d[new]
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        many = np.repeat(np.diff(np.append(head, len(g))) > 1, np.diff(np.append(head, len(g))))
+        rows: list[tuple] = []
+        if many.any():
+            md, mg = d[many], g[many]
+            o, cuts = _cut_by(md)
+            for doc_id, a, b in cuts:
+                rows.append((doc_id % buckets, _pack40(mg[o[a:b]] & _ID), doc_id))
+        hd, hg = d[head], g[head]
+        o, cuts = _cut_by(((hg >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
+        for bucket, a, b in cuts:
+            r = o[a:b][np.argsort(hd[o[a:b]], kind="stable")]
+            rows.append((bucket, _blob(np.diff(hd[r], prepend=0), np.frombuffer(_pack40(hg[r] & _ID), np.uint8)), None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64()))], names)
+
+
+def _shared_minimizers(g: pa.Table) -> pa.Table:
+    """(doc, ids) of a bucket's minimizers that two documents have."""
+    known = g.filter(pc.is_valid(g.column("doc")))
+    docs, ids = [], []
+    unpack = zstandard.ZstdDecompressor()
+    for blob in g.filter(pc.is_null(g.column("doc"))).column("blob").to_pylist():
+        k, size = struct.unpack_from("<II", blob)
+        raw = unpack.decompress(blob[8:], max_output_size=size)
+        docs.append(np.cumsum(np.frombuffer(raw, "<i8", k)))
+        ids.append(_unpack40(raw[8 * k :]))
+    out_d, out_i = known.column("doc").to_pylist(), known.column("blob").to_pylist()
+    if docs:
+        d, i = np.concatenate(docs), np.concatenate(ids)
+        order = np.lexsort((d, i))
+        d, i = d[order], i[order]
+        head = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        n = np.diff(np.append(head, len(i)))
+        hit = np.repeat(d[head] != d[head + n - 1], n)
+        d, i = d[hit], i[hit]
+        if len(d):
+            o, cuts = _cut_by(d)
+            for doc, a, b in cuts:
+                out_d.append(doc)
+                out_i.append(_pack40(i[o[a:b]]))
+    return pa.table({"doc": pa.array(out_d, pa.int64()), "ids": pa.array(out_i, pa.binary())})
+
+
 def _map(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
     """Blobs of strings for the buckets, and spans already known to go."""
     names = ["bucket", "blob", "doc", "th", "span"]
-
-    def work(ids, ths, parts, offs):
-        lens = np.array([len(p) for p in parts], np.int64)
-        x = np.frombuffer(b"".join(parts), np.uint8)
-        no = np.repeat(np.arange(len(parts)), lens)
-        starts, ends, gram = strings_of(x, no, window)
+    for ids, ths, parts, offs, shared in _batched(batches, window):
+        x, starts, ends, gram, of, base, h = _strings(parts, window)
+        sets = [_unpack40(b"".join(s)) for s in shared]
+        # minimizers are looked up by document in one sorted list; 24 bits number a batch's documents
+        keys = np.sort(np.concatenate([(np.uint64(k) << np.uint64(40)) | s for k, s in enumerate(sets)]))
+        mine = (of.astype(np.uint64) << np.uint64(40)) | (h & _ID)
+        at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+        keep = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
+        starts, ends, gram, of, h = starts[keep], ends[keep], gram[keep], of[keep], h[keep]
         if not len(starts):
-            return
+            continue
         n = ends - starts
         m = _matrix(x, starts, n)
-        h = _row_hashes(m, n)
-        of = no[starts]
+        rh = _row_hashes(m, n)
         doc = ids[of]
-        order = np.lexsort((doc, h))
-        cls = _same_rows(m, n, order, h)
+        order = np.lexsort((doc, rh))
+        cls = _same_rows(m, n, order, rh)
         head = np.concatenate(([True], cls[1:] != cls[:-1]))
         least = doc[order][np.flatnonzero(head)][cls]
         gone = doc[order] > least
-        inside = (np.cumsum(lens) - lens)[of]
-        at = starts - inside + offs[of]
+        at = starts - base[of] + offs[of]
         g = order[gone]
         g = g[np.argsort(starts[g], kind="stable")]
         if len(g):  # neighbours that meet are one span
@@ -251,38 +359,15 @@ def _map(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterat
             to = (_mixed(ths[of[f]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(f), pa.binary()), pa.array(doc[f]), pa.array(ths[of[f]]), pa.array((at[f] << _LEN) + (e - starts[f]))], names)
         s = order[~gone]
-        bucket = (_mixed(gram_hashes_at(x, gram[s])) % np.uint64(buckets)).astype(np.int64)
-        s = s[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        o, cuts = _cut_by(((h[s] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
         rows = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(s))):
-            r = np.sort(s[a:b])
+        for bucket, a, b in cuts:
+            r = np.sort(s[o[a:b]])
             text = m[r][np.arange(_PAD) < n[r][:, None]]
-            rows.append((int(bucket[a]), _blob(doc[r], ths[of[r]], at[r], n[r].astype(np.uint8), (gram[r] - starts[r]).astype(np.uint8), text)))
+            rows.append((bucket, _blob(doc[r], ths[of[r]], at[r], n[r].astype(np.uint8), (gram[r] - starts[r]).astype(np.uint8), text)))
         k = len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *(pa.nulls(k, pa.int64()) for _ in range(3))], names)
 
-    ids, ths, parts, offs, size = [], [], [], [], 0
-    for b in batches:
-        for i, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            step = _BATCH_BYTES
-            for at in range(0, max(1, len(data) - window + 1), step):  # windows start in one piece each
-                piece = data[at : at + step + window - 1]
-                if len(piece) < window:
-                    continue
-                ids.append(_LAST if i is None else i)
-                ths.append(th)
-                parts.append(piece)
-                offs.append(at)
-                size += len(piece)
-                if size >= _BATCH_BYTES:
-                    yield from work(np.array(ids, np.int64), np.array(ths, np.int64), parts, np.array(offs, np.int64))
-                    ids, ths, parts, offs, size = [], [], [], [], 0
-    if parts:
-        yield from work(np.array(ids, np.int64), np.array(ths, np.int64), parts, np.array(offs, np.int64))
-
 
 def gram_hashes_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """gram_hashes, at some positions."""
@@ -341,12 +426,24 @@ def _bucket_spans(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*spans))  # type: ignore[return-value]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "_th": F.xxhash64("text")})
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc, th, spans): start and length of the byte spans to go, of the rows with that id (null: the largest number) and text hash."""
+    """(doc, spans): pairs of text hash, and start and length of a byte span to go, of each id's rows (null: the largest number)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    spec = "bucket bigint, blob binary, doc bigint, th bigint, span bigint"
-    mapped = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text").mapInArrow(lambda b: _map(b, buckets, window), spec)
+    keyed = _keyed(docs)
+    grams = keyed.select("_doc", "_th", "text").mapInArrow(lambda b: _minimizers(b, buckets, window), "bucket bigint, blob binary, doc bigint")
+
+    def find(key, g):
+        return _shared_minimizers(g)
+
+    shared = grams.groupBy("bucket").applyInArrow(find, "doc bigint, ids binary").groupBy("doc").agg(F.collect_list("ids").alias("ids"))
+    # the same columns by the same key as in the join that applies the spans, so that one exchange of the texts serves both
+    held = keyed.join(shared.withColumnRenamed("doc", "_doc"), "_doc")
+    mapped = held.mapInArrow(lambda b: _map(b, buckets, window), "bucket bigint, blob binary, doc bigint, th bigint, span bigint")
 
     def meet(key, g):
         known = g.filter(pc.is_null(g.column("blob"))).select(["doc", "th", "span"])
@@ -356,7 +453,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUC
         return pa.concat_tables([known, pa.table(dict(zip(("doc", "th", "span"), _bucket_spans(blobs, window))))])
 
     met = mapped.groupBy("bucket").applyInArrow(meet, "doc bigint, th bigint, span bigint")
-    return met.groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
+    return met.groupBy("doc").agg(F.collect_list(F.struct("th", "span")).alias("spans"))
 
 
 def _merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -375,19 +472,17 @@ def _merged(spans: list[int]) -> list[tuple[int, int]]:
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
     own = ("kept", "n_bytes", "n_removed", "n_spans")
-    names = [c for c in docs.columns if c not in own]
+    names = [c for c in docs.columns if c not in (*own, "_doc", "_th", "ids", "spans")]
     docs = docs.select(*names)
     lost = removed_spans(docs, window)
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "_th": F.xxhash64("text")})
-    met = keyed.join(lost.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "spans"), ["_doc", "_th"], "left").select(*names, "spans")
-    at = names.index("text")
+    met = _keyed(docs).join(lost.withColumnRenamed("doc", "_doc"), "_doc", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(b.column(at), b.column("spans").to_pylist()):
+            for text, th, spans in zip(b.column("text"), b.column("_th").to_pylist(), b.column("spans").to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs = _merged(spans or [])
+                runs = _merged([s["span"] for s in spans or () if s["th"] == th])
                 kept, last = [], 0
                 for a, e in runs:
                     kept.append(data[last:a])
