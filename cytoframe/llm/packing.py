@@ -52,7 +52,8 @@ class _Kept(dict):
 def _worker_store(path: str) -> tuple:
     """This Python worker's tokenizer and the ids of words that it has met, kept between its tasks.
 
-    Two layers: a word's parts repeat more than the word with its marks does.
+    A key is a word after a space, or, behind a NUL, a part with no space before
+    it; a word with marks is made of entries of its own.
     """
     store = sys.modules.setdefault("_cyto_worker_store", types.ModuleType("_cyto_worker_store")).__dict__
     if path not in store:
@@ -61,13 +62,16 @@ def _worker_store(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        parts = _Kept(lambda part: _pack_ids(tok.encode(part, add_special_tokens=False).ids))
 
-        def word(w: str) -> bytes:
-            cut = _cut(w[1:] if w[:1] == "\0" else " " + w)
-            return parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
+        def word(key: str) -> bytes:
+            bare = key[:1] == "\0"
+            cut = _cut(key[1:] if bare else " " + key)
+            if len(cut) == 1:
+                return _pack_ids(tok.encode(cut[0], add_special_tokens=False).ids)
+            return b"".join([words["\0" + cut[0] if bare else cut[0][1:]], *(words["\0" + p] for p in cut[1:])])
 
-        store[path] = tok, _Kept(word)
+        words = _Kept(word)
+        store[path] = tok, words
     return store[path]
 
 
