@@ -31,7 +31,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 1024
+#: Fewest output shards, and the words of a shard beyond that.
 SHARDS = 16
+SHARD_WORDS = 4_000_000
 SEED = 20240
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Standard deviations to either side of the mode that a draw's inversion covers; beyond lies less than double precision shows.
@@ -137,17 +139,20 @@ def split_tree(quota: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     return node.selectExpr("first AS shard", "posexplode(q) AS (rank, draws)")
 
 
-def mix_draws(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mix_draws(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and draws: an array of (pass, block, shard, place, start, length).
 
     Each is a run of `length` words from word `start` of the document that its
-    block's draw gives to the shard; `place` orders a shard's draws.
+    block's draw gives to the shard; `place` orders a shard's draws. By default
+    shards grow in number with the mixture, so that one stays a task's size.
     """
     b = block_words
     own = ("size", "source_size", "target", "draws")
     base = docs.select(*(c for c in docs.columns if c not in own)).withColumn("size", words(F.col("text"))).withColumn("_perm", F.xxhash64(F.lit(seed), "doc_id", "text"))
     sizes = Written(base.select("doc_id", "source", "size", "_perm")).df
     plan = Written(quotas(source_targets(sizes), b)).df
+    if shards is None:
+        shards = max(SHARDS, -(-(plan.agg(F.sum("quota_words")).first()[0] or 0) // SHARD_WORDS))
     tree = Written(split_tree(plan.select("rank", "draws"), shards, seed)).df
     ends = tree.withColumn("end", F.sum("draws").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(
         F.expr("transform(sort_array(collect_list(struct(shard, end))), x -> x.end)").alias("ends")
@@ -171,7 +176,12 @@ def mix_draws(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WO
             f"'hi', least(_at + size, (y.k + 1) * {b}, y.k * {b} + {may.replace('p ', 'y.p ')})))[0])"
         )
     found = f"IF(size > 0, filter(concat({', '.join(passes)}), z -> z.hi > z.lo), array())"
-    shard = "size(filter(ends, e -> e <= z.t))"
+    # how many ends are at most t, by halving
+    mid = "cast((s.lo + s.hi) div 2 as int)"
+    shard = (
+        f"aggregate(sequence(1, {max(1, shards.bit_length() + 1)}), named_struct('lo', 0, 'hi', size(ends)), (s, i) -> IF(s.lo >= s.hi, s, "
+        f"IF(element_at(ends, {mid} + 1) <= z.t, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))).lo"
+    )
     draws = (
         f"transform(found, z -> named_struct('pass', z.pass, 'block', z.block, 'shard', {shard}, "
         f"'place', xxhash64({seed}L, rank, z.t), 'start', z.lo - _at, 'length', z.hi - z.lo))"
