@@ -153,7 +153,8 @@ class RunLengthIndex:
             nxt[far] = rank[np.flatnonzero(far) + have] + 1
             order, rank = self._ranked(rank * (total + 1) + nxt)
             have *= 2
-        self.order = order
+        # equal remainders by position, that is by string
+        self.order = order = np.sort(rank * max(total, 1) + np.arange(total)) % max(total, 1)
         before = np.full(total, 256, np.int16)  # what a string's first byte follows is like nothing else
         inside = np.ones(total, bool)
         inside[np.cumsum(n) - n] = False
@@ -167,7 +168,7 @@ class RunLengthIndex:
 
     @staticmethod
     def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         new = np.ones(len(s), np.int64)
         new[1:] = s[1:] != s[:-1]
