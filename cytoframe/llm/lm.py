@@ -348,8 +348,11 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     lps = []
     for i in range(gates):
         back = max(1.0, float(row[f"o{i}"]))
-        anywhere = (F.col("c") + back0 * F.pow(F.lit(10.0), F.greatest(F.col(f"p{i}"), F.lit(-290.0)))) / (n + back0)
-        lps.append(F.log10((F.col(f"c{i}") + back * anywhere) / (row[f"n{i}"] + back)).cast("float").alias(f"l{i}"))
+        # in logarithms where there are no counts: the spelling of a long word is below the least double
+        whole, own, p = F.col("c"), F.col(f"c{i}"), F.col(f"p{i}") + float(np.log10(back0))
+        anywhere = F.when(whole == 0, p).otherwise(F.log10(whole + F.pow(F.lit(10.0), p))) + float(np.log10(back / (n + back0)))
+        lp = F.when(own == 0, anywhere).otherwise(F.log10(own + F.pow(F.lit(10.0), anywhere)))
+        lps.append((lp - float(np.log10(row[f"n{i}"] + back))).cast("float").alias(f"l{i}"))
     base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))).alias("base")
     words = Written(spelled.select("token", "c", base, *lps)).df
     # the commonest words, as many as fit in FREQUENT

@@ -169,6 +169,15 @@ def test_op4_base_counts_and_probabilities(spark, docs, texts, odd):
     assert lm.digest(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_op4_charges_the_whole_of_a_long_word(spark):
+    letters = np.frombuffer(b"0123456789abcdef", "S1")
+    long_ = b"".join(np.random.default_rng(4).choice(letters, 20_000).tolist()).decode()
+    rows = [(i, f"one two three {i} deadbeef", "en") for i in range(40)] + [(100, long_[:10_000], "en"), (101, long_, "en")]
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100).collect()}
+    # 16 even letters are 1.2 digits a byte; no model of other text does better
+    assert got[101] < -1.2 * 20_000 and abs(got[101] / got[100] - 2) < 0.1
+
+
 def test_op4_spelling_is_a_distribution():
     tables = lm._empty_tables()
     words = [b"the", b"then", b"other", b"thin", b"that"] * 3
