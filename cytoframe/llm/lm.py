@@ -1,34 +1,27 @@
 """LM scoring: logistic context mixing of hashed-context bit predictors.
 
-Text is a sequence of words, each spelled bit by bit and closed by a space;
-the end of a text is an empty word. Bit predictors of orders 1, 2, 3 and 5
-within the word keep counts of zeros and ones in hashed tables of fixed size.
-Their log-odds are combined by weights that a gate selects (how often the two
-highest orders have met this context), learned online by gradient steps on
-each bit as predicted without its own occurrence, and the mixed probability is
-refined by an adaptive map learned alongside. That gives every word, seen or
-not, a total of bits.
-
-Words are then refined by their own counts: a word's probability in a text of
-gate g (a language among the commonest of the training rows, or the rest) is
-its count there, backed off to its count anywhere, backed off to its spelling
-in that gate, each with the mass that words met once suggest. The spelling
-predicts its gate in three more bits after the word, which Bayes' rule turns
-round. A text may also repeat itself: with strength CACHE its own words so far
-add to the counts. A text's probability is the mixture over gates and
-strengths. A gate is learned from `lang` of training rows; scoring reads text
-only.
-
-Counts cover all training texts: a table with one row per distinct word, which
-grows with the input and stays distributed. Spelling is learned and scored once
-per distinct word. The hashed tables are summed over tasks and broadcast; their
-size is fixed. The commonest words (at most FREQUENT of them, by a threshold
-found from a histogram) are broadcast too; a text's other words meet the word
-table in a join.
+A text is its lower-cased words, each closed by a space, and an empty word as
+its end; it is predicted bit by bit, in order, as a whole. Bit predictors keep
+counts of zeros and ones in hashed tables of fixed size, in six contexts: the
+1, 2, 3 and 5 bytes before, which reach over words, the word so far, and the
+word so far with the word before it. Their log-odds are combined by weights
+that a gate selects (how often the word so far and the word pair were met), learned
+online by gradient steps on each bit of all training texts as predicted without
+its own occurrence, and the mixed probability is refined by an adaptive map
+learned alongside. The score is the log10 probability of all bits of a text.
+
+After a text the mixer also predicts its language (the commonest of the
+training rows, or the rest) in three more bits; the score leaves them out.
+
+The base score and the counts of known words rest on a table with one row per
+distinct word, which grows with the input and stays distributed. The commonest
+words (at most FREQUENT of them, by a threshold found from a histogram) are
+broadcast; a text's other words meet the word table in a join. The hashed
+tables are summed over tasks and broadcast; their size is fixed.
 
 Defined cases: a null text is empty: one end token. A null doc_id counts as
-empty text for the fold. Repeated rows are texts of their own. With no training
-text every bit is even. Other columns pass unused.
+empty text for the fold. Repeated rows are texts of their own. Other columns
+pass unused.
 """
 
 from __future__ import annotations
@@ -47,7 +40,8 @@ from pyspark.sql import functions as F
 from ._common import LOWER, UPPER, Written, held_out
 
 ORDERS = (1, 2, 3, 5)
-TABLE_BITS = (16, 18, 20, 20)
+#: Of each order, of the word so far, and of that with the word before.
+TABLE_BITS = (16, 18, 20, 21, 21, 21)
 DELTA = 0.3
 GATES = 7
 FREQUENT = 1 << 18
@@ -58,11 +52,7 @@ FLUSH_WORDS = 300_000
 _PIECE = 1 << 16
 _LEVELS = 24
 SETS = 24
-#: Strengths with which a text's own words so far add to their probability, besides none, and the shares of all.
-CACHE = (1000.0, 50.0)
-SHARES = (0.9, 0.05, 0.05)
 _GATE_BITS = 3
-_PARTS = 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -72,107 +62,151 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-# --- spelling -------------------------------------------------------------
+# --- bits -----------------------------------------------------------------
+
+_M = 0x9E3779B97F4A7C15
+_UP = np.cumprod(np.array([1] + [_M] * _PIECE, np.uint64))
+_DOWN = np.cumprod(np.array([1] + [pow(_M, -1, 1 << 64)] * _PIECE, np.uint64))
+_BYTE, _K = np.arange(256, dtype=np.uint32)[:, None], np.arange(4, dtype=np.uint32)
+_BITS = (_BYTE >> (np.uint32(7) - np.arange(8, dtype=np.uint32))) & np.uint32(1)
+_HIGH = (np.uint32(1) << _K) | ((_BYTE >> np.uint32(4)) >> (np.uint32(4) - _K))
+_LOW = (np.uint32(1) << _K) | ((_BYTE & np.uint32(15)) >> (np.uint32(4) - _K))
+
+
+def _row(h: np.ndarray, bits: int) -> np.ndarray:
+    """First of the 16 slots that a half byte's nodes have in a table."""
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(36 - bits)) << np.uint32(4)
 
 
 class Spelling:
-    """Contexts and bits of words' bytes, in pieces."""
-
-    def __init__(self, words: list[bytes]):
-        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.x = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint32)
-        self.word = np.repeat(np.arange(len(words)), lens)
-        inside = np.arange(len(self.x)) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.hashes = []
-        for order in ORDERS:
-            h = np.zeros(len(self.x), np.uint32)
-            for back in range(order, 0, -1):  # bytes before the word count as 0
-                b = np.zeros(len(self.x), np.uint32)
-                b[back:] = self.x[:-back]
-                b[inside < back] = 0
-                h = h * np.uint32(0x2C1B3C6D) + b + np.uint32(1)
-            self.hashes.append(h)
+    """Contexts and bits of texts' bytes, in pieces; a space closes each text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.x = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.last = np.zeros((len(texts), len(TABLE_BITS)), np.uint32)
+
+    def _words(self, x: np.ndarray, own: np.uint64, before: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the word so far and of the word before it, ahead of each byte of x and at its end."""
+        y = np.concatenate(([own], np.where(x == 32, 0, x.astype(np.uint64) + np.uint64(1)))).astype(np.uint64)
+        at = np.arange(len(y))
+        space = np.maximum.accumulate(np.where(np.concatenate(([False], x == 32)), at, -1))
+        q = np.cumsum(y * _DOWN[: len(y)])
+        word = _UP[: len(y)] * (q - np.where(space >= 0, q[space], np.uint64(0)))
+        return word, np.where(space >= 0, word[space - 1], before)
 
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(word, bit, slots by order) of all bits, bytes in order."""
-        k = np.arange(8, dtype=np.uint32)
+        """(text of each byte, bit, slots by context) of all bits, bytes in order."""
+        own = before = np.uint64(0)
+        starts = np.concatenate(([0], self.ends))
         for at in range(0, len(self.x), _PIECE):
-            x = self.x[at : at + _PIECE, None]
-            bit = ((x >> (np.uint32(7) - k)) & np.uint32(1)).ravel()
-            node = (np.uint32(1) << k) | (x >> (np.uint32(8) - k))
+            x = self.x[at : at + _PIECE]
+            position = np.arange(at, at + len(x))
+            of = np.searchsorted(self.ends, position, "right")
+            inside = position - starts[of]
+            hashes = []
+            for order in ORDERS:
+                h = np.zeros(len(x), np.uint32)
+                for back in range(order, 0, -1):  # bytes before the text count as 0
+                    b = self.x[np.maximum(position - back, 0)].astype(np.uint32)
+                    b[inside < back] = 0
+                    h = h * np.uint32(0x2C1B3C6D) + b + np.uint32(1)
+                hashes.append(h)
+            word, prior = self._words(x, own, before)
+            own, before = word[-1], prior[-1]
+            for h in (word[:-1], word[:-1] + (prior[:-1] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)):
+                hashes.append(((h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)).astype(np.uint32))
+            done = np.flatnonzero(position == self.ends[of] - 1)
             slots = []
-            for h, bits in zip(self.hashes, TABLE_BITS):
-                m = (h[at : at + _PIECE, None] * np.uint32(0x9E3779B1) ^ node * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
-                slots.append((m >> np.uint32(32 - bits)).ravel())
-            yield np.repeat(self.word[at : at + _PIECE], 8), bit, slots
+            for j, (h, bits) in enumerate(zip(hashes, TABLE_BITS)):
+                self.last[of[done], j] = h[done]
+                second = h + ((x >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+                slots.append(np.concatenate((_row(h, bits)[:, None] + _HIGH[x], _row(second, bits)[:, None] + _LOW[x]), axis=1).ravel())
+            yield of, _BITS[x].ravel(), slots
 
     def gate_slots(self, node: np.ndarray) -> list[np.ndarray]:
-        """Slots of the gate's bits after each word, in the contexts of its end; node: words x some."""
-        last = np.flatnonzero(np.diff(self.word, append=-1))
-        node = node.astype(np.uint32) + np.uint32(300)
-        return [
-            (((h[last][:, None] * np.uint32(0x9E3779B1) ^ node * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)).ravel()
-            for h, bits in zip(self.hashes, TABLE_BITS)
-        ]
+        """Slots of the gate's bits after each text, in the contexts of its end; node: texts x some. After pieces()."""
+        node = node.astype(np.uint32)
+        return [(_row(self.last[:, j] + np.uint32(300), bits)[:, None] + node).ravel() for j, bits in enumerate(TABLE_BITS)]
 
     def gate_path(self, gates: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Bits and slots of each word's own gate."""
+        """Bits and slots of each text's own gate. After pieces()."""
         k = np.arange(_GATE_BITS)
         g = gates.astype(np.int64)[:, None]
         bit = (g >> (_GATE_BITS - 1 - k)) & 1
         return bit.ravel().astype(np.uint32), self.gate_slots((1 << k) | (g >> (_GATE_BITS - k)))
 
+    def all(self, gates: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, list[np.ndarray]]]:
+        """The pieces, then the gates' bits under None."""
+        yield from self.pieces()
+        yield None, *self.gate_path(gates)
 
-def count_bits(words: list[bytes], gates: np.ndarray, into: list[np.ndarray]) -> None:
-    spelled = Spelling(words)
-    for _, bit, slots in [*spelled.pieces(), (None, *spelled.gate_path(gates))]:
+
+def count_bits(texts: list[bytes], gates: np.ndarray, into: list[np.ndarray]) -> None:
+    for _, bit, slots in Spelling(texts).all(gates):
         for table, s in zip(into, slots):
-            table += np.bincount(s * np.uint32(2) + bit, minlength=len(table)).astype(np.uint32)
+            np.add.at(table, (s * np.uint32(2) + bit).astype(np.intp), np.uint32(1))
+
+
+_EDGES = np.array([1, 2, 4, 10, 30], np.float32)
+_INPUTS = len(TABLE_BITS) + 1
 
 
 class Mixer:
     """Count tables, gated weights and the adaptive map."""
 
     def __init__(self, tables: list[np.ndarray]):
-        self.counts = [t.reshape(-1, 2).astype(np.float32) for t in tables]
-        self.weights = np.tile(np.array([0.1, 0.2, 0.4, 0.6, 0.0], np.float32), (2 * SETS, 1))
-        self.steps = np.full((2 * SETS, 5), 1.0, np.float32)
+        self.counts = [t.reshape(-1, 2) for t in tables]
+        self.weights = np.tile(np.array([0.1, 0.1, 0.2, 0.3, 0.3, 0.3, 0.0], np.float32), (2 * SETS, 1))
+        self.steps = np.full((2 * SETS, _INPUTS), 1.0, np.float32)
         centres = (np.arange(_LEVELS) + 0.5) / _LEVELS * 24 - 12
         p = 1 / (1 + np.exp(-centres))
         self.map = np.tile(np.stack([1 - p, p], axis=1) * 40, (2 * SETS, 1, 1))
         self.seen = 0
+        self._tables = None
 
-    def _inputs(self, bit: np.ndarray, slots: list[np.ndarray], own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each order and their gate; own: the counts hold this very bit, which is taken out."""
-        st, met = np.empty((len(bit), 5), np.float32), []
+    def _inputs(self, bit: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each context, whose counts hold this very bit, which is taken out, and their gate."""
+        st, met = np.empty((_INPUTS, len(bit)), np.float32), {}
         for j, (table, s) in enumerate(zip(self.counts, slots)):
-            n = table[s]
-            if own:
-                n[np.arange(len(bit)), bit] -= 1
-                np.maximum(n, 0, out=n)
-            met.append(n[:, 0] + n[:, 1])
-            n += np.float32(DELTA)
-            np.log(n, out=n)
-            st[:, j] = n[:, 1] - n[:, 0]
-        st[:, 4] = 0.3
-        edges = np.array([1, 2, 4, 10, 30], np.float32)
-        gate = np.searchsorted(edges, met[3], side="right") * 4 + np.searchsorted(edges[1:4:1], met[2], side="right")
-        return st, gate
+            n = table[s].astype(np.float32)
+            one, zero = np.maximum(n[:, 1] - bit, 0), np.maximum(n[:, 0] - (1 - bit.astype(np.float32)), 0)
+            if j in (4, 5):
+                met[j] = one + zero
+            st[j] = np.log((one + np.float32(DELTA)) / (zero + np.float32(DELTA)))
+        st[-1] = 0.3
+        return st, np.searchsorted(_EDGES, met[4], side="right") * 4 + np.searchsorted(_EDGES[1:4], met[5], side="right")
+
+    def _whole(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each context and their gate, from tables made once."""
+        if self._tables is None:
+            odds = [np.log((t[:, 1] + np.float32(DELTA)) / (t[:, 0] + np.float32(DELTA))).astype(np.float32) for t in self.counts]
+            met = [(self.counts[j].sum(axis=1, dtype=np.float32), e) for j, e in ((4, _EDGES), (5, _EDGES[1:4]))]
+            self._tables = odds, [np.searchsorted(e, m, side="right").astype(np.uint8) for m, e in met]
+        odds, (high, low) = self._tables
+        st = np.empty((_INPUTS, len(slots[0])), np.float32)
+        for j, s in enumerate(slots):
+            np.take(odds[j], s, out=st[j])
+        st[-1] = 0.3
+        return st, high[slots[4]].astype(np.int64) * 4 + low[slots[5]]
 
     def _mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", st, self.weights[gate]), -11.99, 11.99)
+        dot = np.zeros(len(gate), np.float32)
+        for x, w in zip(st, self.weights.T.copy()):
+            dot += x * w[gate]
+        return np.clip(dot, -11.99, 11.99)
 
-    def learn(self, words: list[bytes], gates: np.ndarray, rate: float = 0.15) -> None:
-        spelled = Spelling(words)
-        for own, bit, slots in [*spelled.pieces(), (None, *spelled.gate_path(gates))]:
+    def learn(self, texts: list[bytes], gates: np.ndarray, rate: float = 0.15) -> None:
+        for own, bit, slots in Spelling(texts).all(gates):
             for at in range(0, len(bit), 1 << 15):
                 b = bit[at : at + (1 << 15)]
-                st, gate = self._inputs(b, [s[at : at + (1 << 15)] for s in slots], True)
+                st, gate = self._inputs(b, [s[at : at + (1 << 15)] for s in slots])
                 gate += SETS * (own is None)
                 dot = self._mixed(st, gate)
                 err = b - 1 / (1 + np.exp(-dot))
                 n = np.maximum(np.bincount(gate, minlength=2 * SETS), 1)[:, None]
-                g = np.stack([np.bincount(gate, err * st[:, j], 2 * SETS) for j in range(5)], axis=1) / n
+                g = np.stack([np.bincount(gate, err * st[j], 2 * SETS) for j in range(_INPUTS)], axis=1) / n
                 self.steps += g * g * 100
                 self.weights += (rate * g / np.sqrt(self.steps) * 10).astype(np.float32)
                 level = ((dot + 12) / 24 * _LEVELS).astype(np.int64)
@@ -180,23 +214,24 @@ class Mixer:
                 self.seen += len(b)
 
     def _odds(self, bit: np.ndarray, slots: list[np.ndarray], base: int = 0) -> np.ndarray:
-        st, gate = self._inputs(bit, slots, False)
+        st, gate = self._whole(slots)
         gate += base
         dot = self._mixed(st, gate)
         level = ((dot + 12) / 24 * _LEVELS).astype(np.int64)
-        return (dot + np.log(self.map[:, :, 1] / self.map[:, :, 0])[gate, level]) / 2
+        return (dot + np.log(self.map[:, :, 1] / self.map[:, :, 0]).ravel()[gate * _LEVELS + level]) / 2
 
-    def log10(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word's spelling, and of each gate after it (words x 8)."""
-        out = np.zeros(len(words))
-        spelled = Spelling(words)
-        for word, bit, slots in spelled.pieces():
+    def log10(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text, and of each gate after it (texts x 8)."""
+        out = np.zeros(len(texts))
+        spelled = Spelling(texts)
+        for of, bit, slots in spelled.pieces():
             dot = self._odds(bit, slots)
-            # log probability of the bit that came
-            out += np.bincount(word, -np.logaddexp(0, np.where(bit == 1, -dot, dot)), len(words))
+            # log probability of the bits that came
+            lost = np.logaddexp(0, np.where(bit == 1, -dot, dot)).reshape(-1, 8).sum(axis=1)
+            out -= np.bincount(of, lost, len(texts))
         nodes = np.arange(1, 1 << _GATE_BITS)
-        dot = self._odds(np.zeros(len(words) * len(nodes), np.uint32), spelled.gate_slots(np.tile(nodes, (len(words), 1))), SETS).reshape(len(words), -1)
-        of = np.zeros((len(words), 1 << _GATE_BITS))
+        dot = self._odds(np.zeros(len(texts) * len(nodes), np.uint32), spelled.gate_slots(np.tile(nodes, (len(texts), 1))), SETS).reshape(len(texts), -1)
+        of = np.zeros((len(texts), 1 << _GATE_BITS))
         for g in range(1 << _GATE_BITS):
             for k in range(_GATE_BITS):
                 d = dot[:, ((1 << k) | (g >> (_GATE_BITS - k))) - 1]
@@ -208,13 +243,18 @@ def _empty_tables() -> list[np.ndarray]:
     return [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
 
 
+def _parts(table: np.ndarray) -> int:
+    """Parts in which a table is summed, of at most 64 Ki counts."""
+    return max(1, len(table) >> 16)
+
+
 def _pieces_of(b: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words of column 0 and gates of column 1, some at a time."""
+    """Texts of column 0, as they are spelled, and gates of column 1, some at a time."""
     gates = b.column(1).to_numpy(zero_copy_only=False)
     part, size, at = [], 0, 0
-    for w in b.column(0).to_pylist():
-        part.append(w)
-        size += len(w) + 1
+    for t in b.column(0):
+        part.append(b" ".join(tokens(t.as_py())))
+        size += len(part[-1]) + 1
         if size >= most:
             yield part, gates[at : at + len(part)]
             at += len(part)
@@ -223,8 +263,8 @@ def _pieces_of(b: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[list[by
         yield part, gates[at:]
 
 
-def fit_spelling(types: DataFrame) -> Mixer:
-    """types: the distinct training words and their commonest gate, columns token and gate. Tables and gradients of every task are summed."""
+def fit_mixer(taught: DataFrame) -> Mixer:
+    """taught: the training texts, columns text and gate. Tables and gradients of every task are summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, some = _empty_tables(), False
@@ -233,7 +273,7 @@ def fit_spelling(types: DataFrame) -> Mixer:
                 count_bits(part, gates, tables)
                 some = True
         if some:
-            rows = [(j, i, zlib.compress(c.tobytes(), 1)) for j, t in enumerate(tables) for i, c in enumerate(np.array_split(t, _PARTS))]
+            rows = [(j, i, zlib.compress(c.tobytes(), 1)) for j, t in enumerate(tables) for i, c in enumerate(np.array_split(t, _parts(t)))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["j", "i", "data"])
 
     def total(key, g):
@@ -242,11 +282,11 @@ def fit_spelling(types: DataFrame) -> Mixer:
         return pa.table({"j": [key[0].as_py()], "i": [key[1].as_py()], "data": pa.array([data], pa.binary())})
 
     spec = "j bigint, i bigint, data binary"
-    got = types.select("token", "gate").mapInArrow(count, spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()
+    got = taught.select("text", "gate").mapInArrow(count, spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()
     found = {(j, i): np.frombuffer(zlib.decompress(d), np.uint32) for j, i, d in zip(*(c.to_pylist() for c in got.columns))}
-    tables = [np.concatenate([found[j, i] for i in range(_PARTS)]) if found else t for j, t in enumerate(_empty_tables())]
+    tables = [np.concatenate([found[j, i] for i in range(_parts(t))]) if found else t for j, t in enumerate(_empty_tables())]
     model = Mixer(tables)
-    shared = types.sparkSession.sparkContext.broadcast(tables)
+    shared = taught.sparkSession.sparkContext.broadcast(tables)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer(shared.value)
@@ -258,13 +298,13 @@ def fit_spelling(types: DataFrame) -> Mixer:
             yield pa.RecordBatch.from_arrays([pa.array([float(own.seen)]), pa.array([own.weights.astype(float).ravel().tolist()]), pa.array([(own.map - start).ravel().tolist()])], ["n", "w", "m"])
 
     # one row a task, summed by the executors
-    each = types.select("token", "gate").mapInArrow(learn, "n double, w array<double>, m array<double>")
+    each = taught.select("text", "gate").mapInArrow(learn, "n double, w array<double>, m array<double>")
     named = each.selectExpr("n", "posexplode(concat(transform(w, x -> x * n), m)) AS (at, x)").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     flat = sorted((r["at"], r["x"], r["n"]) for r in named.collect())
     if flat:
         x = np.array([v for _, v, _ in flat])
-        model.weights = (x[: SETS * 10] / flat[0][2]).reshape(-1, 5).astype(np.float32)
-        model.map += x[SETS * 10 :].reshape(model.map.shape)
+        model.weights = (x[: model.weights.size] / flat[0][2]).reshape(-1, _INPUTS).astype(np.float32)
+        model.map += x[model.weights.size :].reshape(model.map.shape)
     return model
 
 
@@ -283,32 +323,30 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 # --- words ----------------------------------------------------------------
 
 
-def word_table(docs: DataFrame, gates: int) -> DataFrame:
-    """(token, c0, c1, ...): counts by gate over training texts, of every word of any text.
+def word_table(docs: DataFrame) -> DataFrame:
+    """(token, c): counts over training texts, of every word of any text.
 
-    docs: gate (null: not for training), text.
+    docs: learn, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
+        held: dict[bool, Counter] = {}
 
         def rows():
-            for g, c in held.items():
-                names = list(c)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([g] * len(names), pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "g", "n"])
+            for learn, c in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()) if learn else [0] * len(c), pa.int64())], ["token", "n"])
             held.clear()
 
         for b in batches:
-            for g, text in zip(b.column(0).to_pylist(), b.column(1)):
-                c = held.setdefault(-1 if g is None else g, Counter())
+            for learn, text in zip(b.column(0).to_pylist(), b.column(1)):
+                c = held.setdefault(bool(learn), Counter())
                 before = len(c)
                 c.update(tokens(text.as_py()))
                 if len(c) > before and sum(map(len, held.values())) > FLUSH_WORDS:
                     yield from rows()
         yield from rows()
 
-    each = docs.select("gate", "text").mapInArrow(run, "token binary, g int, n bigint")
-    return each.groupBy("token").agg(*(F.sum(F.when(F.col("g") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(gates)))
+    return docs.select("learn", "text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
@@ -316,45 +354,13 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     learn = F.lit(True) if learn is None else learn
     docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"))
     langs = [r["lang"] for r in docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(GATES).collect()]
-    gates = len(langs) + 1
     gate = F.lit(len(langs))
     for i, name in enumerate(langs):
         gate = F.when(F.col("lang") == name, i).otherwise(gate)
-    table = Written(word_table(docs.select(F.when(learn, gate).alias("gate"), "text"), gates)).df
-    counts = [F.col(f"c{i}") for i in range(gates)]
-    table = table.withColumn("c", sum(counts[1:], counts[0]))
-    row = table.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"),
-        *(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"n{i}") for i in range(gates)), *(F.count_if(F.col(f"c{i}") == 1).alias(f"o{i}") for i in range(gates)),
-        *(F.coalesce(F.sum(F.when(F.col("token") == F.lit(b""), F.col(f"c{i}"))), F.lit(0)).alias(f"d{i}") for i in range(gates)),
-    ).first().asDict()
-    n, v = row["n"], row["v"]
-    most = F.array_position(F.array(*counts), F.greatest(*counts) if gates > 1 else counts[0]).cast("int") - 1
-    typed = table.withColumn("gate", most)
-    row |= typed.where("c > 0").agg(*(F.count_if(F.col("gate") == i).alias(f"t{i}") for i in range(gates))).first().asDict()
-    model = docs.sparkSession.sparkContext.broadcast(fit_spelling(typed.where("c > 0")))
-    # the words' gates as the spelling sees them, for Bayes' rule
-    share = np.array([np.log10((row[f"t{i}"] + 1) / (v + gates)) for i in range(gates)])
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [model.value.log10(part) for part, _ in _pieces_of(b)]
-            by = np.concatenate([w[:, None] + g[:, :gates] - share for w, g in got]) if got else np.zeros((0, gates))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(by[:, i]) for i in range(gates))], [*names, *(f"p{i}" for i in range(gates))])
-
-    names = ["token", "gate", "c", *(f"c{i}" for i in range(gates))]
-    spelled = typed.select(*names).mapInArrow(spell, "token binary, gate int, c bigint, " + ", ".join([f"c{i} bigint" for i in range(gates)] + [f"p{i} double" for i in range(gates)]))
-    back0 = max(1.0, float(row["once"]))
-    lps = []
-    for i in range(gates):
-        back = max(1.0, float(row[f"o{i}"]))
-        # in logarithms where there are no counts: the spelling of a long word is below the least double
-        whole, own, p = F.col("c"), F.col(f"c{i}"), F.col(f"p{i}") + float(np.log10(back0))
-        anywhere = F.when(whole == 0, p).otherwise(F.log10(whole + F.pow(F.lit(10.0), p))) + float(np.log10(back / (n + back0)))
-        lp = F.when(own == 0, anywhere).otherwise(F.log10(own + F.pow(F.lit(10.0), anywhere)))
-        lps.append((lp - float(np.log10(row[f"n{i}"] + back))).cast("float").alias(f"l{i}"))
-    base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))).alias("base")
-    words = Written(spelled.select("token", "c", base, *lps)).df
+    table = Written(word_table(docs.select(learn.alias("learn"), "text"))).df
+    n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    model = docs.sparkSession.sparkContext.broadcast(fit_mixer(docs.where(learn).select("text", gate.alias("gate"))))
+    words = table.withColumn("base", F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))))
     # the commonest words, as many as fit in FREQUENT
     level = F.floor(F.log2("c") * 8).cast("int")
     left, cut = FREQUENT, None
@@ -364,71 +370,45 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
         left, cut = left - r["count"], r["k"]
     # the histogram above proves that these are at most FREQUENT rows
     common = words.where((F.col("c") > 0) & (level >= cut)).toArrow() if cut is not None else words.limit(0).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((
-        dict(zip(common["token"].to_pylist(), range(len(common)))),
-        np.stack([np.ones(len(common)), *(common[k].to_numpy() for k in ["base", *(f"l{i}" for i in range(gates))])], axis=1),
-    ))
-    width = gates + 2  # known, base, each gate
+    shared = docs.sparkSession.sparkContext.broadcast((dict(zip(common["token"].to_pylist(), range(len(common)))), common["base"].to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, values = shared.value
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            own: list = [[], [], [], []]  # uid, doc_id, n_tokens, sums
+            scores = [model.value.log10(part)[0] for part, _ in _pieces_of(pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["text", "doc_id"]))]
+            own: list = [[], [], [], [], [], []]  # uid, doc_id, n_tokens, known, base, score
             rare: list = [[], [], []]  # uid, token, n
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1), np.concatenate(scores).tolist() if scores else []):
                 uid += 1
                 c = Counter(tokens(text.as_py()))
-                times = np.fromiter(c.values(), np.float64, len(c))
+                times = np.fromiter(c.values(), np.int64, len(c))
                 at = np.fromiter(map(number.get, c, repeat(-1)), np.int64, len(c))
                 hit = at >= 0
-                t, x = times[hit], values[at[hit]]
-                sums = [t @ x]
-                # repeats of a rare word, whose own probability is next to nothing, cost as if it were nothing
-                again = times[~hit]
-                rest = _lgamma(again).sum() if len(again) else 0.0
-                more = t > 1
-                for strength in CACHE:
-                    lp = x[:, 2:] + np.log10(strength)
-                    p = 10.0 ** lp[more]
-                    urn = lp[~more].sum(axis=0) + (_lgamma(p + t[more][:, None]) - _lgamma(p)).sum(axis=0) / _LN10
-                    total = times.sum()
-                    sums.append(urn + (rest - float(np.diff(_lgamma(np.array([strength, strength + total])))[0])) / _LN10 + len(again) * np.log10(strength))
-                for col, y in zip(own, (uid, doc, int(times.sum()), np.concatenate(sums).tolist())):
+                for col, y in zip(own, (uid, doc, int(times.sum()), int(times[hit].sum()), float(times[hit] @ values[at[hit]]), found)):
                     col.append(y)
-                if len(again):
+                if not hit.all():
                     names = list(c)
-                    rare[0] += [uid] * len(again)
-                    rare[1] += [names[i] for i in np.flatnonzero(~hit).tolist()]
-                    rare[2] += again.astype(int).tolist()
+                    at = np.flatnonzero(~hit)
+                    rare[0] += [uid] * len(at)
+                    rare[1] += [names[i] for i in at.tolist()]
+                    rare[2] += times[at].tolist()
             k, m = len(own[0]), len(rare[0])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(own[0] + rare[0], pa.int64()), pa.array([None] * k + rare[1], pa.binary()), pa.array([0] * k + rare[2], pa.int64()),
-                    pa.array(own[1] + [None] * m, pa.int64()), pa.array(own[2] + [0] * m, pa.int64()), pa.array(own[3] + [None] * m, pa.list_(pa.float64())),
-                ], ["uid", "token", "n", "doc_id", "n_tokens", "own"],
+                    *(pa.array(y + [None] * m, t) for y, t in zip(own[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))),
+                ], ["uid", "token", "n", "doc_id", "n_tokens", "own_known", "own_base", "score"],
             )
 
-    rows = Written(docs.select("doc_id", "text").mapInArrow(score, "uid bigint, token binary, n bigint, doc_id bigint, n_tokens bigint, own array<double>")).df
+    spec = "uid bigint, token binary, n bigint, doc_id bigint, n_tokens bigint, own_known bigint, own_base double, score double"
+    rows = Written(docs.select("doc_id", "text").mapInArrow(score, spec)).df
     met = rows.where("token IS NOT NULL").select("uid", "token", "n").join(words, "token")
-    lp = [F.col(f"l{i}").cast("double") for i in range(gates)]
-    per = met.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.col("base")).alias("base"),
-        *(F.sum(F.col("n") * x).alias(f"r{i}") for i, x in enumerate(lp)), *(F.sum((F.col("n") - 1) * x).alias(f"e{i}") for i, x in enumerate(lp)),
-    )
-    per = rows.where("token IS NULL").select("uid", "doc_id", "n_tokens", "own").join(per, "uid", "left").na.fill(0)
-    docs_n = sum(row[f"d{i}"] for i in range(gates))
-    parts = []
-    for i in range(gates):
-        prior = float(np.log10((row[f"d{i}"] + 1) / (docs_n + gates)))
-        parts.append(F.col("own")[2 + i] + F.col(f"r{i}") + (prior + float(np.log10(SHARES[0]))))
-        for j in range(len(CACHE)):
-            parts.append(F.col("own")[width + j * gates + i] + F.col(f"r{i}") - F.col(f"e{i}") + (prior + float(np.log10(SHARES[1 + j]))))
-    per = per.withColumn("parts", F.array(*parts)).withColumn("top", F.array_max("parts"))
-    mixed = F.col("top") + F.log10(F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0)))))
+    per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.col("base")).alias("base"))
+    per = rows.where("token IS NULL").drop("token", "n").join(per, "uid", "left").na.fill(0)
     return per.select(
-        "doc_id", "n_tokens", (F.round(F.col("own")[0]).cast("bigint") + F.col("known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("own")[1] + F.col("base")).alias("base_score"), mixed.alias("score"),
+        "doc_id", "n_tokens", (F.col("own_known") + F.col("known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("own_base") + F.col("base")).alias("base_score"), "score",
     )
 
 

@@ -178,6 +178,16 @@ def test_op4_charges_the_whole_of_a_long_word(spark):
     assert got[101] < -1.2 * 20_000 and abs(got[101] / got[100] - 2) < 0.1
 
 
+def test_op4_score_depends_on_the_order_of_words(spark, docs):
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    rng = np.random.default_rng(3)
+    mixed = [(i + 10**9, " ".join(rng.permutation(t.split()).tolist()), g) for i, t, g in rows]
+    d = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(d, (F.col("doc_id") < 10**9) & (F.col("doc_id") % 5 > 0)).collect()}
+    test = [i for i, t, _ in rows if i % 5 == 0]
+    assert sum(got[i] for i in test) > 0.97 * sum(got[i + 10**9] for i in test)
+
+
 def test_op4_spelling_is_a_distribution():
     tables = lm._empty_tables()
     words = [b"the", b"then", b"other", b"thin", b"that"] * 3
