@@ -405,7 +405,7 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     rows = Written(docs.select("doc_id", "text").mapInArrow(score, spec)).df
     met = rows.where("token IS NOT NULL").select("uid", "token", "n").join(words, "token")
     per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.col("base")).alias("base"))
-    per = rows.where("token IS NULL").drop("token", "n").join(per, "uid", "left").na.fill(0)
+    per = rows.where("token IS NULL").drop("token", "n").join(per, "uid", "left").na.fill(0, ["known", "base"])
     return per.select(
         "doc_id", "n_tokens", (F.col("own_known") + F.col("known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("own_base") + F.col("base")).alias("base_score"), "score",

@@ -169,6 +169,11 @@ def test_op4_base_counts_and_probabilities(spark, docs, texts, odd):
     assert lm.digest(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_op4_null_ids_stay_null(spark, odd):
+    got = [r["doc_id"] for r in lm.digest(odd).collect()]
+    assert got.count(None) == 2 and 0 not in got
+
+
 def test_op4_charges_the_whole_of_a_long_word(spark):
     letters = np.frombuffer(b"0123456789abcdef", "S1")
     long_ = b"".join(np.random.default_rng(4).choice(letters, 20_000).tolist()).decode()
