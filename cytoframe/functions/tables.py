@@ -2,22 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets one of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        found = f"file:{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+#: Paths of the tables that this process has written and not deleted.
+_live: list[str] = []
+
+
+class Written:
+    """A DataFrame written once as Parquet in the shared folder and read back.
+
+    Cuts lineage without relying on any one executor's disk. drop() frees the
+    files once nothing reads them any more; release() frees all that are left,
+    and the end of the application does too.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/t-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        fs, p = _file_system(self.spark, self.path)
+        fs.deleteOnExit(p)
+        _live.append(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        fs, p = _file_system(self.spark, self.path)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
+        if self.path in _live:
+            _live.remove(self.path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read back: lineage ends, and every later pass sees the same values."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Written(df).df
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every table that operators wrote in this process; for when their results have been read. Returns how many."""
+    n = len(_live)
+    while _live:
+        fs, p = _file_system(spark, _live.pop())
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
+    return n

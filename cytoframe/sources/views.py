@@ -48,7 +48,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "'t0' AS sample", "concat('q', event_id div 6) AS read_id", "50 AS snv_pos", "'A' AS ref", "'G' AS alt", "IF(event_type IN ('error', 'click'), 'A', IF(event_type = 'view', 'G', 'C')) AS base"
     )
 
@@ -60,7 +60,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = s.groupBy("chrom", "pos").agg(*(F.sum(F.when(on, F.col(c))).alias(f"{c}_{k}") for k, on in (("a", case), ("b", ~case)) for c in ("n_meth", "coverage")))
     g = g.where("coverage_a > 0 AND coverage_b > 0")
     diff = (F.col("n_meth_a").cast("double") / F.col("coverage_a") - F.col("n_meth_b").cast("double") / F.col("coverage_b")).cast("float")
-    p = F.expr("((pos * 7919 + cast(substring(chrom, 4) as int) * 104729) % 10007 + 1) / 10008.0D")
+    p = F.expr("((cast(pos as bigint) * 7919 + cast(substring(chrom, 4) as int) * 104729) % 10007 + 1) / 10008.0D")
     return g.select("chrom", "pos", diff.alias("meth_diff"), p.alias("pvalue"), p.alias("qvalue"))
 
 
@@ -75,8 +75,8 @@ GENES = """genes AS (SELECT 'chr' || (s_suppkey % 5) AS chrom, CAST(s_suppkey *
 EXONS = """exons AS (SELECT chrom, CAST("start" + 100 + k * 350 AS INTEGER) AS "start", CAST("start" + 250 + k * 350 AS INTEGER) AS "end", strand, gene_id FROM genes, (SELECT unnest([0, 1, 2]) AS k))"""
 ISLANDS = """islands AS (SELECT 'chr' || (s_suppkey % 5) AS chrom, CAST(s_suppkey * 395 AS INTEGER) AS "start", CAST(s_suppkey * 395 + 500 AS INTEGER) AS "end" FROM supplier WHERE s_suppkey % 6 = 0)"""
 CALLS = """calls AS (SELECT 't0' AS sample, 'chr1' AS chrom, 'q' || (event_id // 6) AS read_id, CAST((event_id % 6 + (event_id // 6) % 5) * 4 AS INTEGER) AS pos, CASE WHEN value > 10 THEN 1 ELSE 0 END AS status FROM events)"""
-ALLELES = """alleles AS (SELECT 't0' AS sample, 'q' || (event_id // 6) AS read_id, CASE WHEN event_type IN ('error', 'click') THEN 0 WHEN event_type = 'view' THEN 1 END AS h FROM events WHERE event_id % 3 = 0)"""
+ALLELES = """alleles AS (SELECT 't0' AS sample, 'q' || (event_id // 6) AS read_id, CASE WHEN event_type IN ('error', 'click') THEN 0 WHEN event_type = 'view' THEN 1 END AS h FROM events)"""
 RESULTS = """res0 AS (SELECT chrom, pos, sum(n_meth) FILTER (WHERE sample < 's4') AS ma, sum(coverage) FILTER (WHERE sample < 's4') AS ca, sum(n_meth) FILTER (WHERE sample >= 's4') AS mb, sum(coverage) FILTER (WHERE sample >= 's4') AS cb FROM sites GROUP BY chrom, pos),
 results AS (SELECT chrom, pos, CAST(CAST(ma AS DOUBLE) / ca - CAST(mb AS DOUBLE) / cb AS FLOAT) AS meth_diff,
-  ((pos * 7919 + CAST(substring(chrom, 4) AS INTEGER) * 104729) % 10007 + 1) / CAST(10008.0 AS DOUBLE) AS pvalue,
-  ((pos * 7919 + CAST(substring(chrom, 4) AS INTEGER) * 104729) % 10007 + 1) / CAST(10008.0 AS DOUBLE) AS qvalue FROM res0 WHERE ca > 0 AND cb > 0)"""
+  ((CAST(pos AS BIGINT) * 7919 + CAST(substring(chrom, 4) AS INTEGER) * 104729) % 10007 + 1) / CAST(10008.0 AS DOUBLE) AS pvalue,
+  ((CAST(pos AS BIGINT) * 7919 + CAST(substring(chrom, 4) AS INTEGER) * 104729) % 10007 + 1) / CAST(10008.0 AS DOUBLE) AS qvalue FROM res0 WHERE ca > 0 AND cb > 0)"""
