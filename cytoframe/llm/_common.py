@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import Written, release, shared_dir, written  # noqa: F401
+
 #: ASCII white space as the contracts define it.
 WS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A key with more rows than this, and than one in HOT_KEYS of all, is hot.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
-class Written:
-    """A DataFrame written once as Parquet in the shared folder and read back.
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """rows joined by key with table, which has one row for each key and in column n how many of the `total` rows have it.
 
-    Cuts lineage without relying on any one executor's disk. drop() frees the
-    files once nothing reads them any more.
+    At most hot_keys keys can be hot; they are broadcast and their rows stay
+    where they are. Other keys meet their rows in a join.
     """
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/t-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    return Written(df).df
+    often = max(HOT_ROWS, total // hot_keys)
+    hot, other = F.broadcast(table.where(F.col("n") > often).drop("n")), table.where(F.col("n") <= often).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(other, key))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -53,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (a, b).
 
     Alternates large-star and small-star steps on the edge table until it stops
@@ -65,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:  # edges only ever get shorter, so it ends
         n, digest = e.df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if (n, digest) == seen or not n:
             break

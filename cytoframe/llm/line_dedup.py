@@ -7,14 +7,14 @@ others: it loses a shared line to any other document. Other columns pass by.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import LOWER, UPPER, WS
+from ._common import LOWER, UPPER, WS, Written, meet
 
 
 def line_key(line: Column) -> Column:
@@ -25,23 +25,28 @@ def line_key(line: Column) -> Column:
 def dropped_positions(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(doc_id, text_hash, dropped): positions of the lines that each document loses.
 
-    Only 16-byte digests, ids and positions are shuffled. Occurrences are
-    combined by (key, document) first, so a line repeated within one document
-    is one row; documents per key are then counted with map-side sums, and
-    the join back is one that adaptive execution splits at a hot key.
+    Lines are exploded and hashed once, into a written table of digests, ids
+    and positions. Documents per key are counted with map-side sums. The few
+    hot keys are broadcast; other keys meet their lines in a join.
     """
     lines = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
-    held = (
-        lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("k"))
-        .where(F.length("k") >= min_chars)
-        .groupBy(F.unhex(F.md5("k")).alias("key"), "doc_id", "text_hash")
-        .agg(F.collect_list("pos").alias("positions"))
-    )
-    seen = held.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"))
-    lost = held.join(seen.where(F.col("n_docs") >= min_docs), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
+    keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
+    held = Written(keyed.select(F.unhex(F.md5("k")).alias("key"), "doc_id", "text_hash", "pos")).df
+    seen = held.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), *_documents(min_docs))
+    shared = Written(seen.where(F.col("n_docs") >= min_docs).select("key", "n", "first")).df
+    lost = meet(held, shared, "key", held.count())
+    lost = lost.where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
+
+
+def _documents(min_docs: int) -> list[Column]:
+    """n_docs of a key; up to two, the least and the greatest id tell, and need no second shuffle. A null id is one document."""
+    null = F.max(F.col("doc_id").isNull().cast("int"))
+    if min_docs <= 2:
+        return [(F.coalesce((F.min("doc_id") < F.max("doc_id")).cast("int"), F.lit(-1)) + 1 + null).alias("n_docs")]
+    return [(F.count_distinct("doc_id") + null).alias("n_docs")]
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -56,7 +61,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
         "left",
     ).select("d.*", "l.dropped")
     at, names = joined.columns.index("text"), extra
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    spec = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +75,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
             cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(rebuild, f"{types}, n_lines bigint, n_dropped bigint")
+    return joined.mapInArrow(rebuild, spec)
 
 
 def digest(docs: DataFrame) -> DataFrame:
