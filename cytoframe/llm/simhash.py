@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Written, connected_components
+from ._common import LOWER, UPPER, Written, connected_components, meet
 from ._tiles import segments, spanning, tiled
 
 SHINGLE = 4
@@ -146,13 +146,13 @@ def fingerprint_links(fps: DataFrame, list_cap: int = LIST_CAP, bucket_rows: int
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) of every row; text_hash is xxhash64(text)."""
     held = Written(fingerprints(docs)).df
-    first = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     fps = Written(first).df
     comps = Written(connected_components(fingerprint_links(fps.select("fp")))).df
     named = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    return held.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    of = named.join(least, "component").select("fp", "component_id", "n")
+    return meet(held, Written(of).df, "fp", held.count()).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
