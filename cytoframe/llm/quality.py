@@ -10,7 +10,7 @@ labels of its `k` nearest vote with weights by similarity.
 
 Defined cases: a null or empty text, or any without a feature, gets the
 sample's mean label. A labelled doc_id with several labels counts with their
-mean; null labels don't count. Without any labelled row every score is 0.5.
+mean, one with several rows with the row of the least text hash; null labels don't count. Without any labelled row every score is 0.5.
 Other columns pass by. Repeated rows get the same score.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import held_out
 
@@ -146,8 +147,8 @@ class Model:
             near = np.argpartition(cos, cos.shape[1] - self.k, axis=1)[:, cos.shape[1] - self.k :]
             c = np.take_along_axis(cos, near, axis=1).astype(np.float64)
             # the farthest neighbour's distance sets the scale, so that weights fall off alike in dense and sparse places
-            far = 1 - c
-            w = np.exp(-POWER * far / np.maximum(far.max(axis=1, keepdims=True), 1e-9))
+            far = np.maximum(1 - c, 0)  # cosines of equal vectors come out a little over 1
+            w = np.exp(-POWER * far / np.maximum(far.max(axis=1, keepdims=True), 1e-6))
             out[rows] = (w * self.y[near]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
@@ -171,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     known = known.where(learn) if learn is not None else known
     picked = known.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` pairs of numbers, so this side's size is bounded
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")).toArrow()
+    mine = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = mine.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))  # of rows that share an id, the one of the least hash
+    rows = _featured(one.select("text", "y")).toArrow()
     order = sorted(range(len(rows)), key=lambda i: (rows["slots"][i].as_py(), rows["vals"][i].as_py(), rows["y"][i].as_py()))
     x, y = np.zeros((len(order), FEATURES), np.float32), np.zeros(len(order))
     for at, i in enumerate(order):
@@ -193,8 +196,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             got = [model.value.score(counts(texts[i : i + 512])) for i in range(0, len(texts), 512)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, "quality_score"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{types}, quality_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
