@@ -38,8 +38,6 @@ SEED = 20240
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Standard deviations to either side of the mode that a draw's inversion covers; beyond lies less than double precision shows.
 _SPAN = 12
-#: A block's place in a pass is (step x number + shift) mod blocks, with the first of these primes that divides no count.
-_STEPS = (1000003, 1000033, 1000037, 1000039, 1000081)
 
 
 def words(text: Column) -> Column:
@@ -69,19 +67,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def quotas(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """targets with the words and block draws of each source's two passes."""
+    """targets with the words and block draws of each source's two passes, and what its permutation of blocks needs."""
     b = block_words
     return targets.selectExpr(
         "*",
         f"least(cast(round(target) as bigint), {MOST} * source_size) AS quota_words",
         f"source_size div {b} AS full_blocks",
         f"(source_size + {b - 1}) div {b} AS blocks",
-        f"element_at(filter(array({', '.join(f'{p}L' for p in _STEPS)}), p -> (source_size div {b}) % p <> 0 OR source_size < {b}), 1) AS step",
+        f"length(bin(greatest(source_size div {b} - 1, 1L))) AS bits",
     ).selectExpr(
-        "*", "least(quota_words, source_size) AS rest0", "greatest(quota_words - source_size, 0L) AS rest1"
-    ).selectExpr("*", *(
+        "*", "least(quota_words, source_size) AS rest0", "greatest(quota_words - source_size, 0L) AS rest1", "cast((bits + 1) div 2 as int) AS low_bits"
+    ).selectExpr("*", "shiftleft(1L, low_bits) - 1 AS low_mask", "shiftleft(1L, bits - low_bits) - 1 AS high_mask", *(
         f"CASE WHEN rest{e} = source_size THEN blocks ELSE rest{e} div {b} + if(rest{e} % {b} > 0, 1, 0) END AS draws{e}" for e in (0, 1)
-    )).withColumn("draws", F.col("draws0") + F.col("draws1"))
+    )).withColumn("draws", F.col("draws0") + F.col("draws1")).drop("bits")
+
+
+def _permuted(k: str, n: str, key: str) -> str:
+    """SQL of a keyed permutation of 0 to n - 1: four Feistel rounds over the least power of two that holds n, walked until back in range.
+
+    Each walk of a step leaves the range with a chance below one half, so 64 steps do.
+    """
+    rounds = (
+        f"aggregate(array(0, 1, 2, 3), x, (v, r) -> IF(r % 2 = 0, v ^ shiftleft(xxhash64({key}, r, v & low_mask) & high_mask, low_bits), "
+        f"v ^ (xxhash64({key}, r, shiftright(v, low_bits)) & low_mask)))"
+    )
+    return f"IF({n} <= 1, 0L, aggregate(sequence(1, 64), {k}, (x, i) -> IF(i > 1 AND x < {n}, x, {rounds})))"
 
 
 def _hypergeometric(good: str, bad: str, n: str, u: str) -> str:
@@ -90,17 +100,17 @@ def _hypergeometric(good: str, bad: str, n: str, u: str) -> str:
     low, high = f"greatest(0L, {n} - {bad})", f"least({good}, {n})"
     mode = f"least({high}, greatest({low}, cast(floor(({n} + 1.0D) * ({good} + 1.0D) / ({total} + 2.0D)) as bigint)))"
     sd = f"sqrt(greatest(0.0D, 1.0D * {n} * {good} / greatest(1.0D, {total}) * {bad} / greatest(1.0D, {total}) * ({total} - {n}) / greatest(1.0D, {total} - 1.0D)))"
-    up = "a.w * (h.k - a.x) * (h.n - a.x) / ((a.x + 1.0D) * (h.r - h.n + a.x + 1.0D))"
-    down = "a.w * a.x * (h.r - h.n + a.x) / ((h.k - a.x + 1.0D) * (h.n - a.x + 1.0D))"
+    up = "a.w * ({h}.k - a.x) * ({h}.n - a.x) / ((a.x + 1.0D) * ({h}.r - {h}.n + a.x + 1.0D))"
+    down = "a.w * a.x * ({h}.r - {h}.n + a.x) / (({h}.k - a.x + 1.0D) * ({h}.n - a.x + 1.0D))"
     # weights relative to the mode's: total first, then the value at which the running sum passes u of it
-    zero = "named_struct('x', h.m, 'w', 1.0D, 's', {s}, 'at', {at})"
-    hit = "IF(a.at IS NULL AND a.s + {w} > h.goal, {x}, a.at)"
+    zero = "named_struct('x', {h}.m, 'w', 1.0D, 's', {s}, 'at', {at})"
+    hit = "IF(a.at IS NULL AND a.s + {w} > {h}.goal, {x}, a.at)"
 
-    def walk(sign: str, s: str, at: str) -> str:
-        w, x = (up, "a.x + 1L") if sign == "+" else (down, "a.x - 1L")
+    def walk(sign: str, s: str, at: str, h: str = "h") -> str:
+        w, x = (up.format(h=h), "a.x + 1L") if sign == "+" else (down.format(h=h), "a.x - 1L")
         return (
-            f"aggregate(sequence(1, h.span), {zero.format(s=s, at=at)}, (a, i) -> IF(a.w = 0.0D, a, "
-            f"named_struct('x', {x}, 'w', {w}, 's', a.s + {w}, 'at', {hit.format(w=w, x=x)})))"
+            f"aggregate(sequence(1, {h}.span), {zero.format(h=h, s=s, at=at)}, (a, i) -> IF(a.w = 0.0D, a, "
+            f"named_struct('x', {x}, 'w', {w}, 's', a.s + {w}, 'at', {hit.format(h=h, w=w, x=x)})))"
         )
 
     start = f"named_struct('k', {good}, 'r', {bad}, 'n', {n}, 'm', {mode}, 'span', cast(ceil({_SPAN} * {sd}) as int) + 2, 'goal', 1e300D)"
@@ -109,7 +119,7 @@ def _hypergeometric(good: str, bad: str, n: str, u: str) -> str:
     with_goal = f"transform(array({start}), h -> named_struct('k', h.k, 'r', h.r, 'n', h.n, 'm', h.m, 'span', h.span, 'goal', {u} * {mass}))"
     first = walk("+", "1.0D", "IF(1.0D > h.goal, h.m, cast(null as bigint))")
     ups = f"transform({with_goal}, h -> named_struct('h', h, 'up', {first}))"
-    second = walk("-", "g.up.s", "g.up.at").replace("h.", "g.h.")
+    second = walk("-", "g.up.s", "g.up.at", "g.h")
     return f"element_at(transform({ups}, g -> coalesce({second}.at, g.h.m)), 1)"
 
 
@@ -139,17 +149,28 @@ def split_tree(quota: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     return node.selectExpr("first AS shard", "posexplode(q) AS (rank, draws)")
 
 
-def mix_draws(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and draws: an array of (pass, block, shard, place, start, length).
+def _draws_of_pass(e: int, b: int, seed: int) -> str:
+    """SQL of the words lo to hi of a document, in its source's line, that each of its blocks' draws in pass e takes; t is the draw's number."""
+    place = f"IF(k < full_blocks, {_permuted('k', 'full_blocks', f'{seed}L, rank, {e}')}, full_blocks)"
+    most = f"CASE WHEN rest{e} = source_size OR y.p < rest{e} div {b} THEN {b}L WHEN y.p = rest{e} div {b} THEN rest{e} % {b} ELSE 0L END"
+    return (
+        f"transform(transform(sequence(_at div {b}, (_at + size - 1) div {b}), k -> named_struct('k', k, 'p', {place})), "
+        f"y -> named_struct('pass', {e}, 'block', y.k, 't', y.p + {e} * blocks, 'lo', greatest(_at, y.k * {b}), 'hi', least(_at + size, (y.k + 1) * {b}, y.k * {b} + {most})))"
+    )
 
-    Each is a run of `length` words from word `start` of the document that its
-    block's draw gives to the shard; `place` orders a shard's draws. By default
-    shards grow in number with the mixture, so that one stays a task's size.
-    """
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+OWN = ("size", "source_size", "target", "draws")
+
+
+def _drawn(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """_d, a struct of docs' columns, so that no name of theirs meets one used here, with size, source_size, target and draws."""
     b = block_words
-    own = ("size", "source_size", "target", "draws")
-    base = docs.select(*(c for c in docs.columns if c not in own)).withColumn("size", words(F.col("text"))).withColumn("_perm", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    sizes = Written(base.select("doc_id", "source", "size", "_perm")).df
+    base = docs.select(F.struct(*map(_quoted, docs.columns)).alias("_d"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_perm"))
+    sizes = Written(base.select("_d.doc_id", "source", "size", "_perm")).df
     plan = Written(quotas(source_targets(sizes), b)).df
     if shards is None:
         shards = max(SHARDS, -(-(plan.agg(F.sum("quota_words")).first()[0] or 0) // SHARD_WORDS))
@@ -158,24 +179,16 @@ def mix_draws(docs: DataFrame, shards: int | None = None, block_words: int = BLO
         F.expr("transform(sort_array(collect_list(struct(shard, end))), x -> x.end)").alias("ends")
     )
     plan = Written(plan.join(ends, "rank").drop("draws").withColumn("parts", F.ceil(F.sqrt("n_docs")).cast("bigint"))).df
-    placed = base.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", *(f"p.{c}" for c in plan.columns if c != "source"))
+    placed = base.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d._d", "d.size", "d._perm", *(f"p.{c}" for c in plan.columns if c != "source"))
     placed = placed.withColumn("_part", F.pmod(F.col("_perm"), F.col("parts")))
     # the same parts, from the small table: where each part of a source's line begins
     parts = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).groupBy("rank", F.pmod(F.col("_perm"), F.col("parts")).alias("_part")).agg(F.sum("size").alias("_words"))
     along = Window.partitionBy("rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("rank", "_part", F.coalesce(F.sum("_words").over(along), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("rank", "_part").orderBy("_perm", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "_part").orderBy("_perm", "_d.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["rank", "_part"]).withColumn("_at", F.col("_at") + F.col("_base"))
-    passes = []
-    for e in (0, 1):
-        where = f"IF(k < full_blocks, (k * step + {e} * (full_blocks div 2) + {e}) % full_blocks, full_blocks)"
-        may = f"CASE WHEN rest{e} = source_size THEN {b}L WHEN p < rest{e} div {b} THEN {b}L WHEN p = rest{e} div {b} THEN rest{e} % {b} ELSE 0L END"
-        passes.append(
-            f"transform(transform(sequence(_at div {b}, (_at + size - 1) div {b}), k -> named_struct('k', k, 'p', {where})), "
-            f"x -> transform(array(named_struct('k', x.k, 'p', x.p)), y -> named_struct('pass', {e}, 'block', y.k, 't', y.p + {e} * blocks, 'lo', greatest(_at, y.k * {b}), "
-            f"'hi', least(_at + size, (y.k + 1) * {b}, y.k * {b} + {may.replace('p ', 'y.p ')})))[0])"
-        )
-    found = f"IF(size > 0, filter(concat({', '.join(passes)}), z -> z.hi > z.lo), array())"
+    typed = "array<struct<pass:int,block:bigint,t:bigint,lo:bigint,hi:bigint>>"
+    found = f"IF(size > 0, filter(concat({_draws_of_pass(0, b, seed)}, {_draws_of_pass(1, b, seed)}), z -> z.hi > z.lo), cast(array() as {typed}))"
     # how many ends are at most t, by halving
     mid = "cast((s.lo + s.hi) div 2 as int)"
     shard = (
@@ -183,32 +196,55 @@ def mix_draws(docs: DataFrame, shards: int | None = None, block_words: int = BLO
         f"IF(element_at(ends, {mid} + 1) <= z.t, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))).lo"
     )
     draws = (
-        f"transform(found, z -> named_struct('pass', z.pass, 'block', z.block, 'shard', {shard}, "
+        f"transform(_found, z -> named_struct('pass', z.pass, 'block', z.block, 'shard', {shard}, "
         f"'place', xxhash64({seed}L, rank, z.t), 'start', z.lo - _at, 'length', z.hi - z.lo))"
     )
-    typed = "array<struct<pass:int,block:bigint,t:bigint,lo:bigint,hi:bigint>>"
-    lined = lined.withColumn("found", F.expr(f"IF(size > 0, {found.split('IF(size > 0, ', 1)[1].rsplit(', array())', 1)[0]}, cast(array() as {typed}))"))
-    keep = [c for c in docs.columns if c not in own]
-    return lined.withColumn("draws", F.expr(draws)).select(*keep, "size", "source_size", "target", "draws")
+    lined = lined.withColumn("_found", F.expr(found)).withColumn("draws", F.expr(draws))
+    return lined.select("_d", *OWN)
+
+
+def mix_draws(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with size, source_size, target and draws: an array of (pass, block, shard, place, start, length).
+
+    Each is a run of `length` words from word `start` of the document that its
+    block's draw gives to the shard; `place` orders a shard's draws. By default
+    shards grow in number with the mixture, so that one stays a task's size.
+    Columns of docs with these four names are replaced; any other name is free.
+    """
+    return _drawn(docs, **parameters).select(*(F.col("_d")[c].alias(c) for c in docs.columns if c not in OWN), *OWN)
+
+
+#: A word with the white space after it, so that joined runs read as they stood.
+_WITH_SPACE = WORD + "[\\x20\\x09-\\x0D]*"
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The mixture: docs' columns for each document and pass that anything is taken of, text cut to the words
-    taken where they aren't all, with shard and place; shards are partitions, each in its own shuffled order."""
-    keep = docs.columns
-    m = mix_draws(docs, **parameters)
-    each = m.withColumn("_pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_own", F.expr("filter(draws, z -> z.pass = _pass)")).where("size(_own) > 0")
-    taken = "aggregate(_own, 0L, (a, z) -> a + z.length)"
-    # a word with the white space after it, so that joined runs read as they stood
-    pieces = f"regexp_extract_all(text, '{WORD}[\\\\x20\\\\x09-\\\\x0D]*', 0)".replace("\\x", "\\\\x").replace("\\\\\\\\x", "\\\\x")
-    cut = f"array_join(transform(array_sort(transform(_own, z -> struct(z.start, z.length))), r -> array_join(slice(w, cast(r.start as int) + 1, cast(r.length as int)), '')), '')"
-    each = each.withColumn("_text", F.expr(f"IF({taken} = size, text, element_at(transform(array({pieces}), w -> {cut}), 1))"))
-    each = each.withColumn("shard", F.expr("_own[0].shard")).withColumn("place", F.expr("_own[0].place"))
-    out = each.withColumn("text", F.col("_text")).select(*keep, "shard", "place")
+    """The mixture: docs' columns once for each document, pass and shard that takes anything of it, text cut to
+    the words taken where they aren't all, with shard and place (columns of docs with these two names are replaced).
+
+    A shard's words are exactly what the splitting tree gives it. Its rows lie
+    in one partition, in the order of place; a partition may hold several shards.
+    """
+    m = _drawn(docs, **parameters).where("size(draws) > 0")
+    own = "filter(draws, z -> z.pass = g.pass AND z.shard = g.shard)"
+    m = m.withColumn("_runs", F.expr(
+        "transform(array_distinct(transform(draws, z -> struct(z.pass, z.shard))), g -> struct(g.shard AS shard, "
+        f"aggregate({own}, 9223372036854775807L, (a, z) -> least(a, z.place)) AS place, array_sort(transform({own}, z -> struct(z.start AS start, z.length AS length))) AS runs))"
+    ))
+    taken = "aggregate(r.runs, 0L, (a, x) -> a + x.length)"
+    cut = "array_join(transform(r.runs, x -> array_join(slice(o.w, cast(x.start as int) + 1, cast(x.length as int)), '')), '')"
+    # the words are found once for each document, and only where a part of it is taken
+    m = m.withColumn("_w", F.when(F.exists("_runs", lambda r: F.aggregate(r["runs"], F.lit(0).cast("bigint"), lambda a, x: a + x["length"]) < F.col("size")), F.regexp_extract_all(F.col("_d")["text"], F.lit(_WITH_SPACE), F.lit(0))))
+    each = m.select("_d", F.explode(F.expr(f"transform(array(struct(_w AS w, size AS n, _d.text AS t)), o -> transform(_runs, r -> struct(r.shard AS shard, r.place AS place, IF({taken} = o.n, o.t, {cut}) AS text)))[0]")).alias("_r"))
+    keep = [c for c in docs.columns if c not in ("shard", "place")]
+    out = each.select(*((F.col("_r.text") if c == "text" else F.col("_d")[c]).alias(c) for c in keep), F.col("_r.shard").alias("shard"), F.col("_r.place").alias("place"))
     return out.repartition("shard").sortWithinPartitions("shard", "place")
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """With shards: the words that each output shard takes of the document."""
+    own = "aggregate(filter(draws, z -> z.shard = s), 0L, (a, z) -> a + z.length)"
     return mix_draws(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (a, z) -> a + z.length)").alias("taken")
-    )
+        "doc_id", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (a, z) -> a + z.length)").alias("taken"),
+        F.expr(f"transform(array_sort(array_distinct(transform(draws, z -> z.shard))), s -> struct(s AS shard, {own} AS words))").alias("shards"),
+    )
