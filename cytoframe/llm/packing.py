@@ -3,10 +3,11 @@
 Texts become ids with a public byte-level vocabulary; only documents longer
 than a sequence are cut, the first piece taking the odd rest. Pieces are dealt
 to groups by hash, and each group is packed on its own by an online best-fit
-that keeps at most `open_bins` bins open in a bitset keyed by free space: the
-fullest bin that a piece fits takes it, and when no room for a new bin is left
-the fullest closes. A group holds about `group_pieces` lengths, whatever the
-size of the input, so a task's memory is bounded and no bin waits for another task.
+in the order of arrival: it never looks ahead or sorts by length. At most
+`open_bins` bins are open, in a bitset keyed by free space: the fullest bin
+that a piece fits takes it, and where a new bin would be one too many the
+fullest closes. A group holds about `group_pieces` lengths, whatever the size
+of the input, so a task's memory is bounded and no bin waits for another task.
 
 Defined cases: a null text is empty and is the single end id. Repeated rows are
 packed each on their own. Other columns are not needed and stay out of the result.
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import Written
 
 SEQUENCE = 2048
-GROUP_PIECES = 4096
-OPEN_BINS = 4096
+GROUP_PIECES = 65_536
+OPEN_BINS = 64
 CACHE_WORDS = 600_000
 #: A space with white space beside it: there the cut before a space is not a token's edge.
 _LOOSE = re.compile(r" \s|\s ")
@@ -61,7 +63,7 @@ def _worker_store(path: str) -> tuple:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        special = [t.content for t in tok.get_added_tokens_decoder().values()]
 
         def word(key: str) -> bytes:
             bare = key[:1] == "\0"
@@ -71,7 +73,7 @@ def _worker_store(path: str) -> tuple:
             return b"".join([words["\0" + cut[0] if bare else cut[0][1:]], *(words["\0" + p] for p in cut[1:])])
 
         words = _Kept(word)
-        store[path] = tok, words
+        store[path] = tok, words, special
     return store[path]
 
 
@@ -98,13 +100,14 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
     A token never reaches over the cut before a space that stands alone
     between two other characters, so such texts are cut there; a worker keeps
-    the ids of words, and of their parts, that it has met. Other texts go in whole.
+    the ids of words, and of their parts, that it has met. Other texts go in whole,
+    those that hold a special token's name among them.
     """
-    tok, words = _worker_store(path)
+    tok, words, special = _worker_store(path)
     get, out = words.__getitem__, []
     for t in texts:
         # white space but spaces and line breaks isn't printable; the slower pattern is for texts that have some
-        if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or (not t.replace("\n", "").isprintable() and ("\0" in t or _LOOSE.search(t))):
+        if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or (not t.replace("\n", "").isprintable() and ("\0" in t or _LOOSE.search(t))) or any(s in t for s in special):
             out.append(_pack_ids(tok.encode(t, add_special_tokens=False).ids))
         else:
             out.append(b"".join(map(get, ("\0" + t).split(" "))))  # the mark: no space before the first
@@ -177,16 +180,16 @@ def best_fit(lengths, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> l
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, open_bins: int = OPEN_BINS) -> DataFrame:
-    """pieces with sequence_id and offset; each group takes its longer pieces first."""
+    """pieces with sequence_id and offset; each group takes its pieces as they arrive, in the order of a hash, which mixes lengths."""
     held = Written(pieces)
     n = held.df.count()
     groups = max(1, -(-n // group_pieces))
-    dealt = held.df.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    arrival = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = held.df.withColumn("arrival", arrival).withColumn("group", F.pmod("arrival", F.lit(groups)))
     names = pieces.columns
 
     def run(key, g):
-        order = [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]
-        g = g.sort_by([("length", "descending"), *order])
+        g = g.sort_by([(c, "ascending") for c in ("arrival", "doc_id", "piece", "length")])
         placed = best_fit(g.column("length").to_pylist(), sequence, open_bins)
         base = key[0].as_py() << 32
         return (
@@ -195,8 +198,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_
             .append_column("offset", pa.array([o for _, o in placed], pa.int64()))
         )
 
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("group").applyInArrow(run, f"{spec}, sequence_id bigint, offset bigint")
+    spec = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return dealt.groupBy("group").applyInArrow(run, spec)
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
