@@ -1,34 +1,38 @@
 """LM scoring: logistic context mixing of hashed-context bit predictors.
 
-A text is its lower-cased words, each closed by a space, and an empty word as
-its end; it is predicted bit by bit, in order, as a whole. Bit predictors keep
-counts of zeros and ones in hashed tables of fixed size, in six contexts: the
-1, 2, 3 and 5 bytes before, which reach over words, the word so far, and the
-word so far with the word before it. Their log-odds are combined by weights
-that a gate selects (how often the word so far and the word pair were met), learned
-online by gradient steps on each bit of all training texts as predicted without
-its own occurrence, and the mixed probability is refined by an adaptive map
-learned alongside. The score is the log10 probability of all bits of a text.
-
-After a text the mixer also predicts its language (the commonest of the
-training rows, or the rest) in three more bits; the score leaves them out.
-
-The base score and the counts of known words rest on a table with one row per
-distinct word, which grows with the input and stays distributed. The commonest
-words (at most FREQUENT of them, by a threshold found from a histogram) are
-broadcast; a text's other words meet the word table in a join. The hashed
-tables are summed over tasks and broadcast; their size is fixed.
+A text is the sequence of its lower-cased words and an end. The words that
+training texts hold twice or more, at most VOCABULARY of them, the end and an
+escape have a binary code (Huffman's), so a text is a sequence of bits, about
+a dozen a word, each decided at a node of the code's tree. Five predictors of
+a bit keep counts of zeros and ones: the node alone, and in hashed tables the
+node with the word before, with the two words before, and with the last of the
+COMMON commonest words; the fifth counts within the text, as far as it has come. Their log-odds are
+combined by weights that a gate selects (how often the contexts were met),
+learned online by gradient steps on every bit of all training texts, each
+predicted without its own occurrence; the mixed probability is refined by an
+adaptive map learned alongside. The score is the log10 probability of all bits
+of a text, and of the words behind its escapes.
+
+Such a word is one that the text had behind an escape before, or one that
+training texts have (its count in a table of all words, which grows with the
+input and stays distributed, less a discount), or a new one, spelled out: bit
+by bit by a second mixer of the same kind, with the bytes before as contexts,
+that learned from the distinct words behind escapes. These are shares that add
+up to one, so the score is a probability of the whole text: each bit counts,
+in its order, and no word is cheaper than its spelling allows.
+
+The hashed tables grow with the training texts up to TABLE_BITS and are summed
+over tasks. They and the code are broadcast: their size is bounded.
 
 Defined cases: a null text is empty: one end token. A null doc_id counts as
 empty text for the fold. Repeated rows are texts of their own. Other columns
-pass unused.
+pass unused. Without training rows every word is spelled by an even mixer.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,22 +41,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Written, held_out
+from ._common import LOWER, UPPER, Written, held_out, meet
 
-ORDERS = (1, 2, 3, 5)
-#: Of each order, of the word so far, and of that with the word before.
-TABLE_BITS = (16, 18, 20, 21, 21, 21)
+VOCABULARY = 1 << 18
+#: Most slots, as powers of two, of the tables of the word before, the two before and the last common one.
+TABLE_BITS = (21, 21, 20)
+#: Slots of the speller's tables: of 1, 2 and 3 bytes before, and of the word so far.
+SPELL_BITS = (16, 18, 20, 20)
 DELTA = 0.3
-GATES = 7
-FREQUENT = 1 << 18
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Distinct words held by a task before it hands on what it counted.
 FLUSH_WORDS = 300_000
-#: Bytes whose bits are worked on at once.
-_PIECE = 1 << 16
+#: Words of a text after which its own counts start anew.
+STRETCH = 1 << 16
+#: Words, and bytes of spelling, whose bits are worked on at once.
+_PIECE = 1 << 15
 _LEVELS = 24
-SETS = 24
-_GATE_BITS = 3
+#: So many of the commonest words tell the language that a text is in at a place.
+COMMON = 24
+ESCAPE, END = 0, 1
+
+#: One piece of work: whose each bit is, the bits, their slots in each table, and log-odds that need no table.
+Bits = tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,11 +72,113 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-# --- bits -----------------------------------------------------------------
+def _mixed_hash(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+
+
+# --- words as bits ----------------------------------------------------------
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, path): symbol s passes path[start[s] : start[s + 1]] from the root, each entry node * 2 + bit. At least two symbols."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    weight = counts[order].tolist() + [0] * (n - 1)
+    parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64)
+    leaf, inner = 0, n
+    for made in range(n, 2 * n - 1):  # leaves and inner nodes are two queues in order of weight
+        for bit in (0, 1):
+            if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, inner = inner, inner + 1
+            weight[made] += weight[least]
+            parent[least], side[least] = made, bit
+    root = 2 * n - 2
+    at, steps = np.empty(n, np.int64), []
+    at[order] = np.arange(n)
+    depth = np.zeros(n, np.int64)
+    live = np.arange(n)
+    while len(live):
+        steps.append((live, (parent[at[live]] - n) * 2 + side[at[live]]))
+        depth[live] += 1
+        at[live] = parent[at[live]]
+        live = live[at[live] != root]
+    start = np.concatenate(([0], np.cumsum(depth)))
+    path = np.empty(start[-1], np.int32)
+    for k, (symbols, entry) in enumerate(steps):
+        path[start[symbols + 1] - 1 - k] = entry
+    return start, path
+
+
+class Code:
+    """Numbers and paths of the listed words, and sizes of the tables."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, escapes: int, ends: int, taught: int):
+        self.number = dict(zip(words, range(2, len(words) + 2)))
+        self.start, self.path = huffman(np.maximum(np.concatenate(([escapes, ends], counts)), 1).astype(np.int64))
+        grown = max(10, int(taught).bit_length() + 1)
+        self.bits = tuple(min(b, grown) for b in TABLE_BITS)
+        self.sizes = [len(words) + 1, *(1 << b for b in self.bits)]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Symbols of a text's words, the end last."""
+        out = np.fromiter(map(self.number.get, words, repeat(ESCAPE)), np.int64, len(words))
+        out[-1] = END
+        return out
+
+    def pieces(self, texts: list[np.ndarray]) -> Iterator[Bits]:
+        """Bits of texts (numbers), in order, some stretches at a time."""
+        symbol = np.concatenate(texts)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(texts)), size)
+        inside = np.arange(len(symbol)) - first[of]
+        # before a text come ends
+        before = np.where(inside >= 1, symbol[np.maximum(np.arange(len(symbol)) - 1, 0)], END).astype(np.uint32)
+        second = np.where(inside >= 2, symbol[np.maximum(np.arange(len(symbol)) - 2, 0)], END).astype(np.uint32)
+        one = (before + np.uint32(1)) * np.uint32(0x9E3779B1)
+        two = (one ^ (second + np.uint32(7)) * np.uint32(0x85EBCA77)) * np.uint32(0x2C1B3C6D)
+        # the last word of the few commonest, which tells the language
+        common = np.where((before > END) & (before < END + 1 + COMMON), np.arange(len(symbol)), -1)
+        common = np.maximum(np.maximum.accumulate(common), first[of])
+        skip = (before[common] + np.uint32(3)) * np.uint32(0xC2B2AE3D)
+        edges = np.flatnonzero((inside & (STRETCH - 1)) == 0)
+        ends = np.append(edges[1:], len(symbol))
+        at = k = 0
+        while at < len(symbol):
+            k = max(int(np.searchsorted(ends, at + _PIECE, "right")) - 1, k)  # whole stretches, at least one
+            to = int(ends[k])
+            k += 1
+            s = symbol[at:to]
+            deep = self.start[s + 1] - self.start[s]
+            word = np.repeat(np.arange(at, to), deep)
+            entry = self.path[np.repeat(self.start[s] - (np.cumsum(deep) - deep), deep) + np.arange(len(word))]
+            node, bit = entry >> 1, (entry & 1).astype(np.uint32)
+            salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
+            slots = [node] + [_mixed_hash(h[word] ^ salt) >> np.uint32(32 - b) for h, b in zip((one, two, skip), self.bits)]
+            stretch = np.cumsum(np.isin(np.arange(at, to), edges, assume_unique=True))[word - at]
+            yield of[word], bit, slots, [_so_far(stretch * len(self.start) + node, bit)]
+            at = to
+
+
+def _so_far(key: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Log-odds of each bit from the bits before it that have its key."""
+    order = np.argsort(key, kind="stable")
+    k, b = key[order], bit[order].astype(np.int64)
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    ones = np.cumsum(b) - b
+    ones -= ones[first]
+    out = np.empty(len(k), np.float32)
+    out[order] = np.log((ones + np.float32(0.4)) / (np.arange(len(k)) - first - ones + np.float32(0.4)))
+    return out
+
+
+# --- spelling as bits -------------------------------------------------------
 
 _M = 0x9E3779B97F4A7C15
-_UP = np.cumprod(np.array([1] + [_M] * _PIECE, np.uint64))
-_DOWN = np.cumprod(np.array([1] + [pow(_M, -1, 1 << 64)] * _PIECE, np.uint64))
 _BYTE, _K = np.arange(256, dtype=np.uint32)[:, None], np.arange(4, dtype=np.uint32)
 _BITS = (_BYTE >> (np.uint32(7) - np.arange(8, dtype=np.uint32))) & np.uint32(1)
 _HIGH = (np.uint32(1) << _K) | ((_BYTE >> np.uint32(4)) >> (np.uint32(4) - _K))
@@ -75,205 +187,153 @@ _LOW = (np.uint32(1) << _K) | ((_BYTE & np.uint32(15)) >> (np.uint32(4) - _K))
 
 def _row(h: np.ndarray, bits: int) -> np.ndarray:
     """First of the 16 slots that a half byte's nodes have in a table."""
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(36 - bits)) << np.uint32(4)
-
-
-class Spelling:
-    """Contexts and bits of texts' bytes, in pieces; a space closes each text."""
-
-    def __init__(self, texts: list[bytes]):
-        self.x = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        self.last = np.zeros((len(texts), len(TABLE_BITS)), np.uint32)
-
-    def _words(self, x: np.ndarray, own: np.uint64, before: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the word so far and of the word before it, ahead of each byte of x and at its end."""
-        y = np.concatenate(([own], np.where(x == 32, 0, x.astype(np.uint64) + np.uint64(1)))).astype(np.uint64)
-        at = np.arange(len(y))
-        space = np.maximum.accumulate(np.where(np.concatenate(([False], x == 32)), at, -1))
-        q = np.cumsum(y * _DOWN[: len(y)])
-        word = _UP[: len(y)] * (q - np.where(space >= 0, q[space], np.uint64(0)))
-        return word, np.where(space >= 0, word[space - 1], before)
-
-    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(text of each byte, bit, slots by context) of all bits, bytes in order."""
-        own = before = np.uint64(0)
-        starts = np.concatenate(([0], self.ends))
-        for at in range(0, len(self.x), _PIECE):
-            x = self.x[at : at + _PIECE]
-            position = np.arange(at, at + len(x))
-            of = np.searchsorted(self.ends, position, "right")
-            inside = position - starts[of]
-            hashes = []
-            for order in ORDERS:
-                h = np.zeros(len(x), np.uint32)
-                for back in range(order, 0, -1):  # bytes before the text count as 0
-                    b = self.x[np.maximum(position - back, 0)].astype(np.uint32)
-                    b[inside < back] = 0
-                    h = h * np.uint32(0x2C1B3C6D) + b + np.uint32(1)
-                hashes.append(h)
-            word, prior = self._words(x, own, before)
-            own, before = word[-1], prior[-1]
-            for h in (word[:-1], word[:-1] + (prior[:-1] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)):
-                hashes.append(((h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)).astype(np.uint32))
-            done = np.flatnonzero(position == self.ends[of] - 1)
-            slots = []
-            for j, (h, bits) in enumerate(zip(hashes, TABLE_BITS)):
-                self.last[of[done], j] = h[done]
-                second = h + ((x >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-                slots.append(np.concatenate((_row(h, bits)[:, None] + _HIGH[x], _row(second, bits)[:, None] + _LOW[x]), axis=1).ravel())
-            yield of, _BITS[x].ravel(), slots
-
-    def gate_slots(self, node: np.ndarray) -> list[np.ndarray]:
-        """Slots of the gate's bits after each text, in the contexts of its end; node: texts x some. After pieces()."""
-        node = node.astype(np.uint32)
-        return [(_row(self.last[:, j] + np.uint32(300), bits)[:, None] + node).ravel() for j, bits in enumerate(TABLE_BITS)]
-
-    def gate_path(self, gates: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Bits and slots of each text's own gate. After pieces()."""
-        k = np.arange(_GATE_BITS)
-        g = gates.astype(np.int64)[:, None]
-        bit = (g >> (_GATE_BITS - 1 - k)) & 1
-        return bit.ravel().astype(np.uint32), self.gate_slots((1 << k) | (g >> (_GATE_BITS - k)))
-
-    def all(self, gates: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, list[np.ndarray]]]:
-        """The pieces, then the gates' bits under None."""
-        yield from self.pieces()
-        yield None, *self.gate_path(gates)
-
-
-def count_bits(texts: list[bytes], gates: np.ndarray, into: list[np.ndarray]) -> None:
-    for _, bit, slots in Spelling(texts).all(gates):
-        for table, s in zip(into, slots):
-            np.add.at(table, (s * np.uint32(2) + bit).astype(np.intp), np.uint32(1))
-
-
-_EDGES = np.array([1, 2, 4, 10, 30], np.float32)
-_INPUTS = len(TABLE_BITS) + 1
+    return (_mixed_hash(h) >> np.uint32(36 - bits)) << np.uint32(4)
+
+
+def _prefixes(x: np.ndarray, begin: np.ndarray, own: int) -> tuple[np.ndarray, int]:
+    """Hash of the word before each byte of x, which begins anew at begin, and at the end of x; own: of the word that x goes on with."""
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate((one, np.full(len(x), _M, np.uint64))))
+    back = np.cumprod(np.concatenate((one, np.full(len(x), pow(_M, -1, 1 << 64), np.uint64))))
+    q = np.cumsum(np.concatenate((one * np.uint64(own), x.astype(np.uint64) + np.uint64(1))) * back)
+    last = np.searchsorted(begin, np.arange(len(x) + 1), "right") - 1  # before the first new word goes on the one under way
+    gone = np.where(last >= 0, q[begin[np.maximum(last, 0)]], np.uint64(0)) if len(begin) else np.uint64(0)
+    h = power * (q - gone)
+    return ((h[:-1] ^ (h[:-1] >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)).astype(np.uint32), int(h[-1])
+
+
+def spelled(words: list[bytes]) -> Iterator[Bits]:
+    """Bits of the bytes of words, a space closing each; contexts don't reach beyond the word."""
+    x = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, own = np.concatenate(([0], ends[:-1])), 0
+    for at in range(0, len(x), _PIECE):
+        part = x[at : at + _PIECE]
+        position = np.arange(at, at + len(part))
+        of = np.searchsorted(ends, position, "right")
+        inside = position - starts[of]
+        hashes = []
+        for order in (1, 2, 3):
+            h = np.full(len(part), order, np.uint32)
+            for back in range(order, 0, -1):
+                b = x[np.maximum(position - back, 0)].astype(np.uint32)
+                b[inside < back] = 0
+                h = h * np.uint32(0x2C1B3C6D) + b + np.uint32(1)
+            hashes.append(h)
+        whole, own = _prefixes(part, np.flatnonzero(inside == 0), own)
+        slots = []
+        for h, bits in zip([*hashes, whole], SPELL_BITS):
+            low = h + ((part >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+            slots.append(np.concatenate((_row(h, bits)[:, None] + _HIGH[part], _row(low, bits)[:, None] + _LOW[part]), axis=1).ravel())
+        yield np.repeat(of, 8), _BITS[part].ravel(), slots, []
+
+
+# --- mixing -----------------------------------------------------------------
+
+_EDGES, _FEW = np.array([1, 2, 4, 10, 30], np.float32), np.array([1, 3, 10], np.float32)
+SETS = (len(_EDGES) + 1) * (len(_FEW) + 1)
 
 
 class Mixer:
-    """Count tables, gated weights and the adaptive map."""
-
-    def __init__(self, tables: list[np.ndarray]):
-        self.counts = [t.reshape(-1, 2) for t in tables]
-        self.weights = np.tile(np.array([0.1, 0.1, 0.2, 0.3, 0.3, 0.3, 0.0], np.float32), (2 * SETS, 1))
-        self.steps = np.full((2 * SETS, _INPUTS), 1.0, np.float32)
-        centres = (np.arange(_LEVELS) + 0.5) / _LEVELS * 24 - 12
-        p = 1 / (1 + np.exp(-centres))
-        self.map = np.tile(np.stack([1 - p, p], axis=1) * 40, (2 * SETS, 1, 1))
+    """Tables of counts, weights by gate, and the adaptive map. gate: the two tables whose counts select the weights; more: inputs without a table."""
+
+    def __init__(self, tables: list[np.ndarray], gate: tuple[int, int], more: int = 0):
+        self.counts, self.gate = [t.reshape(-1, 2) for t in tables], gate
+        self.inputs = len(tables) + more + 1
+        self.weights = np.full((SETS, self.inputs), 1.0 / (self.inputs - 1), np.float32)
+        self.weights[:, -1] = 0
+        self.steps = np.ones((SETS, self.inputs), np.float32)
+        p = 1 / (1 + np.exp(-((np.arange(_LEVELS) + 0.5) / _LEVELS * 24 - 12)))
+        self.map = np.tile(np.stack([1 - p, p], axis=1) * 40, (SETS, 1, 1))
         self.seen = 0
         self._tables = None
 
-    def _inputs(self, bit: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each context, whose counts hold this very bit, which is taken out, and their gate."""
-        st, met = np.empty((_INPUTS, len(bit)), np.float32), {}
+    def _without(self, bit: np.ndarray, slots: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each input and the gate, where tables hold this very bit, which is taken out."""
+        st, met = np.empty((self.inputs, len(bit)), np.float32), []
+        own = bit.astype(np.float32)
         for j, (table, s) in enumerate(zip(self.counts, slots)):
-            n = table[s].astype(np.float32)
-            one, zero = np.maximum(n[:, 1] - bit, 0), np.maximum(n[:, 0] - (1 - bit.astype(np.float32)), 0)
-            if j in (4, 5):
-                met[j] = one + zero
-            st[j] = np.log((one + np.float32(DELTA)) / (zero + np.float32(DELTA)))
+            n = table[s]
+            one, zero = n[:, 1].astype(np.float32) - own, n[:, 0].astype(np.float32) - (1 - own)
+            if j in self.gate:
+                met.append(one + zero)
+            np.log((np.maximum(one, 0) + np.float32(DELTA)) / (np.maximum(zero, 0) + np.float32(DELTA)), out=st[j])
+        for j, x in enumerate(more, len(slots)):
+            st[j] = x
         st[-1] = 0.3
-        return st, np.searchsorted(_EDGES, met[4], side="right") * 4 + np.searchsorted(_EDGES[1:4], met[5], side="right")
+        return st, np.searchsorted(_EDGES, met[0], side="right") * (len(_FEW) + 1) + np.searchsorted(_FEW, met[1], side="right")
 
-    def _whole(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each context and their gate, from tables made once."""
+    def _whole(self, slots: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with all that the tables hold, by way of tables made once."""
         if self._tables is None:
             odds = [np.log((t[:, 1] + np.float32(DELTA)) / (t[:, 0] + np.float32(DELTA))).astype(np.float32) for t in self.counts]
-            met = [(self.counts[j].sum(axis=1, dtype=np.float32), e) for j, e in ((4, _EDGES), (5, _EDGES[1:4]))]
-            self._tables = odds, [np.searchsorted(e, m, side="right").astype(np.uint8) for m, e in met]
+            met = [np.searchsorted(e, self.counts[j].sum(axis=1, dtype=np.float32), side="right").astype(np.uint8) for j, e in zip(self.gate, (_EDGES, _FEW))]
+            self._tables = odds, met
         odds, (high, low) = self._tables
-        st = np.empty((_INPUTS, len(slots[0])), np.float32)
+        st = np.empty((self.inputs, len(slots[0])), np.float32)
         for j, s in enumerate(slots):
             np.take(odds[j], s, out=st[j])
+        for j, x in enumerate(more, len(slots)):
+            st[j] = x
         st[-1] = 0.3
-        return st, high[slots[4]].astype(np.int64) * 4 + low[slots[5]]
+        return st, high[slots[self.gate[0]]].astype(np.int64) * (len(_FEW) + 1) + low[slots[self.gate[1]]]
 
-    def _mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def _dot(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(len(gate), np.float32)
         for x, w in zip(st, self.weights.T.copy()):
             dot += x * w[gate]
         return np.clip(dot, -11.99, 11.99)
 
-    def learn(self, texts: list[bytes], gates: np.ndarray, rate: float = 0.15) -> None:
-        for own, bit, slots in Spelling(texts).all(gates):
-            for at in range(0, len(bit), 1 << 15):
-                b = bit[at : at + (1 << 15)]
-                st, gate = self._inputs(b, [s[at : at + (1 << 15)] for s in slots])
-                gate += SETS * (own is None)
-                dot = self._mixed(st, gate)
+    def learn(self, pieces: Iterator[Bits], rate: float = 0.7, chunk: int = 1 << 15) -> None:
+        for _, bits, slots, more in pieces:
+            for at in range(0, len(bits), chunk):
+                part = slice(at, at + chunk)
+                b = bits[part]
+                st, gate = self._without(b, [s[part] for s in slots], [m[part] for m in more])
+                dot = self._dot(st, gate)
                 err = b - 1 / (1 + np.exp(-dot))
-                n = np.maximum(np.bincount(gate, minlength=2 * SETS), 1)[:, None]
-                g = np.stack([np.bincount(gate, err * st[j], 2 * SETS) for j in range(_INPUTS)], axis=1) / n
+                n = np.maximum(np.bincount(gate, minlength=SETS), 1)[:, None]
+                g = np.stack([np.bincount(gate, err * x, SETS) for x in st], axis=1) / n
                 self.steps += g * g * 100
-                self.weights += (rate * g / np.sqrt(self.steps) * 10).astype(np.float32)
+                self.weights += (rate * g / np.sqrt(self.steps)).astype(np.float32)
                 level = ((dot + 12) / 24 * _LEVELS).astype(np.int64)
                 self.map += np.bincount((gate * _LEVELS + level) * 2 + b, minlength=self.map.size).reshape(self.map.shape)
                 self.seen += len(b)
 
-    def _odds(self, bit: np.ndarray, slots: list[np.ndarray], base: int = 0) -> np.ndarray:
-        st, gate = self._whole(slots)
-        gate += base
-        dot = self._mixed(st, gate)
-        level = ((dot + 12) / 24 * _LEVELS).astype(np.int64)
-        return (dot + np.log(self.map[:, :, 1] / self.map[:, :, 0]).ravel()[gate * _LEVELS + level]) / 2
-
-    def log10(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text, and of each gate after it (texts x 8)."""
-        out = np.zeros(len(texts))
-        spelled = Spelling(texts)
-        for of, bit, slots in spelled.pieces():
-            dot = self._odds(bit, slots)
-            # log probability of the bits that came
-            lost = np.logaddexp(0, np.where(bit == 1, -dot, dot)).reshape(-1, 8).sum(axis=1)
-            out -= np.bincount(of, lost, len(texts))
-        nodes = np.arange(1, 1 << _GATE_BITS)
-        dot = self._odds(np.zeros(len(texts) * len(nodes), np.uint32), spelled.gate_slots(np.tile(nodes, (len(texts), 1))), SETS).reshape(len(texts), -1)
-        of = np.zeros((len(texts), 1 << _GATE_BITS))
-        for g in range(1 << _GATE_BITS):
-            for k in range(_GATE_BITS):
-                d = dot[:, ((1 << k) | (g >> (_GATE_BITS - k))) - 1]
-                of[:, g] -= np.logaddexp(0, -d if g >> (_GATE_BITS - 1 - k) & 1 else d)
-        return out / np.log(10), of / np.log(10)
-
-
-def _empty_tables() -> list[np.ndarray]:
-    return [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
-
-
-def _parts(table: np.ndarray) -> int:
+    def log10(self, pieces: Iterator[Bits], n: int) -> np.ndarray:
+        """log10 probability of the bits of each of n texts."""
+        out = np.zeros(n)
+        refined = np.log(self.map[:, :, 1] / self.map[:, :, 0]).ravel()
+        for of, bit, slots, more in pieces:
+            st, gate = self._whole(slots, more)
+            dot = self._dot(st, gate)
+            dot = (dot + refined[gate * _LEVELS + ((dot + 12) / 24 * _LEVELS).astype(np.int64)]) / 2
+            out -= np.bincount(of, np.logaddexp(0, np.where(bit == 1, -dot, dot)), n)
+        return out / np.log(10)
+
+
+#: What reads a batch: lists of whose bits are worked on together.
+Reader = Callable[[pa.RecordBatch], Iterator[Iterator[Bits]]]
+
+
+def _added(table: np.ndarray) -> list[np.ndarray]:
     """Parts in which a table is summed, of at most 64 Ki counts."""
-    return max(1, len(table) >> 16)
-
-
-def _pieces_of(b: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Texts of column 0, as they are spelled, and gates of column 1, some at a time."""
-    gates = b.column(1).to_numpy(zero_copy_only=False)
-    part, size, at = [], 0, 0
-    for t in b.column(0):
-        part.append(b" ".join(tokens(t.as_py())))
-        size += len(part[-1]) + 1
-        if size >= most:
-            yield part, gates[at : at + len(part)]
-            at += len(part)
-            part, size = [], 0
-    if part:
-        yield part, gates[at:]
+    return np.array_split(table, max(1, len(table) >> 16))
 
 
-def fit_mixer(taught: DataFrame) -> Mixer:
-    """taught: the training texts, columns text and gate. Tables and gradients of every task are summed."""
+def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[int, int], more: int = 0) -> Mixer:
+    """A mixer of what reader makes of taught. Tables and gradients of every task are summed by the executors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, some = _empty_tables(), False
+        tables, some = [np.zeros(2 * n, np.uint32) for n in sizes], False
         for b in batches:
-            for part, gates in _pieces_of(b):
-                count_bits(part, gates, tables)
-                some = True
+            for pieces in reader(b):
+                for _, bit, slots, _more in pieces:
+                    some = True
+                    for table, s in zip(tables, slots):
+                        np.add.at(table, s.astype(np.int64) * 2 + bit, np.uint32(1))
         if some:
-            rows = [(j, i, zlib.compress(c.tobytes(), 1)) for j, t in enumerate(tables) for i, c in enumerate(np.array_split(t, _parts(t)))]
+            rows = [(j, i, zlib.compress(c.tobytes(), 1)) for j, t in enumerate(tables) for i, c in enumerate(_added(t))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["j", "i", "data"])
 
     def total(key, g):
@@ -282,136 +342,207 @@ def fit_mixer(taught: DataFrame) -> Mixer:
         return pa.table({"j": [key[0].as_py()], "i": [key[1].as_py()], "data": pa.array([data], pa.binary())})
 
     spec = "j bigint, i bigint, data binary"
-    got = taught.select("text", "gate").mapInArrow(count, spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()
+    got = taught.mapInArrow(count, spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()  # as many rows and bytes as the tables have, whatever the input
     found = {(j, i): np.frombuffer(zlib.decompress(d), np.uint32) for j, i, d in zip(*(c.to_pylist() for c in got.columns))}
-    tables = [np.concatenate([found[j, i] for i in range(_parts(t))]) if found else t for j, t in enumerate(_empty_tables())]
-    model = Mixer(tables)
+    empty = [np.zeros(2 * n, np.uint32) for n in sizes]
+    tables = [np.concatenate([found[j, i] for i in range(len(_added(t)))]) if found else t for j, t in enumerate(empty)]
+    model = Mixer(tables, gate, more)
+    if not found:
+        return model
     shared = taught.sparkSession.sparkContext.broadcast(tables)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(shared.value)
+        own = Mixer(shared.value, gate, more)
         start = own.map.copy()
         for b in batches:
-            for part, gates in _pieces_of(b):
-                own.learn(part, gates)
+            for pieces in reader(b):
+                own.learn(pieces)
         if own.seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(own.seen)]), pa.array([own.weights.astype(float).ravel().tolist()]), pa.array([(own.map - start).ravel().tolist()])], ["n", "w", "m"])
 
     # one row a task, summed by the executors
-    each = taught.select("text", "gate").mapInArrow(learn, "n double, w array<double>, m array<double>")
+    each = taught.mapInArrow(learn, "n double, w array<double>, m array<double>")
     named = each.selectExpr("n", "posexplode(concat(transform(w, x -> x * n), m)) AS (at, x)").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    flat = sorted((r["at"], r["x"], r["n"]) for r in named.collect())
-    if flat:
-        x = np.array([v for _, v, _ in flat])
-        model.weights = (x[: model.weights.size] / flat[0][2]).reshape(-1, _INPUTS).astype(np.float32)
-        model.map += x[model.weights.size :].reshape(model.map.shape)
+    flat = sorted((r["at"], r["x"], r["n"]) for r in named.collect())  # one row for each weight and cell of the map
+    x = np.array([v for _, v, _ in flat])
+    model.weights = (x[: model.weights.size] / flat[0][2]).reshape(model.weights.shape).astype(np.float32)
+    model.map += x[model.weights.size :].reshape(model.map.shape)
     return model
 
 
-_LN10 = float(np.log(10))
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """Log of the gamma function of x > 0: eight steps up, then Stirling's series."""
-    y = x + 8.0
-    low = np.ones_like(y)
-    for k in range(8):
-        low = low * (x + k)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
-
-
-# --- words ----------------------------------------------------------------
+# --- whole texts ------------------------------------------------------------
 
 
 def word_table(docs: DataFrame) -> DataFrame:
-    """(token, c): counts over training texts, of every word of any text.
+    """(token, c, n): counts of every word over training texts, and over all.
 
     docs: learn, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, Counter] = {}
+        held: dict[bytes, list[int]] = {}
 
         def rows():
-            for learn, c in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()) if learn else [0] * len(c), pa.int64())], ["token", "n"])
+            c, n = zip(*held.values()) if held else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["token", "c", "n"])
             held.clear()
 
         for b in batches:
             for learn, text in zip(b.column(0).to_pylist(), b.column(1)):
-                c = held.setdefault(bool(learn), Counter())
-                before = len(c)
-                c.update(tokens(text.as_py()))
-                if len(c) > before and sum(map(len, held.values())) > FLUSH_WORDS:
+                for w in tokens(text.as_py()):
+                    found = held.get(w)
+                    if found is None:
+                        held[w] = [int(learn), 1]
+                    else:
+                        found[0] += learn
+                        found[1] += 1
+                if len(held) > FLUSH_WORDS:
                     yield from rows()
         yield from rows()
 
-    return docs.select("learn", "text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("c"))
+    return docs.select(F.col("learn").cast("int"), "text").mapInArrow(run, "token binary, c bigint, n bigint").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; learn says which rows teach."""
-    learn = F.lit(True) if learn is None else learn
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"))
-    langs = [r["lang"] for r in docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(GATES).collect()]
-    gate = F.lit(len(langs))
-    for i, name in enumerate(langs):
-        gate = F.when(F.col("lang") == name, i).otherwise(gate)
-    table = Written(word_table(docs.select(learn.alias("learn"), "text"))).df
-    n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = docs.sparkSession.sparkContext.broadcast(fit_mixer(docs.where(learn).select("text", gate.alias("gate"))))
-    words = table.withColumn("base", F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))))
-    # the commonest words, as many as fit in FREQUENT
-    level = F.floor(F.log2("c") * 8).cast("int")
-    left, cut = FREQUENT, None
-    for r in words.where("c > 0").groupBy(level.alias("k")).count().orderBy(F.desc("k")).collect():
+def _texts_of(b: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[list[list[bytes]]]:
+    """Words of the texts of a column, some texts at a time."""
+    part, held = [], 0
+    for t in b.column(column):
+        part.append(tokens(t.as_py()))
+        held += len(part[-1])
+        if held >= most >> 3:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def listed_words(words: DataFrame) -> tuple[Column, DataFrame]:
+    """(condition, words under it): the commonest of the words met twice or more, as many as fit in VOCABULARY by their histogram."""
+    level = F.floor(F.log2(F.greatest("c", F.lit(1))) * 8).cast("int")
+    left, cut = VOCABULARY, None
+    for r in words.where("c > 1 AND token <> X''").groupBy(level.alias("k")).count().orderBy(F.desc("k")).collect():  # at most 8 rows for each bit of a count
         if r["count"] > left:
             break
         left, cut = left - r["count"], r["k"]
-    # the histogram above proves that these are at most FREQUENT rows
-    common = words.where((F.col("c") > 0) & (level >= cut)).toArrow() if cut is not None else words.limit(0).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((dict(zip(common["token"].to_pylist(), range(len(common)))), common["base"].to_numpy()))
+    common = (F.col("c") > 1) & (F.col("token") != F.lit(b"")) & (level >= cut) if cut is not None else F.lit(False)
+    return common, words.where(common)
+
+
+def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row; learn says which rows teach."""
+    spark = docs.sparkSession
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", learn.alias("learn"))
+    words = Written(word_table(docs)).df
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1)))
+    common, found = listed_words(words)
+    found = found.select("token", "c").toArrow()  # at most VOCABULARY rows, as the histogram proves
+    names, counts = found["token"].to_pylist(), np.asarray(found["c"].to_pylist(), np.int64)
+    order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
+    names, counts = [names[i] for i in order], counts[order]
+    ends = docs.where("learn").count()
+    code = spark.sparkContext.broadcast(Code(names, counts, n - ends - int(counts.sum()), ends, n))
+    taught = docs.where("learn").select("text")
+
+    def read_texts(b: pa.RecordBatch) -> Iterator[Iterator[Bits]]:
+        for part in _texts_of(b, 0):
+            yield code.value.pieces([code.value.numbers(t) for t in part])
+
+    model = spark.sparkContext.broadcast(fit_mixer(taught, read_texts, code.value.sizes, (1, 2), 1))
+
+    # words behind escapes
+    rare = words.where(~common & (F.col("token") != F.lit(b"")))
+    r = rare.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1")).first()
+    n2 = words.where("c = 2").count()
+    discount = r["n1"] / (r["n1"] + 2 * n2) if r["n1"] and n2 else 0.5
+
+    def read_words(b: pa.RecordBatch) -> Iterator[Iterator[Bits]]:
+        w = b.column(0).to_pylist()
+        for at in range(0, len(w), 4096):
+            yield spelled(w[at : at + 4096])
+
+    speller = spark.sparkContext.broadcast(fit_mixer(rare.where("c > 0").select("token"), read_words, [1 << b for b in SPELL_BITS], (3, 2)))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(0).to_pylist()
+            c = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            new = np.flatnonzero(c == 0)
+            out = np.log10(np.maximum(c - discount, 1e-9) / max(r["n"], 1))
+            for at in range(0, len(new), 4096):
+                part = new[at : at + 4096]
+                out[part] = speller.value.log10(spelled([w[i] for i in part]), len(part))
+            if r["n"]:
+                out[new] += np.log10(discount * r["v"] / r["n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], ["token", "c", "n", "inner"])
+
+    rare = Written(rare.mapInArrow(spell, "token binary, c bigint, n bigint, inner double")).df
+    # how often a word behind an escape, not the text's first, is one that the text had before: learned from training texts
+    again = _repeats(taught, code)
+    values = spark.sparkContext.broadcast(np.concatenate(([0.0], np.log10((np.concatenate(([ends], counts)) + 0.5) / (n + 0.5 * (v + 1))))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, values = shared.value
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            scores = [model.value.log10(part)[0] for part, _ in _pieces_of(pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["text", "doc_id"]))]
-            own: list = [[], [], [], [], [], []]  # uid, doc_id, n_tokens, known, base, score
-            rare: list = [[], [], []]  # uid, token, n
-            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1), np.concatenate(scores).tolist() if scores else []):
-                uid += 1
-                c = Counter(tokens(text.as_py()))
-                times = np.fromiter(c.values(), np.int64, len(c))
-                at = np.fromiter(map(number.get, c, repeat(-1)), np.int64, len(c))
-                hit = at >= 0
-                for col, y in zip(own, (uid, doc, int(times.sum()), int(times[hit].sum()), float(times[hit] @ values[at[hit]]), found)):
-                    col.append(y)
-                if not hit.all():
-                    names = list(c)
-                    at = np.flatnonzero(~hit)
-                    rare[0] += [uid] * len(at)
-                    rare[1] += [names[i] for i in at.tolist()]
-                    rare[2] += times[at].tolist()
-            k, m = len(own[0]), len(rare[0])
+            own: list = [[] for _ in range(7)]  # uid, doc_id, n_tokens, known, base, score, n_bytes
+            rows: list = [[], [], []]  # uid, token, n
+            ids, at = b.column(0).to_pylist(), 0
+            for part in _texts_of(b, 1):
+                numbers = [code.value.numbers(t) for t in part]
+                found = model.value.log10(code.value.pieces(numbers), len(part)).tolist()
+                for text, symbols, got in zip(part, numbers, found):
+                    uid += 1
+                    behind = np.flatnonzero(symbols == ESCAPE)
+                    times: dict[bytes, int] = {}
+                    for k, i in enumerate(behind.tolist()):
+                        w = text[i]
+                        had = times.get(w, 0)
+                        times[w] = had + 1
+                        if k:
+                            got += np.log10(again * had / k) if had else np.log10(1 - again)
+                    for col, y in zip(own, (uid, ids[at], len(symbols), len(symbols) - len(behind), float(values.value[symbols].sum()), float(got), sum(map(len, text)) + len(text))):
+                        col.append(y)
+                    rows[0] += [uid] * len(times)
+                    rows[1] += times.keys()
+                    rows[2] += times.values()
+                    at += 1
+            k, m = len(own[0]), len(rows[0])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own[0] + rare[0], pa.int64()), pa.array([None] * k + rare[1], pa.binary()), pa.array([0] * k + rare[2], pa.int64()),
-                    *(pa.array(y + [None] * m, t) for y, t in zip(own[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))),
-                ], ["uid", "token", "n", "doc_id", "n_tokens", "own_known", "own_base", "score"],
-            )
+                [pa.array(own[0] + rows[0], pa.int64()), pa.array([None] * k + rows[1], pa.binary()), pa.array([0] * k + rows[2], pa.int64()), *(pa.array(y + [None] * m, t) for y, t in zip(own[1:], kinds))],
+                ["uid", "token", "times", "doc_id", "n_tokens", "own_known", "own_base", "own_score", "n_bytes"],
+            )
 
-    spec = "uid bigint, token binary, n bigint, doc_id bigint, n_tokens bigint, own_known bigint, own_base double, score double"
+    spec = "uid bigint, token binary, times bigint, doc_id bigint, n_tokens bigint, own_known bigint, own_base double, own_score double, n_bytes bigint"
     rows = Written(docs.select("doc_id", "text").mapInArrow(score, spec)).df
-    met = rows.where("token IS NOT NULL").select("uid", "token", "n").join(words, "token")
-    per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.col("base")).alias("base"))
-    per = rows.where("token IS NULL").drop("token", "n").join(per, "uid", "left").na.fill(0, ["known", "base"])
+    met = meet(rows.where("token IS NOT NULL").select("uid", "token", "times"), rare.withColumn("base", base), "token", rows.count())
+    per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.col("base")).alias("base"), F.sum("inner").alias("inner"))
+    per = rows.where("token IS NULL").drop("token", "times").join(per, "uid", "left").na.fill(0, ["known", "base", "inner"])
+    score_ = F.col("own_score") + F.col("inner")
     return per.select(
         "doc_id", "n_tokens", (F.col("own_known") + F.col("known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("own_base") + F.col("base")).alias("base_score"), "score",
+        (F.col("own_base") + F.col("base")).alias("base_score"), score_.alias("score"), (-score_ * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
+def _repeats(taught: DataFrame, code) -> float:
+    """Share of training texts' words behind escapes, the first of each text aside, that the text had before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = again = 0
+        for b in batches:
+            for part in _texts_of(b, 0):
+                for text in part:
+                    behind = [w for w in text[:-1] if w not in code.value.number]
+                    seen += max(0, len(behind) - 1)
+                    again += len(behind) - len(set(behind))
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([again])], ["seen", "again"])
+
+    got = taught.mapInArrow(run, "seen bigint, again bigint").agg(F.sum("seen"), F.sum("again")).first()
+    return ((got[1] or 0) + 1) / ((got[0] or 0) + 2)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     test = held_out(F.col("doc_id"), 5, 1)
     return lm_scores(docs, ~test).withColumn("held_out", test)
