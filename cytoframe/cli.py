@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .operators import annotate, qc, sequence, sites as S
 from .plans.frame import MethylFrame
-from .sources import readers, sinks
+from .sources import readers, report, sinks
+from .sources.store import write_matrix
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,12 +33,16 @@ def parser() -> argparse.ArgumentParser:
     add("filter", opt("--low", type=int, default=10), opt("--high", type=float, default=99.9), opt("--blacklist"))
     add("sample-summary")
     add("qc-report")
-    add("dmc", *groups, opt("--test", default="lr"), opt("--dispersion", default="eb"), opt("--unite", default="intersect"), opt("--fdr", default="bh"))
-    add("dmr", *groups, opt("--method", default="chain_merge", choices=["chain_merge", "sliding_window", "tile"]), opt("--test", default="lr"), opt("--preset"))
+    add(
+        "dmc", *groups, opt("--test", default="auto"), opt("--dispersion", default="eb"), opt("--unite", default="intersect"), opt("--fdr", default="bh"), opt("--formula"), opt("--contrast"),
+        opt("--obs", help="table of samples, CSV with a column sample"), opt("--min-case", type=int, default=0), opt("--min-control", type=int, default=0), opt("--permutations", type=int, default=0),
+    )
+    add("dmr", *groups, opt("--method", default="chain_merge", choices=["chain_merge", "sliding_window", "hmm", "tile"]), opt("--test", default="auto"), opt("--preset"))
+    add("report", *groups, opt("--gtf"), opt("--alpha", type=float, default=0.05), opt("--top", type=int, default=50))
     add("annotate", opt("--gtf", required=True), opt("--islands"))
     add("smooth", opt("--bandwidth", type=int, default=1000))
     add("aggregate-regions", opt("--bed", required=True), opt("--min-sites", type=int, default=1))
-    add("export", opt("--kind", required=True, choices=["bedgraph", "methylkit", "dmcs-bed", "dmrs-bed"]), opt("--sample"))
+    add("export", opt("--kind", required=True, choices=["bedgraph", "methylkit", "matrix", "dmcs-bed", "dmrs-bed"]), opt("--sample"))
     return p
 
 
@@ -60,12 +65,23 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         for name, df in {"summary": qc.sample_summary(store), "global": qc.global_methylation(store), "uniformity": qc.coverage_uniformity(store), "contamination": qc.contamination(store)}.items():
             _save(df, f"{a.output}/{name}")
     elif a.command == "dmc":
-        _save(MethylFrame(store, a.case, a.control).unite(a.unite).dmc(a.test, a.dispersion, fdr_method=a.fdr), a.output)
+        obs = spark.read.option("header", True).option("inferSchema", True).csv(a.obs) if a.obs else None
+        f = MethylFrame(store, a.case, a.control, obs=obs).unite(a.unite)
+        _save(f.dmc(a.test, a.dispersion, fdr_method=a.fdr, formula=a.formula, contrast=a.contrast, min_case=a.min_case, min_control=a.min_control, permutations=a.permutations), a.output)
+    elif a.command == "report":
+        f = MethylFrame(store, a.case, a.control).unite("intersect")
+        f.qc(contamination=True)
+        f.dmc()
+        f.dmr()
+        if a.gtf:
+            genes, exons, _ = readers.read_annotation(spark, a.gtf)
+            f.annotate(genes, exons, alpha=a.alpha)
+        report.write_html(spark, f.report(a.top, a.alpha), a.output, "Methylation report")
     elif a.command == "dmr":
         settings = {"preset": a.preset} if a.method == "chain_merge" else {}
         _save(MethylFrame(store, a.case, a.control).dmr(a.method, a.test, **settings), a.output)
     elif a.command == "annotate":
-        genes, exons, utrs = readers.read_gtf(spark, a.gtf)
+        genes, exons, utrs = readers.read_annotation(spark, a.gtf)
         index = annotate.feature_index(genes, exons, utrs=utrs)
         out = annotate.nearest_tss(annotate.best_feature(annotate.all_features(store, index), index), genes)
         _save(annotate.island_context(out, readers.read_bed(spark, a.islands)) if a.islands else out, a.output)
@@ -77,6 +93,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_text(sinks.bedgraph_rows(store, a.sample), a.output, [sinks.chromosome_order(), "start"], "track type=bedGraph")
     elif a.kind == "methylkit":
         sinks.methylkit_rows(store).write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("compression", "gzip").option("header", True).csv(a.output)
+    elif a.kind == "matrix":
+        names = [r[0] for r in store.select("sample").distinct().orderBy("sample").collect()]  # a row for each sample
+        write_matrix(store, spark.createDataFrame([(n,) for n in names], "sample string"), a.output, names, ("beta", "coverage"))
     elif a.kind == "dmcs-bed":
         sinks.write_text(sinks.dmc_bed_rows(store), a.output, [F.col("chrom"), F.col("start")], "track name=dmcs")
     else:

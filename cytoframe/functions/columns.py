@@ -14,7 +14,8 @@ EPS = 1e-6
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within low..high; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def beta(m: Column, c: Column) -> Column:
@@ -43,6 +44,16 @@ def welch_ci(case: Column, var_case: Column, control: Column, var_control: Colum
     return clip(diff - half, -1, 1), clip(diff + half, -1, 1)
 
 
+def delta_ci(coef: Column, se: Column, reference: Column | float = 0.0, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Bounds of the difference of proportions that a coefficient on the log-odds scale means at a reference log-odds."""
+
+    def at(eta: Column) -> Column:
+        return 1 / (1 + F.exp(-eta))
+
+    ref = reference if isinstance(reference, Column) else F.lit(reference)
+    return at(ref + coef - z * se) - at(ref), at(ref + coef + z * se) - at(ref)
+
+
 def newcombe_ci(m_a: Column, c_a: Column, m_b: Column, c_b: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Hybrid of two Wilson intervals for the difference of proportions."""
 
@@ -69,6 +80,21 @@ def f1_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(special.f_sf(x.fillna(0).to_numpy(float), 1.0, df.fillna(1).to_numpy(float))).where(ok)
 
 
+@pandas_udf(DoubleType())
+def f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    ok = (x.notna() & d2.notna()).to_numpy()
+    return pd.Series(special.f_sf(x.fillna(0).to_numpy(float), d1.to_numpy(float), d2.fillna(1).to_numpy(float))).where(ok)
+
+
+@pandas_udf(DoubleType())
+def chi2_tail_of(x: pd.Series, df: pd.Series) -> pd.Series:
+    """Upper tail with the degrees of freedom of the column, one value for all rows or a few."""
+    v, d, out = x.fillna(0).to_numpy(float), df.to_numpy(float), pd.Series(float("nan"), index=range(len(x)))
+    for k in set(d.tolist()):
+        out[d == k] = special.chi2_sf(v[d == k], k)
+    return out.where(x.notna().to_numpy())
+
+
 @pandas_udf(DoubleType())
 def t_tails(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = (t.notna() & df.notna()).to_numpy()
@@ -90,7 +116,13 @@ def fisher_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Se
     return pd.Series(special.fisher_doubled(a, b, c, d))
 
 
+@pandas_udf(DoubleType())
+def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided by the tables at most as likely."""
+    return pd.Series(special.fisher_two_sided(a, b, c, d))
+
+
 @pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= k)."""
-    return pd.Series(special.binom_sf(k.to_numpy(float) - 1, n.to_numpy(float), float(p.iloc[0]) if len(p) else 0.0))
+    return pd.Series(special.binom_sf(k.to_numpy(float) - 1, n.to_numpy(float), p.to_numpy(float)))

@@ -126,11 +126,26 @@ def fisher_doubled(a, b, c, d) -> np.ndarray:
     return out
 
 
-def binom_sf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+def binom_sf(k: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
     """P(X > k)."""
-    k, n = np.asarray(k, float), np.asarray(n, float)
+    k, n, p = np.broadcast_arrays(np.asarray(k, float), np.asarray(n, float), np.asarray(p, float))
     out = np.where(k < 0, 1.0, 0.0)
     mid = (k >= 0) & (k < n)
     if mid.any():
-        out[mid] = betainc(k[mid] + 1, n[mid] - k[mid], np.full(int(mid.sum()), p))
+        out[mid] = betainc(k[mid] + 1, n[mid] - k[mid], p[mid])
+    return out
+
+
+def fisher_two_sided(a, b, c, d) -> np.ndarray:
+    """Sum of the probabilities of all tables at most as likely as the one seen; rows (a, b) and (c, d)."""
+    out = np.ones(len(a))
+    for i, (a_, b_, c_, d_) in enumerate(zip(*(np.asarray(v, np.int64) for v in (a, b, c, d)))):
+        n, r, k = int(a_ + b_ + c_ + d_), int(a_ + b_), int(a_ + c_)
+        if not n:
+            continue
+        low = max(0, r + k - n)
+        x = np.arange(low, min(r, k) + 1)
+        lp = -lgamma(x + 1.0) - lgamma(k - x + 1.0) - lgamma(r - x + 1.0) - lgamma(n - k - r + x + 1.0)
+        p = np.exp(lp - lp.max())
+        out[i] = min(1.0, float(p[p <= p[a_ - low] * (1 + 1e-7)].sum() / p.sum()))
     return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import meet, written
 
 CUTS = 256
 
@@ -20,9 +20,18 @@ _FRACTIONS = [i / CUTS for i in range(1, CUTS)]
 
 
 def _part(values: DataFrame, v: str, cuts: list[float] | None) -> Column:
+    """How many cuts lie below v, by halving."""
     if cuts is None:
         cuts = values.agg(F.percentile_approx(v, _FRACTIONS, 2000)).first()[0] or []
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(v))) if cuts else F.lit(0)
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0)
+    array = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")"
+    mid = "cast((s.lo + s.hi) div 2 as int)"
+    return F.expr(
+        f"aggregate(sequence(1, {len(cuts).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> IF(s.lo >= s.hi, s, "
+        f"IF(element_at({array}, {mid} + 1) < {v}, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))).lo"
+    )
 
 
 def running_total(values: DataFrame, v: str, n: str, cuts: list[float] | None = None) -> DataFrame:
@@ -69,5 +78,8 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str = "bh", alpha: float =
         hit = ranked.where(F.col("_v") * n / F.col("_upto") <= alpha / first).agg(F.max("_upto")).first()[0] or 0
         factor = first if hit in (0, n) else (n - hit) / n * first
     adjusted = _suffix_min(ranked, "_v", F.col("_v") * (n * factor) / F.col("_upto"))
-    out = df.withColumn("_v", v).join(adjusted.select("_v", F.col("_q").alias(q)), "_v", "left").drop("_v")
+    # p = 1 and a few others can be shared by very many rows, so hot values are met by broadcast; rows without p need no join
+    some_p = df.withColumn("_v", v).where("_v IS NOT NULL AND NOT isnan(_v)")
+    out = meet(some_p, adjusted.select("_v", F.col("_q").alias(q), F.col("_n").alias("n")), "_v", n).drop("_v")
+    out = out.unionByName(df.where(F.col(p).isNull() | F.isnan(v)).withColumn(q, F.lit(None).cast("double")))
     return out.withColumn("reject", F.coalesce(F.col(q) <= alpha, F.lit(False)))

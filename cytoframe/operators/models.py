@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import special
+from ..functions import columns as C
+from ..functions.tables import written
 
 
 def design(obs: list[dict], formula: str) -> tuple[list[str], np.ndarray]:
@@ -39,16 +40,28 @@ def design(obs: list[dict], formula: str) -> tuple[list[str], np.ndarray]:
     return names, np.stack(cols, axis=1)
 
 
-def contrast(text: str, names: list[str]) -> np.ndarray:
-    """Row of `a - b`, `2 * a + b` or `a = b` over term names."""
-    left, _, right = text.partition("=")
-    row = np.zeros(len(names))
-    for side, sign in ((left, 1.0), (right, -1.0)):
-        for s, num, name in re.findall(r"([+-]?)\s*(?:(\d+\.?\d*)\s*\*\s*)?([A-Za-z_][\w.\[\]:()]*)", side):
-            if name not in names:
-                raise ValueError(f"no term {name!r}")
-            row[names.index(name)] += sign * (-1 if s == "-" else 1) * float(num or 1)
-    return row
+def contrast(spec: str | list | np.ndarray, names: list[str]) -> np.ndarray:
+    """Rows over term names: of `a - b`, `2 * a + b` or `a = b`, of several such after commas (tested jointly), or numbers as they are."""
+    if not isinstance(spec, str):
+        rows = np.atleast_2d(np.asarray(spec, float))
+        if rows.shape[1] != len(names):
+            raise ValueError(f"a contrast has a number for each of {names}")
+        return rows
+    out = []
+    for text in spec.split(","):
+        left, _, right = text.partition("=")
+        row = np.zeros(len(names))
+        for side, sign in ((left, 1.0), (right, -1.0)):
+            for s, num, name in re.findall(r"([+-]?)\s*(?:(\d+\.?\d*)\s*\*\s*)?([A-Za-z_][\w.\[\]:()]*)", side):
+                if name not in names:
+                    raise ValueError(f"no term {name!r}")
+                row[names.index(name)] += sign * (-1 if s == "-" else 1) * float(num or 1)
+        out.append(row)
+    return np.array(out)
+
+
+#: Fixed values that the fits share with published figures: bound of the linear predictor, of a fitted probability, and when a fit counts as separated.
+ETA_BOUND, MU_BOUND, SEPARATED = 30.0, 1e-6, 29.999
 
 
 def irls(m: np.ndarray, n: np.ndarray, x: np.ndarray, rounds: int = 25, tol: float = 1e-6) -> dict[str, np.ndarray]:
@@ -61,74 +74,106 @@ def irls(m: np.ndarray, n: np.ndarray, x: np.ndarray, rounds: int = 25, tol: flo
         a = np.einsum("sj,ji,jk->sik", w, x, x) + 1e-10 * np.eye(p)
         return np.linalg.solve(a, np.einsum("sj,ji,sj->si", w, x, z)[..., None])[..., 0], a
 
-    start = np.clip(y, 1e-6, 1 - 1e-6)
+    start = np.clip(y, MU_BOUND, 1 - MU_BOUND)
     beta, _ = solve(n.astype(float), np.log(start / (1 - start)))
     for _ in range(rounds):
-        eta = np.clip(beta @ x.T, -30, 30)
-        mu = np.clip(1 / (1 + np.exp(-eta)), 1e-6, 1 - 1e-6)
+        eta = np.clip(beta @ x.T, -ETA_BOUND, ETA_BOUND)
+        mu = np.clip(1 / (1 + np.exp(-eta)), MU_BOUND, 1 - MU_BOUND)
         w = n * mu * (1 - mu)
         new, a = solve(w, eta + (y - mu) / (mu * (1 - mu)))
         done = np.abs(new - beta).max() < tol
         beta = new
         if done:
             break
-    eta = np.clip(beta @ x.T, -30, 30)
-    mu = np.clip(1 / (1 + np.exp(-eta)), 1e-6, 1 - 1e-6)
+    eta = np.clip(beta @ x.T, -ETA_BOUND, ETA_BOUND)
+    mu = np.clip(1 / (1 + np.exp(-eta)), MU_BOUND, 1 - MU_BOUND)
     a = np.einsum("sj,ji,jk->sik", n * mu * (1 - mu), x, x) + 1e-10 * np.eye(p)
     with np.errstate(divide="ignore", invalid="ignore"):
         dev = 2 * np.where(some, np.where(m > 0, m * np.log(np.maximum(y, 1e-300) / mu), 0) + np.where(n - m > 0, (n - m) * np.log(np.maximum(1 - y, 1e-300) / (1 - mu)), 0), 0).sum(axis=1)
     pearson = np.where(some, n * (y - mu) ** 2 / (mu * (1 - mu)), 0).sum(axis=1)
     n_eff = some.sum(axis=1)
-    bad = (n_eff < 2) | ((np.abs(eta) >= 29.999) & some).any(axis=1)
+    bad = (n_eff < 2) | ((np.abs(eta) >= SEPARATED) & some).any(axis=1)
     beta[bad] = np.nan
     dev, pearson = np.where(bad, np.nan, dev), np.where(bad, np.nan, pearson)
     return {"beta": beta, "cov": np.linalg.inv(a), "deviance": dev, "pearson": pearson, "n_eff": n_eff}
 
 
-def glm(sites: DataFrame, samples: list[str], x_full: np.ndarray, x_reduced: np.ndarray | None = None, coef: int = 1, contrasts: np.ndarray | None = None, reference: str = "adaptive", block: int = 4096) -> DataFrame:
-    """Per site: the deviance test of full against reduced, or Wald's test of contrasts; dispersion by site.
-
-    Sites are dealt by hash to blocks, each fitted as one batch.
-    """
-    order = {s: i for i, s in enumerate(samples)}
-    lists = sites.where(F.col("sample").isin(samples)).groupBy("chrom", "pos").agg(F.collect_list(F.struct("sample", "n_meth", "coverage")).alias("c"))
-    x_full = np.asarray(x_full, float)
-    k = 1 if contrasts is None else len(np.atleast_2d(contrasts))
+def _fits(sites: DataFrame, samples: list[str], x_full: np.ndarray, x_reduced: np.ndarray | None, coef: int, contrasts: np.ndarray | None, block: int) -> DataFrame:
+    """Per site: the statistic, estimate and variance at dispersion 1, Pearson's sum and the residual degrees of freedom."""
+    own = [F.sum(F.when(F.col("sample") == s, F.col(c))).alias(f"{k}{j}") for j, s in enumerate(samples) for k, c in (("m", "n_meth"), ("n", "coverage"))]
+    wide = sites.where(F.col("sample").isin(samples)).groupBy("chrom", "pos").agg(*own)
+    rows = None if contrasts is None else np.atleast_2d(np.asarray(contrasts, float))
 
     def run(batches):
         for g in batches:
             for at in range(0, len(g), block):
                 part = g.iloc[at : at + block]
-                m, n = np.zeros((len(part), len(samples))), np.zeros((len(part), len(samples)))
-                for i, cs in enumerate(part["c"]):
-                    for c in cs:
-                        j = order[c["sample"]]
-                        m[i, j] += c["n_meth"]
-                        n[i, j] += c["coverage"]
+                m, n = (np.nan_to_num(part[[f"{k}{j}" for j in range(len(samples))]].to_numpy(float)) for k in "mn")
                 full = irls(m, n, x_full)
-                df = np.maximum(full["n_eff"] - x_full.shape[1], 1)
-                phi = np.maximum(full["pearson"] / df, 1.0)
-                if contrasts is None:
-                    red = irls(m, n, np.asarray(x_reduced, float))
-                    stat = np.maximum(red["deviance"] - full["deviance"], 0) / phi
-                    est, se = full["beta"][:, coef], np.sqrt(full["cov"][:, coef, coef] * phi)
+                if rows is None:
+                    red = irls(m, n, x_reduced)
+                    stat, est, var = np.maximum(red["deviance"] - full["deviance"], 0), full["beta"][:, coef], full["cov"][:, coef, coef]
                 else:
-                    c = np.atleast_2d(np.asarray(contrasts, float))
-                    v = full["beta"] @ c.T
-                    mid = np.einsum("ai,sij,bj->sab", c, full["cov"], c) * phi[:, None, None]
-                    stat = np.einsum("sa,sab,sb->s", np.nan_to_num(v), np.linalg.pinv(np.nan_to_num(mid)), np.nan_to_num(v)) / k
-                    stat[np.isnan(v).any(axis=1)] = np.nan
-                    est, se = v[:, 0], np.sqrt(mid[:, 0, 0])
-                ok = ~np.isnan(stat)
-                p = np.full(len(stat), np.nan)
-                use_f = (phi > 1) if reference == "adaptive" else np.full(len(phi), reference == "F")
-                a, b = ok & use_f, ok & ~use_f
-                p[a] = special.f_sf(stat[a], float(k), df[a].astype(float))
-                p[b] = special.chi2_sf(stat[b] * k, k)
-                yield pd.DataFrame({"chrom": part["chrom"], "pos": part["pos"], "coef": est, "coef_se": se, "stat": stat, "phi": phi, "df_resid": df.astype(int), "pvalue": p})
-
-    out = lists.mapInPandas(run, "chrom string, pos int, coef double, coef_se double, stat double, phi double, df_resid int, pvalue double")
-    return out.select("chrom", "pos", "phi", "df_resid", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("coef", "coef_se", "stat", "pvalue")))
+                    v = full["beta"] @ rows.T
+                    mid = np.einsum("ai,sij,bj->sab", rows, full["cov"], rows)
+                    stat = np.einsum("sa,sab,sb->s", np.nan_to_num(v), np.linalg.pinv(np.nan_to_num(mid)), np.nan_to_num(v)) / len(rows)
+                    stat[np.isnan(v).any(axis=1) | (full["n_eff"] < x_full.shape[1] + 1)] = np.nan
+                    est, var = v[:, 0], mid[:, 0, 0]
+                yield pd.DataFrame({
+                    "chrom": part["chrom"], "pos": part["pos"], "coef": est, "_var": var, "_stat": stat, "_pearson": full["pearson"],
+                    "df_resid": np.maximum(full["n_eff"] - x_full.shape[1], 1).astype(int), "_eta": full["beta"][:, 0],
+                })
+
+    out = wide.mapInPandas(run, "chrom string, pos int, coef double, _var double, _stat double, _pearson double, df_resid int, _eta double")
+    return out.select("chrom", "pos", "df_resid", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("coef", "_var", "_stat", "_pearson", "_eta")))
+
+
+def with_fit_dispersion(fits: DataFrame, mode: str = "site", min_sites: int = 100, pseudo: float = 4.0) -> DataFrame:
+    """fits with phi: Pearson's sum over its degrees of freedom, by site, by chromosome, or mixed (shrink: with a fixed weight, eb: with one from the spread of the sites' own)."""
+    x = fits.withColumn("_site", F.greatest(F.lit(1.0), F.coalesce(F.col("_pearson") / F.col("df_resid"), F.lit(1.0))))
+    if mode == "site":
+        return x.withColumn("phi", F.col("_site")).drop("_site")
+    ok = F.col("_pearson").isNotNull()
+    by = x.groupBy("chrom").agg(
+        F.count_if(ok).alias("_k"), (F.sum(F.when(ok, F.col("_pearson"))) / F.sum(F.when(ok, F.col("df_resid")))).alias("_all"),
+        F.avg(F.when(ok, F.col("_site"))).alias("_m"), F.var_pop(F.when(ok, F.col("_site"))).alias("_v"),
+    )
+    enough = F.col("_k") >= min_sites
+    spread = enough & (F.col("_v") > 1e-9)
+    by = by.select(
+        "chrom", F.greatest(F.lit(1.0), F.when(enough, F.col("_all")).otherwise(1.0)).alias("_chrom"),
+        F.when(spread, F.greatest(F.lit(1.0), 2 * (F.col("_m") ** 2 / F.when(spread, F.col("_v")) + 2))).otherwise(pseudo).alias("_w"),
+    )
+    x = x.join(by, "chrom")
+    if mode == "chrom":
+        return x.withColumn("phi", F.col("_chrom")).drop("_site", "_chrom", "_w")
+    w = F.col("_w") if mode == "eb" else F.lit(pseudo)
+    mixed = F.greatest(F.lit(1.0), (F.col("df_resid") * F.col("_site") + w * F.col("_chrom")) / (F.col("df_resid") + w))
+    return x.withColumn("phi", F.when(ok, mixed).otherwise(F.col("_chrom"))).drop("_site", "_chrom", "_w")
+
+
+def glm(
+    sites: DataFrame, samples: list[str], x_full: np.ndarray, x_reduced: np.ndarray | None = None, coef: int = 1, contrasts: np.ndarray | None = None,
+    reference: str = "adaptive", dispersion: str = "site", block: int = 4096,
+) -> DataFrame:
+    """Per site: the deviance test of full against reduced, or Wald's test of contrasts; with bounds of the difference that coef means from the fit's intercept."""
+    x_full = np.asarray(x_full, float)
+    k = 1 if contrasts is None else len(np.atleast_2d(contrasts))
+    fits = _fits(sites, samples, x_full, None if x_reduced is None else np.asarray(x_reduced, float), coef, contrasts, block)
+    x = with_fit_dispersion(fits if dispersion == "site" else written(fits), dispersion)
+    x = x.withColumns({"stat": F.col("_stat") / F.col("phi"), "coef_se": F.sqrt(F.col("_var") * F.col("phi"))})
+    use_f = {"adaptive": F.col("phi") > 1, "F": F.lit(True), "chi2": F.lit(False)}[reference]
+    p = F.when(use_f, C.f_tail(F.col("stat"), F.lit(float(k)), F.col("df_resid").cast("double"))).otherwise(C.chi2_tail_of(F.col("stat") * k, F.lit(float(k))))
+    lo, hi = C.delta_ci(F.col("coef"), F.col("coef_se"), F.col("_eta"))
+    return x.select("chrom", "pos", "phi", "df_resid", "coef", "coef_se", "stat", p.alias("pvalue"), lo.alias("meth_diff_ci_lo"), hi.alias("meth_diff_ci_hi"))
+
+
+def two_group_glm(sites: DataFrame, case: list[str], control: list[str], dispersion: str = "eb", reference: str = "adaptive") -> DataFrame:
+    """The likelihood-ratio test of a treatment term; dispersion by site is mixed with the chromosome's below six samples."""
+    samples = [*case, *control]
+    x = np.stack([np.ones(len(samples)), [1.0] * len(case) + [0.0] * len(control)], axis=1)
+    mode = "shrink" if dispersion == "site" and len(samples) < 6 else dispersion
+    return glm(sites, samples, x, x[:, :1], dispersion=mode, reference=reference)
 
 
 def age_clock(sites: DataFrame, coefficients: DataFrame, manifest: DataFrame, intercept: float = 0.0, transform: str | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.tables import written
+from . import fdr
 
 SITE = ["chrom", "pos"]
 
@@ -26,10 +28,11 @@ def accumulate(sites: DataFrame, case: Column) -> DataFrame:
     return sites.groupBy(*SITE).agg(*out)
 
 
-def with_dispersion(acc: DataFrame, mode: str = "site", min_sites: int = 100, pseudo: float = 4.0) -> DataFrame:
+def with_dispersion(acc: DataFrame, mode: str = "site", min_sites: int = 100, pseudo: float = 4.0, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """acc with pi_a, pi_b, chi_a, chi_b, disp and phi; modes site, chrom, shrink and eb.
 
-    Chromosome-wide figures are aggregates joined back, one row a chromosome.
+    Chromosome-wide figures are aggregates joined back, one row for each value
+    of `by` (a chromosome, or a permutation and chromosome).
     """
     x = acc
     for g in "ab":
@@ -46,15 +49,15 @@ def with_dispersion(acc: DataFrame, mode: str = "site", min_sites: int = 100, ps
     if mode == "site":
         return x.withColumn("phi", F.col("phi_site"))
     d = F.col("disp")
-    by = x.groupBy("chrom").agg(
+    whole_of = x.groupBy(*by).agg(
         F.count_if(d).alias("nd"), F.sum(F.when(d, chi)).alias("sum_chi"), F.sum(F.when(d, F.col("v_a") + F.col("v_b"))).alias("sum_v"),
         F.avg(F.when(d, F.col("phi_site"))).alias("m_phi"), F.var_pop(F.when(d, F.col("phi_site"))).alias("v_phi"),
     )
     whole = F.greatest(F.lit(1.0), F.when(F.col("nd") >= min_sites, F.col("sum_chi") / F.greatest(F.col("sum_v") - 2 * F.col("nd"), F.lit(1))).otherwise(1.0))
-    by = by.withColumn("phi_chrom", whole).withColumn(
+    whole_of = whole_of.withColumn("phi_chrom", whole).withColumn(
         "w", F.when((F.col("nd") >= min_sites) & (F.col("v_phi") > 1e-9), F.greatest(F.lit(1.0), 2 * (F.col("m_phi") ** 2 / F.when(F.col("v_phi") > 1e-9, F.col("v_phi")) + 2))).otherwise(pseudo)
     )
-    x = x.join(by.select("chrom", "phi_chrom", "w"), "chrom")
+    x = x.join(whole_of.select(*by, "phi_chrom", "w"), list(by))
     if mode == "chrom":
         return x.withColumn("phi", F.col("phi_chrom"))
     w = F.col("w") if mode == "eb" else F.lit(pseudo)
@@ -87,12 +90,23 @@ def _effects(x: DataFrame, pooled: bool) -> DataFrame:
     })
 
 
-def quasi_binomial(sites: DataFrame, case: Column, statistic: str = "lr", dispersion: str = "site", reference: str = "adaptive") -> DataFrame:
-    """Quasi-likelihood ratio or score test with F(1, df) where phi > 1 (adaptive), always (F) or never (chi2)."""
-    x = raw_statistics(with_dispersion(accumulate(sites, case), dispersion)).withColumn("stat", F.col(f"{statistic}_raw") / F.col("phi"))
+def _quasi_p(x: DataFrame, statistic: str, reference: str) -> DataFrame:
+    x = x.withColumn("stat", F.col(f"{statistic}_raw") / F.col("phi"))
     chi, f = C.chi2_tail(F.col("stat")), C.f1_tail(F.col("stat"), F.greatest(F.col("df"), F.lit(1)).cast("double"))
-    p = {"chi2": chi, "F": f, "adaptive": F.when(F.col("phi") > 1, f).otherwise(chi)}[reference]
-    return _effects(x.withColumn("pvalue", p), True)
+    return x.withColumn("pvalue", {"chi2": chi, "F": f, "adaptive": F.when(F.col("phi") > 1, f).otherwise(chi)}[reference])
+
+
+def quasi_binomial(sites: DataFrame, case: Column, statistic: str = "lr", dispersion: str = "site", reference: str = "adaptive", separated: float | None = None) -> DataFrame:
+    """Quasi-likelihood ratio or score test with F(1, df) where phi > 1 (adaptive), always (F) or never (chi2).
+
+    separated: where pooled levels differ by that much and p is over 0.05, an exact test of the pooled counts counts if its p is smaller.
+    """
+    x = _quasi_p(raw_statistics(with_dispersion(accumulate(sites, case), dispersion)), statistic, reference)
+    if separated is not None:
+        far = F.col("both") & (F.abs(F.col("pi_a") - F.col("pi_b")) >= separated) & (F.col("pvalue") > 0.05)
+        exact = C.fisher_exact(*(F.when(far, c).otherwise(0) for c in (F.col("s1_a"), F.col("s0_a") - F.col("s1_a"), F.col("s1_b"), F.col("s0_b") - F.col("s1_b"))))
+        x = x.withColumn("pvalue", F.when(far, F.least("pvalue", exact)).otherwise(F.col("pvalue")))
+    return _effects(x, True)
 
 
 def fisher(sites: DataFrame, case: Column) -> DataFrame:
@@ -104,19 +118,19 @@ def fisher(sites: DataFrame, case: Column) -> DataFrame:
 def cmh(sites: DataFrame, case: Column) -> DataFrame:
     """Cochran-Mantel-Haenszel over strata of each case sample with each control sample of a site.
 
-    The strata of a site come from its two arrays of counts, not from a join;
-    their number is the product of the group sizes.
+    The strata of a site come from its two arrays of counts and are folded as
+    they come; their number is the product of the group sizes.
     """
     pair = F.struct(F.col("n_meth").cast("double").alias("m"), F.col("coverage").cast("double").alias("n"))
     g = sites.groupBy(*SITE).agg(F.collect_list(F.when(case, pair)).alias("xs"), F.collect_list(F.when(~case, pair)).alias("ys"))
-    strata = F.expr("flatten(transform(xs, x -> transform(ys, y -> struct(x.m AS a, x.n AS r1, y.m AS c, y.n AS r2))))")
-    x = g.select(*SITE, F.explode(strata).alias("s")).select(*SITE, "s.*").withColumn("n", F.col("r1") + F.col("r2")).withColumn("c1", F.col("a") + F.col("c"))
-    x = x.where("n > 1")
-    e, v = F.col("r1") * F.col("c1") / F.col("n"), F.col("r1") * F.col("r2") * F.col("c1") * (F.col("n") - F.col("c1")) / (F.col("n") ** 2 * (F.col("n") - 1))
-    out = x.groupBy(*SITE).agg(
-        F.sum(F.col("a") - e).alias("ome"), F.sum(v).alias("var"),
-        F.sum(F.col("a") * (F.col("r2") - F.col("c")) / F.col("n")).alias("or_num"), F.sum((F.col("r1") - F.col("a")) * F.col("c") / F.col("n")).alias("or_den"),
-    )
+    none = "named_struct('ome', 0.0D, 'var', 0.0D, 'or_num', 0.0D, 'or_den', 0.0D, 'k', 0)"
+    n = "(x.n + y.n)"
+    step = (
+        f"IF({n} > 1, named_struct('ome', t.ome + x.m - x.n * (x.m + y.m) / {n}, 'var', t.var + x.n * y.n * (x.m + y.m) * ({n} - x.m - y.m) / ({n} * {n} * ({n} - 1)), "
+        f"'or_num', t.or_num + x.m * (y.n - y.m) / {n}, 'or_den', t.or_den + (x.n - x.m) * y.m / {n}, 'k', t.k + 1), t)"
+    )
+    fold = F.expr(f"aggregate(xs, {none}, (s, x) -> aggregate(ys, s, (t, y) -> {step}))")
+    out = g.select(*SITE, fold.alias("f")).where("f.k > 0").select(*SITE, "f.ome", "f.var", "f.or_num", "f.or_den")
     stat = F.when(F.col("var") > 0, F.col("ome") ** 2 / F.when(F.col("var") > 0, F.col("var")))
     ratio = F.when((F.col("or_num") > 0) & (F.col("or_den") > 0), F.log2(F.col("or_num") / F.when(F.col("or_den") > 0, F.col("or_den"))))
     return out.withColumn("stat", stat).withColumn("log2_odds_ratio", ratio).withColumn("pvalue", C.chi2_tail(F.col("stat")))
@@ -153,6 +167,65 @@ def bartlett(sites: DataFrame, case: Column) -> DataFrame:
     return x.withColumn("p_var", C.chi2_tail(F.col("bartlett")))
 
 
+def label_sets(case: list[str], control: list[str], n_perm: int = 100, seed: int = 42) -> list[list[str]]:
+    """Case samples of each permutation: the labels of all samples, shuffled by a generator seeded with seed + number."""
+    out = []
+    for i in range(n_perm):
+        names = [*case, *control]
+        np.random.default_rng(seed + i + 1).shuffle(names)
+        out.append(sorted(names[: len(case)]))
+    return out
+
+
+def permuted_tests(sites: DataFrame, sets: list[list[str]], statistic: str = "lr", dispersion: str = "site", reference: str = "adaptive") -> DataFrame:
+    """(perm, chrom, pos, pvalue) of the test under each set of case samples.
+
+    A site's counts are one array, gathered once; each permutation folds it
+    anew in place, so permutations multiply work but not what is shuffled.
+    """
+    row = F.struct("sample", F.col("n_meth").cast("double").alias("m"), F.col("coverage").cast("double").alias("n"))
+    g = sites.groupBy(*SITE).agg(F.collect_list(row).alias("c"))
+    perms = F.array(*(F.struct(F.lit(i).alias("perm"), F.array(*map(F.lit, s)).alias("case")) for i, s in enumerate(sets)))
+    x = g.select(*SITE, "c", F.explode(perms).alias("p")).select("p.perm", *SITE, "c", "p.case")
+    for side, yes in (("a", ""), ("b", "NOT ")):
+        own = f"filter(c, x -> {yes}array_contains(case, x.sample))"
+        x = x.withColumn(f"_{side}", F.expr(f"aggregate({own}, named_struct('s0', 0.0D, 's1', 0.0D, 's2', 0.0D, 'v', 0), (t, x) -> named_struct('s0', t.s0 + x.n, 's1', t.s1 + x.m, 's2', IF(x.n > 0, t.s2 + x.m * x.m / x.n, t.s2), 'v', t.v + IF(x.n > 0, 1, 0)))"))
+    acc = x.select("perm", *SITE, *(F.col(f"_{g}.{k}").alias(f"{k}_{g}") for g in "ab" for k in ("s0", "s1", "s2", "v")))
+    return _quasi_p(raw_statistics(with_dispersion(acc, dispersion, by=("perm", "chrom"))), statistic, reference).select("perm", *SITE, "pvalue")
+
+
+def masked(results: DataFrame, sites: DataFrame, case: Column, min_case: int = 0, min_control: int = 0) -> DataFrame:
+    """results with p-value, effects and bounds null at sites that too few samples of a group cover."""
+    if not (min_case or min_control):
+        return results
+    covered = F.col("coverage") > 0
+    n = sites.groupBy(*SITE).agg(F.count_if(covered & case).alias("_nc"), F.count_if(covered & ~case).alias("_nn"))
+    x = results.join(n, SITE, "left")
+    ok = (F.col("_nc") >= min_case) & (F.col("_nn") >= min_control)
+    hide = [c for c in ("pvalue", "stat", "log2_odds_ratio", "meth_diff", "mean_beta_case", "mean_beta_control", "meth_diff_ci_lo", "meth_diff_ci_hi", "coef", "coef_se") if c in results.columns]
+    return x.withColumns({c: F.when(ok, F.col(c)) for c in hide}).drop("_nc", "_nn")
+
+
+def auto_test(n_case: int, n_control: int, allow_single: bool = False) -> str:
+    """The test for groups of these sizes: a likelihood ratio, or with one sample in a group an exact test of counts, if that is allowed."""
+    if min(n_case, n_control) < 1:
+        raise ValueError("both groups need a sample")
+    if min(n_case, n_control) < 2:
+        if not allow_single:
+            raise ValueError("a group of one sample has no spread to test against; allow_single=True takes an exact test of its counts")
+        return "fisher"
+    return "lr"
+
+
+def check_groups(n_case: int, n_control: int, united: str, allow_single: bool, min_case: int | None, min_control: int) -> None:
+    """Refuses sample minima that no site can meet, and single samples over the union of sites, where most sites would have one group only."""
+    if (min_case or 0) > n_case or min_control > n_control:
+        raise ValueError("a minimum of covered samples is over the group's size")
+    if min(n_case, n_control) < 2 and united != "intersect" and not (min_case and min_control):
+        if not allow_single:
+            raise ValueError("single samples over the union of sites; unite by intersection or set minima for both groups")
+
+
 def permuted_pvalues(observed: DataFrame, null: DataFrame, p: str = "pvalue") -> DataFrame:
     """observed with (1 + null values at most p) / (1 + all null values).
 
@@ -161,8 +234,6 @@ def permuted_pvalues(observed: DataFrame, null: DataFrame, p: str = "pvalue") ->
     """
     observed = written(observed)  # joined by value below
     v = observed.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.lit(0).cast("bigint").alias("_n")).union(null.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.count("*").alias("_n")))
-    from . import fdr
-
     c = fdr.running_total(v.groupBy("_v").agg(F.sum("_n").alias("_n")), "_v", "_n")
     total = null.agg(F.count(p).alias("_all"))
     out = observed.join(c.select(F.col("_v").alias(p), "_upto"), p, "left").crossJoin(total)  # one row

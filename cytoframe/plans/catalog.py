@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import annotate as A
-from ..operators import fdr, models, qc, ranges, reads, regions, sequence, sites as S, tests
-from ..sources import readers, sinks, views as V
+from ..operators import fdr, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
+from ..sources import readers, sinks, store, views as V
+from . import tails as T
+from .frame import MethylFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,14 +183,11 @@ def region_beta(spark, d):
 
 
 @query("""SELECT sample, chrom, region_id, "start", "end", CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_unmeth) AS BIGINT) AS n_unmeth, count(*) AS n_cpgs, CAST(sum(coverage) AS BIGINT) AS coverage, CAST(("start" + "end") // 2 AS INTEGER) AS pos
-FROM (SELECT s.*, r."start", r."end", r.region_id FROM sites s ASOF JOIN regions r ON s.chrom = r.chrom AND s.pos >= r."start") WHERE pos < "end" GROUP BY ALL""".replace("SELECT s.*, r", "SELECT s.*, r"), S_, R_)
+FROM (SELECT s.sample, s.chrom, s.pos AS p, s.n_meth, s.n_unmeth, s.coverage, r."start", r."end", r.region_id FROM sites s ASOF JOIN regions r ON s.chrom = r.chrom AND s.pos >= r."start") WHERE p < "end" GROUP BY ALL""", S_, R_)
 def aggregate_regions(spark, d):
     return S.aggregate_regions(V.sites(spark, d), V.regions(spark, d))
 
 
-SQL["aggregate_regions"] = SQL["aggregate_regions"].replace("AS pos\nFROM (SELECT s.*, r", "AS pos\nFROM (SELECT s.sample, s.chrom, s.pos AS p, s.n_meth, s.n_unmeth, s.coverage, r").replace("WHERE pos < \"end\"", "WHERE p < \"end\"")
-
-
 @query("SELECT sample, chrom, CAST(pos // 1000 * 1000 AS INTEGER) AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_unmeth) AS BIGINT) AS n_unmeth, count(*) AS n_cpgs, '+' AS strand, CAST(sum(coverage) AS BIGINT) AS coverage FROM sites GROUP BY sample, chrom, pos // 1000", S_)
 def tile_counts(spark, d):
     return S.tiles(V.sites(spark, d), 1000)
@@ -322,13 +322,16 @@ def cmh_stat(spark, d):
     return rounded(tests.cmh(V.sites(spark, d), is_case()).select("chrom", "pos", "ome", "var", "or_num", "or_den"), 5)
 
 
-def _welch_sql(logit):
+def _welch_exact(logit):
     loc = (lambda g: f"ln({_CL.format('mean_' + g)} / (1 - {_CL.format('mean_' + g)}))") if logit else (lambda g: f"mean_{g}")
     jac = (lambda g: f"* (1 / ({_CL.format('mean_' + g)} * (1 - {_CL.format('mean_' + g)}))) ** 2") if logit else (lambda g: "")
-    return (
-        "SELECT chrom, pos, round(CASE WHEN ok AND ea + eb > 0 THEN (la - lb) / sqrt(ea + eb) END, 6) AS stat, round(CASE WHEN ok AND ea + eb > 0 THEN greatest(1.0, (ea + eb) ** 2 / nullif(ea * ea / greatest(v_a - 1, 1) + eb * eb / greatest(v_b - 1, 1), 0)) END, 5) AS t_df FROM "
-        f"(SELECT chrom, pos, v_a, v_b, v_a > 0 AND v_b > 0 AND s0_a > 0 AND s0_b > 0 AS ok, {loc('a')} AS la, {loc('b')} AS lb, coalesce(var_a, 0) {jac('a')} / greatest(v_a, 1) AS ea, coalesce(var_b, 0) {jac('b')} / greatest(v_b, 1) AS eb FROM acc)"
-    )
+    stat, df = "CASE WHEN ok AND ea + eb > 0 THEN (la - lb) / sqrt(ea + eb) END", "CASE WHEN ok AND ea + eb > 0 THEN greatest(1.0, (ea + eb) ** 2 / nullif(ea * ea / greatest(v_a - 1, 1) + eb * eb / greatest(v_b - 1, 1), 0)) END"
+    own = f"v_a > 0 AND v_b > 0 AND s0_a > 0 AND s0_b > 0 AS ok, {loc('a')} AS la, {loc('b')} AS lb, coalesce(var_a, 0) {jac('a')} / greatest(v_a, 1) AS ea, coalesce(var_b, 0) {jac('b')} / greatest(v_b, 1) AS eb"
+    return f"SELECT *, phi_site AS phi, {stat} AS stat, {df} AS t_df FROM (SELECT *, {own} FROM d2)"
+
+
+def _welch_sql(logit):
+    return f"SELECT chrom, pos, round(stat, 6) AS stat, round(t_df, 5) AS t_df FROM ({_welch_exact(logit)})"
 
 
 def _welch_query(spark, d, how):
@@ -336,29 +339,33 @@ def _welch_query(spark, d, how):
     return x.select("chrom", "pos", F.round("stat", 6).alias("stat"), F.round("t_df", 5).alias("t_df"))
 
 
-@query(_welch_sql(False), S_, _ACC)
+@query(_welch_sql(False), S_, _ACC, _DISP)
 def welch_stat(spark, d):
     return _welch_query(spark, d, "none")
 
 
-@query(_welch_sql(True), S_, _ACC)
+@query(_welch_sql(True), S_, _ACC, _DISP)
 def logit_t_stat(spark, d):
     return _welch_query(spark, d, "logit")
 
 
-@query("SELECT chrom, pos, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN ((v_a + v_b - 2) * ln(((v_a - 1) * var_a + (v_b - 1) * var_b) / (v_a + v_b - 2)) - (v_a - 1) * ln(var_a) - (v_b - 1) * ln(var_b)) / (1 + (1.0 / (v_a - 1) + 1.0 / (v_b - 1) - 1.0 / (v_a + v_b - 2)) / 3) END, 5) AS bartlett, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN log2(var_a / var_b) END, 5) AS var_log_ratio FROM acc", S_, _ACC)
+_BARTLETT = "CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN ((v_a + v_b - 2) * ln(((v_a - 1) * var_a + (v_b - 1) * var_b) / (v_a + v_b - 2)) - (v_a - 1) * ln(var_a) - (v_b - 1) * ln(var_b)) / (1 + (1.0 / (v_a - 1) + 1.0 / (v_b - 1) - 1.0 / (v_a + v_b - 2)) / 3) END"
+
+
+@query(f"SELECT chrom, pos, round({_BARTLETT}, 5) AS bartlett, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN log2(var_a / var_b) END, 5) AS var_log_ratio FROM acc", S_, _ACC)
 def bartlett_stat(spark, d):
     return rounded(tests.bartlett(V.sites(spark, d), is_case()).select("chrom", "pos", "bartlett", "var_log_ratio"), 5)
 
 
-@query("SELECT chrom, pos, round(greatest(-1.0, pi_a - pi_b - 1.959963984540054 * se), 4) AS lo, round(least(1.0, pi_a - pi_b + 1.959963984540054 * se), 4) AS hi FROM (SELECT *, sqrt(coalesce(var_a / nullif(v_a, 0), 0) + coalesce(var_b / nullif(v_b, 0), 0)) AS se FROM d2)", S_, _ACC, _DISP)
+_SE = "sqrt(coalesce(var_a / nullif(v_a, 0), 0) + coalesce(var_b / nullif(v_b, 0), 0))"
+_DIFF = "CASE WHEN pi_a IS NOT NULL AND pi_b IS NOT NULL THEN round({}, 4) END"
+
+
+@query(f"SELECT chrom, pos, {_DIFF.format('greatest(-1.0, pi_a - pi_b - 1.959963984540054 * se)')} AS lo, {_DIFF.format('least(1.0, pi_a - pi_b + 1.959963984540054 * se)')} AS hi FROM (SELECT *, {_SE} AS se FROM d2)", S_, _ACC, _DISP)
 def ci_meth_diff(spark, d):
     x = tests.with_dispersion(tests.accumulate(V.sites(spark, d), is_case()))
     lo, hi = C.welch_ci(F.col("pi_a"), F.coalesce(F.try_divide("var_a", "v_a"), F.lit(0.0)), F.col("pi_b"), F.coalesce(F.try_divide("var_b", "v_b"), F.lit(0.0)))
-    return x.select("chrom", "pos", F.when(F.col("pi_a").isNotNull() & F.col("pi_b").isNotNull(), F.round(lo, 4)).alias("lo"), F.when(F.col("pi_a").isNotNull() & F.col("pi_b").isNotNull(), F.round(hi, 4)).alias("hi"))
-
-
-SQL["ci_meth_diff"] = SQL["ci_meth_diff"].replace("round(greatest(", "CASE WHEN pi_a IS NOT NULL AND pi_b IS NOT NULL THEN round(greatest(").replace("4) AS lo", "4) END AS lo").replace("round(least(1.0, pi", "CASE WHEN pi_a IS NOT NULL AND pi_b IS NOT NULL THEN round(least(1.0, pi").replace("4) AS hi", "4) END AS hi")
+    return x.select("chrom", "pos", F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"))
 
 
 @query(f"SELECT chrom, pos, round(log2(({_CL.format('pi_a')} / (1 - {_CL.format('pi_a')})) / ({_CL.format('pi_b')} / (1 - {_CL.format('pi_b')}))), 5) AS log2_odds FROM d2 WHERE pi_a IS NOT NULL AND pi_b IS NOT NULL", S_, _ACC, _DISP)
@@ -367,26 +374,106 @@ def log2_odds(spark, d):
     return x.select("chrom", "pos", F.round(C.log2_odds_ratio(F.col("pi_a"), F.col("pi_b")), 5).alias("log2_odds"))
 
 
-@query()
+_LOG2 = f"CASE WHEN {{0}}_a IS NOT NULL AND {{0}}_b IS NOT NULL THEN log2(({_CL.format('{0}_a')} / (1 - {_CL.format('{0}_a')})) / ({_CL.format('{0}_b')} / (1 - {_CL.format('{0}_b')}))) END"
+
+
+def _effects(mean):
+    single = lambda x: f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 6)"
+    return f"{single(mean + '_a')} AS mean_beta_case, {single(mean + '_b')} AS mean_beta_control, {single(f'{mean}_a - {mean}_b')} AS meth_diff, round({_LOG2.format(mean)}, 6) AS log2_odds_ratio"
+
+
+def _tested(effects):
+    return f"SELECT chrom, pos, {effects}, round(stat, 6) AS stat, round(phi, 6) AS phi, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS reject FROM {T.bh('tested', 'pvalue')}"
+
+
+_EB = "CASE WHEN disp THEN greatest(1.0, (df * phi_site + w * phi_chrom) / nullif(df + w, 0)) ELSE phi_chrom END"
+
+
+def _quasi(stat, phi, reference="adaptive"):
+    f, chi = T.f1("stat", "greatest(df, 1)"), T.chi2("stat")
+    p = f"CASE WHEN phi > 1 THEN {f} ELSE {chi} END" if reference == "adaptive" else chi
+    return f"tested AS (SELECT *, {p} AS pvalue FROM (SELECT *, {stat} / phi AS stat FROM (SELECT *, {phi} AS phi FROM raw JOIN dd USING (chrom))))"
+
+
+def _welch(logit):
+    return f"tested AS (SELECT *, {T.f1('(stat * stat)', 't_df')} AS pvalue FROM ({_welch_exact(logit)}))"
+
+
+_CMH = (
+    "strata AS (SELECT x.chrom, x.pos, CAST(x.n_meth AS DOUBLE) AS a, CAST(x.coverage AS DOUBLE) AS r1, CAST(y.n_meth AS DOUBLE) AS c, CAST(y.coverage AS DOUBLE) AS r2 FROM sites x JOIN sites y ON x.chrom = y.chrom AND x.pos = y.pos AND x.sample < 's4' AND y.sample >= 's4'), "
+    "cm AS (SELECT chrom, pos, sum(a - r1 * c1 / n) AS ome, sum(r1 * r2 * c1 * (n - c1) / (n * n * (n - 1))) AS va, sum(a * (r2 - c) / n) AS num, sum((r1 - a) * c / n) AS den FROM (SELECT *, r1 + r2 AS n, a + c AS c1 FROM strata) WHERE n > 1 GROUP BY chrom, pos), "
+    "tested AS (SELECT *, " + T.chi2("stat") + " AS pvalue FROM (SELECT *, CASE WHEN va > 0 THEN ome * ome / va END AS stat, CASE WHEN num > 0 AND den > 0 THEN log2(num / den) END AS lor FROM cm))"
+)
+
+
+@query(f"SELECT chrom, pos, round({T.fisher_doubled('s1_a', '(s0_a - s1_a)', 's1_b', '(s0_b - s1_b)')}, 6) AS pvalue, round({_LOG2.format('pi')}, 6) AS log2_odds_ratio FROM d2", S_, _ACC, _DISP)
 def fisher_pooled(spark, d):
     return rounded(tests.fisher(V.sites(spark, d), is_case()).select("chrom", "pos", "pvalue", "log2_odds_ratio"))
 
 
-def _dmc(name, make):
+def _dmc(name, make, sql, *needs):
     def fn(spark, d):
         x = make(V.sites(spark, d))
         cols = [c for c in ("mean_beta_case", "mean_beta_control", "meth_diff", "log2_odds_ratio", "stat", "phi", "pvalue") if c in x.columns]
         return rounded(fdr.adjust(x.select("chrom", "pos", *cols)))
 
     fn.__name__ = name
-    query()(fn)
+    query(sql, *needs)(fn)
+
+
+_dmc("dmc_lr", lambda s: tests.quasi_binomial(s, is_case(), "lr", "eb"), _tested(_effects("pi")), S_, _ACC, _DISP, _RAW, _quasi("lr_raw", _EB))
+_dmc("dmc_score", lambda s: tests.quasi_binomial(s, is_case(), "score", "site"), _tested(_effects("pi")), S_, _ACC, _DISP, _RAW, _quasi("score_raw", "phi_site"))
+_dmc(
+    "dmc_cmh", lambda s: tests.cmh(s, is_case()),
+    f"SELECT chrom, pos, round(lor, 6) AS log2_odds_ratio, round(stat, 6) AS stat, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS reject FROM {T.bh('tested', 'pvalue')}", S_, _CMH,
+)
+_dmc("dmc_welch", lambda s: tests.welch(s, is_case()), _tested(_effects("mean")), S_, _ACC, _DISP, _welch(False))
+_dmc("dmc_logit_t", lambda s: tests.welch(s, is_case(), "logit"), _tested(_effects("mean")), S_, _ACC, _DISP, _welch(True))
+_FAR = "CASE WHEN both_ AND abs(pi_a - pi_b) >= 0.2 AND pvalue > 0.05 THEN least(pvalue, exact) ELSE pvalue END"
+_TWO_SIDED = (
+    "least(1.0, list_sum(list_filter(list_transform(range(greatest(0, s1_a + s1_b - s0_b), least(s0_a, s1_a + s1_b) + 1), lambda x: exp(lgamma(s0_a + 1) - lgamma(x + 1) - lgamma(s0_a - x + 1) + lgamma(s0_b + 1) - lgamma(s1_a + s1_b - x + 1) - lgamma(s0_b - s1_a - s1_b + x + 1) "
+    "- lgamma(s0_a + s0_b + 1) + lgamma(s1_a + s1_b + 1) + lgamma(s0_a + s0_b - s1_a - s1_b + 1))), lambda p: p <= (1 + 1e-7) * exp(lgamma(s0_a + 1) - lgamma(s1_a + 1) - lgamma(s0_a - s1_a + 1) + lgamma(s0_b + 1) - lgamma(s1_b + 1) - lgamma(s0_b - s1_b + 1) "
+    "- lgamma(s0_a + s0_b + 1) + lgamma(s1_a + s1_b + 1) + lgamma(s0_a + s0_b - s1_a - s1_b + 1)))))"
+)
 
 
-_dmc("dmc_lr", lambda s: tests.quasi_binomial(s, is_case(), "lr", "eb"))
-_dmc("dmc_score", lambda s: tests.quasi_binomial(s, is_case(), "score", "site"))
-_dmc("dmc_cmh", lambda s: tests.cmh(s, is_case()))
-_dmc("dmc_welch", lambda s: tests.welch(s, is_case()))
-_dmc("dmc_logit_t", lambda s: tests.welch(s, is_case(), "logit"))
+@query(f"SELECT chrom, pos, round({_FAR}, 6) AS pvalue FROM (SELECT *, {_TWO_SIDED} AS exact FROM tested)", S_, _ACC, _DISP, _RAW, _quasi("lr_raw", _EB))
+def exact_fallback(spark, d):
+    return rounded(tests.quasi_binomial(V.sites(spark, d), is_case(), "lr", "eb", separated=0.2).select("chrom", "pos", "pvalue"))
+
+
+@query("SELECT t.chrom, t.pos, CASE WHEN coalesce(g.n_case, 0) >= 3 AND coalesce(g.n_control, 0) >= 4 THEN round(CAST(CAST(pi_a - pi_b AS FLOAT) AS DOUBLE), 6) END AS meth_diff, CASE WHEN coalesce(g.n_case, 0) >= 3 AND coalesce(g.n_control, 0) >= 4 THEN round(pvalue, 6) END AS pvalue FROM tested t LEFT JOIN (SELECT chrom, pos, count(*) FILTER (WHERE sample < 's4') AS n_case, count(*) FILTER (WHERE sample >= 's4') AS n_control FROM sites WHERE coverage > 0 GROUP BY ALL) g USING (chrom, pos)", S_, _ACC, _DISP, _RAW, _quasi("score_raw", "phi_site"))
+def sample_minima(spark, d):
+    s = V.sites(spark, d)
+    return rounded(tests.masked(tests.quasi_binomial(s, is_case(), "score", "site"), s, is_case(), 3, 4).select("chrom", "pos", "meth_diff", "pvalue"))
+
+
+_SETS = tests.label_sets(V.CASE, V.CONTROL, 4)
+_PERM_ACC = (
+    "sets(perm, cs) AS (VALUES " + ", ".join(f"({i}, {x!r})" for i, x in enumerate(_SETS)) + "), pacc AS (SELECT perm, chrom, pos, "
+    + ", ".join(f"coalesce(sum(coverage) FILTER (WHERE {on}), 0) AS s0_{g}, coalesce(sum(n_meth) FILTER (WHERE {on}), 0) AS s1_{g}, coalesce(sum(CAST(n_meth AS DOUBLE) * n_meth / coverage) FILTER (WHERE {on} AND coverage > 0), 0) AS s2_{g}, count(*) FILTER (WHERE {on} AND coverage > 0) AS v_{g}" for g, on in (("a", "list_contains(cs, sample)"), ("b", "NOT list_contains(cs, sample)")))
+    + " FROM sites, sets GROUP BY ALL)"
+)
+_PERM_STAT = (
+    "pst AS (SELECT perm, chrom, pos, CASE WHEN ok AND va > 0 THEN (s1_a - s0_a * pu) ** 2 / va / greatest(1.0, CASE WHEN den_a > 0 AND den_b > 0 AND v_a + v_b > 2 THEN (num_a / nullif(den_a, 0) + num_b / nullif(den_b, 0)) / (v_a + v_b - 2) ELSE 1 END) END AS stat FROM (SELECT *, s0_a * s0_b / nullif(s0_a + s0_b, 0) * p * (1 - p) AS va FROM (SELECT *, v_a > 0 AND v_b > 0 AS ok, "
+    f"CAST(s1_a + s1_b AS DOUBLE) / nullif(s0_a + s0_b, 0) AS pu, {_CL.format('CAST(s1_a + s1_b AS DOUBLE) / nullif(s0_a + s0_b, 0)')} AS p, "
+    + ", ".join(f"CAST(s1_{g} AS DOUBLE) * (s0_{g} - s1_{g}) / nullif(CAST(s0_{g} AS DOUBLE) * s0_{g}, 0) AS den_{g}, s2_{g} - CAST(s1_{g} AS DOUBLE) * s1_{g} / nullif(s0_{g}, 0) AS num_{g}" for g in "ab")
+    + " FROM pacc)))"
+)
+
+
+@query(f"SELECT perm, chrom, pos, round({T.chi2('stat')}, 6) AS pvalue FROM pst", S_, _PERM_ACC, _PERM_STAT)
+def permuted_sites(spark, d):
+    return rounded(tests.permuted_tests(V.sites(spark, d), _SETS, "score", "site", "chi2"))
+
+
+_TILED = "allsites AS (SELECT * FROM sites), tl AS (SELECT sample, chrom, CAST(pos // 1000 * 1000 AS INTEGER) AS pos, sum(n_meth) AS n_meth, sum(coverage) AS coverage, count(*) AS n_cpgs FROM allsites GROUP BY sample, chrom, pos // 1000 HAVING count(*) >= 3)"
+
+
+@query(f"SELECT perm, chrom, pos, round({T.chi2('stat')}, 6) AS pvalue FROM pst", S_, _TILED, _PERM_ACC.replace("FROM sites, sets", "FROM tl, sets"), _PERM_STAT)
+def permuted_tiles(spark, d):
+    t = S.tiles(V.sites(spark, d), 1000).where("n_cpgs >= 3")
+    return rounded(tests.permuted_tests(t, _SETS, "score", "site", "chi2"))
 
 
 def _obs():
@@ -395,8 +482,7 @@ def _obs():
 
 @query()
 def dmc_bb_lr(spark, d):
-    _, x = models.design(_obs(), "~ treatment")
-    return rounded(models.glm(V.sites(spark, d), V.SAMPLES, x, x[:, :1]))
+    return rounded(models.two_group_glm(V.sites(spark, d), V.CASE, V.CONTROL, "eb"))
 
 
 @query()
@@ -411,7 +497,7 @@ def dmc_contrast(spark, d):
     return rounded(models.glm(V.sites(spark, d), V.SAMPLES, x, contrasts=models.contrast("treatment - age", names)))
 
 
-@query()
+@query(f"SELECT chrom, pos, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN log2(var_a / var_b) END, 6) AS var_log_ratio, round(p_var, 6) AS p_var, round(q, 6) AS q_var, round(pvalue, 6) AS p_mean, coalesce(q < 0.05 AND pvalue > 0.05, false) AS is_dvc FROM {T.bh('vt', 'p_var', drop=True)}", S_, _ACC, _DISP, _welch(False), f"vt AS (SELECT *, {T.chi2('ba')} AS p_var FROM (SELECT *, {_BARTLETT} AS ba FROM tested))")
 def dvc(spark, d):
     x = fdr.adjust(tests.bartlett(V.sites(spark, d), is_case()), "p_var", "bh", 0.05, "drop", "q_var")
     return rounded(x.select("chrom", "pos", "var_log_ratio", "p_var", "q_var", "p_mean", F.coalesce((F.col("q_var") < 0.05) & (F.col("p_mean") > 0.05), F.lit(False)).alias("is_dvc")))
@@ -465,7 +551,14 @@ def neighbour_window_counts(spark, d):
     return regions.neighbour_counts(V.results(spark, d)).select("chrom", "pos", "n_near", "n_agree")
 
 
-@query()
+_Z = f"zs AS (SELECT pvalue, {T.normal_isf('least(greatest(pvalue, 1e-300), 1 - 1e-12) / 2')} AS z FROM (SELECT DISTINCT pvalue FROM results))"
+_NEAR = (
+    "nz AS (SELECT chrom, pos, pvalue, n, sz / sqrt(n) AS zz, CASE WHEN meth_diff >= 0 THEN nu ELSE n - nu END / CAST(n AS DOUBLE) AS agree FROM (SELECT *, count(*) OVER w AS n, sum(CASE WHEN meth_diff < 0 THEN -z ELSE z END) OVER w AS sz, count(*) FILTER (WHERE meth_diff >= 0) OVER w AS nu "
+    "FROM results JOIN zs USING (pvalue) WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING)))"
+)
+
+
+@query(f"SELECT chrom, pos, round(CASE WHEN agree >= 0.6 AND pvalue < 0.5 AND pc < pvalue THEN pc ELSE pvalue END, 6) AS pvalue_combined FROM (SELECT *, {T.normal_two_sided('zz')} AS pc FROM nz)", S_, D_, _Z, _NEAR)
 def neighbour_combine(spark, d):
     return rounded(regions.combine_neighbours(V.results(spark, d)).select("chrom", "pos", "pvalue_combined"))
 
@@ -477,43 +570,93 @@ def _sig():
     return regions.significant("pvalue", 0.5, 0.05)
 
 
-@query("SELECT chrom, min(s) AS \"start\", max(e) AS \"end\" FROM (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT chrom, pos AS s, CAST(max(pos) OVER w + 1 AS INTEGER) AS e, count(*) OVER w AS n, count(*) FILTER (WHERE sig) OVER w AS ns FROM sg WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 499 FOLLOWING)) WHERE n >= 5 AND ns >= 3)) GROUP BY chrom, k", S_, D_, _SIG)
+def _sliding(sg):
+    windows = f"SELECT chrom, pos AS s, CAST(max(pos) OVER w + 1 AS INTEGER) AS e, count(*) OVER w AS n, count(*) FILTER (WHERE sig) OVER w AS ns FROM {sg} WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 499 FOLLOWING)"
+    reach = f"SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ({windows}) WHERE n >= 5 AND ns >= 3"
+    return f'SELECT chrom, min(s) AS "start", max(e) AS "end" FROM (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM ({reach})) GROUP BY chrom, k'
+
+
+def _chain(sg, gap):
+    step = f"SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS prev FROM {sg} WHERE sig"
+    return f'SELECT chrom, CAST(min(pos) AS INTEGER) AS "start", CAST(max(pos) + 1 AS INTEGER) AS "end" FROM (SELECT *, sum(CASE WHEN prev IS NULL OR pos - prev > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM ({step})) GROUP BY chrom, k HAVING max(pos) + 1 - min(pos) >= 50'
+
+
+def _scored(spans, sg):
+    """CTEs up to `scored`: counts, mean difference, Stouffer's p and direction of spans over the sites of sg."""
+    z = T.normal_isf("least(greatest(pvalue, 1e-300), 1 - 1e-15) / 2")
+    return (
+        f"zd AS (SELECT pvalue, {z} AS z FROM (SELECT DISTINCT pvalue FROM results)), spans AS ({spans}), "
+        f'agg AS (SELECT r.chrom, r."start", r."end", count(*) AS n_cpgs, count(*) FILTER (WHERE s.sig) AS n_significant, avg(CAST(s.meth_diff AS DOUBLE)) AS mean_meth_diff, sum(sign(CAST(s.meth_diff AS DOUBLE)) * z) / sqrt(count(z)) AS zz, '
+        f'count(*) FILTER (WHERE s.meth_diff > 0) AS up, count(*) FILTER (WHERE s.meth_diff < 0) AS down FROM spans r JOIN {sg} s ON s.chrom = r.chrom AND s.pos >= r."start" AND s.pos < r."end" JOIN zd USING (pvalue) GROUP BY ALL), '
+        f"scored AS (SELECT *, {T.normal_two_sided('zz')} AS combined_pvalue, CASE WHEN greatest(up, down) / greatest(up + down, 1) < 0.6 THEN 'mixed' WHEN mean_meth_diff > 0 THEN 'hyper' ELSE 'hypo' END AS dmr_type FROM agg)"
+    )
+
+
+_REGION = 'SELECT chrom, "start", "end", n_cpgs, n_significant, round(mean_meth_diff, 6) AS mean_meth_diff, round(combined_pvalue, 6) AS combined_pvalue, dmr_type, round(q, 6) AS combined_qvalue FROM '
+
+
+@query(_sliding("sg"), S_, D_, _SIG)
 def sliding_spans(spark, d):
     return regions.sliding_spans(V.results(spark, d), _sig())
 
 
-@query("SELECT chrom, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) + 1 AS INTEGER) AS \"end\" FROM (SELECT *, sum(CASE WHEN prev IS NULL OR pos - prev > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS prev FROM sg WHERE sig)) GROUP BY chrom, k HAVING max(pos) + 1 - min(pos) >= 50", S_, D_, _SIG)
+@query(_chain("sg", 200), S_, D_, _SIG)
 def chain_spans(spark, d):
     return regions.chain_spans(V.results(spark, d), _sig(), 200)
 
 
-@query("SELECT chrom, CAST(min(t) AS INTEGER) AS \"start\", CAST(max(t) + 1000 AS INTEGER) AS \"end\", up, count(*) AS n_tiles FROM (SELECT *, sum(CASE WHEN pt IS NULL OR t > pt + 1000 OR up <> pu THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(t) OVER (PARTITION BY chrom ORDER BY t) AS pt, lag(up) OVER (PARTITION BY chrom ORDER BY t) AS pu FROM (SELECT chrom, pos // 1000 * 1000 AS t, round(avg(CAST(meth_diff AS DOUBLE)), 9) > 0 AS up FROM results GROUP BY chrom, pos // 1000))) GROUP BY chrom, k, up", S_, D_)
+def _merged(tiles):
+    """CTEs up to `merged`: neighbouring tiles (chrom, start, end, n_cpgs, meth_diff, pvalue, dmr_type) of one direction as one."""
+    p = "least(greatest(pvalue, 1e-300), 1 - 1e-15)"
+    isf = f"CASE WHEN {p} <= 0.5 THEN {T.normal_isf(p)} ELSE -{T.normal_isf(f'(1 - {p})')} END"
+    half = T.erfc("(abs(z) / sqrt(2))")
+    return (
+        f"tz AS (SELECT *, {isf} AS z FROM ({tiles})), "
+        'ti AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN lag("end") OVER w IS NULL OR "start" > lag("end") OVER w OR dmr_type <> lag(dmr_type) OVER w THEN 1 ELSE 0 END AS new FROM tz WINDOW w AS (PARTITION BY chrom ORDER BY "start"))), '
+        'tg AS (SELECT chrom, min("start") AS "start", max("end") AS "end", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, any_value(dmr_type) AS dmr_type, avg(CAST(meth_diff AS DOUBLE)) AS meth_diff, list_reduce(list(z ORDER BY "start"), lambda a, b: (a + b) / sqrt(2)) AS z FROM ti GROUP BY chrom, k), '
+        f"merged AS (SELECT *, CASE WHEN z >= 0 THEN 0.5 * {half} ELSE 1 - 0.5 * {half} END AS pvalue FROM tg)"
+    )
+
+
+_MERGED = f'SELECT chrom, "start", "end", n_cpgs, dmr_type, round(meth_diff, 6) AS meth_diff, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue FROM {T.bh("merged", "pvalue")}'
+_RUNS = 'SELECT chrom, CAST(pos // 1000 * 1000 AS INTEGER) AS "start", CAST(pos // 1000 * 1000 + 1000 AS INTEGER) AS "end", count(*) AS n_cpgs, round(avg(CAST(meth_diff AS DOUBLE)), 9) AS meth_diff, min(pvalue) AS pvalue, CASE WHEN round(avg(CAST(meth_diff AS DOUBLE)), 9) > 0 THEN \'hyper\' ELSE \'hypo\' END AS dmr_type FROM results GROUP BY chrom, pos // 1000'
+
+
+@query(_MERGED, S_, D_, _merged(_RUNS))
 def tile_runs(spark, d):
-    from pyspark.sql import Window
+    t = V.results(spark, d).groupBy("chrom", F.expr("cast(pos div 1000 * 1000 as int)").alias("start")).agg(F.count("*").alias("n_cpgs"), F.round(F.avg(F.col("meth_diff").cast("double")), 9).alias("meth_diff"), F.min("pvalue").alias("pvalue"))
+    return rounded(regions.merge_tiles(t.withColumns({"end": F.col("start") + 1000, "dmr_type": F.when(F.col("meth_diff") > 0, "hyper").otherwise("hypo")})))
 
-    t = V.results(spark, d).groupBy("chrom", F.expr("pos div 1000 * 1000").alias("t")).agg((F.round(F.avg(F.col("meth_diff").cast("double")), 9) > 0).alias("up"))
-    w = Window.partitionBy("chrom").orderBy("t")
-    new = F.lag("t").over(w).isNull() | (F.col("t") > F.lag("t").over(w) + 1000) | (F.col("up") != F.lag("up").over(w))
-    x = ranges.islands(t.withColumn("_new", new), ["chrom"], "t", F.col("_new"))
-    return x.groupBy("chrom", "island", "up").agg(F.min("t").cast("int").alias("start"), (F.max("t") + 1000).cast("int").alias("end"), F.count("*").alias("n_tiles")).drop("island")
 
+_SG_Q = "sq AS (SELECT *, qvalue < 0.5 AND abs(meth_diff) >= CAST(0.01 AS FLOAT) AS sig FROM results)"
 
-@query()
+
+@query(_REGION + T.bh("(SELECT * FROM scored WHERE n_cpgs >= 5 AND n_significant >= 3 AND abs(mean_meth_diff) >= 0.01)", "combined_pvalue"), S_, D_, _SG_Q, _scored(f'SELECT * FROM ({_sliding("sq")}) WHERE "end" - "start" <= 10000', "sq"))
 def dmr_sliding(spark, d):
     return rounded(regions.dmr_sliding(V.results(spark, d), alpha=0.5, delta=0.01))
 
 
-@query()
+@query(_REGION + T.bh("(SELECT * FROM scored WHERE n_cpgs >= 3 AND n_significant / n_cpgs >= 0.5)", "combined_pvalue"), S_, D_, _SIG, _scored(_chain("sg", 200), "sg"))
 def dmr_chain(spark, d):
     return rounded(regions.dmr_chain(V.results(spark, d), alpha=0.5, delta=0.05, gap=200))
 
 
-@query()
+_TILES = "allsites AS (SELECT * FROM sites), tl AS (SELECT sample, chrom, CAST(pos // 800 * 800 AS INTEGER) AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(coverage) AS BIGINT) AS coverage, count(*) AS n_cpgs FROM allsites GROUP BY sample, chrom, pos // 800 HAVING count(*) >= 5)"
+_TILE_HITS = (
+    "SELECT chrom, pos AS \"start\", pos + 800 AS \"end\", n_cpgs, diff AS meth_diff, pvalue, CASE WHEN diff > 0 THEN 'hyper' ELSE 'hypo' END AS dmr_type FROM "
+    f"{T.bh('(SELECT t.*, CAST(mean_a - mean_b AS FLOAT) AS diff, n_cpgs FROM tested t JOIN (SELECT chrom, pos, max(n_cpgs) AS n_cpgs FROM tl GROUP BY ALL) USING (chrom, pos))', 'pvalue')} WHERE q < 0.5 AND abs(diff) >= CAST(0.02 AS FLOAT)"
+)
+
+
+@query(_MERGED, S_, _TILES, _ACC.replace("FROM sites", "FROM tl"), _DISP, _welch(True), _merged(_TILE_HITS))
 def dmr_tile(spark, d):
     return rounded(regions.dmr_tiles(V.sites(spark, d), is_case(), 800, alpha=0.5, delta=0.02))
 
 
-@query()
+@query("SELECT chrom, \"start\", \"end\", n_cpgs, n_dvc, round(mean_log_ratio, 6) AS mean_log_ratio, round(sign_sum, 6) AS sign_sum, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS is_dvr FROM "
+    + T.bh(f"(SELECT *, {T.binomial('n_dvc', 'n_cpgs', 'rate')} AS pvalue FROM dn)", "pvalue", drop=True), S_, D_,
+    "dn AS (SELECT chrom, min(pos) AS \"start\", CAST(max(pos) + 1 AS INTEGER) AS \"end\", count(*) AS n_cpgs, count(*) FILTER (WHERE pvalue < 0.2) AS n_dvc, avg(CAST(meth_diff AS DOUBLE)) AS mean_log_ratio, sum(sign(CAST(meth_diff AS DOUBLE))) FILTER (WHERE pvalue < 0.2) AS sign_sum, "
+    "(SELECT count(*) FILTER (WHERE pvalue < 0.2) / CAST(count(*) AS DOUBLE) FROM results) AS rate FROM results GROUP BY chrom, pos // 1000 HAVING count(*) >= 5)")
 def dvr_density(spark, d):
     x = V.results(spark, d).select("chrom", "pos", F.col("meth_diff").cast("double").alias("var_log_ratio"), (F.col("pvalue") < 0.2).alias("is_dvc"))
     return rounded(regions.dvr_density(x))
@@ -530,7 +673,7 @@ def diagnose_dmr(spark, d):
 _TSS = "CASE WHEN strand = '+' THEN \"start\" ELSE \"end\" END"
 _TES = "CASE WHEN strand = '+' THEN \"end\" ELSE \"start\" END"
 _PROM = f"promoters AS (SELECT chrom, CAST(greatest({_TSS} - CASE WHEN strand = '+' THEN 2000 ELSE 200 END, 0) AS INTEGER) AS \"start\", CAST({_TSS} + CASE WHEN strand = '+' THEN 200 ELSE 2000 END AS INTEGER) AS \"end\", gene_id FROM genes)"
-_INTR = "introns AS (SELECT chrom, CAST(greatest(a, gs) AS INTEGER) AS \"start\", CAST(least(\"start\", ge) AS INTEGER) AS \"end\", gene_id FROM (SELECT e.*, g.\"start\" AS gs, g.\"end\" AS ge, coalesce(max(e.\"end\") OVER (PARTITION BY e.gene_id ORDER BY e.\"start\", e.\"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g.\"start\") AS a FROM exons e JOIN genes g USING (gene_id)) WHERE least(\"start\", ge) > greatest(a, gs))"
+_INTR = "introns AS (SELECT chrom, CAST(greatest(a, gs) AS INTEGER) AS \"start\", CAST(least(\"start\", ge) AS INTEGER) AS \"end\", gene_id FROM (SELECT e.chrom, e.gene_id, e.\"start\", e.\"end\", g.\"start\" AS gs, g.\"end\" AS ge, coalesce(max(e.\"end\") OVER (PARTITION BY e.gene_id ORDER BY e.\"start\", e.\"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g.\"start\") AS a FROM exons e JOIN genes g USING (gene_id)) WHERE least(\"start\", ge) > greatest(a, gs))"
 _INDEX = "idx AS (SELECT DISTINCT * FROM (SELECT *, 'promoter' AS feature, 0 AS priority FROM promoters UNION ALL SELECT chrom, \"start\", \"end\", gene_id, 'exon', 4 FROM exons UNION ALL SELECT *, 'intron', 5 FROM introns))"
 
 
@@ -544,14 +687,11 @@ def tts(spark, d):
     return A.tts(V.genes(spark, d))
 
 
-@query("SELECT * FROM introns", G_, E_, _INTR.replace("SELECT e.*, g", "SELECT e.chrom, e.gene_id, e.\"start\", e.\"end\", g"))
+@query("SELECT * FROM introns", G_, E_, _INTR)
 def introns(spark, d):
     return A.introns(V.exons(spark, d), V.genes(spark, d))
 
 
-_INTR = _INTR.replace("SELECT e.*, g", "SELECT e.chrom, e.gene_id, e.\"start\", e.\"end\", g")
-
-
 @query("SELECT chrom, \"start\", \"end\", gene_id FROM genes WHERE gene_type <> 'protein_coding'", G_)
 def noncoding(spark, d):
     return A.noncoding(V.genes(spark, d))
@@ -630,12 +770,16 @@ def entropy_windows(spark, d):
     return rounded(reads.entropy(V.calls(spark, d)))
 
 
-@query("SELECT sample, chrom, pos, count(*) FILTER (WHERE hap = 0 AND status = 1) AS meth_0, count(*) FILTER (WHERE hap = 0 AND status = 0) AS unmeth_0, count(*) FILTER (WHERE hap = 1 AND status = 1) AS meth_1, count(*) FILTER (WHERE hap = 1 AND status = 0) AS unmeth_1 FROM calls JOIN (SELECT sample, read_id, min(h) AS hap FROM alleles WHERE h IS NOT NULL GROUP BY ALL HAVING min(h) = max(h)) USING (sample, read_id) GROUP BY sample, chrom, pos HAVING count(*) FILTER (WHERE hap = 0) >= 10 AND count(*) FILTER (WHERE hap = 1) >= 10", C_, L_)
+_ASM = "SELECT sample, chrom, pos, count(*) FILTER (WHERE hap = 0 AND status = 1) AS meth_0, count(*) FILTER (WHERE hap = 0 AND status = 0) AS unmeth_0, count(*) FILTER (WHERE hap = 1 AND status = 1) AS meth_1, count(*) FILTER (WHERE hap = 1 AND status = 0) AS unmeth_1 FROM calls JOIN (SELECT sample, read_id, min(h) AS hap FROM alleles WHERE h IS NOT NULL GROUP BY ALL HAVING min(h) = max(h)) USING (sample, read_id) GROUP BY sample, chrom, pos HAVING count(*) FILTER (WHERE hap = 0) >= 10 AND count(*) FILTER (WHERE hap = 1) >= 10"
+
+
+@query(_ASM, C_, L_)
 def asm_counts(spark, d):
     return reads.asm_counts(V.calls(spark, d), reads.phase_reads(V.alleles(spark, d)))
 
 
-@query()
+@query("SELECT * EXCLUDE (beta_0, beta_1, meth_diff, pvalue, q), round(beta_0, 6) AS beta_0, round(beta_1, 6) AS beta_1, round(meth_diff, 6) AS meth_diff, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS is_asm FROM "
+    + T.bh(f"(SELECT *, beta_0 - beta_1 AS meth_diff, {T.fisher_doubled('meth_0', 'unmeth_0', 'meth_1', 'unmeth_1')} AS pvalue FROM (SELECT *, meth_0 / (meth_0 + unmeth_0) AS beta_0, meth_1 / (meth_1 + unmeth_1) AS beta_1 FROM ({_ASM})))", "pvalue", drop=True), C_, L_)
 def asm(spark, d):
     return rounded(reads.allele_specific(V.calls(spark, d), V.alleles(spark, d)))
 
@@ -645,46 +789,153 @@ def asm(spark, d):
 
 @query("SELECT chrom, CAST(pos // 5000 AS INTEGER) AS bin, round(avg(CAST(meth_diff AS DOUBLE)), 6) AS value, count(*) AS n FROM results GROUP BY chrom, pos // 5000", S_, D_)
 def karyogram_bins(spark, d):
-    return rounded(V.results(spark, d).groupBy("chrom", F.expr("cast(pos div 5000 as int)").alias("bin")).agg(F.avg(F.col("meth_diff").cast("double")).alias("value"), F.count("*").alias("n")))
+    return rounded(P.karyogram(V.results(spark, d), bin_size=5000))
 
 
 @query("SELECT sample, CAST(CASE WHEN strand = '+' THEN (pos - \"start\") // 200 ELSE (\"end\" - 1 - pos) // 200 END AS INTEGER) AS bin, round(avg(n_meth / CAST(coverage AS DOUBLE)), 6) AS beta, count(*) AS n FROM (SELECT s.sample, s.pos, s.n_meth, s.coverage, w.* FROM sites s JOIN (SELECT chrom AS c, t - 2000 AS \"start\", t + 2000 AS \"end\", strand FROM (SELECT chrom, strand, CASE WHEN strand = '+' THEN \"start\" ELSE \"end\" - 1 END AS t FROM genes)) w ON s.chrom = w.c AND s.pos >= w.\"start\" AND s.pos < w.\"end\" WHERE s.coverage > 0) GROUP BY ALL", S_, G_)
 def tss_profile(spark, d):
-    g = V.genes(spark, d).select("chrom", "strand", F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end") - 1).alias("t"))
-    w = g.select("chrom", F.col("t").alias("_t"), "strand").selectExpr("chrom", "_t - 2000 AS start", "_t + 2000 AS end", "strand AS g_strand")
-    w = w.withColumn("start0", F.col("start")).withColumn("start", F.greatest("start", F.lit(0)))
-    x = ranges.points_in(V.sites(spark, d).where("coverage > 0"), w)
-    b = F.when(F.col("g_strand") == "+", F.expr("(pos - start0) div 200")).otherwise(F.expr("(end - 1 - pos) div 200")).cast("int")
-    return rounded(x.groupBy("sample", b.alias("bin")).agg(F.avg(F.col("n_meth") / F.col("coverage")).alias("beta"), F.count("*").alias("n")))
+    return rounded(P.tss_profile(V.sites(spark, d), V.genes(spark, d)))
 
 
 @query("SELECT sample, zone, bin, round(avg(beta), 6) AS beta, count(*) AS n FROM (SELECT s.sample, n_meth / CAST(coverage AS DOUBLE) AS beta, CASE WHEN r < 0 THEN 'upstream' WHEN r >= len THEN 'downstream' ELSE 'body' END AS zone, CAST(CASE WHEN r < 0 THEN (r + 1000) * 10 // 1000 WHEN r >= len THEN (r - len) * 10 // 1000 ELSE r * 20 // len END AS INTEGER) AS bin FROM (SELECT s.sample, s.n_meth, s.coverage, g.\"end\" - g.\"start\" AS len, CASE WHEN g.strand = '+' THEN s.pos - g.\"start\" ELSE g.\"end\" - 1 - s.pos END AS r FROM sites s JOIN genes g ON s.chrom = g.chrom AND s.pos >= g.\"start\" - 1000 AND s.pos < g.\"end\" + 1000 WHERE s.coverage > 0 AND g.\"end\" - g.\"start\" >= 500) s) GROUP BY ALL", S_, G_)
 def gene_body_profile(spark, d):
-    g = V.genes(spark, d).where("end - start >= 500").selectExpr("chrom", "start AS gs", "end AS ge", "strand AS g_strand").selectExpr("chrom", "greatest(gs - 1000, 0) AS start", "ge + 1000 AS end", "gs", "ge", "g_strand")
-    x = ranges.points_in(V.sites(spark, d).where("coverage > 0"), g).withColumn("len", F.col("ge") - F.col("gs"))
-    x = x.withColumn("r", F.when(F.col("g_strand") == "+", F.col("pos") - F.col("gs")).otherwise(F.col("ge") - 1 - F.col("pos")))
-    zone = F.expr("CASE WHEN r < 0 THEN 'upstream' WHEN r >= len THEN 'downstream' ELSE 'body' END")
-    b = F.expr("cast(CASE WHEN r < 0 THEN (r + 1000) * 10 div 1000 WHEN r >= len THEN (r - len) * 10 div 1000 ELSE r * 20 div len END as int)")
-    return rounded(x.groupBy("sample", zone.alias("zone"), b.alias("bin")).agg(F.avg(F.col("n_meth") / F.col("coverage")).alias("beta"), F.count("*").alias("n")))
+    return rounded(P.gene_body_profile(V.sites(spark, d), V.genes(spark, d)))
 
 
 @query("SELECT chrom, size, CAST(coalesce(sum(size + 10000000) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT chrom, max(pos) AS size FROM results GROUP BY chrom)", S_, D_)
 def manhattan_offsets(spark, d):
-    from pyspark.sql import Window
-
-    x = V.results(spark, d).groupBy("chrom").agg(F.max("pos").alias("size"))
-    return x.withColumn("offset", F.coalesce(F.sum(F.col("size") + 10_000_000).over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    return P.chromosome_offsets(V.results(spark, d))
 
 
 @query("SELECT chrom, pos, round(-log10(pvalue), 6) AS neg_log10_p, qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff > 0 AS is_hyper, qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff < 0 AS is_hypo FROM results", S_, D_)
 def volcano_masks(spark, d):
-    hit = regions.significant("qvalue", 0.2, 0.1)
-    return rounded(V.results(spark, d).select("chrom", "pos", (-F.log10("pvalue")).alias("neg_log10_p"), (hit & (F.col("meth_diff") > 0)).alias("is_hyper"), (hit & (F.col("meth_diff") < 0)).alias("is_hypo")))
+    return rounded(P.volcano(V.results(spark, d), 0.2, 0.1))
 
 
 @query("SELECT chrom, pos, round(CAST(meth_diff AS DOUBLE), 6) AS meth_diff, round(pvalue, 6) AS pvalue FROM results ORDER BY pvalue, chrom, pos LIMIT 50", S_, D_)
 def top_dmcs(spark, d):
-    return rounded(V.results(spark, d).orderBy("pvalue", "chrom", "pos").limit(50).select("chrom", "pos", "meth_diff", "pvalue"))
+    return rounded(P.top_sites(V.results(spark, d), 50).select("chrom", "pos", "meth_diff", "pvalue"))
+
+
+@query("SELECT chrom, pos, pos + o AS x, round(-log10(pvalue), 6) AS neg_log10_p, qvalue < 0.05 AS is_hit FROM results JOIN (SELECT chrom, coalesce(sum(size + 10000000) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM (SELECT chrom, max(pos) AS size FROM results GROUP BY chrom)) USING (chrom)", S_, D_)
+def manhattan(spark, d):
+    return rounded(P.manhattan(V.results(spark, d)))
+
+
+_MEANS = "mr AS (SELECT r.*, CAST(pvalue AS FLOAT) AS mean_beta_case, CAST(1 - pvalue AS FLOAT) AS mean_beta_control FROM results r)"
+
+
+@query("SELECT chrom, pos, round((CAST(mean_beta_case AS DOUBLE) + CAST(mean_beta_control AS DOUBLE)) / 2, 6) AS mean_beta, round(CAST(meth_diff AS DOUBLE), 6) AS meth_diff, qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff > 0 AS is_hyper, qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff < 0 AS is_hypo FROM mr", S_, D_, _MEANS)
+def mean_difference(spark, d):
+    r = V.results(spark, d).withColumns({"mean_beta_case": F.col("pvalue").cast("float"), "mean_beta_control": (1 - F.col("pvalue")).cast("float")})
+    return rounded(P.mean_difference(r, 0.2, 0.1))
+
+
+@query("SELECT count(*) AS n_sites, count(pvalue) AS n_tested, count(*) FILTER (WHERE qvalue < 0.2) AS n_significant, count(*) FILTER (WHERE qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff > 0) AS n_hyper, count(*) FILTER (WHERE qvalue < 0.2 AND abs(meth_diff) >= CAST(0.1 AS FLOAT) AND meth_diff < 0) AS n_hypo FROM results", S_, D_)
+def hit_counts(spark, d):
+    return P.hit_counts(V.results(spark, d), 0.2, 0.1)
+
+
+_RQ = "rq AS (SELECT *, ((\"start\" % 97) + 1) / 100.0 AS qvalue, CASE WHEN \"start\" % 3 = 0 THEN 'hyper' WHEN \"start\" % 3 = 1 THEN 'hypo' ELSE 'mixed' END AS dmr_type FROM regions)"
+
+
+def _regions(spark, d):
+    return V.regions(spark, d).withColumns({"qvalue": F.expr("((start % 97) + 1) / 100.0D"), "dmr_type": F.expr("element_at(array('hyper', 'hypo', 'mixed'), cast(start % 3 as int) + 1)")})
+
+
+@query("SELECT chrom, \"start\", \"end\", region_id, dmr_type FROM rq ORDER BY qvalue, chrom, \"start\" LIMIT 20", R_, _RQ)
+def top_dmrs(spark, d):
+    return P.top_regions(_regions(spark, d), 20).select("chrom", "start", "end", "region_id", "dmr_type")
+
+
+@query("SELECT dmr_type, count(*) AS n, round(min(qvalue), 6) AS low, round(quantile_cont(CAST(qvalue AS DOUBLE), 0.25), 6) AS q1, round(quantile_cont(CAST(qvalue AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(qvalue AS DOUBLE), 0.75), 6) AS q3, round(max(qvalue), 6) AS high FROM rq GROUP BY dmr_type", R_, _RQ)
+def region_spread(spark, d):
+    return rounded(P.region_spread(_regions(spark, d), "qvalue"))
+
+
+@query("SELECT chrom, pos, " + ", ".join(f"round(max(n_meth / CAST(nullif(coverage, 0) AS DOUBLE)) FILTER (WHERE sample = '{s}'), 6) AS {s}" for s in V.SAMPLES) + " FROM sites JOIN (SELECT chrom, pos FROM results ORDER BY abs(meth_diff) DESC, chrom, pos LIMIT 40) USING (chrom, pos) GROUP BY chrom, pos", S_, D_)
+def site_heatmap(spark, d):
+    return rounded(P.site_heatmap(V.sites(spark, d), V.results(spark, d), V.SAMPLES, 40))
+
+
+_IN = "FROM sites s JOIN (SELECT DISTINCT chrom, \"start\", \"end\" FROM regions) r ON r.chrom = s.chrom AND s.pos >= r.\"start\" AND s.pos < r.\"end\" WHERE coverage > 0"
+
+
+@query("SELECT r.chrom, r.\"start\", r.\"end\", " + ", ".join(f"round(avg(n_meth / CAST(coverage AS DOUBLE)) FILTER (WHERE sample = '{s}'), 6) AS {s}" for s in V.SAMPLES) + f" {_IN} GROUP BY ALL", S_, R_)
+def region_matrix(spark, d):
+    return rounded(P.region_matrix(V.sites(spark, d), V.regions(spark, d), V.SAMPLES))
+
+
+@query(f"SELECT r.chrom, r.\"start\", r.\"end\", sample, round(sum(n_meth) / CAST(sum(coverage) AS DOUBLE), 6) AS beta, count(*) AS n_sites {_IN} GROUP BY ALL", S_, R_)
+def region_levels(spark, d):
+    return rounded(P.region_levels(V.sites(spark, d), V.regions(spark, d)))
+
+
+@query("SELECT count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b, count(*) FILTER (WHERE a AND b) AS both FROM (SELECT pvalue < 0.5 AS a, pos % 300 = 0 AS b FROM results)", S_, D_)
+def two_sets(spark, d):
+    r = V.results(spark, d)
+    return P.two_sets(r.where("pvalue < 0.5"), r.where("pos % 300 = 0"), ("chrom", "pos"))
+
+
+@query("SELECT annotation, bin, n, round(n / (sum(n) OVER (PARTITION BY annotation) * 0.05), 6) AS density FROM (SELECT annotation, CAST(least(floor((v + 0.5) / 0.05), 19) AS INTEGER) AS bin, count(*) AS n FROM (SELECT chrom AS annotation, CAST(meth_diff AS DOUBLE) AS v FROM results) WHERE v BETWEEN -0.5 AND 0.5 GROUP BY ALL)", S_, D_)
+def value_histogram(spark, d):
+    x = V.results(spark, d).select(F.col("chrom").alias("annotation"), F.col("meth_diff").cast("double").alias("value"))
+    return rounded(P.histogram(x, -0.5, 0.5, 20))
+
+
+@query("SELECT a, b, n, round(n / CAST(own AS DOUBLE), 6) AS share FROM co JOIN (SELECT a, n AS own FROM co WHERE a = b) USING (a)", *_ANN, _HITS, "co AS (SELECT a, b, count(*) AS n FROM (SELECT DISTINCT chrom, pos, feature AS a FROM hits) JOIN (SELECT DISTINCT chrom, pos, feature AS b FROM hits) USING (chrom, pos) GROUP BY a, b)")
+def coannotation_shares(spark, d):
+    return rounded(P.row_shares(A.coannotation(A.all_features(V.results(spark, d), _index(spark, d)))))
+
+
+@query("SELECT s.* FROM sites s WHERE EXISTS (SELECT 1 FROM genes g WHERE g.chrom = s.chrom AND s.pos >= CASE WHEN g.strand = '+' THEN g.\"start\" ELSE g.\"end\" - 1 END - 2000 AND s.pos < CASE WHEN g.strand = '+' THEN g.\"start\" ELSE g.\"end\" - 1 END + 2000)", S_, G_)
+def sites_near_genes(spark, d):
+    return P.near_genes(V.sites(spark, d), V.genes(spark, d))
+
+
+@query("SELECT sample, n_sites, round(intermediate, 6) AS intermediate FROM (SELECT sample, count(*) AS n_sites, avg(CASE WHEN n_meth / CAST(coverage AS DOUBLE) > 0.2 AND n_meth / CAST(coverage AS DOUBLE) < 0.8 THEN 1 ELSE 0 END) AS intermediate FROM sites WHERE coverage >= 10 GROUP BY sample) ORDER BY intermediate DESC, sample LIMIT 3", S_)
+def worst_samples(spark, d):
+    return rounded(P.worst_samples(qc.contamination(V.sites(spark, d))))
+
+
+@query("SELECT chrom, pos, row_number() OVER (ORDER BY chrom, pos) - 1 AS site FROM (SELECT chrom, pos FROM sites GROUP BY chrom, pos HAVING count(DISTINCT sample) = 8)", S_)
+def matrix_site_axis(spark, d):
+    return store.site_axis(V.sites(spark, d), "intersect", 8)
+
+
+@query("SELECT CAST(substring(sample, 2) AS INTEGER) AS sample, site, round(n_meth / CAST(coverage AS DOUBLE), 6) AS value FROM sites JOIN (SELECT chrom, pos, row_number() OVER (ORDER BY chrom, pos) - 1 AS site FROM (SELECT DISTINCT chrom, pos FROM sites)) USING (chrom, pos) WHERE coverage > 0", S_)
+def matrix_entries(spark, d):
+    s = V.sites(spark, d)
+    return rounded(store.matrix_entries(s, store.site_axis(s), V.SAMPLES))
+
+
+@query("SELECT chrom, pos, strand, context, CAST(CASE WHEN b IS NULL THEN n_meth ELSE least(greatest(round_even(b * coverage, 0), 0), coverage) END AS INTEGER) AS n_meth, CAST(coverage - CASE WHEN b IS NULL THEN n_meth ELSE least(greatest(round_even(b * coverage, 0), 0), coverage) END AS INTEGER) AS n_unmeth, coverage, sample FROM (SELECT *, CASE WHEN pos % 700 <> 0 THEN (pos % 1300) / CAST(1000.0 AS DOUBLE) END AS b FROM sites)", S_)
+def smoothed_pseudo_counts(spark, d):
+    s = V.sites(spark, d)
+    return store.smoothed_counts(s, s.where("pos % 700 <> 0").select("sample", "chrom", "pos", F.expr("(pos % 1300) / 1000.0D").alias("smoothed")))
+
+
+@query("SELECT chrom, pos, round(CAST(meth_diff AS DOUBLE), 6) AS meth_diff, round(pvalue, 6) AS pvalue, round(qvalue, 6) AS qvalue FROM results", S_, D_)
+def result_store(spark, d):
+    """Stored by chromosome, one of them rewritten, and read back."""
+    from ..functions.tables import shared_dir
+
+    at = store.ResultStore.create(V.results(spark, d), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    at.update_chrom("chr1", V.results(spark, d).where("chrom = 'chr1'"))
+    return rounded(store.ResultStore.open(spark, at.path).to_dataframe())
+
+
+@query("SELECT s.sample, treatment, n_sites, round(methylation, 6) AS methylation, round(intermediate, 6) AS intermediate FROM (SELECT sample, CASE WHEN sample < 's4' THEN 1 ELSE 0 END AS treatment, count(*) AS n_sites, sum(n_meth) / CAST(sum(coverage) AS DOUBLE) AS methylation, avg(CASE WHEN n_meth / CAST(coverage AS DOUBLE) > 0.2 AND n_meth / CAST(coverage AS DOUBLE) < 0.8 THEN 1.0 ELSE 0 END) FILTER (WHERE coverage >= 10) AS intermediate FROM sites GROUP BY sample) s", S_)
+def samples_with_quality(spark, d):
+    f = MethylFrame(V.sites(spark, d), V.CASE, V.CONTROL)
+    return rounded(f.qc(contamination=True).select("sample", "treatment", "n_sites", "methylation", "intermediate"))
+
+
+@query("SELECT chrom, pos, CASE (pos // 100) % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '*' END AS strand, 'CpG' AS context, n_meth, n_unmeth, coverage, sample FROM sites", S_)
+def strands_from_bases(spark, d):
+    s = V.sites(spark, d)
+    bases = s.select("chrom", "pos").distinct().withColumn("base", F.expr("element_at(array('c', 'G', 'T'), cast(pmod(pos div 100, 3) + 1 as int))"))
+    return readers.infer_strand(s, bases).select("chrom", "pos", "strand", "context", "n_meth", "n_unmeth", "coverage", "sample")
 
 
 @query("SELECT chrom, pos AS \"start\", pos + 1 AS \"end\", round(n_meth / CAST(coverage AS DOUBLE), 6) AS value FROM sites WHERE sample = 's1' AND coverage > 0", S_)
@@ -716,17 +967,17 @@ def dmr_bed_rows(spark, d):
 # --- sequence and sample models --------------------------------------------------------
 
 
-@query("SELECT s.sample, round(0.5 + sum(k * coalesce(beta, mb)), 6) AS age, count(beta) AS n_found FROM (SELECT DISTINCT sample FROM sites) s CROSS JOIN (SELECT id, k, avg(beta) AS mb FROM b GROUP BY ALL) p LEFT JOIN b USING (sample, id, k) GROUP BY s.sample", S_, "pn AS (SELECT DISTINCT 'c' || pos || chrom AS id, chrom, pos, (pos % 700) / 1000.0 - 0.3 AS k FROM sites WHERE pos % 1100 = 0)", "b AS (SELECT sample, id, k, sum(n_meth) / CAST(sum(coverage) AS DOUBLE) AS beta FROM sites JOIN pn USING (chrom, pos) GROUP BY ALL)")
+@query("SELECT s.sample, round(0.5 + sum(k * coalesce(beta, mb)), 6) AS age, count(beta) AS n_found FROM (SELECT DISTINCT sample FROM sites) s CROSS JOIN (SELECT id, k, avg(beta) AS mb FROM b GROUP BY ALL) p LEFT JOIN b USING (sample, id, k) GROUP BY s.sample", S_, "pn AS (SELECT DISTINCT 'c' || pos || chrom AS id, chrom, pos, (pos % 700) / 1000.0 - 0.3 AS k FROM sites)", "b AS (SELECT sample, id, k, sum(n_meth) / CAST(sum(coverage) AS DOUBLE) AS beta FROM sites JOIN pn USING (chrom, pos) GROUP BY ALL)")
 def age_clock(spark, d):
     s = V.sites(spark, d)
-    p = s.where("pos % 1100 = 0").select("chrom", "pos").distinct().withColumn("cpg_id", F.concat(F.lit("c"), F.col("pos").cast("string"), "chrom"))
+    p = s.select("chrom", "pos").distinct().withColumn("cpg_id", F.concat(F.lit("c"), F.col("pos").cast("string"), "chrom"))
     return rounded(models.age_clock(s, p.select("cpg_id", F.expr("(pos % 700) / 1000.0D - 0.3D").alias("coefficient")), p, 0.5))
 
 
 @query()
 def deconvolve(spark, d):
     s = V.sites(spark, d)
-    p = s.where("pos % 500 = 0").select("chrom", "pos").distinct().withColumn("cpg_id", F.concat(F.lit("c"), F.col("pos").cast("string"), "chrom"))
+    p = s.select("chrom", "pos").distinct().withColumn("cpg_id", F.concat(F.lit("c"), F.col("pos").cast("string"), "chrom"))
     ref = p.select("cpg_id", F.expr("(pos % 700) / 700.0D").alias("t1"), F.expr("(pos % 1100) / 1100.0D").alias("t2"), F.expr("(pos % 1300) / 1300.0D").alias("t3"))
     return rounded(models.deconvolve(s, ref, p, ["t1", "t2", "t3"]))
 
@@ -762,7 +1013,14 @@ def smooth_bsmooth(spark, d):
     return rounded(sequence.smooth(V.sites(spark, d), "bsmooth"))
 
 
-@query()
+_KNN = (
+    "cells AS (SELECT p.chrom, p.pos, n.sample, s.n_meth / CAST(nullif(s.coverage, 0) AS DOUBLE) AS beta FROM (SELECT DISTINCT chrom, pos FROM sites) p CROSS JOIN (SELECT DISTINCT sample FROM sites) n LEFT JOIN sites s USING (chrom, pos, sample)), "
+    "near AS (SELECT m.chrom, m.pos, m.sample, h.beta, abs(h.pos - m.pos) AS d, row_number() OVER (PARTITION BY m.chrom, m.pos, m.sample ORDER BY abs(h.pos - m.pos), h.pos) AS k FROM cells m JOIN cells h ON h.chrom = m.chrom AND h.sample = m.sample AND h.beta IS NOT NULL AND h.pos BETWEEN m.pos - 10000 AND m.pos + 10000 WHERE m.beta IS NULL), "
+    "filled AS (SELECT chrom, pos, sample, sum(beta / (d + 1)) / sum(1.0 / (d + 1)) AS v FROM near WHERE k <= 5 GROUP BY ALL)"
+)
+
+
+@query("SELECT chrom, pos, " + ", ".join(f"round(max(v) FILTER (WHERE sample = '{s}'), 6) AS {s}" for s in V.SAMPLES) + " FROM (SELECT c.chrom, c.pos, c.sample, coalesce(c.beta, f.v) AS v FROM cells c LEFT JOIN filled f USING (chrom, pos, sample)) GROUP BY chrom, pos", S_, _KNN)
 def knn_impute(spark, d):
     return rounded(sequence.knn_impute(V.sites(spark, d), V.SAMPLES))
 
@@ -772,10 +1030,17 @@ def pca(spark, d):
     return rounded(sequence.pca(V.sites(spark, d), V.SAMPLES))
 
 
-@query()
+_ALL_SITES = S_.replace("sites AS (", "unfiltered AS (", 1)
+_KEPT = (
+    "caps AS (SELECT sample, CAST(min(coverage) AS INTEGER) AS cap FROM (SELECT sample, coverage, row_number() OVER (PARTITION BY sample ORDER BY coverage) - 1 AS i, count(*) OVER (PARTITION BY sample) AS n FROM unfiltered) WHERE i >= floor(0.999 * (n - 1) + 0.5) GROUP BY sample), "
+    "kept AS (SELECT u.* FROM unfiltered u JOIN caps USING (sample) WHERE coverage >= 5 AND coverage <= cap), sites AS (SELECT * FROM kept WHERE (chrom, pos) IN (SELECT (chrom, pos) FROM kept GROUP BY chrom, pos HAVING count(DISTINCT sample) = 8))"
+)
+
+
+@query(f"SELECT chrom, pos, {_effects('pi')}, round(phi, 6) AS phi, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS reject FROM {T.bh('tested', 'pvalue')}", _ALL_SITES, _KEPT, _ACC, _DISP, _RAW, _quasi("lr_raw", _EB))
 def flagship(spark, d):
-    """Coverage filter, intersection, likelihood-ratio test, q-values, best sites."""
+    """Coverage filter, intersection, likelihood-ratio test and q-values of all sites."""
     s = S.filter_coverage(V.sites(spark, d), 5, 99.9)
     x = s.join(S.unite(s, "intersect", 8).select("chrom", "pos"), ["chrom", "pos"], "left_semi")
     r = fdr.adjust(tests.quasi_binomial(x, is_case(), "lr", "eb"))
-    return rounded(r.select("chrom", "pos", "mean_beta_case", "mean_beta_control", "meth_diff", "log2_odds_ratio", "phi", "pvalue", "qvalue", "reject").orderBy("pvalue", "chrom", "pos").limit(100))
+    return rounded(r.select("chrom", "pos", "mean_beta_case", "mean_beta_control", "meth_diff", "log2_odds_ratio", "phi", "pvalue", "qvalue", "reject"))

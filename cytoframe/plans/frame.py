@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fdr, regions, sites as S, tests
-from ..sources import sinks
+from ..functions.tables import written
+from ..operators import annotate as A
+from ..operators import fdr, models, profiles, qc, reads, regions, sequence, sites as S, tests
+from ..sources import sinks, store
 
 
 class MethylFrame:
-    def __init__(self, sites: DataFrame, case: list[str], control: list[str], results: dict[str, DataFrame] | None = None, meta: dict | None = None):
+    """sites: the site table. case, control: sample names. obs: a row for each sample, column sample and any others.
+
+    results holds the tables that methods made, by name. A method that makes a
+    new frame leaves this one as it is.
+    """
+
+    def __init__(self, sites: DataFrame, case: list[str], control: list[str], results: dict[str, DataFrame] | None = None, meta: dict | None = None, obs: DataFrame | None = None):
         self.sites, self.case, self.control = sites, list(case), list(control)
-        self.results, self.meta = dict(results or {}), dict(meta or {})
+        self.results, self.meta, self._obs = dict(results or {}), dict(meta or {}), obs
 
     @property
     def samples(self) -> list[str]:
@@ -25,8 +33,23 @@ class MethylFrame:
     def is_case(self) -> Column:
         return F.col("sample").isin(self.case)
 
+    @property
+    def obs(self) -> DataFrame:
+        if self._obs is None:
+            rows = [(s, int(s in self.case)) for s in self.samples]
+            self._obs = self.sites.sparkSession.createDataFrame(rows, "sample string, treatment int")
+        return self._obs
+
     def _with(self, sites: DataFrame, **meta) -> MethylFrame:
-        return MethylFrame(sites, self.case, self.control, self.results, self.meta | meta)
+        return MethylFrame(sites, self.case, self.control, self.results, self.meta | meta, self._obs)
+
+    def _describe(self, table: DataFrame) -> DataFrame:
+        """Adds the columns of a table with a row for each sample to obs, in the place of those of these names."""
+        new = [c for c in table.columns if c != "sample"]
+        self._obs = self.obs.drop(*new).join(F.broadcast(table), "sample", "left")  # a row for each sample
+        return self._obs
+
+    # --- preparation ------------------------------------------------------
 
     def filter_coverage(self, low: int = 10, high: float = 99.9, blacklist: DataFrame | None = None) -> MethylFrame:
         return self._with(S.filter_coverage(self.sites, low, high, blacklist), filtered=[low, high])
@@ -39,45 +62,197 @@ class MethylFrame:
     def unite(self, how: str = "union") -> MethylFrame:
         return self._with(self.sites, united=how)
 
-    def _tested(self) -> DataFrame:
+    def smooth(self, kernel: str = "gaussian", **parameters) -> MethylFrame:
+        """A frame whose results hold the smoothed levels, for use by dmc(smoothed=True)."""
+        out = self._with(self.sites, smoothed=[kernel, parameters])
+        out.results["smoothed"] = written(sequence.smooth(self.sites, kernel, **parameters))
+        return out
+
+    def _tested(self, smoothed: bool = False, smooth_bp: int | None = None) -> DataFrame:
         mine = self.sites.where(F.col("sample").isin(self.samples))
         if self.meta.get("united") == "intersect":
             mine = mine.join(S.unite(mine, "intersect", len(self.samples)).select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+        if smoothed:
+            if "smoothed" not in self.results:
+                raise ValueError("smooth the frame first")
+            mine = store.smoothed_counts(mine, self.results["smoothed"])
+        if smooth_bp:
+            x = regions.smooth_counts(mine, smooth_bp)
+            mine = x.withColumns({"coverage": F.bround("cov_sm").cast("int"), "n_meth": F.least(F.bround("meth_sm"), F.bround("cov_sm")).cast("int")}).withColumn("n_unmeth", F.col("coverage") - F.col("n_meth")).select(*mine.columns)
         return mine
 
-    def dmc(self, test: str = "lr", dispersion: str = "eb", reference: str = "adaptive", fdr_method: str = "bh", neighbour_bp: int | None = None, alpha: float = 0.05) -> DataFrame:
-        """Per-site results with q-values, kept as results["dmc_<test>"]."""
-        x = self._tested()
-        out = {
-            "lr": lambda: tests.quasi_binomial(x, self.is_case, "lr", dispersion, reference), "score": lambda: tests.quasi_binomial(x, self.is_case, "score", dispersion, reference),
-            "fisher": lambda: tests.fisher(x, self.is_case), "welch_t": lambda: tests.welch(x, self.is_case), "logit_t": lambda: tests.welch(x, self.is_case, "logit"),
-        }[test]()
+    # --- per site ---------------------------------------------------------
+
+    def _design(self, formula: str) -> tuple[list[str], np.ndarray]:
+        at = {r["sample"]: r.asDict() for r in self.obs.collect()}  # a row for each sample
+        return models.design([at[s] for s in self.samples], formula)
+
+    def dmc(
+        self, test: str = "auto", dispersion: str = "eb", reference: str = "adaptive", fdr_method: str = "bh", neighbour_bp: int | None = None, alpha: float = 0.05,
+        formula: str | None = None, contrast: object = None, min_case: int = 0, min_control: int = 0, allow_single: bool = False,
+        smoothed: bool = False, smooth_bp: int | None = None, separated: float | None = None, permutations: int = 0, seed: int = 42,
+    ) -> DataFrame:
+        """Per-site results with q-values, kept as results["dmc_<test>"].
+
+        test: auto, lr, score, fisher, cmh, welch_t, logit_t, bb_lr or glm. A
+        formula over obs makes it a regression, with a contrast of its terms
+        or else the treatment term against the rest. permutations adds an
+        empirical p-value from as many shuffles of the labels.
+        """
+        if test == "auto":
+            test = "glm" if formula else tests.auto_test(len(self.case), len(self.control), allow_single)
+        tests.check_groups(len(self.case), len(self.control), self.meta.get("united", "union"), allow_single or test == "fisher" or bool(formula), min_case, min_control)
+        x = self._tested(smoothed, smooth_bp)
+        if test == "glm":
+            names, full = self._design(formula or "~ treatment")
+            if contrast is not None:
+                out = models.glm(x, self.samples, full, contrasts=models.contrast(contrast, names), reference=reference, dispersion=dispersion)
+            else:
+                if "treatment" not in names:
+                    raise ValueError(f"no treatment term in {names}; give a contrast")
+                k = names.index("treatment")
+                out = models.glm(x, self.samples, full, np.delete(full, k, axis=1), k, reference=reference, dispersion=dispersion)
+        else:
+            out = {
+                "lr": lambda: tests.quasi_binomial(x, self.is_case, "lr", dispersion, reference, separated), "score": lambda: tests.quasi_binomial(x, self.is_case, "score", dispersion, reference, separated),
+                "fisher": lambda: tests.fisher(x, self.is_case), "cmh": lambda: tests.cmh(x, self.is_case), "welch_t": lambda: tests.welch(x, self.is_case), "logit_t": lambda: tests.welch(x, self.is_case, "logit"),
+                "bb_lr": lambda: models.two_group_glm(x, self.case, self.control, dispersion, reference),
+            }[test]()
+        out = tests.masked(out, x, self.is_case, min_case, min_control)
+        if permutations:
+            if test not in ("lr", "score"):
+                raise ValueError("labels are permuted for lr and score")
+            null = tests.permuted_tests(x, tests.label_sets(self.case, self.control, permutations, seed), test, dispersion, reference)
+            out = fdr.adjust(tests.permuted_pvalues(out, null), "p_empirical", "bh", alpha, "drop", "q_empirical").drop("reject")
         if neighbour_bp:
             out = regions.combine_neighbours(out, neighbour_bp).drop("pvalue").withColumnRenamed("pvalue_combined", "pvalue")
         self.results[f"dmc_{test}"] = fdr.adjust(out, "pvalue", fdr_method, alpha)
+        self.meta["last_dmc"] = f"dmc_{test}"
         return self.results[f"dmc_{test}"]
 
+    def get_dmc(self, test: str | None = None, annotated: bool = True) -> DataFrame:
+        """The table of a test, or of the last one; with features where it has been annotated."""
+        name = f"dmc_{test}" if test else self.meta.get("last_dmc")
+        if name not in self.results:
+            raise KeyError(f"no {name}; there are {sorted(self.results)}")
+        return self.results.get(f"{name}_annotated", self.results[name]) if annotated else self.results[name]
+
+    def significant_dmcs(self, alpha: float = 0.05, test: str | None = None) -> DataFrame:
+        x = self.get_dmc(test)
+        return x.where(F.col("qvalue" if "qvalue" in x.columns else "pvalue") < alpha)
+
     def dvc(self, alpha: float = 0.05, mean_alpha: float = 0.05) -> DataFrame:
         x = fdr.adjust(tests.bartlett(self._tested(), self.is_case), "p_var", "bh", alpha, "drop", "q_var").drop("reject")
         self.results["dvc"] = x.withColumn("is_dvc", F.coalesce((F.col("q_var") < alpha) & (F.col("p_mean") > mean_alpha), F.lit(False)))
         return self.results["dvc"]
 
-    def dmr(self, method: str = "chain_merge", test: str = "lr", **settings) -> DataFrame:
-        source = self.results.get(f"dmc_{test}")
+    # --- regions ----------------------------------------------------------
+
+    def dmr(self, method: str = "chain_merge", test: str = "auto", permutations: int = 0, seed: int = 42, **settings) -> DataFrame:
+        """Regions by chain_merge, sliding_window, hmm or tile, kept as results["dmr"]. Only tiles are tested anew, and only their labels can be permuted."""
         if method == "tile":
-            out = regions.dmr_tiles(self._tested(), self.is_case, **settings)
+            size = settings.get("size", 1000)
+            out = regions.dmr_tiles(self._tested(), self.is_case, **({} if test == "auto" else {"test": test}), **settings)
+            if permutations:
+                t = S.tiles(self._tested(), size).where(F.col("n_cpgs") >= settings.get("min_cpgs", 5))
+                null = tests.permuted_tests(t, tests.label_sets(self.case, self.control, permutations, seed))
+                out = fdr.adjust(tests.permuted_pvalues(out, null), "p_empirical", "bh", 0.05, "drop", "q_empirical").drop("reject")
         else:
-            source = source if source is not None else self.dmc(test)
-            out = (regions.dmr_chain if method == "chain_merge" else regions.dmr_sliding)(source, **settings)
+            if permutations:
+                raise ValueError("labels are permuted for tiles")
+            name = self.meta.get("last_dmc") if test == "auto" else f"dmc_{test}"
+            source = self.results[name] if name in self.results else self.dmc(test)
+            out = {"chain_merge": regions.dmr_chain, "sliding_window": regions.dmr_sliding, "hmm": sequence.dmr_hmm}[method](source, **settings)
         self.results["dmr"] = out
         return out
 
+    def dvr(self, **settings) -> DataFrame:
+        source = self.results["dvc"] if "dvc" in self.results else self.dvc()
+        self.results["dvr"] = regions.dvr_density(source, **settings)
+        return self.results["dvr"]
+
+    def pmd(self, **settings) -> DataFrame:
+        self.results["pmd"] = sequence.pmd(self._tested(), **settings)
+        return self.results["pmd"]
+
+    def hmr(self, **settings) -> DataFrame:
+        self.results["hmr"] = sequence.hmr(self._tested(), **settings)
+        return self.results["hmr"]
+
+    def annotate(self, genes: DataFrame, exons: DataFrame, islands: DataFrame | None = None, significant_only: bool = True, alpha: float = 0.05, gene_types: list[str] | None = None, **index) -> dict[str, DataFrame]:
+        """Features, genes, nearest gene start and island context of the last test's sites and of the regions' middles."""
+        if gene_types:
+            genes = genes.where(F.col("gene_type").isin(gene_types))
+            exons = exons.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+        features = written(A.feature_index(genes, exons, **index))
+
+        def of(x: DataFrame) -> DataFrame:
+            x = A.nearest_tss(A.best_feature(A.all_features(x, features), features), genes)
+            return x if islands is None else A.island_context(x, islands)
+
+        out = {}
+        if name := self.meta.get("last_dmc"):
+            out[f"{name}_annotated"] = of(self.significant_dmcs(alpha, name[4:]) if significant_only else self.get_dmc(annotated=False))
+        if "dmr" in self.results:
+            out["dmr_annotated"] = of(self.results["dmr"].withColumn("pos", F.expr("cast((start + end) div 2 as int)")))
+        self.results |= out
+        return out
+
+    # --- samples ----------------------------------------------------------
+
+    def qc(self, other_context: DataFrame | None = None, sex_chrom: str | None = None, contamination: bool = False, correlation: str | None = None) -> DataFrame:
+        """Quality figures of each sample, added to obs; the tables behind them are kept in results."""
+        whole = self.sites.groupBy("sample").agg(F.count("*").alias("n_sites"), F.avg("coverage").alias("mean_coverage"), F.try_divide(F.sum("n_meth").cast("double"), F.sum("coverage")).alias("methylation"))
+        outliers = qc.global_methylation(self.sites)
+        self.results |= {"qc_summary": qc.sample_summary(self.sites), "qc_global": outliers, "qc_uniformity": qc.coverage_uniformity(self.sites)}
+        x = whole.join(outliers.groupBy("sample").agg(F.bool_or("is_outlier").alias("is_outlier")), "sample", "left")
+        if other_context is not None:
+            x = x.join(qc.conversion_rate(other_context), "sample", "left")
+        if sex_chrom:
+            x = x.join(qc.sex_check(self.sites, sex_chrom).select("sample", "sex"), "sample", "left")
+        if contamination:
+            x = x.join(qc.contamination(self.sites).select("sample", "intermediate"), "sample", "left")
+        if correlation:
+            self.results["qc_correlation"] = qc.sample_correlation(self.sites, self.samples, correlation)
+        return self._describe(x)
+
+    def age_clock(self, coefficients: DataFrame, manifest: DataFrame, name: str = "age", **settings) -> DataFrame:
+        x = models.age_clock(self.sites, coefficients, manifest, **settings)
+        return self._describe(x.select("sample", F.col("age").alias(name)))
+
+    def deconvolve(self, reference: DataFrame, manifest: DataFrame, cell_types: list[str]) -> DataFrame:
+        """Proportions, kept as results["deconvolution"], and a column of obs for each cell type."""
+        self.results["deconvolution"] = models.deconvolve(self.sites, reference, manifest, cell_types)
+        return self._describe(self.results["deconvolution"].groupBy("sample").pivot("cell_type", cell_types).agg(F.first("proportion")))
+
+    def asm(self, calls: DataFrame, alleles: DataFrame, **settings) -> DataFrame:
+        self.results["asm"] = reads.allele_specific(calls, alleles, **settings)
+        return self.results["asm"]
+
+    def entropy(self, calls: DataFrame, **settings) -> DataFrame:
+        self.results["entropy"] = reads.entropy(calls, **settings)
+        return self.results["entropy"]
+
+    # --- reports and storage ---------------------------------------------
+
+    def report(self, n: int = 50, alpha: float = 0.05, delta: float = 0.1) -> dict[str, DataFrame]:
+        """The tables of a report: samples, counts of hits, best sites and regions; each short."""
+        out = {"samples": self.obs}
+        if self.meta.get("last_dmc"):
+            x = self.get_dmc()
+            out |= {"hits": profiles.hit_counts(x, alpha, delta), "top_dmcs": profiles.top_sites(x, n)}
+        if "dmr" in self.results:
+            x = self.results["dmr"]
+            out["top_dmrs"] = profiles.top_regions(x, n, "combined_qvalue" if "combined_qvalue" in x.columns else "qvalue" if "qvalue" in x.columns else "mean_q")
+        return out
+
     def signature(self) -> str:
-        """A key of samples and settings; results are reused under the same key only."""
-        return hashlib.sha256(json.dumps([self.case, self.control, self.meta], sort_keys=True).encode()).hexdigest()
+        """A key of the sites, samples and settings; results are reused under the same key only."""
+        return store.signature(store.data_signature(self.sites), self.case, self.control, self.meta)
 
     def save(self, path: str) -> None:
         sinks.write_sites(self.sites, f"{path}/sites")
+        self.obs.write.mode("overwrite").parquet(f"{path}/obs")
         for k, df in self.results.items():
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/results/{k}")
         about = json.dumps({"case": self.case, "control": self.control, "meta": self.meta, "results": sorted(self.results), "signature": self.signature()})
@@ -86,4 +261,5 @@ class MethylFrame:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> MethylFrame:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return cls(spark.read.parquet(f"{path}/sites"), about["case"], about["control"], {k: spark.read.parquet(f"{path}/results/{k}") for k in about["results"]}, about["meta"])
+        results = {k: spark.read.parquet(f"{path}/results/{k}") for k in about["results"]}
+        return cls(spark.read.parquet(f"{path}/sites"), about["case"], about["control"], results, about["meta"], spark.read.parquet(f"{path}/obs"))

@@ -6,11 +6,14 @@ Every scan takes many paths in one job and has a fixed schema.
 from __future__ import annotations
 
 import os
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import sinks, store
 
 #: File endings that a sample's name is followed by, longest first. Fixed values.
 SUFFIXES = (
@@ -50,11 +53,22 @@ def parse_strand_pairs(lines: DataFrame, context: str = "CpG") -> DataFrame:
     return _canonical(keep.select("sample", c[0].alias("chrom"), c[1].cast("int").alias("start"), m.alias("n_meth"), (t - m).alias("n_unmeth")), context)
 
 
+def _plain(path: Column) -> Column:
+    """A path as Spark names files, without the slashes that a scheme may double."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
 def _text(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(sample, value) of all samples' files in one scan."""
-    names = F.create_map(*(F.lit(x) for s, p in paths.items() for x in (os.path.basename(p), s)))
-    lines = spark.read.text(list(paths.values())).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return lines.select(F.try_element_at(names, F.url_decode("_file")).alias("sample"), "value")
+    """(sample, value) of all samples' files in one scan; a line's sample is found by its file's whole path."""
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    whole = {}
+    for sample, path in paths.items():
+        p = hadoop(path)
+        whole[p.getFileSystem(conf).makeQualified(p).toUri().toString()] = sample
+    if len(whole) < len(paths):
+        raise ValueError("two samples name one file")
+    names = F.create_map(*(x for k, v in whole.items() for x in (_plain(F.lit(k)), F.lit(v))))
+    return spark.read.text(list(paths.values())).select(F.try_element_at(names, _plain(F.input_file_name())).alias("sample"), "value")
 
 
 def read_coverage(spark: SparkSession, paths: dict[str, str], fmt: str = "bismark", context: str = "CpG") -> DataFrame:
@@ -78,10 +92,55 @@ def with_treatment(obs: DataFrame, treatment: str | None, control: str | None, g
     return obs.withColumn("treatment", F.when(F.col("group") == treatment, 1).when(F.col("group") == control, 0))
 
 
-def sample_ids_of(name: str) -> list[str]:
-    """Sample names that a file name may stand for, longest first."""
-    found = {name, *(name[: -len(s)] for s in SUFFIXES if name.endswith(s)), *([name.split(".")[0]] if "." in name else [])}
-    return sorted(found, key=len, reverse=True)
+def stem(path: Column) -> Column:
+    """A file's name without folders and without the first of SUFFIXES that it ends with."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.regexp_replace(name, "(" + "|".join(x.replace(".", r"\.") for x in SUFFIXES) + ")$", "")
+
+
+def files_of_samples(files: DataFrame, obs: DataFrame) -> DataFrame:
+    """obs (sample_id, ...) with the path of its file: the one whose stem is the sample's name, or begins with it before a dot, dash or underline.
+
+    files: path. Of several, the one with the shortest stem, then the least path; of several samples that a file may
+    stand for, the longest name takes it. A sample without a file is an error.
+    """
+    f = files.withColumn("_stem", stem(F.url_decode(F.regexp_replace("path", r"\+", "%2B"))))
+    fits = (F.col("_stem") == F.col("sample_id")) | (F.col("_stem").startswith(F.col("sample_id")) & F.substr("_stem", F.length("sample_id") + 1, F.lit(1)).isin(".", "-", "_"))
+    pairs = f.join(F.broadcast(obs.select("sample_id")), fits)  # a row for each sample on this side
+    own = pairs.groupBy("path").agg(F.max_by("sample_id", F.length("sample_id")).alias("sample_id"), F.first("_stem").alias("_stem"))
+    best = own.groupBy("sample_id").agg(F.min(F.struct(F.length("_stem"), "path")).getField("path").alias("path"))
+    out = obs.drop("path").join(best, "sample_id", "left")
+    lost = [r[0] for r in out.where("path IS NULL").select("sample_id").limit(20).collect()]
+    if lost:
+        raise ValueError(f"no file for samples {lost}")
+    return out
+
+
+def read_run_folder(spark: SparkSession, folder: str, treatment: str, control: str, sheet: str = "samplesheet.csv", context: str = "CpG") -> tuple[DataFrame, DataFrame]:
+    """(sites, obs) of a pipeline's output folder: its sample sheet, and count files anywhere below, matched by name."""
+    obs = spark.read.option("header", True).csv(f"{folder}/{sheet}")
+    if missing := {"sample_id", "group"} - set(obs.columns):
+        raise ValueError(f"sample sheet lacks {sorted(missing)}")
+    # listing reads no content: only the path column is taken
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.cov*").load(folder).select("path")
+    obs = with_treatment(files_of_samples(files, obs), treatment, control)
+    paths = {r["sample_id"]: r["path"] for r in obs.select("sample_id", "path").collect()}  # a row for each sample
+    return read_coverage(spark, paths, "bismark", context), obs
+
+
+def convert_if_stale(spark: SparkSession, paths: dict[str, str], output: str, fmt: str = "bismark", context: str = "CpG") -> bool:
+    """Converts count files to a stored site table unless that was made of the same files as they are; True when work was done."""
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    about = []
+    for sample, path in sorted(paths.items()):
+        status = hadoop(path).getFileSystem(conf).getFileStatus(hadoop(path))
+        about.append([sample, path, status.getLen(), status.getModificationTime()])
+    key, stages = store.signature("convert", about, fmt, context), store.Stages(spark, f"{output}-log")
+    if stages.find("convert", key):
+        return False
+    sinks.write_sites(read_coverage(spark, paths, fmt, context), output)
+    stages.append("convert", {"format": fmt, "context": context}, key, output)
+    return True
 
 
 def infer_strand(sites: DataFrame, bases: DataFrame) -> DataFrame:
@@ -137,7 +196,43 @@ def parse_refgene(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def annotation_kind(path: str) -> str:
-    return "refgene" if "refgene" in os.path.basename(path).lower() else "gtf"
+    """refgene or gtf, by the file's name; anything else is an error."""
+    name = os.path.basename(path).lower()
+    if "refgene" in name:
+        return "refgene"
+    if re.search(r"\.gtf(\.gz)?$", name):
+        return "gtf"
+    raise ValueError(f"{name!r} is neither a .gtf file nor a refGene table")
+
+
+def read_annotation(spark: SparkSession, path: str, kind: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genes, exons, utrs); a refGene table has no rows of the last."""
+    if (annotation_kind(path) if kind == "auto" else kind) == "gtf":
+        return read_gtf(spark, path)
+    genes, exons = parse_refgene(spark.read.text(path))
+    return genes, with_gene_names(exons, genes), no_utrs(exons)
+
+
+def with_gene_names(exons: DataFrame, genes: DataFrame) -> DataFrame:
+    """exons with gene_name, of the gene of their id where they have none."""
+    names = genes.groupBy("gene_id").agg(F.min("gene_name").alias("_name"))
+    own = F.col("gene_name") if "gene_name" in exons.columns else F.lit(None).cast("string")
+    return exons.join(names, "gene_id", "left").withColumn("gene_name", F.coalesce(own, F.col("_name"))).drop("_name")
+
+
+def no_utrs(exons: DataFrame) -> DataFrame:
+    """Untranslated regions of a source that has none: no row."""
+    return exons.withColumn("side", F.lit("")).where(F.lit(False))
+
+
+def read_reports(spark: SparkSession, folder: str, samples: list[str]) -> DataFrame:
+    """Metrics of each sample's report files anywhere below a folder; a file is the sample's that its name begins with, the longest if several."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").withColumn("_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    own = F.lit(None).cast("string")
+    for s in sorted(samples, key=len):  # a longer name later, so that it wins
+        own = F.when(F.col("_name").startswith(s), s).otherwise(own)
+    m = report_metrics(files.withColumn("sample", own).where("sample IS NOT NULL").select("sample", "value"))
+    return m.groupBy("sample").agg(*(F.max(c).alias(c) for c in m.columns if c != "sample"))
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
@@ -145,11 +240,120 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CALL_DDL).parquet(path)
 
 
-def decode_calls(reads: DataFrame, context: str = "CpG") -> DataFrame:
-    """reads (read_id, chrom, start, xm) without indels: a row per called base; capital letters are methylated."""
-    letter = {"CpG": "z", "CHG": "x", "CHH": "h"}[context]
-    x = reads.select("read_id", "chrom", "start", F.posexplode(F.split("xm", "")).alias("i", "l"))
-    return x.where(F.lower("l") == letter).select("read_id", "chrom", (F.col("start") + F.col("i")).alias("pos"), (F.col("l") == letter.upper()).cast("tinyint").alias("status"))
+#: Columns of an alignment text line before its tags. Fixed values.
+ALIGNMENT = ("read_id", "flag", "chrom", "start", "mapq", "cigar", "mate", "mate_start", "length", "sequence", "qualities")
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of SAM text, which Spark splits as any text; start is 0-based, tags a map by name."""
+    return parse_alignments(spark.read.text(path))
+
+
+def parse_alignments(lines: DataFrame) -> DataFrame:
+    c = F.col("_c")
+    x = lines.where(~F.col("value").startswith("@") & (F.trim("value") != "")).withColumn("_c", F.split("value", "\t"))
+    x = x.select(*(c[i].alias(k) for i, k in enumerate(ALIGNMENT)), F.slice("_c", F.lit(len(ALIGNMENT) + 1), F.greatest(F.size("_c") - len(ALIGNMENT), F.lit(0))).alias("_t"))
+    tags = F.map_from_entries(F.array_distinct(F.transform("_t", lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)), F.substr(t, F.lit(6))))))
+    return x.select("read_id", F.col("flag").cast("int").alias("flag"), "chrom", (F.col("start").cast("int") - 1).alias("start"), F.col("mapq").cast("int").alias("mapq"), "cigar", "sequence", "qualities", tags.alias("tags"))
+
+
+def _placed(cigar: str, start: int) -> list[int | None]:
+    """The reference position of each base of a read, None where it has none."""
+    out: list[int | None] = []
+    at = start
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        if op in "M=X":
+            out += range(at, at + int(n))
+            at += int(n)
+        elif op in "IS":
+            out += [None] * int(n)
+        elif op in "DN":
+            at += int(n)
+    return out
+
+
+def _letters(tags: dict, sequence: str, reverse: bool, letter: str) -> list[tuple[int, int]]:
+    """(base, status) by the string of call letters: capitals are methylated."""
+    return [(i, int(c == letter.upper())) for i, c in enumerate(tags.get("XM") or "") if c.lower() == letter]
+
+
+_FLIP = str.maketrans("ACGTN", "TGCAN")
+
+
+def _modified(tags: dict, sequence: str, reverse: bool, letter: str) -> list[tuple[int, int]]:
+    """(base, status) by the tags of modified bases: skips over C in the direction of sequencing; methylated from half likelihood on."""
+    likely = [int(v) for v in (tags.get("ML") or "").split(",")[1:]]
+    own = (sequence or "").translate(_FLIP)[::-1] if reverse else sequence or ""
+    at = [i for i, b in enumerate(own) if b == "C"]
+    out, k = [], 0
+    for part in (tags.get("MM") or "").split(";"):
+        name, *skips = part.split(",")
+        if not name:
+            continue
+        where = -1
+        for j, skip in enumerate(skips):
+            where += int(skip) + 1
+            if name.rstrip("?.") == "C+m" and where < len(at) and k + j < len(likely):
+                i = at[where]
+                out.append((len(own) - 1 - i if reverse else i, int(likely[k + j] >= 128)))
+        k += len(skips)
+    return out
+
+
+def calls_of(alignments: DataFrame, caller: str = "bismark", context: str = "CpG", sample: str = "", min_mapq: int = 10, min_baseq: int = 20) -> DataFrame:
+    """(sample, read_id, chrom, pos, status, base_qual, mapq, strand): a row for each called base with a place on the reference.
+
+    caller: bismark (call letters in XM) or methyldackel (modified bases in MM and ML). Unmapped, secondary and
+    supplementary alignments are passed over, and bases or alignments below the minima. Chromosome and position are
+    plain columns, so a region is a filter.
+    """
+    letter, decode = {"CpG": "z", "CHG": "x", "CHH": "h"}[context], {"bismark": _letters, "methyldackel": _modified}[caller]
+
+    def run(batches):
+        for g in batches:
+            rows = []
+            for r in g.itertuples(index=False):
+                place, reverse = _placed(r.cigar, r.start), bool(r.flag & 16)
+                for i, status in decode(dict(r.tags), r.sequence, reverse, letter):
+                    q = ord(r.qualities[i]) - 33 if r.qualities not in (None, "*") and i < len(r.qualities) else 255
+                    if i < len(place) and place[i] is not None and q >= min_baseq:
+                        rows.append((sample, r.read_id, r.chrom, place[i], status, q, r.mapq, "-" if reverse else "+"))
+            yield pd.DataFrame(rows, columns=["sample", "read_id", "chrom", "pos", "status", "base_qual", "mapq", "strand"])
+
+    own = alignments.where((F.col("flag").bitwiseAND(4 | 256 | 2048) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "*"))
+    return own.mapInPandas(run, "sample string, read_id string, chrom string, pos int, status int, base_qual int, mapq int, strand string")
+
+
+def parse_variants(lines: DataFrame) -> DataFrame:
+    """(chrom, pos, ref, alt, genotype) of single-base variants of VCF text with two different alleles called in its first sample; pos is 0-based."""
+    x = lines.where(~F.col("value").startswith("#")).withColumn("_c", F.split("value", "\t")).where(F.size("_c") >= 10)
+    c = F.col("_c")
+    gt = F.split(c[9], ":")[F.array_position(F.split(c[8], ":"), "GT").cast("int") - 1]
+    x = x.where(F.array_contains(F.split(c[8], ":"), "GT")).select(c[0].alias("chrom"), (c[1].cast("int") - 1).alias("pos"), F.upper(c[3]).alias("ref"), F.upper(c[4]).alias("alt"), gt.alias("genotype"))
+    a = F.split("genotype", "[/|]")
+    return x.where(is_heterozygous(a) & (F.length("ref") == 1) & F.col("alt").rlike("^[ACGT]$"))
+
+
+def is_heterozygous(alleles: Column) -> Column:
+    """Two alleles, both called and different."""
+    return F.coalesce((F.size(alleles) == 2) & (alleles[0] != ".") & (alleles[1] != ".") & (alleles[0] != alleles[1]), F.lit(False))
+
+
+def alleles_of(alignments: DataFrame, variants: DataFrame, sample: str = "", min_baseq: int = 20, min_mapq: int = 10) -> DataFrame:
+    """(sample, read_id, snv_pos, ref, alt, base) of reads over heterozygous variants: the input of phasing."""
+
+    def run(batches):
+        for g in batches:
+            rows = []
+            for r in g.itertuples(index=False):
+                for i, at in enumerate(_placed(r.cigar, r.start)):
+                    q = ord(r.qualities[i]) - 33 if r.qualities not in (None, "*") and i < len(r.qualities) else 255
+                    if at is not None and q >= min_baseq and i < len(r.sequence):
+                        rows.append((r.read_id, r.chrom, at, r.sequence[i].upper()))
+            yield pd.DataFrame(rows, columns=["read_id", "chrom", "pos", "base"])
+
+    bases = alignments.where((F.col("flag").bitwiseAND(4 | 256 | 2048) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "*")).mapInPandas(run, "read_id string, chrom string, pos int, base string")
+    return bases.join(variants, ["chrom", "pos"]).select(F.lit(sample).alias("sample"), "read_id", F.col("pos").alias("snv_pos"), "ref", "alt", "base")
 
 
 def report_metrics(texts: DataFrame) -> DataFrame:
@@ -160,6 +364,7 @@ def report_metrics(texts: DataFrame) -> DataFrame:
 
 def parse_mbias(lines: DataFrame) -> DataFrame:
     """lines (sample, line_no, value) of a bias report: header lines name the context and read of the rows below."""
+    # the heading of a block. Fixed value.
     head = r"(?i)^\s*(CpG|CHG|CHH)\s+context\s*(?:\(R(\d)\))?\s*$"
     w = Window.partitionBy("sample").orderBy("line_no")
     is_head = F.col("value").rlike(head)

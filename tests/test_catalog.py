@@ -36,7 +36,8 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=sortable)
-    if name not in catalog.SQL:
+    if name not in catalog.SQL:  # held against brute force in test_models
+        assert got
         return
     o = duck.execute(catalog.SQL[name])
     names = [x[0] for x in o.description]
@@ -46,5 +47,5 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    assert entry.entry(spark).count() > 100
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -127,9 +127,6 @@ def test_readers(spark):
     t = spark.createDataFrame([("s", "x\nC methylated in CpG context:\t71.5%\nmean coverageData = 12.25X")], "sample string, value string")
     r = readers.report_metrics(t).first()
     assert (r["pct_meth_cpg"], r["mean_coverage"], r["pct_meth_chg"]) == (71.5, 12.25, None)
-    assert readers.sample_ids_of("a.b.bismark.cov.gz")[-1] == "a" and "a.b" in readers.sample_ids_of("a.b.bismark.cov.gz")
-    x = spark.createDataFrame([("r", "c", 10, ".zZh")], "read_id string, chrom string, start int, xm string")
-    assert sorted((v["pos"], v["status"]) for v in readers.decode_calls(x).collect()) == [(11, 0), (12, 1)]
     f = spark.createDataFrame([("585\tNM_1\tchr1\t+\t10\t90\t0\t0\t2\t10,50,\t20,90,\t0\tG1",)], "value string")
     g, e = readers.parse_refgene(f)
     assert g.first()["gene_type"] == "protein_coding" and sorted((v["start"], v["end"]) for v in e.collect()) == [(10, 20), (50, 90)]
