@@ -5,28 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import Written, release, shared_dir, written  # noqa: F401
+from ..functions.tables import Written, meet, release, shared_dir, written  # noqa: F401
 
 #: ASCII white space as the contracts define it.
 WS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: A key with more rows than this, and than one in HOT_KEYS of all, is hot.
-HOT_ROWS, HOT_KEYS = 1000, 10_000
-
-
-def meet(rows: DataFrame, table: DataFrame, key: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """rows joined by key with table, which has one row for each key and in column n how many of the `total` rows have it.
-
-    At most hot_keys keys can be hot; they are broadcast and their rows stay
-    where they are. Other keys meet their rows in a join.
-    """
-    often = max(HOT_ROWS, total // hot_keys)
-    hot, other = F.broadcast(table.where(F.col("n") > often).drop("n")), table.where(F.col("n") <= often).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(other, key))
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's decimal text falls in the fold; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -32,6 +32,7 @@ pass unused. Without training rows every word is spelled by an even mixer.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -124,7 +125,7 @@ class Code:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a text's words, the end last."""
-        out = np.fromiter(map(self.number.get, words, repeat(ESCAPE)), np.int64, len(words))
+        out = np.fromiter(map(self.number.get, words, repeat(ESCAPE)), np.int32, len(words))
         out[-1] = END
         return out
 
@@ -158,24 +159,33 @@ class Code:
             node, bit = entry >> 1, (entry & 1).astype(np.uint32)
             salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
             slots = [node] + [_mixed_hash(h[word] ^ salt) >> np.uint32(32 - b) for h, b in zip((one, two, skip), self.bits)]
-            stretch = np.cumsum(np.isin(np.arange(at, to), edges, assume_unique=True))[word - at]
-            yield of[word], bit, slots, [_so_far(stretch * len(self.start) + node, bit)]
+            stretch = np.searchsorted(edges, np.arange(at, to), "right")[word - at]
+            yield of[word], bit, slots, [_so_far(node, stretch, bit)]
             at = to
 
 
-def _so_far(key: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Log-odds of each bit from the bits before it that have its key."""
-    order = np.argsort(key, kind="stable")
-    k, b = key[order], bit[order].astype(np.int64)
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    ones = np.cumsum(b) - b
+def _so_far(node: np.ndarray, stretch: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Log-odds of each bit from the bits before it at its node and in its stretch; stretches come one after the other."""
+    # by node in order of place, which keeps stretches in order: two passes over 16 bits each
+    order = np.argsort((node & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(node) and node.max() > 0xFFFF:
+        order = order[np.argsort((node >> 16)[order].astype(np.uint16), kind="stable")]
+    k, t, b = node[order], stretch[order], bit[order].astype(np.int32)
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
+    first = np.flatnonzero(new)
+    first = np.repeat(first, np.diff(np.append(first, len(k))))
+    ones = np.cumsum(b, dtype=np.int32) - b
     ones -= ones[first]
+    zeros = np.arange(len(k)) - first - ones
     out = np.empty(len(k), np.float32)
-    out[order] = np.log((ones + np.float32(0.4)) / (np.arange(len(k)) - first - ones + np.float32(0.4)))
+    out[order] = _LOGS[np.minimum(ones, len(_LOGS) - 1)] - _LOGS[np.minimum(zeros, len(_LOGS) - 1)]
     return out
 
 
+#: Logarithms of counts within a stretch, which has fewer words than this.
+_LOGS = np.log(np.arange(1 << 17, dtype=np.float32) + np.float32(0.4))
+
+
 # --- spelling as bits -------------------------------------------------------
 
 _M = 0x9E3779B97F4A7C15
@@ -246,37 +256,35 @@ class Mixer:
         p = 1 / (1 + np.exp(-((np.arange(_LEVELS) + 0.5) / _LEVELS * 24 - 12)))
         self.map = np.tile(np.stack([1 - p, p], axis=1) * 40, (SETS, 1, 1))
         self.seen = 0
-        self._tables = None
-
-    def _without(self, bit: np.ndarray, slots: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each input and the gate, where tables hold this very bit, which is taken out."""
-        st, met = np.empty((self.inputs, len(bit)), np.float32), []
-        own = bit.astype(np.float32)
-        for j, (table, s) in enumerate(zip(self.counts, slots)):
-            n = table[s]
-            one, zero = n[:, 1].astype(np.float32) - own, n[:, 0].astype(np.float32) - (1 - own)
+        self._made: dict[bool, tuple] = {}
+
+    def _views(self, without: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By slot and bit: log-odds of all counts, or of those without one such bit; and the gates' parts."""
+        odds, met = [], [np.zeros(0, np.uint8)] * 2
+        for j, t in enumerate(self.counts):
+            n = t.astype(np.float32)
+            both = np.empty_like(n)
+            for bit in (0, 1):
+                one, zero = (np.maximum(n[:, 1] - bit, 0), np.maximum(n[:, 0] - (1 - bit), 0)) if without else (n[:, 1], n[:, 0])
+                both[:, bit] = np.log((one + np.float32(DELTA)) / (zero + np.float32(DELTA)))
+            odds.append(both.ravel() if without else both[:, 0].copy())
             if j in self.gate:
-                met.append(one + zero)
-            np.log((np.maximum(one, 0) + np.float32(DELTA)) / (np.maximum(zero, 0) + np.float32(DELTA)), out=st[j])
-        for j, x in enumerate(more, len(slots)):
-            st[j] = x
-        st[-1] = 0.3
-        return st, np.searchsorted(_EDGES, met[0], side="right") * (len(_FEW) + 1) + np.searchsorted(_FEW, met[1], side="right")
-
-    def _whole(self, slots: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The same with all that the tables hold, by way of tables made once."""
-        if self._tables is None:
-            odds = [np.log((t[:, 1] + np.float32(DELTA)) / (t[:, 0] + np.float32(DELTA))).astype(np.float32) for t in self.counts]
-            met = [np.searchsorted(e, self.counts[j].sum(axis=1, dtype=np.float32), side="right").astype(np.uint8) for j, e in zip(self.gate, (_EDGES, _FEW))]
-            self._tables = odds, met
-        odds, (high, low) = self._tables
-        st = np.empty((self.inputs, len(slots[0])), np.float32)
+                edges, step = ((_EDGES, len(_FEW) + 1), (_FEW, 1))[self.gate.index(j)]
+                met[self.gate.index(j)] = (np.searchsorted(edges, n.sum(axis=1) - without, side="right") * step).astype(np.uint8)
+        return odds, met
+
+    def _inputs(self, bit: np.ndarray, slots: list[np.ndarray], more: list[np.ndarray], without: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each input and the gate; without: the tables hold these very bits, and each is taken out."""
+        if without not in self._made:
+            self._made[without] = self._views(without)
+        odds, met = self._made[without]
+        st = np.empty((self.inputs, len(bit)), np.float32)
         for j, s in enumerate(slots):
-            np.take(odds[j], s, out=st[j])
+            np.take(odds[j], s.astype(np.int64) * 2 + bit if without else s, out=st[j])
         for j, x in enumerate(more, len(slots)):
             st[j] = x
         st[-1] = 0.3
-        return st, high[slots[self.gate[0]]].astype(np.int64) * (len(_FEW) + 1) + low[slots[self.gate[1]]]
+        return st, met[0][slots[self.gate[0]]] + met[1][slots[self.gate[1]]]
 
     def _dot(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(len(gate), np.float32)
@@ -289,26 +297,27 @@ class Mixer:
             for at in range(0, len(bits), chunk):
                 part = slice(at, at + chunk)
                 b = bits[part]
-                st, gate = self._without(b, [s[part] for s in slots], [m[part] for m in more])
+                st, gate = self._inputs(b, [s[part] for s in slots], [m[part] for m in more], True)
                 dot = self._dot(st, gate)
                 err = b - 1 / (1 + np.exp(-dot))
                 n = np.maximum(np.bincount(gate, minlength=SETS), 1)[:, None]
                 g = np.stack([np.bincount(gate, err * x, SETS) for x in st], axis=1) / n
                 self.steps += g * g * 100
                 self.weights += (rate * g / np.sqrt(self.steps)).astype(np.float32)
-                level = ((dot + 12) / 24 * _LEVELS).astype(np.int64)
-                self.map += np.bincount((gate * _LEVELS + level) * 2 + b, minlength=self.map.size).reshape(self.map.shape)
+                level = ((dot + 12) / 24 * _LEVELS).astype(np.int32)
+                self.map += np.bincount((gate * np.int32(_LEVELS) + level) * 2 + b, minlength=self.map.size).reshape(self.map.shape)
                 self.seen += len(b)
 
     def log10(self, pieces: Iterator[Bits], n: int) -> np.ndarray:
         """log10 probability of the bits of each of n texts."""
         out = np.zeros(n)
-        refined = np.log(self.map[:, :, 1] / self.map[:, :, 0]).ravel()
+        refined = np.log(self.map[:, :, 1] / self.map[:, :, 0]).ravel().astype(np.float32)
         for of, bit, slots, more in pieces:
-            st, gate = self._whole(slots, more)
+            st, gate = self._inputs(bit, slots, more, False)
             dot = self._dot(st, gate)
-            dot = (dot + refined[gate * _LEVELS + ((dot + 12) / 24 * _LEVELS).astype(np.int64)]) / 2
-            out -= np.bincount(of, np.logaddexp(0, np.where(bit == 1, -dot, dot)), n)
+            dot = (dot + refined[gate * np.int32(_LEVELS) + ((dot + 12) / 24 * _LEVELS).astype(np.int32)]) / 2
+            # log(1 + e^x) of the bits that came; x is within 20, so it neither overflows nor vanishes
+            out -= np.bincount(of, np.log1p(np.exp(np.where(bit == 1, -dot, dot))), n)
         return out / np.log(10)
 
 
@@ -321,7 +330,7 @@ def _added(table: np.ndarray) -> list[np.ndarray]:
     return np.array_split(table, max(1, len(table) >> 16))
 
 
-def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[int, int], more: int = 0) -> Mixer:
+def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[int, int], more: int = 0) -> Fitted:
     """A mixer of what reader makes of taught. Tables and gradients of every task are summed by the executors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,10 +355,10 @@ def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[i
     found = {(j, i): np.frombuffer(zlib.decompress(d), np.uint32) for j, i, d in zip(*(c.to_pylist() for c in got.columns))}
     empty = [np.zeros(2 * n, np.uint32) for n in sizes]
     tables = [np.concatenate([found[j, i] for i in range(len(_added(t)))]) if found else t for j, t in enumerate(empty)]
-    model = Mixer(tables, gate, more)
+    shared = taught.sparkSession.sparkContext.broadcast(tables)
+    model = Fitted(shared, gate, more)
     if not found:
         return model
-    shared = taught.sparkSession.sparkContext.broadcast(tables)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer(shared.value, gate, more)
@@ -365,11 +374,25 @@ def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[i
     named = each.selectExpr("n", "posexplode(concat(transform(w, x -> x * n), m)) AS (at, x)").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     flat = sorted((r["at"], r["x"], r["n"]) for r in named.collect())  # one row for each weight and cell of the map
     x = np.array([v for _, v, _ in flat])
-    model.weights = (x[: model.weights.size] / flat[0][2]).reshape(model.weights.shape).astype(np.float32)
-    model.map += x[model.weights.size :].reshape(model.map.shape)
+    model.weights = x[: len(x) - SETS * _LEVELS * 2] / flat[0][2]
+    model.map = x[len(x) - SETS * _LEVELS * 2 :]
     return model
 
 
+class Fitted:
+    """What a worker makes its mixer of: the broadcast tables, and the weights and map that were learned, if any were."""
+
+    def __init__(self, tables, gate: tuple[int, int], more: int):
+        self.tables, self.gate, self.more, self.weights, self.map = tables, gate, more, None, None
+
+    def mixer(self) -> Mixer:
+        out = Mixer(self.tables.value, self.gate, self.more)
+        if self.weights is not None:
+            out.weights = self.weights.reshape(out.weights.shape).astype(np.float32)
+            out.map += self.map.reshape(out.map.shape)
+        return out
+
+
 # --- whole texts ------------------------------------------------------------
 
 
@@ -380,36 +403,51 @@ def word_table(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = {}
+        held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def rows():
-            c, n = zip(*held.values()) if held else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["token", "c", "n"])
-            held.clear()
+            for learn, c in held.items():
+                n = pa.array(list(c.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), n if learn else pa.array([0] * len(c), pa.int64()), n], ["token", "c", "n"])
+                c.clear()
 
         for b in batches:
             for learn, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for w in tokens(text.as_py()):
-                    found = held.get(w)
-                    if found is None:
-                        held[w] = [int(learn), 1]
-                    else:
-                        found[0] += learn
-                        found[1] += 1
-                if len(held) > FLUSH_WORDS:
+                held[learn].update(tokens(text.as_py()))
+                if len(held[learn]) > FLUSH_WORDS:
                     yield from rows()
         yield from rows()
 
-    return docs.select(F.col("learn").cast("int"), "text").mapInArrow(run, "token binary, c bigint, n bigint").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select("learn", "text").mapInArrow(run, "token binary, c bigint, n bigint").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
 
+def encoded(docs: DataFrame, code) -> DataFrame:
+    """(uid, doc_id, learn, n_bytes, symbols, behind): each text as numbers, 4 bytes each, and its words behind escapes in order."""
 
-def _texts_of(b: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[list[list[bytes]]]:
-    """Words of the texts of a column, some texts at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            size, symbols, behind = [], [], []
+            for text in b.column(2):
+                words = tokens(text.as_py())
+                s = code.value.numbers(words)
+                size.append(sum(map(len, words)) + len(words))
+                symbols.append(s.astype("<i4").tobytes())
+                behind.append([words[i] for i in np.flatnonzero(s == ESCAPE).tolist()])
+            ids = pa.array(range(uid, uid + len(size)), pa.int64())
+            uid += len(size)
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(symbols, pa.binary()), pa.array(behind, pa.list_(pa.binary()))], ["uid", "doc_id", "learn", "n_bytes", "symbols", "behind"])
+
+    return docs.select("doc_id", "learn", "text").mapInArrow(run, "uid bigint, doc_id bigint, learn boolean, n_bytes bigint, symbols binary, behind array<binary>")
+
+
+def _some(b: pa.RecordBatch, column: int) -> Iterator[list[np.ndarray]]:
+    """Texts of a column of symbols, some at a time."""
     part, held = [], 0
     for t in b.column(column):
-        part.append(tokens(t.as_py()))
+        part.append(np.frombuffer(t.as_py(), "<i4"))
         held += len(part[-1])
-        if held >= most >> 3:
+        if held >= _PIECE:
             yield part
             part, held = [], 0
     if part:
@@ -441,15 +479,16 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     names, counts = found["token"].to_pylist(), np.asarray(found["c"].to_pylist(), np.int64)
     order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
     names, counts = [names[i] for i in order], counts[order]
-    ends = docs.where("learn").count()
+    ends = words.where("token = X''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     code = spark.sparkContext.broadcast(Code(names, counts, n - ends - int(counts.sum()), ends, n))
-    taught = docs.where("learn").select("text")
+    texts = Written(encoded(docs, code)).df
+    taught = texts.where("learn").select("symbols")
 
     def read_texts(b: pa.RecordBatch) -> Iterator[Iterator[Bits]]:
-        for part in _texts_of(b, 0):
-            yield code.value.pieces([code.value.numbers(t) for t in part])
+        for part in _some(b, 0):
+            yield code.value.pieces(part)
 
-    model = spark.sparkContext.broadcast(fit_mixer(taught, read_texts, code.value.sizes, (1, 2), 1))
+    model = fit_mixer(taught, read_texts, code.value.sizes, (1, 2), 1)
 
     # words behind escapes
     rare = words.where(~common & (F.col("token") != F.lit(b"")))
@@ -462,9 +501,10 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
         for at in range(0, len(w), 4096):
             yield spelled(w[at : at + 4096])
 
-    speller = spark.sparkContext.broadcast(fit_mixer(rare.where("c > 0").select("token"), read_words, [1 << b for b in SPELL_BITS], (3, 2)))
+    speller = fit_mixer(rare.where("c > 0").select("token"), read_words, [1 << b for b in SPELL_BITS], (3, 2))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = speller.mixer()
         for b in batches:
             w = b.column(0).to_pylist()
             c = b.column(1).to_numpy(zero_copy_only=False).astype(float)
@@ -472,50 +512,48 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
             out = np.log10(np.maximum(c - discount, 1e-9) / max(r["n"], 1))
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
-                out[part] = speller.value.log10(spelled([w[i] for i in part]), len(part))
+                out[part] = own.log10(spelled([w[i] for i in part]), len(part))
             if r["n"]:
                 out[new] += np.log10(discount * r["v"] / r["n"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], ["token", "c", "n", "inner"])
 
     rare = Written(rare.mapInArrow(spell, "token binary, c bigint, n bigint, inner double")).df
-    # how often a word behind an escape, not the text's first, is one that the text had before: learned from training texts
-    again = _repeats(taught, code)
-    values = spark.sparkContext.broadcast(np.concatenate(([0.0], np.log10((np.concatenate(([ends], counts)) + 0.5) / (n + 0.5 * (v + 1))))))
+    # how often a word behind an escape, the first of each training text aside, is one that the text had before
+    seen = texts.where("learn").agg(F.sum(F.greatest(F.size("behind") - 1, F.lit(0))), F.sum(F.size("behind") - F.size(F.array_distinct("behind")))).first()
+    again = ((seen[1] or 0) + 1) / ((seen[0] or 0) + 2)
+    values = np.concatenate(([0.0], np.log10((np.concatenate(([ends], counts)) + 0.5) / (n + 0.5 * (v + 1)))))
+    values = spark.sparkContext.broadcast(values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
+        mixer = model.mixer()
         for b in batches:
-            own: list = [[] for _ in range(7)]  # uid, doc_id, n_tokens, known, base, score, n_bytes
-            rows: list = [[], [], []]  # uid, token, n
-            ids, at = b.column(0).to_pylist(), 0
-            for part in _texts_of(b, 1):
-                numbers = [code.value.numbers(t) for t in part]
-                found = model.value.log10(code.value.pieces(numbers), len(part)).tolist()
-                for text, symbols, got in zip(part, numbers, found):
-                    uid += 1
-                    behind = np.flatnonzero(symbols == ESCAPE)
-                    times: dict[bytes, int] = {}
-                    for k, i in enumerate(behind.tolist()):
-                        w = text[i]
-                        had = times.get(w, 0)
-                        times[w] = had + 1
-                        if k:
-                            got += np.log10(again * had / k) if had else np.log10(1 - again)
-                    for col, y in zip(own, (uid, ids[at], len(symbols), len(symbols) - len(behind), float(values.value[symbols].sum()), float(got), sum(map(len, text)) + len(text))):
-                        col.append(y)
-                    rows[0] += [uid] * len(times)
-                    rows[1] += times.keys()
-                    rows[2] += times.values()
-                    at += 1
-            k, m = len(own[0]), len(rows[0])
+            score, base, size, known = [], [], [], []
+            for part in _some(b, 2):
+                score += mixer.log10(code.value.pieces(part), len(part)).tolist()
+                base += [float(values.value[s].sum()) for s in part]
+                size += map(len, part)
+                known += [int((s != ESCAPE).sum()) for s in part]
+            rows: list = [[], [], []]  # uid, token, times
+            for i, (uid, behind) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                times: dict[bytes, int] = {}
+                for k, w in enumerate(behind):
+                    had = times.get(w, 0)
+                    times[w] = had + 1
+                    if k:
+                        score[i] += np.log10(again * had / k) if had else np.log10(1 - again)
+                rows[0] += [uid] * len(times)
+                rows[1] += times.keys()
+                rows[2] += times.values()
+            m = len(rows[0])
+            own = [b.column(1).to_pylist(), size, known, base, score, b.column(4).to_pylist()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[0] + rows[0], pa.int64()), pa.array([None] * k + rows[1], pa.binary()), pa.array([0] * k + rows[2], pa.int64()), *(pa.array(y + [None] * m, t) for y, t in zip(own[1:], kinds))],
+                [pa.array(b.column(0).to_pylist() + rows[0], pa.int64()), pa.array([None] * len(score) + rows[1], pa.binary()), pa.array([0] * len(score) + rows[2], pa.int64()), *(pa.array(y + [None] * m, t) for y, t in zip(own, kinds))],
                 ["uid", "token", "times", "doc_id", "n_tokens", "own_known", "own_base", "own_score", "n_bytes"],
             )
 
     spec = "uid bigint, token binary, times bigint, doc_id bigint, n_tokens bigint, own_known bigint, own_base double, own_score double, n_bytes bigint"
-    rows = Written(docs.select("doc_id", "text").mapInArrow(score, spec)).df
+    rows = Written(texts.select("uid", "doc_id", "symbols", "behind", "n_bytes").mapInArrow(score, spec)).df
     met = meet(rows.where("token IS NOT NULL").select("uid", "token", "times"), rare.withColumn("base", base), "token", rows.count())
     per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.col("base")).alias("base"), F.sum("inner").alias("inner"))
     per = rows.where("token IS NULL").drop("token", "times").join(per, "uid", "left").na.fill(0, ["known", "base", "inner"])
@@ -526,23 +564,6 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     )
 
 
-def _repeats(taught: DataFrame, code) -> float:
-    """Share of training texts' words behind escapes, the first of each text aside, that the text had before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = again = 0
-        for b in batches:
-            for part in _texts_of(b, 0):
-                for text in part:
-                    behind = [w for w in text[:-1] if w not in code.value.number]
-                    seen += max(0, len(behind) - 1)
-                    again += len(behind) - len(set(behind))
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([again])], ["seen", "again"])
-
-    got = taught.mapInArrow(run, "seen bigint, again bigint").agg(F.sum("seen"), F.sum("again")).first()
-    return ((got[1] or 0) + 1) / ((got[0] or 0) + 2)
-
-
 def digest(docs: DataFrame) -> DataFrame:
     test = held_out(F.col("doc_id"), 5, 1)
     return lm_scores(docs, ~test).withColumn("held_out", test)

@@ -288,9 +288,10 @@ def test_op4_code_and_counts_within_a_text():
         heap = sorted([heap[0] + heap[1], *heap[2:]])
     assert int(counts @ np.array([len(c) for c in codes])) == best
     rng = np.random.default_rng(2)
-    key, bit = rng.integers(0, 5, 200), rng.integers(0, 2, 200).astype(np.uint32)
-    want = [np.log((((key[:i] == key[i]) & (bit[:i] == 1)).sum() + 0.4) / (((key[:i] == key[i]) & (bit[:i] == 0)).sum() + 0.4)) for i in range(200)]
-    assert np.allclose(lm._so_far(key, bit), want, atol=1e-5)
+    key, bit, part = rng.choice([0, 1, 2, 70_000, 131_073], 200), rng.integers(0, 2, 200).astype(np.uint32), np.arange(200) // 70
+    same = (key[:, None] == key) & (part[:, None] == part) & (np.arange(200)[:, None] > np.arange(200))
+    want = [np.log(((r & (bit == 1)).sum() + 0.4) / ((r & (bit == 0)).sum() + 0.4)) for r in same]
+    assert np.allclose(lm._so_far(key, part, bit), want, atol=1e-5)
 
 
 def test_op4_long_texts_in_stretches(monkeypatch):
