@@ -82,3 +82,12 @@ def meet(rows: DataFrame, table: DataFrame, key: str, total: int, hot_keys: int
     often = max(HOT_ROWS, total // hot_keys)
     hot, other = F.broadcast(table.where(F.col("n") > often).drop("n")), table.where(F.col("n") <= often).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(other, key))
+
+
+#: Most rows of ids and numbers that are broadcast once they have been counted.
+SMALL_ROWS = 300_000
+
+
+def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of few narrow columns, marked for broadcast if it has few rows; otherwise as it is, for a join by shuffle."""
+    return F.broadcast(table) if table.count() <= most else table

@@ -35,27 +35,43 @@ def overlaps(left: DataFrame, right: DataFrame, closed: bool = False, how: str =
     return out.distinct() if how in ("left_semi", "left_anti") else out
 
 
-def last_start_before(points: DataFrame, regions: DataFrame) -> DataFrame:
+def _around(points: DataFrame, marks: DataFrame, at: str, bin_size: int) -> DataFrame:
+    """points with _in, the marks (structs, in order) of their bin, and _before and _after, the nearest marks of other bins.
+
+    Only the table of bins is ordered along a chromosome, a row for each bin
+    that has points or marks; points meet it by (chrom, bin).
+    """
+    cols = [c for c in marks.columns if c != "chrom"]
+    m = marks.select("chrom", F.expr(f"{at} div {bin_size}").alias("_bin"), F.struct(at, *(c for c in cols if c != at)).alias("_m"))
+    m = m.groupBy("chrom", "_bin").agg(F.sort_array(F.collect_list("_m")).alias("_in"))
+    p = points.withColumn("_bin", F.expr(f"pos div {bin_size}"))
+    bins = p.select("chrom", "_bin").distinct().join(m, ["chrom", "_bin"], "full")
+    w = Window.partitionBy("chrom").orderBy("_bin")
+    bins = bins.withColumns({
+        "_before": F.last(F.element_at("_in", -1), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.first(F.element_at("_in", 1), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    return p.join(bins, ["chrom", "_bin"]).drop("_bin")
+
+
+def last_start_before(points: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Backward join: each point with the region of the greatest start <= pos on its chromosome (region columns null if none)."""
     cols = [c for c in regions.columns if c != "chrom"]
-    r = regions.select("chrom", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct(*cols).alias("_r"))
-    p = points.select("chrom", F.col("pos").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_p"))
-    both = r.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(w)).where("_kind = 1")
-    return hit.select("_p.*", *(F.col(f"_hit.{c}").alias(c) for c in cols))
+    x = _around(points, regions, "start", bin_size)
+    own = F.try_element_at(F.filter("_in", lambda r: r["start"] <= F.col("pos")), F.lit(-1))
+    x = x.withColumn("_hit", F.coalesce(own, F.col("_before")))
+    return x.select(*points.columns, *(F.col("_hit")[c].alias(c) for c in cols))
 
 
-def nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
+def nearest(points: DataFrame, marks: DataFrame, bin_size: int = BIN * 10) -> DataFrame:
     """points with the nearest mark (chrom, at, name): columns near_at, near_name; of two as near the lower."""
-    m = marks.groupBy("chrom", "at").agg(F.min("name").alias("name")).select("chrom", F.col("at").alias("_at"), F.struct("at", "name").alias("_m"))
-    p = points.select("chrom", F.col("pos").alias("_at"), F.struct(*points.columns).alias("_p"))
-    both = m.unionByName(p, allowMissingColumns=True)
-    below = Window.partitionBy("chrom").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy("chrom").orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
-    x = both.withColumn("_lo", F.last("_m", ignorenulls=True).over(below)).withColumn("_hi", F.first("_m", ignorenulls=True).over(above)).where("_p IS NOT NULL")
-    low = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (F.col("_at") - F.col("_lo.at") <= F.col("_hi.at") - F.col("_at")))
-    return x.select("_p.*", F.when(low, F.col("_lo.at")).otherwise(F.col("_hi.at")).alias("near_at"), F.when(low, F.col("_lo.name")).otherwise(F.col("_hi.name")).alias("near_name"))
+    m = marks.groupBy("chrom", "at").agg(F.min("name").alias("name"))
+    x = _around(points, m, "at", bin_size)
+    lo = F.coalesce(F.try_element_at(F.filter("_in", lambda r: r["at"] <= F.col("pos")), F.lit(-1)), F.col("_before"))
+    hi = F.coalesce(F.try_element_at(F.filter("_in", lambda r: r["at"] >= F.col("pos")), F.lit(1)), F.col("_after"))
+    x = x.withColumns({"_lo": lo, "_hi": hi})
+    low = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (F.col("pos") - F.col("_lo.at") <= F.col("_hi.at") - F.col("pos")))
+    return x.select(*points.columns, F.when(low, F.col("_lo.at")).otherwise(F.col("_hi.at")).alias("near_at"), F.when(low, F.col("_lo.name")).otherwise(F.col("_hi.name")).alias("near_name"))
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, starts: object) -> DataFrame:

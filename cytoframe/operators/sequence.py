@@ -90,13 +90,21 @@ def _betas(sites: DataFrame) -> DataFrame:
     return sites.where("coverage > 0").select("sample", "chrom", "pos", (F.col("n_meth") / F.col("coverage")).alias("beta"), F.col("coverage").cast("double").alias("coverage"))
 
 
+#: Sites smoothed at once.
+_BLOCK = 128
+
+
 def gaussian_beta(pos: np.ndarray, beta: np.ndarray, cov: np.ndarray, bandwidth: float) -> np.ndarray:
     """Coverage-weighted Gaussian mean over sites within four bandwidths."""
     lo, hi = np.searchsorted(pos, pos - 4 * bandwidth, "left"), np.searchsorted(pos, pos + 4 * bandwidth, "right")
     out = np.empty(len(pos))
-    for i, (a, b) in enumerate(zip(lo, hi)):
-        w = np.exp(-0.5 * ((pos[a:b] - pos[i]) / bandwidth) ** 2) * cov[a:b]
-        out[i] = (w * beta[a:b]).sum() / w.sum() if w.sum() > 0 else beta[i]
+    for i in range(0, len(pos), _BLOCK):
+        at = slice(i, min(i + _BLOCK, len(pos)))
+        a, b = lo[at][0], hi[at][-1]
+        d = pos[None, a:b] - pos[at, None]
+        w = np.where(np.abs(d) <= 4 * bandwidth, np.exp(-0.5 * (d / bandwidth) ** 2), 0) * cov[a:b]
+        total = w.sum(axis=1)
+        out[at] = np.where(total > 0, (w @ beta[a:b]) / np.where(total > 0, total, 1), beta[at])
     return out
 
 
@@ -132,19 +140,26 @@ def bsmooth(pos, beta, cov, ns: int = 70, h: int = 1000, degree: int = 2) -> np.
     if n < 3:
         return beta.copy()
     out = np.empty(n)
-    for i in range(n):
-        d = np.abs(pos[max(0, i - ns) : i + ns + 1] - pos[i])
-        width = max(float(h), float(np.sort(d)[min(ns, len(d)) - 1]) + 1)
-        a, b = np.searchsorted(pos, pos[i] - width, "left"), np.searchsorted(pos, pos[i] + width, "right")
-        u = (pos[a:b] - pos[i]) / width
-        w = np.clip(1 - np.abs(u) ** 3, 0, None) ** 3 * cov[a:b]
-        deg = min(degree, b - a - 1)
-        x = np.vander(u, deg + 1, increasing=True)
-        try:
-            coef = np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ beta[a:b])
-            out[i] = coef[0]
-        except np.linalg.LinAlgError:
-            out[i] = np.average(beta[a:b], weights=w) if w.sum() > 0 else beta[i]
+    padded = np.concatenate((np.full(ns, -np.inf), pos, np.full(ns, np.inf)))
+    for i in range(0, n, _BLOCK):
+        own = np.arange(i, min(i + _BLOCK, n))
+        d = np.sort(np.abs(padded[own[:, None] + np.arange(2 * ns + 1)] - pos[own, None]), axis=1)
+        width = np.maximum(float(h), d[np.arange(len(own)), np.minimum(ns, np.isfinite(d).sum(axis=1)) - 1] + 1)
+        a, b = np.searchsorted(pos, (pos[own] - width).min(), "left"), np.searchsorted(pos, (pos[own] + width).max(), "right")
+        u = (pos[None, a:b] - pos[own, None]) / width[:, None]
+        inside = np.abs(u) <= 1
+        w = np.where(inside, np.clip(1 - np.abs(u) ** 3, 0, None) ** 3, 0) * cov[a:b]
+        deg = np.minimum(degree, inside.sum(axis=1) - 1)
+        for k in np.unique(deg):
+            rows = np.flatnonzero(deg == k)
+            x = u[rows, :, None] ** np.arange(k + 1)
+            left, right = np.einsum("sj,sja,sjb->sab", w[rows], x, x), np.einsum("sj,sja,j->sa", w[rows], x, beta[a:b])
+            total = w[rows].sum(axis=1)
+            flat = np.where(total > 0, (w[rows] @ beta[a:b]) / np.where(total > 0, total, 1), beta[own[rows]])
+            ok = np.abs(np.linalg.det(left)) > 1e-300
+            out[own[rows]] = flat
+            if ok.any():
+                out[own[rows[ok]]] = np.linalg.solve(left[ok], right[ok][..., None])[:, 0, 0]
     return np.clip(out, 0, 1)
 
 
@@ -186,16 +201,16 @@ def knn_impute(sites: DataFrame, samples: list[str], k: int = 5, max_distance: i
             have = np.flatnonzero(~np.isnan(v))
             if not len(have):
                 continue
+            lost = np.flatnonzero(np.isnan(v))
+            at = np.searchsorted(have, lost)[:, None] + np.arange(-k, k)
+            near = have[np.clip(at, 0, len(have) - 1)]
+            d = np.where((at >= 0) & (at < len(have)), np.abs(pos[near] - pos[lost, None]), np.inf)
+            first = np.argsort(d, axis=1, kind="stable")[:, :k]  # of two as near the one before
+            near, d = np.take_along_axis(near, first, axis=1), np.take_along_axis(d, first, axis=1)
+            w = np.where(d <= max_distance, 1 / (d + 1), 0)
+            total = w.sum(axis=1)
             fill = v.copy()
-            for i in np.flatnonzero(np.isnan(v)):
-                at = np.searchsorted(pos[have], pos[i])
-                near = have[max(0, at - k) : at + k]
-                d = np.abs(pos[near] - pos[i])
-                near = near[np.lexsort((near, d))][:k]
-                near = near[np.abs(pos[near] - pos[i]) <= max_distance]
-                if len(near):
-                    w = 1 / (np.abs(pos[near] - pos[i]) + 1)
-                    fill[i] = (w * v[near]).sum() / w.sum()
+            fill[lost] = np.where(total > 0, (w * v[near]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
             g[s] = fill
         return g
 

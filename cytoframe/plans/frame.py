@@ -7,6 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.tables import written
 from ..operators import annotate as A
@@ -255,11 +256,12 @@ class MethylFrame:
         self.obs.write.mode("overwrite").parquet(f"{path}/obs")
         for k, df in self.results.items():
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/results/{k}")
-        about = json.dumps({"case": self.case, "control": self.control, "meta": self.meta, "results": sorted(self.results), "signature": self.signature()})
+        about = json.dumps({"case": self.case, "control": self.control, "meta": self.meta, "results": sorted(self.results), "signature": self.signature(), "schema": self.sites.schema.jsonValue()})
         self.sites.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> MethylFrame:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         results = {k: spark.read.parquet(f"{path}/results/{k}") for k in about["results"]}
-        return cls(spark.read.parquet(f"{path}/sites"), about["case"], about["control"], results, about["meta"], spark.read.parquet(f"{path}/obs"))
+        sites = spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/sites")
+        return cls(sites, about["case"], about["control"], results, about["meta"], spark.read.parquet(f"{path}/obs"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.tables import _file_system
 from . import sinks
@@ -36,10 +37,11 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
 
 
 def data_signature(df: DataFrame, columns: list[str] | None = None) -> str:
-    """A digest of a table's rows, whatever their order: one aggregate with map-side sums."""
-    h = F.xxhash64(*(columns or df.columns))
+    """A digest of a table's rows, whatever the order of rows and columns: one aggregate with map-side sums."""
+    columns = sorted(columns or df.columns)
+    h = F.xxhash64(*columns)
     n, x, s = df.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1_000_000_007)))).first()
-    return hashlib.sha256(f"{n}|{x}|{s}|{df.dtypes}".encode()).hexdigest()
+    return hashlib.sha256(f"{n}|{x}|{s}|{sorted(df.select(*columns).dtypes)}".encode()).hexdigest()
 
 
 def signature(*parts: object) -> str:
@@ -61,7 +63,7 @@ class ResultStore:
     def create(cls, df: DataFrame, path: str, **about) -> ResultStore:
         store = cls(df.sparkSession, path)
         df.repartition("chrom").sortWithinPartitions("chrom", "pos").write.mode("overwrite").option("compression", "zstd").partitionBy("chrom").parquet(f"{store.path}/rows")
-        store.write_manifest(about | {"columns": df.columns})
+        store.write_manifest(about | {"schema": df.schema.jsonValue()})
         return store
 
     @classmethod
@@ -82,8 +84,8 @@ class ResultStore:
         self.write_manifest({"adjusted": {"column": q, "method": method}})
 
     def to_dataframe(self, columns: list[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/rows").withColumn("chrom", F.col("chrom").cast("string"))
-        return df.select(*(columns or self.manifest()["columns"]))
+        schema = StructType.fromJson(self.manifest()["schema"])  # a chromosome's name stays text
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows").select(*(columns or schema.names))
 
     def scan_chrom(self, chrom: str) -> DataFrame:
         return self.to_dataframe().where(F.col("chrom") == chrom)

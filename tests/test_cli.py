@@ -21,6 +21,12 @@ def test_commands(spark, tmp_path):
     go("export", store, tmp_path / "b", "--kind", "bedgraph", "--sample", "s1")
     assert spark.read.text(str(tmp_path / "b")).where("value LIKE 'chr%'").count() == sites.where("sample = 's1' AND coverage > 0").count()
     go("sample-summary", store, tmp_path / "s")
+    go("dmc", store, tmp_path / "g", "--case", "s0", "s1", "s2", "--control", "s4", "s5", "s6", "--formula", "~ treatment", "--unite", "union")
+    assert {"coef", "qvalue"} <= set(spark.read.parquet(str(tmp_path / "g")).columns)
+    go("report", store, tmp_path / "report.html", "--case", "s0", "s1", "--control", "s4", "s5")
+    assert (tmp_path / "report.html").read_text().count("<table") == 4
+    go("export", store, tmp_path / "m", "--kind", "matrix")
+    assert spark.read.parquet(str(tmp_path / "m" / "layers" / "beta")).count() == sites.where("coverage > 0").count()
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["nothing"])
 

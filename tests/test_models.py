@@ -173,7 +173,8 @@ def test_regression_against_newton(spark, wide):
     x = np.array([[1.0, s in V.CASE, 20 + 7 * i] for i, s in enumerate(V.SAMPLES)])
     done = 0
     for key, g in wide.groupby(["chrom", "pos"]):
-        if len(g) < 7 or (g.n_meth == 0).any() or (g.n_meth == g.coverage).any():
+        case = g["sample"].isin(V.CASE)
+        if len(g) < 5 or case.sum() < 2 or (~case).sum() < 2 or (g.n_meth == 0).any() or (g.n_meth == g.coverage).any():
             continue
         at = [V.SAMPLES.index(s) for s in g["sample"]]
         m, n, own = g.n_meth.to_numpy(float), g.coverage.to_numpy(float), x[at]
@@ -197,6 +198,8 @@ def test_two_group_regression_in_closed_form(spark, sites):
     for r in x:
         if r["both"] and 0.02 < r["pi_a"] < 0.98 and 0.02 < r["pi_b"] < 0.98:
             g = got[r["chrom"], r["pos"]]
+            if g["coef"] is None:  # a fit that the bound of the linear predictor ended
+                continue
             coef = np.log(r["pi_a"] / (1 - r["pi_a"])) - np.log(r["pi_b"] / (1 - r["pi_b"]))
             assert abs(g["coef"] - coef) < 1e-4 and abs(g["stat"] * g["phi"] - r["lr_raw"]) < 1e-3 * max(1, r["lr_raw"])
             lo, hi = g["meth_diff_ci_lo"], g["meth_diff_ci_hi"]

@@ -62,7 +62,7 @@ def test_design_and_contrast():
     obs = [{"g": "KO", "age": 3}, {"g": "WT", "age": 5}, {"g": "KO", "age": 8}]
     names, x = models.design(obs, "~ g + age + g:age")
     assert names == ["Intercept", "g[T.WT]", "age", "g[T.WT]:age"] and x[:, 3].tolist() == [0, 5, 0]
-    assert models.contrast("2*age - g[T.WT]", names).tolist() == [0, -1, 2, 0]
+    assert models.contrast("2*age - g[T.WT]", names).tolist() == [[0, -1, 2, 0]] and models.contrast("age, g[T.WT] = age", names).tolist() == [[0, 0, 1, 0], [0, 1, -1, 0]] == models.contrast([[0, 0, 1, 0], [0, 1, -1, 0]], names).tolist()
     with pytest.raises(ValueError):
         models.contrast("nothing", names)
 
