@@ -31,6 +31,7 @@ pass unused. Without training rows every word is spelled by an even mixer.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -62,8 +63,8 @@ _LEVELS = 24
 COMMON = 24
 ESCAPE, END = 0, 1
 
-#: One piece of work: whose each bit is, the bits, their slots in each table, and log-odds that need no table.
-Bits = tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]
+#: One piece of work: texts and where the bits of each begin, the bits, their slots in each table, and log-odds that need no table.
+Bits = tuple[tuple[np.ndarray, np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -139,29 +140,33 @@ class Code:
         # before a text come ends
         before = np.where(inside >= 1, symbol[np.maximum(np.arange(len(symbol)) - 1, 0)], END).astype(np.uint32)
         second = np.where(inside >= 2, symbol[np.maximum(np.arange(len(symbol)) - 2, 0)], END).astype(np.uint32)
-        one = (before + np.uint32(1)) * np.uint32(0x9E3779B1)
-        two = (one ^ (second + np.uint32(7)) * np.uint32(0x85EBCA77)) * np.uint32(0x2C1B3C6D)
+        one = _mixed_hash((before + np.uint32(1)) * np.uint32(0x9E3779B1))
+        two = _mixed_hash((one ^ (second + np.uint32(7)) * np.uint32(0x85EBCA77)) * np.uint32(0x2C1B3C6D))
         # the last word of the few commonest, which tells the language
         common = np.where((before > END) & (before < END + 1 + COMMON), np.arange(len(symbol)), -1)
         common = np.maximum(np.maximum.accumulate(common), first[of])
-        skip = (before[common] + np.uint32(3)) * np.uint32(0xC2B2AE3D)
+        last = _mixed_hash((before[common] + np.uint32(3)) * np.uint32(0xC2B2AE3D))
+        deep = (self.start[1:] - self.start[:-1])[symbol]
         edges = np.flatnonzero((inside & (STRETCH - 1)) == 0)
         ends = np.append(edges[1:], len(symbol))
         at = k = 0
         while at < len(symbol):
             k = max(int(np.searchsorted(ends, at + _PIECE, "right")) - 1, k)  # whole stretches, at least one
             to = int(ends[k])
-            k += 1
-            s = symbol[at:to]
-            deep = self.start[s + 1] - self.start[s]
-            word = np.repeat(np.arange(at, to), deep)
-            entry = self.path[np.repeat(self.start[s] - (np.cumsum(deep) - deep), deep) + np.arange(len(word))]
-            node, bit = entry >> 1, (entry & 1).astype(np.uint32)
+            d = deep[at:to]
+            end = np.cumsum(d)
+            begin = end - d
+            entry = self.path[np.repeat(self.start[symbol[at:to]] - begin, d) + np.arange(end[-1])]
+            node, bit = entry >> 1, entry & 1
             salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
-            slots = [node] + [_mixed_hash(h[word] ^ salt) >> np.uint32(32 - b) for h, b in zip((one, two, skip), self.bits)]
-            stretch = np.searchsorted(edges, np.arange(at, to), "right")[word - at]
-            yield of[word], bit, slots, [_so_far(node, stretch, bit)]
-            at = to
+            slots = [node.astype(np.intp)]
+            for h, b in zip((one, two, last), self.bits):
+                slots.append(((np.repeat(h[at:to], d) + salt) * np.uint32(0x9E3779B1) >> np.uint32(32 - b)).astype(np.intp))
+            own = edges[(edges >= at) & (edges < to)]
+            heads = begin[own - at]
+            new = np.concatenate(([True], np.diff(of[own]) > 0))
+            yield (of[own[new]], heads[new]), bit, slots, [_so_far(node, np.repeat(np.arange(len(own), dtype=np.int32), np.diff(np.append(heads, end[-1]))), bit)]
+            at, k = to, k + 1
 
 
 def _so_far(node: np.ndarray, stretch: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -234,8 +239,9 @@ def spelled(words: list[bytes]) -> Iterator[Bits]:
         slots = []
         for h, bits in zip([*hashes, whole], SPELL_BITS):
             low = h + ((part >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-            slots.append(np.concatenate((_row(h, bits)[:, None] + _HIGH[part], _row(low, bits)[:, None] + _LOW[part]), axis=1).ravel())
-        yield np.repeat(of, 8), _BITS[part].ravel(), slots, []
+            slots.append(np.concatenate((_row(h, bits)[:, None] + _HIGH[part], _row(low, bits)[:, None] + _LOW[part]), axis=1).ravel().astype(np.intp))
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        yield (of[heads], heads * 8), _BITS[part].ravel().astype(np.int32), slots, []
 
 
 # --- mixing -----------------------------------------------------------------
@@ -280,17 +286,17 @@ class Mixer:
         odds, met = self._made[without]
         st = np.empty((self.inputs, len(bit)), np.float32)
         for j, s in enumerate(slots):
-            np.take(odds[j], s.astype(np.int64) * 2 + bit if without else s, out=st[j])
+            np.take(odds[j], 2 * s + bit if without else s, out=st[j], mode="wrap")
         for j, x in enumerate(more, len(slots)):
             st[j] = x
         st[-1] = 0.3
-        return st, met[0][slots[self.gate[0]]] + met[1][slots[self.gate[1]]]
+        return st, (met[0][slots[self.gate[0]]] + met[1][slots[self.gate[1]]]).astype(np.intp)
 
     def _dot(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(len(gate), np.float32)
         for x, w in zip(st, self.weights.T.copy()):
-            dot += x * w[gate]
-        return np.clip(dot, -11.99, 11.99)
+            dot += x * w.take(gate)
+        return np.clip(dot, -11.99, 11.99, out=dot)
 
     def learn(self, pieces: Iterator[Bits], rate: float = 0.7, chunk: int = 1 << 15) -> None:
         for _, bits, slots, more in pieces:
@@ -304,8 +310,8 @@ class Mixer:
                 g = np.stack([np.bincount(gate, err * x, SETS) for x in st], axis=1) / n
                 self.steps += g * g * 100
                 self.weights += (rate * g / np.sqrt(self.steps)).astype(np.float32)
-                level = ((dot + 12) / 24 * _LEVELS).astype(np.int32)
-                self.map += np.bincount((gate * np.int32(_LEVELS) + level) * 2 + b, minlength=self.map.size).reshape(self.map.shape)
+                level = ((dot + 12) * np.float32(_LEVELS / 24)).astype(np.int32)
+                self.map += np.bincount((gate * _LEVELS + level) * 2 + b, minlength=self.map.size).reshape(self.map.shape)
                 self.seen += len(b)
 
     def log10(self, pieces: Iterator[Bits], n: int) -> np.ndarray:
@@ -315,9 +321,10 @@ class Mixer:
         for of, bit, slots, more in pieces:
             st, gate = self._inputs(bit, slots, more, False)
             dot = self._dot(st, gate)
-            dot = (dot + refined[gate * np.int32(_LEVELS) + ((dot + 12) / 24 * _LEVELS).astype(np.int32)]) / 2
+            dot += refined[gate * _LEVELS + ((dot + 12) * np.float32(_LEVELS / 24)).astype(np.int32)]
             # log(1 + e^x) of the bits that came; x is within 20, so it neither overflows nor vanishes
-            out -= np.bincount(of, np.log1p(np.exp(np.where(bit == 1, -dot, dot))), n)
+            lost = np.log1p(np.exp(dot * (np.float32(0.5) - bit.astype(np.float32))))
+            np.subtract.at(out, of[0], np.add.reduceat(lost, of[1], dtype=np.float64))
         return out / np.log(10)
 
 
@@ -340,7 +347,7 @@ def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[i
                 for _, bit, slots, _more in pieces:
                     some = True
                     for table, s in zip(tables, slots):
-                        np.add.at(table, s.astype(np.int64) * 2 + bit, np.uint32(1))
+                        np.add.at(table, 2 * s + bit, np.uint32(1))
         if some:
             rows = [(j, i, zlib.compress(c.tobytes(), 1)) for j, t in enumerate(tables) for i, c in enumerate(_added(t))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["j", "i", "data"])
@@ -525,14 +532,16 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     values = spark.sparkContext.broadcast(values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = model.mixer()
+        mixer, new_word = model.mixer(), math.log10(1 - again)
         for b in batches:
             score, base, size, known = [], [], [], []
             for part in _some(b, 2):
                 score += mixer.log10(code.value.pieces(part), len(part)).tolist()
-                base += [float(values.value[s].sum()) for s in part]
-                size += map(len, part)
-                known += [int((s != ESCAPE).sum()) for s in part]
+                every, own = np.concatenate(part), [len(s) for s in part]
+                heads = np.cumsum(own) - own
+                base += np.add.reduceat(values.value[every], heads).tolist()
+                size += own
+                known += np.add.reduceat((every != ESCAPE).astype(np.int64), heads).tolist()
             rows: list = [[], [], []]  # uid, token, times
             for i, (uid, behind) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 times: dict[bytes, int] = {}
@@ -540,7 +549,7 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
                     had = times.get(w, 0)
                     times[w] = had + 1
                     if k:
-                        score[i] += np.log10(again * had / k) if had else np.log10(1 - again)
+                        score[i] += math.log10(again * had / k) if had else new_word
                 rows[0] += [uid] * len(times)
                 rows[1] += times.keys()
                 rows[2] += times.values()
