@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 Texts are counted as hashed trigrams of character shapes (case, digits, spaces,
-each punctuation mark) with a few style rates. A bounded sample of labelled
+each punctuation mark) and as hashed words, with a few style rates. A bounded sample of labelled
 rows (`sample`, by hash of id) gives the inverse document frequencies, the
 latent space (randomised SVD) and the labelled vectors, which are broadcast:
 their size is sample x dims numbers whatever the input's size. Every document
@@ -16,6 +16,7 @@ Other columns pass by. Repeated rows get the same score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from ._common import held_out
 SAMPLE, DIMS, K = 6000, 64, 15
 POWER = 4.0
 THRESHOLD = 0.3
-HASHED, STYLE = 2032, 16
-FEATURES = HASHED + STYLE
+HASHED, TERMS, STYLE = 2032, 2048, 16
+FEATURES = HASHED + TERMS + STYLE
+#: Weight of the words beside that of the character shapes.
+TERM_WEIGHT = 0.7
 _BATCH_BYTES = 2_000_000
 
 
@@ -79,7 +82,7 @@ def _style(text: str) -> np.ndarray:
 
 
 def counts(texts: list[str]) -> np.ndarray:
-    """texts x FEATURES: trigram counts, then style rates; whole texts in bounded pieces."""
+    """texts x FEATURES: counts of trigrams and words, then style rates; whole texts in bounded pieces."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     at = 0
     while at < len(texts):
@@ -100,8 +103,10 @@ def counts(texts: list[str]) -> np.ndarray:
             inside = doc[:-2] == doc[2:]
             key = _SLOT[(c[:-2] * _N + c[1:-1]) * _N + c[2:]] + HASHED * doc[:-2]
             out[at:end, :HASHED] = np.bincount(key[inside], minlength=HASHED * len(parts)).reshape(-1, HASHED)
-        for i in range(at, end):
-            out[i, HASHED:] = _style(texts[i])
+        for i, data in zip(range(at, end), parts):
+            words = data.lower().split()
+            out[i, HASHED:-STYLE] = np.bincount(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % TERMS, minlength=TERMS)
+            out[i, -STYLE:] = _style(texts[i])
         at = end
     return out
 
@@ -125,11 +130,10 @@ class Model:
         self.vectors = self._unit(w @ self.space)
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
-        w = x.copy()
-        w[:, :HASHED] = np.log1p(w[:, :HASHED])
-        w *= self.idf
-        w[:, HASHED:] = x[:, HASHED:]
-        w[:, :HASHED] /= np.maximum(np.linalg.norm(w[:, :HASHED], axis=1, keepdims=True), 1e-9)
+        w = np.log1p(x) * self.idf
+        w[:, -STYLE:] = x[:, -STYLE:]
+        for part, weight in ((slice(0, HASHED), 1.0), (slice(HASHED, -STYLE), TERM_WEIGHT)):
+            w[:, part] *= weight / np.maximum(np.linalg.norm(w[:, part], axis=1, keepdims=True), 1e-9)
         return w
 
     @staticmethod
