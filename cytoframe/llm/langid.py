@@ -28,15 +28,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import held_out
 
 PER_LABEL, MAX_TEXTS = 250, 4000
+#: Most characters of all texts that are learned from; one with over a sixteenth of them is passed over.
+MAX_CHARS = 16_000_000
 SLOTS = 1 << 16
 EPOCHS, RATE = 4, 0.3
 LANE = 32
 #: Words held at once while labelling, unless one text has more.
 _BATCH_WORDS = 300_000
+#: Words times squared labels worked on at once.
+_BATCH_CELLS = 16_000_000
 CACHE_WORDS = 200_000
 
 
@@ -157,9 +162,10 @@ class Model:
         tokens = [t.split() if t else [] for t in texts]
         out: list[tuple[str, float]] = []
         at = 0
+        most = min(_BATCH_WORDS, _BATCH_CELLS // len(self.labels) ** 2)
         while at < len(texts):
             end, n = at, 0
-            while end < len(texts) and (end == at or n < _BATCH_WORDS):
+            while end < len(texts) and (end == at or n < most):
                 n += len(tokens[end])
                 end += 1
             if len(known) > CACHE_WORDS:
@@ -228,13 +234,16 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE
     return Model(labels, w.astype(np.float32), trans, lexicon)
 
 
-def fit(docs: DataFrame, learn: Column | None = None, per_label: int = PER_LABEL, max_texts: int = MAX_TEXTS) -> Model:
+def fit(docs: DataFrame, learn: Column | None = None, per_label: int = PER_LABEL, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> Model:
+    """A model of at most per_label texts of each label, max_texts and max_chars in all, in the order of a hash."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rows = rows.where(learn) if learn is not None else rows
     order = F.xxhash64("doc_id", F.lit(11))
-    ids = rows.select("doc_id", "lang", order.alias("o"), F.xxhash64("text").alias("th"))
+    ids = rows.select("doc_id", "lang", order.alias("o"), F.xxhash64("text").alias("th"), F.length("text").alias("size")).where(F.col("size") <= max_chars // 16)
     few = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "th"))).where(F.col("r") <= per_label)
-    few = few.orderBy("r", "lang").limit(max_texts).select("doc_id", "lang", "th").distinct()
+    few = few.orderBy("r", "lang").limit(max_texts)
+    upto = F.sum("size").over(Window.orderBy("r", "lang", "o", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0))  # over at most max_texts rows
+    few = few.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("doc_id", "lang", "th").distinct()
     # at most max_texts rows of ids, so this side's size is bounded
     got = rows.withColumn("th", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "lang", "th"]).select("text", "lang").distinct()
     return train([(r["text"], r["lang"]) for r in got.toLocalIterator()])
@@ -252,8 +261,7 @@ def language_of(docs: DataFrame, learn: Column | None = None, **parameters) -> D
             got = model.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
