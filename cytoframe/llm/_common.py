@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import Written, meet, release, shared_dir, written  # noqa: F401
+from ..functions.tables import Written, meet, release, shared_dir, small, written  # noqa: F401
 
 #: ASCII white space as the contracts define it.
 WS = " \t\n\x0b\f\r"

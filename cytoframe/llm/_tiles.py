@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Written, small
+
 
 def tiled(rows: DataFrame, key: str, spread: Column, cap: int) -> DataFrame:
     """rows with columns t0, t1, block: a list of over `cap` rows by key is cut in
@@ -16,7 +18,7 @@ def tiled(rows: DataFrame, key: str, spread: Column, cap: int) -> DataFrame:
     itself, tile (i, j) the rows of block i with those of block j.
     """
     long_ = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(key, F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    r = rows.join(long_, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    r = rows.join(small(Written(long_).df), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     r = r.withColumn("block", F.pmod(spread, F.col("blocks")).cast("int"))
     r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return r.withColumns({"t0": F.least("block", "_o"), "t1": F.greatest("block", "_o")}).drop("_o", "blocks")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Written, connected_components, meet
+from ._common import LOWER, UPPER, Written, connected_components, meet, small
 from ._tiles import segments, spanning, tiled
 
 SHINGLE = 4
@@ -155,6 +155,140 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return meet(held, Written(of).df, "fp", held.count()).select("doc_id", "text_hash", "fp", "component_id")
 
 
+# --- near-duplicates by similarity of shingles ------------------------------
+
+#: Words of a wide fingerprint, 64 bits each.
+WIDE = 4
+#: Pairs of positional bytes that index a wide fingerprint: each byte with those one and eleven places on, half of the latter.
+PAIRS = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 11) % 32) for i in range(0, 32, 2)]
+#: Least positional bytes that a candidate shares, of 32.
+WIDE_SHARED = 3
+#: Deviations that a candidate's differing bits may lie over what is expected at the similarity asked for.
+SLACK = 3.0
+#: Lists up to this length are compared by shifting.
+SHORT = 16
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """256 bits of distinct shingles: the first 64 of their hashes, the rest of hashes made of these."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        words = np.stack([part if k == 0 else _mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(WIDE)], axis=1)
+        ones += np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits up to which a pair of that similarity is a candidate: the angle of two sets' sums, with slack."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * WIDE * p + SLACK * np.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of rows i, j of x (bytes) share enough positional bytes and differ in few enough bits."""
+    a, b = x[i], x[j]
+    ok = (a == b).sum(axis=1) >= WIDE_SHARED
+    ok[ok] = np.bitwise_count(a[ok] ^ b[ok]).sum(axis=1, dtype=np.int64) <= most
+    return ok
+
+
+def wide_links(fps: DataFrame, most: int, list_cap: int = LIST_CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b), a < b: links between distinct wide fingerprints (column fp, binary) that connect all candidates that share an indexed pair of bytes."""
+    pieces = [F.concat(F.substring("fp", i + 1, 1), F.substring("fp", j + 1, 1)) for i, j in PAIRS]
+    keys = F.array(*(F.lit(k << 16).bitwiseOR(F.conv(F.hex(x), 16, 10).cast("int")) for k, x in enumerate(pieces)))
+    buckets = max(1, -(-fps.count() * len(PAIRS) // bucket_rows))
+    met = tiled(fps.select("fp", F.explode(keys).alias("key")), "key", F.xxhash64("fp"), list_cap)
+    met = met.select(F.pmod(F.xxhash64("key", "t0", "t1"), F.lit(buckets)).alias("bucket"), "key", "t0", "t1", "fp")
+
+    def run(key, g):
+        fp = g.column("fp").to_pylist()
+        x = np.frombuffer(b"".join(fp), np.uint8).reshape(-1, 8 * WIDE)
+        cols = [g.column(c).to_numpy() for c in ("key", "t0", "t1")]
+        order = np.lexsort((*x.T[::-1], *cols[::-1]))
+        x, (k, t0, t1) = x[order], (c[order] for c in cols)
+        new = np.zeros(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])
+        of = np.cumsum(new)
+        starts, ends = segments(of)
+        short = np.repeat(ends - starts <= SHORT, ends - starts)
+        found = []
+        for step in range(1, SHORT):
+            i = np.flatnonzero((of[step:] == of[:-step]) & short[step:])
+            if not len(i):
+                break
+            ok = _candidates(x, i, i + step, most)
+            found.append((i[ok], i[ok] + step))
+        for a, b in zip(starts[ends - starts > SHORT].tolist(), ends[ends - starts > SHORT].tolist()):
+            own = x[a:b]
+            got = np.array(spanning(len(own), lambda i, js, own=own: _candidates(own, np.full(len(js), i), js, most)), np.int64).reshape(-1, 2) + a
+            found.append((got[:, 0], got[:, 1]))
+        i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        pairs = sorted({(x[p].tobytes(), x[q].tobytes()) for p, q in zip(i.tolist(), j.tolist())})
+        pairs = [(min(p), max(p)) for p in pairs]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
+
+    return met.groupBy("bucket").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component_id, group_id) of every row: groups that links of texts of that Jaccard similarity of their word shingles make.
+
+    Fingerprints of 256 bits are indexed by pairs of positional bytes; of a
+    list's pairs those that share enough positional bytes and differ in few
+    enough bits are candidates, and a candidate is a link if the distinct
+    shingles of the two fingerprints' first texts are that similar. Texts of
+    one fingerprint are one group. component_id is a group's smallest doc_id,
+    group_id a number of its own, for rows that share a doc_id. Candidates are found with high probability:
+    a pair at the similarity asked for shares an indexed pair of bytes with a
+    chance of about 0.97, a closer one more surely. Within a long list
+    spanning candidates are held against each other only.
+    """
+    most = most_bits(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(np.unique(shingle_hashes(t.as_py(), width))) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
+    held = Written(rows.mapInArrow(prints, "doc_id bigint, text_hash bigint, fp binary")).df
+    total = held.count()
+    classes = Written(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.count("*").alias("n")).select("fp", "r.doc_id", "r.text_hash", "n")).df
+    links = Written(wide_links(classes.select("fp"), most)).df
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(1)]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64)))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), b.column(2)], ["fp", "s", "n"])
+
+    # the first text of each fingerprint that has a candidate, and how many candidates want it
+    wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    first = small(Written(classes.drop("n").join(wanted, "fp")).df)
+    texts = rows.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash").eqNullSafe(F.col("f.text_hash")))).select("f.fp", "d.text", "f.n").dropDuplicates(["fp"])
+    sets = Written(texts.mapInArrow(shingles, "fp binary, s array<bigint>, n bigint")).df
+    both = 2 * links.count()
+    one = meet(links.withColumnRenamed("a", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "a", "s": "sa"})
+    two = meet(Written(one).df.withColumnRenamed("b", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "b", "s": "sb"})
+    same = F.size(F.array_intersect("sa", "sb"))
+    alike = two.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    number = F.xxhash64  # fingerprints as numbers; a collision of two would need billions of them
+    comps = connected_components(alike.select(number("a").alias("a"), number("b").alias("b")))
+    named = classes.withColumn("node", number("fp")).join(Written(comps).df, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = named.select("fp", "component", "n").join(least, "component").select("fp", "component_id", F.col("component").alias("group_id"), "n")
+    return meet(held, Written(of).df, "fp", total).select("doc_id", "text_hash", "component_id", "group_id")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs.select("doc_id", "text")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -253,7 +253,7 @@ def fitted(pieces, sizes, gate, more):
     tables = [np.zeros(2 * n, np.uint32) for n in sizes]
     for _, bit, slots, _m in pieces():
         for table, x in zip(tables, slots):
-            np.add.at(table, x.astype(np.int64) * 2 + bit, np.uint32(1))
+            np.add.at(table, 2 * x + bit, np.uint32(1))
     m = lm.Mixer(tables, gate, more)
     for _ in range(20):
         m.learn(pieces())
@@ -312,7 +312,7 @@ def test_op4_spelling_is_a_distribution(monkeypatch):
     every = [bytes([i]) for i in range(256) if i != 32]
     # what begins with a byte has that byte's share: of the empty word and all first bytes
     first = [next(lm.spelled([w])) for w in every]
-    share = [m.log10(iter([(of[:8], bit[:8], [s[:8] for s in slots], [])]), 1)[0] for of, bit, slots, _ in first]
+    share = [m.log10(iter([(of, bit[:8], [s[:8] for s in slots], [])]), 1)[0] for of, bit, slots, _ in first]
     assert abs((10.0 ** np.array(share)).sum() + 10.0 ** m.log10(lm.spelled([b""]), 1)[0] - 1) < 1e-5
     assert m.log10(lm.spelled([b"the"]), 1)[0] > m.log10(lm.spelled([b"xqz"]), 1)[0]
     whole = m.log10(lm.spelled(words), len(words))
@@ -396,6 +396,36 @@ def test_op6_long_lists_lose_no_link(spark):
     assert len(simhash.TRIPLES) == 20
 
 
+def test_op6_near_duplicates_by_shingles(spark, odd):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    rows, plan = [], []
+    for g in range(40):
+        base = rng.choice(words, 120 + g).tolist()
+        rows.append((10 * g, " ".join(base)))
+        for k, changes in enumerate((0, 1, 2, 3, 12, 40), 1):
+            t = list(base)
+            for at in rng.choice(len(t), changes, replace=False):
+                t[at] = f"x{rng.integers(10**6)}"
+            rows.append((10 * g + k, " ".join(t)))
+    def shingles(t):
+        w = fold(t).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles(t) for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][0] // 10 == rows[j][0] // 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    lab = groups(len(rows), alike)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [i for i, (d, _) in enumerate(rows) if got[d] != rows[lab[i]][0]]
+    assert len(wrong) <= 0.02 * len(rows) and all(got[d] % 10 >= 0 and got[d] // 10 == d // 10 for d, _ in rows)
+    assert len({rows[g][0] for g in lab}) > 80  # changed texts are not all one group
+    for list_cap, bucket in ((8, 64),):
+        fps = simhash.Written(spark.createDataFrame(rows, "doc_id long, text string").select(F.sha2("text", 256).alias("h")).select(F.unhex("h").alias("fp"))).df.distinct()
+        assert simhash.wide_links(fps, 30, list_cap, bucket).count() == 0
+    o = simhash.near_duplicates(odd).collect()
+    assert len(o) == odd.count() and {r["component_id"] for r in o if r["doc_id"] in (3, 4, 5)} == {3} and {r["component_id"] for r in o if r["doc_id"] in (6, 7)} == {6}
+    assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
+
+
 def repeat_truth(rows):
     rows = [((2**63 - 1) if i is None else i, (t or "").encode()) for i, t in rows]
     first = {}
@@ -686,6 +716,9 @@ def test_pipeline_on_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         e = _common.written(stage(spark, e, DATA))
     assert e.count() == 0
+    twice = spark.createDataFrame([(7, "one text of a few words in all", "en", "x", 1)] * 3 + [(8, "one text of a few words in all", "en", "x", 1), (7, "quite another one under the same name here", "en", "x", 1)], EMPTY)
+    kept = sorted((r["doc_id"], r["text"][:3]) for r in corpus_pipeline.near_duplicate_stage(spark, twice, DATA).collect())
+    assert kept == [(7, "one"), (7, "qui")]
 
 
 def test_registered():
