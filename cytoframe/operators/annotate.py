@@ -70,6 +70,15 @@ def all_features(sites: DataFrame, index: DataFrame) -> DataFrame:
     return sites.join(g, ["chrom", "pos"], "left").withColumns({c: F.coalesce(c, empty) for c in ("all_overlapping_features", "all_overlapping_genes")})
 
 
+def feature_tss(annotated: DataFrame, genes: DataFrame) -> DataFrame:
+    """annotated (with feature_gene) with that gene's strand, and the distance from its start in the direction of the gene: null without a gene."""
+    start = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
+    g = genes.groupBy("gene_id").agg(F.min(F.struct("strand", start.alias("at"))).alias("_g")).select(F.col("gene_id").alias("feature_gene"), F.col("_g.strand").alias("gene_strand"), F.col("_g.at").alias("_at"))
+    x = annotated.join(g, "feature_gene", "left")
+    away = F.col("pos") - F.col("_at")
+    return x.withColumn("gene_distance", F.when(F.col("gene_strand") == "-", -away).otherwise(away)).drop("_at")
+
+
 def nearest_tss(sites: DataFrame, genes: DataFrame) -> DataFrame:
     """nearest_gene and signed distance pos - TSS; the TSS of a minus-strand gene is its end."""
     marks = genes.select("chrom", F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end")).alias("at"), F.col("gene_id").alias("name"))

@@ -710,6 +710,12 @@ def feature_overlap_best(spark, d):
     return A.best_feature(V.results(spark, d), _index(spark, d)).select("chrom", "pos", "feature_type", "feature_gene")
 
 
+@query(f"SELECT r.chrom, r.pos, h.gene_id AS feature_gene, g.strand AS gene_strand, CASE WHEN g.strand = '-' THEN {_TSS} - r.pos ELSE r.pos - {_TSS} END AS gene_distance FROM results r LEFT JOIN (SELECT chrom, pos, gene_id FROM hits QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY priority, gene_id, \"start\") = 1) h USING (chrom, pos) LEFT JOIN genes g ON g.gene_id = h.gene_id", *_ANN, _HITS)
+def feature_gene_distance(spark, d):
+    x = A.best_feature(V.results(spark, d), _index(spark, d))
+    return A.feature_tss(x, V.genes(spark, d)).select("chrom", "pos", "feature_gene", "gene_strand", "gene_distance")
+
+
 @query("SELECT r.chrom, r.pos, coalesce(f, '') AS features, coalesce(g, '') AS genes FROM results r LEFT JOIN (SELECT chrom, pos, string_agg(DISTINCT feature, ',' ORDER BY feature) AS f, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS g FROM hits GROUP BY ALL) USING (chrom, pos)", *_ANN, _HITS)
 def feature_overlap_all(spark, d):
     x = A.all_features(V.results(spark, d), _index(spark, d))

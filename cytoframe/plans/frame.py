@@ -91,17 +91,21 @@ class MethylFrame:
     def dmc(
         self, test: str = "auto", dispersion: str = "eb", reference: str = "adaptive", fdr_method: str = "bh", neighbour_bp: int | None = None, alpha: float = 0.05,
         formula: str | None = None, contrast: object = None, min_case: int = 0, min_control: int = 0, allow_single: bool = False,
-        smoothed: bool = False, smooth_bp: int | None = None, separated: float | None = None, permutations: int = 0, seed: int = 42,
+        smoothed: bool = False, smooth_bp: int | None = None, separated: float | None = None, permutations: int = 0, seed: int = 42, boost: bool | str = False,
     ) -> DataFrame:
         """Per-site results with q-values, kept as results["dmc_<test>"].
 
         test: auto, lr, score, fisher, cmh, welch_t, logit_t, bb_lr or glm. A
         formula over obs makes it a regression, with a contrast of its terms
         or else the treatment term against the rest. permutations adds an
-        empirical p-value from as many shuffles of the labels.
+        empirical p-value from as many shuffles of the labels. boost combines
+        neighbours within 500 bp and lets an exact test count where levels
+        differ by 0.9; as "auto" it does so for lr with two samples or fewer in a group.
         """
         if test == "auto":
             test = "glm" if formula else tests.auto_test(len(self.case), len(self.control), allow_single)
+        if boost is True or (boost == "auto" and test == "lr" and min(len(self.case), len(self.control)) <= 2):
+            neighbour_bp, separated = neighbour_bp or 500, 0.9 if separated is None else separated
         tests.check_groups(len(self.case), len(self.control), self.meta.get("united", "union"), allow_single or test == "fisher" or bool(formula), min_case, min_control)
         x = self._tested(smoothed, smooth_bp)
         if test == "glm":
@@ -234,6 +238,14 @@ class MethylFrame:
         self.results["entropy"] = reads.entropy(calls, **settings)
         return self.results["entropy"]
 
+    def dashboard(self, bins: int = 50, top: int = 100, method: str = "spearman") -> dict[str, DataFrame]:
+        """The tables of a quality overview: coverage by sample, levels, correlation, and the samples that look most mixed."""
+        mixed = qc.contamination(self.sites)
+        return {
+            "coverage": qc.coverage_histogram(self.sites, bins, top), "levels": qc.global_methylation(self.sites), "uniformity": qc.coverage_uniformity(self.sites),
+            "correlation": qc.sample_correlation(self.sites, self.samples, method), "contamination": mixed, "worst": profiles.worst_samples(mixed),
+        }
+
     # --- reports and storage ---------------------------------------------
 
     def report(self, n: int = 50, alpha: float = 0.05, delta: float = 0.1) -> dict[str, DataFrame]:

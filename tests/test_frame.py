@@ -86,6 +86,17 @@ def test_separated_sites_and_permutations(frame):
     assert {"p_empirical", "q_empirical"} <= set(t.columns) and t.count() >= 1
 
 
+def test_boost_for_small_groups(sites):
+    small = MethylFrame(sites, CASE[:2], CONTROL[:2]).unite("intersect")
+    plain, more = found(small.dmc("lr"))[0], found(small.dmc("lr", boost="auto"))[0]
+    assert more >= plain and more > 0.5
+
+
+def test_overview_tables(frame):
+    d = frame.dashboard()
+    assert set(d) == {"coverage", "levels", "uniformity", "correlation", "contamination", "worst"} and d["worst"].count() == 3 and d["correlation"].count() == 28
+
+
 def test_permutations_against_brute_force(spark, sites):
     sets = tests.label_sets(CASE, CONTROL, 3)
     assert len(sets) == 3 and all(len(s) == 4 for s in sets) and sets == tests.label_sets(CASE, CONTROL, 3)
