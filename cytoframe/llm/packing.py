@@ -39,13 +39,13 @@ _LOOSE = re.compile(r" \s|\s ")
 
 
 class _Kept(dict):
-    """What make(key) gave, for up to CACHE_WORDS keys at a time."""
+    """What make(key) gave, for up to `most` keys at a time."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.most = make, CACHE_WORDS
 
     def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         found = self[key] = self.make(key)
         return found
@@ -95,7 +95,7 @@ def _cut(word: str) -> list[str]:
     return [word]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     A token never reaches over the cut before a space that stands alone
@@ -104,6 +104,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     those that hold a special token's name among them.
     """
     tok, words, special = _worker_store(path)
+    words.most = cache_words
     get, out = words.__getitem__, []
     for t in texts:
         # white space but spaces and line breaks isn't printable; the slower pattern is for texts that have some
@@ -114,20 +115,21 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document, end id 0 included; keep_ids adds the ids' bytes."""
+def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document, end id 0 included; keep_ids adds the ids' bytes. A worker keeps the ids of cache_words words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            ids, column = b.column(0).to_pylist(), b.column(1)
             rows = []
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 4_000_000):  # bounds what is held at once
-                    size += len(texts[end])
+            while at < len(ids):
+                end, size, texts = at, 0, []
+                while end < len(ids) and (end == at or size < 1_000_000):  # bounds what is held at once
+                    texts.append(column[end].as_py() or "")
+                    size += len(texts[-1])
                     end += 1
-                for doc, data in zip(ids[at:end], encode_texts(texts[at:end], tokenizer)):
+                for doc, data in zip(ids[at:end], encode_texts(texts, tokenizer, cache_words)):
                     data += b"\0\0\0\0"
                     n = len(data) // 4
                     first = n % sequence or sequence
@@ -202,9 +204,9 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_
     return dealt.groupBy("group").applyInArrow(run, spec)
 
 
-def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str | None = None, **parameters) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(token_pieces(docs, tokenizer))
+    return pack(token_pieces(docs, tokenizer, **parameters))
