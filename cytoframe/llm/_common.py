@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,19 @@ WS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system, so that what an earlier task needed doesn't add to what the next one does."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def named(name: str) -> Column:
+    """The column of that very name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's decimal text falls in the fold; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

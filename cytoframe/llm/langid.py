@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out
+from ._common import held_out, named
 
 PER_LABEL, MAX_TEXTS = 250, 4000
 #: Most characters of all texts that are learned from; one with over a sixteenth of them is passed over.
@@ -253,7 +253,7 @@ def language_of(docs: DataFrame, learn: Column | None = None, **parameters) -> D
     """docs with lang_pred and lang_score."""
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, learn, **parameters))
-    docs = docs.select(*names)
+    docs = docs.select(*map(named, names))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

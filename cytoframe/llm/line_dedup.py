@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, UPPER, WS, Written, meet
+from ._common import LOWER, UPPER, WS, Written, meet, named
 
 
 def line_key(line: Column) -> Column:
@@ -52,7 +52,7 @@ def _documents(min_docs: int) -> list[Column]:
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs with text replaced by what stays, and n_lines, n_dropped."""
     extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text_hash", "dropped")]
-    docs = docs.select(*extra).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.select(*map(named, extra)).withColumn("text", F.coalesce("text", F.lit("")))
     lost = dropped_positions(docs, min_chars, min_docs)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     joined = keyed.alias("d").join(

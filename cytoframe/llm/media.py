@@ -20,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import named
+
 UNIT = 576
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -195,7 +196,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     filters names the row filters (0 to 4) that the PNG uses.
     """
     names = [c for c in docs.columns if c not in FIELDS and c != "media"]
-    docs = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
+    docs = docs.select(*map(named, names))
     at = names.index("text")
     kept = [i for i, c in enumerate(names) if keep_media or c != "text"]
     made = [T.StructField(k, v) for k, v in FIELDS.items()] + ([T.StructField("media", T.BinaryType())] if keep_media else [])

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Written
+from ._common import Written, named
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -159,17 +159,13 @@ def _draws_of_pass(e: int, b: int, seed: int) -> str:
     )
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 OWN = ("size", "source_size", "target", "draws")
 
 
 def _drawn(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """_d, a struct of docs' columns, so that no name of theirs meets one used here, with size, source_size, target and draws."""
     b = block_words
-    base = docs.select(F.struct(*map(_quoted, docs.columns)).alias("_d"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_perm"))
+    base = docs.select(F.struct(*map(named, docs.columns)).alias("_d"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_perm"))
     sizes = Written(base.select("_d.doc_id", "source", "size", "_perm")).df
     plan = Written(quotas(source_targets(sizes), b)).df
     if shards is None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Written
+from ._common import Written, give_back
 
 SEQUENCE = 2048
 GROUP_PIECES = 65_536
@@ -119,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep
     """(doc_id, piece, start, length, ids_crc32) of every document, end id 0 included; keep_ids adds the ids' bytes. A worker keeps the ids of cache_words words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             ids, column = b.column(0).to_pylist(), b.column(1)
             rows = []

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out
+from ._common import held_out, named
 
 SAMPLE, DIMS, K = 6000, 64, 15
 POWER = 4.0
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, **parameters) -> DataFrame:
     """docs with quality_score, double in 0..1."""
     names = [c for c in docs.columns if c != "quality_score"]
-    docs = docs.select(*names)
+    docs = docs.select(*map(named, names))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, **parameters))
     at = names.index("text")
 

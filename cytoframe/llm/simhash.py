@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Written, connected_components, meet, small
+from ._common import LOWER, UPPER, Written, connected_components, give_back, meet, small
 from ._tiles import segments, spanning, tiled
 
 SHINGLE = 4
@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         for b in batches:
             fps = [wide_fingerprint(np.unique(shingle_hashes(t.as_py(), width))) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
     held = Written(rows.mapInArrow(prints, "doc_id bigint, text_hash bigint, fp binary")).df
@@ -270,6 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             at = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64)))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), b.column(2)], ["fp", "s", "n"])
+        give_back()
 
     # the first text of each fingerprint that has a candidate, and how many candidates want it
     wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))

@@ -35,6 +35,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import named
 
 WINDOW = 50
 GRAM = 16
@@ -474,7 +477,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
     own = ("kept", "n_bytes", "n_removed", "n_spans")
     names = [c for c in docs.columns if c not in (*own, "_doc", "_th", "ids", "spans")]
-    docs = docs.select(*names)
+    docs = docs.select(*map(named, names))
     lost = removed_spans(docs, window)
     met = _keyed(docs).join(lost.withColumnRenamed("doc", "_doc"), "_doc", "left")
 
@@ -493,8 +496,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     col.append(v)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], [*names, *own])
 
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return met.mapInArrow(cut, f"{spec}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    made = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in own[1:])]
+    return met.mapInArrow(cut, T.StructType([*docs.schema.fields, *made]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

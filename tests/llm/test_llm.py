@@ -721,5 +721,13 @@ def test_pipeline_on_odd_rows(spark, odd):
     assert kept == [(7, "one"), (7, "qui")]
 
 
+def test_columns_of_any_name_and_type(spark):
+    d = spark.createDataFrame([(1, "one line of a text\nand another", "en", "x", 1), (2, "one line of a text", "en", "x", 1)], EMPTY).withColumns({"a`b": F.lit(1), "x.y": F.struct(F.lit(1).alias("p q"), F.lit("s").alias("r.s"))})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for out in (quality.quality_scores(d, labels), line_dedup.line_dedup(d), suffix_dedup.suffix_dedup(d), media.media_columns(d), mixing.mix_draws(d), langid.language_of(d)):
+        row = out.where("doc_id = 1").first().asDict()
+        assert row["a`b"] == 1 and row["x.y"]["p q"] == 1
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
