@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.tables import Written, meet, release, shared_dir, small, written  # noqa: F401
 
@@ -15,6 +17,18 @@ WS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], spec: StructType) -> DataFrame:
+    """df.mapInArrow(run, spec), whatever the columns' names: Spark sees plain ones, run the real ones."""
+    names, plain, made = df.columns, [f"c{i}" for i in range(len(df.columns))], [f"c{i}" for i in range(len(spec))]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, made)
+
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(made, spec.fields)])
+    return df.toDF(*plain).mapInArrow(own, schema).toDF(*spec.names)
+
+
 def give_back() -> None:
     """Returns memory that this worker has freed to the system, so that what an earlier task needed doesn't add to what the next one does."""
     pa.default_memory_pool().release_unused()

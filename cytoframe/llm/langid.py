@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, named
+from ._common import held_out, map_in_arrow, named
 
 PER_LABEL, MAX_TEXTS = 250, 4000
 #: Most characters of all texts that are learned from; one with over a sixteenth of them is passed over.
@@ -261,7 +261,7 @@ def language_of(docs: DataFrame, learn: Column | None = None, **parameters) -> D
             got = model.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return map_in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

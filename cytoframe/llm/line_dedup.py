@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, UPPER, WS, Written, meet, named
+from ._common import LOWER, UPPER, WS, Written, map_in_arrow, meet, named
 
 
 def line_key(line: Column) -> Column:
@@ -75,7 +75,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
             cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(rebuild, spec)
+    return map_in_arrow(joined, rebuild, spec)
 
 
 def digest(docs: DataFrame) -> DataFrame:

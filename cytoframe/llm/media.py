@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import named
+from ._common import map_in_arrow, named
 
 UNIT = 576
 WIDTH = 64
@@ -232,7 +232,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             new = [pa.array(c, arrow[f.dataType]) for c, f in zip(cols, made)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new], spec.names)
 
-    return docs.mapInArrow(run, spec)
+    return map_in_arrow(docs, run, spec)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, named
+from ._common import held_out, map_in_arrow, named
 
 SAMPLE, DIMS, K = 6000, 64, 15
 POWER = 4.0
@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             got = [model.value.score(counts(texts[i : i + 512])) for i in range(0, len(texts), 512)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, "quality_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return map_in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

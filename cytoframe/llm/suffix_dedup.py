@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import named
+from ._common import map_in_arrow, named
 
 WINDOW = 50
 GRAM = 16
@@ -447,7 +447,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUC
     shared = grams.groupBy("bucket").applyInArrow(find, "doc bigint, ids binary").groupBy("doc").agg(F.collect_list("ids").alias("ids"))
     # the same columns by the same key as in the join that applies the spans, so that one exchange of the texts serves both
     held = keyed.join(shared.withColumnRenamed("doc", "_doc"), "_doc")
-    mapped = held.mapInArrow(lambda b: _map(b, buckets, window), "bucket bigint, blob binary, doc bigint, th bigint, span bigint")
+    mapped = map_in_arrow(held, lambda b: _map(b, buckets, window), T.StructType.fromDDL("bucket bigint, blob binary, doc bigint, th bigint, span bigint"))
 
     def meet(key, g):
         known = g.filter(pc.is_null(g.column("blob"))).select(["doc", "th", "span"])
@@ -497,7 +497,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], [*names, *own])
 
     made = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in own[1:])]
-    return met.mapInArrow(cut, T.StructType([*docs.schema.fields, *made]))
+    return map_in_arrow(met, cut, T.StructType([*docs.schema.fields, *made]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
