@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, search, simhash, suffix_dedup
+from . import decontaminate, embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, search, simhash, suffix_dedup
 from ._common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,10 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_media_columns,
         op10_language_id,
+        op12_decontamination,
         op13_ranked_search,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op13_ranked_search": search.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op12_decontamination": decontaminate.SQL, "op13_ranked_search": search.SQL}
