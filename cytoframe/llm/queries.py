@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, search, simhash, suffix_dedup
+from . import decontaminate, embed_dedup, langid, line_dedup, lm, media, mixing, packing, quality, search, simhash, suffix_dedup, trie
 from ._common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_media_columns,
         op10_language_id,
+        op11_prefix_trie,
         op12_decontamination,
         op13_ranked_search,
     )
@@ -77,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op12_decontamination": decontaminate.SQL, "op13_ranked_search": search.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op11_prefix_trie": trie.SQL, "op12_decontamination": decontaminate.SQL, "op13_ranked_search": search.SQL}
