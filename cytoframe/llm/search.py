@@ -1,8 +1,8 @@
 """Ranked lexical search: term-bucketed postings, integer scores of matches, sums by item and document, top k by row number.
 
-`postings` is the index of every term of every document: one row for each
-term of a document, dealt by term (a frequent term over SALT parts), sorted by
-term within files, so that a file's statistics tell which terms it has.
+`postings` is the index of every term of every document: blocks of a term's
+postings, dealt by term (a frequent term over SALT parts), sorted by term
+within files, so that a file's statistics tell which terms it has.
 
 A search joins item terms with postings, scores each match and sums by item
 and document. Frequent terms match most documents and decide few ranks, so the
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,35 +44,47 @@ TOP = 20
 SALT = 16
 #: Share of all documents that an item's rarest terms may be in for its first, partial sums.
 LEAD_SHARE = 0.01
-#: Rows that leave a worker at once.
-FLUSH = 200_000
+#: Postings that a worker lists by term at once.
+FLUSH = 500_000
 #: Bytes as terms see them: A-Z lower-cased, every separator a space. Bytes of 128 and more are parts of a term.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-_TERMS = T.StructType().add("row", "long").add("term", "string").add("tf", "long").add("n", "long")
+_POSTINGS = T.StructType().add("term", "string").add("block", "long").add("rows", T.ArrayType(T.LongType())).add("tfs", T.ArrayType(T.IntegerType())).add("ns", T.ArrayType(T.IntegerType()))
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(row, term, tf, n) of texts (row, text): a row for each term of a text, and one of the empty term for each text that has any."""
+def term_blocks(texts: DataFrame) -> DataFrame:
+    """(term, block, rows, tfs, ns, ids) of texts (row, id, text): the postings of about FLUSH consecutive rows, listed by term, as a worker read them.
+
+    A posting is a text's row, the term's count in it and the text's number of
+    terms. The empty term lists every text that has any, with their ids. block is
+    the first row.
+    """
+    spec = T.StructType([*_POSTINGS.fields, T.StructField("ids", T.ArrayType(texts.schema["id"].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, terms, tfs, ns = [], [], [], []
+        rows, terms, tfs, ns, ids, kind = [], [], [], [], [], None
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64()), pa.array(ns, pa.int64())], _TERMS.names
-            )
-            for x in (rows, terms, tfs, ns):
+            coded = pa.array(terms, pa.binary()).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(code))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.array(x, t)[order])) for x, t in ((rows, np.int64), (tfs, np.int32), (ns, np.int32))]
+            block = pa.array(np.full(len(coded.dictionary), rows[0], np.int64))
+            of = pa.array([ids if t == b"" else None for t in coded.dictionary.to_pylist()], pa.list_(kind))
+            for x in (rows, terms, tfs, ns, ids):
                 x.clear()
-            return made
+            return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), block, *lists, of], spec.names)
 
         for b in batches:
-            for row, text in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary())):
+            kind = b.column("id").type
+            for row, id_, text in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), b.column("text").cast(pa.binary())):
                 words = (text.as_py() or b"").translate(_BYTES).split()
                 if not words:
                     continue
                 found = Counter(words)
                 k = len(found) + 1
+                ids.append(id_)
                 rows += [row] * k
                 ns += [len(words)] * k
                 terms.append(b"")
@@ -83,27 +96,33 @@ def term_counts(texts: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    return map_in_arrow(texts.select("row", "text"), run, _TERMS)
+    return map_in_arrow(texts.select("row", "id", "text"), run, spec)
+
+
+def listed(blocks: DataFrame) -> DataFrame:
+    """(term, row, tf, n): one row for each posting."""
+    each = blocks.select("term", F.explode(F.arrays_zip("rows", "tfs", "ns")).alias("p"))
+    return each.select("term", F.col("p.rows").alias("row"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.ns").cast("long").alias("n"))
 
 
-def postings(docs: DataFrame) -> tuple[Written, Written]:
-    """The index, and (row, doc_id) of every document: row numbers the documents, in no order that means anything."""
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    counts = term_counts(numbered.select("row", "text"))
-    index = Written(counts.repartition(F.col("term"), F.pmod("row", F.lit(SALT))).sortWithinPartitions("term", "row"))
-    return index, Written(numbered.select("row", "doc_id"))
+def postings(docs: DataFrame) -> Written:
+    """The index in blocks. row numbers the documents, in no order that means anything, and the same in every block."""
+    blocks = term_blocks(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"))
+    return Written(blocks.repartition(F.col("term"), F.pmod(F.xxhash64("block"), F.lit(SALT))).sortWithinPartitions("term", "block"))
 
 
 def lexical_search(docs: DataFrame, items: DataFrame, k: int = TOP, lead_share: float = LEAD_SHARE) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item, best first."""
     named_items = Written(items.groupBy("item_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).withColumn("row", F.monotonically_increasing_id())).df
-    wanted = Written(term_counts(named_items).where("term != ''").select(F.col("row").alias("item"), "term", F.col("tf").alias("repeats"))).df
-    index, ids = postings(docs)
-    n_docs, n_terms = index.df.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
+    wanted = Written(listed(term_blocks(named_items.withColumnRenamed("item_id", "id")).where("term != ''")).select(F.col("row").alias("item"), "term", F.col("tf").alias("repeats"))).df
+    index = postings(docs)
+    n_docs, n_terms = listed(index.df.where("term = ''")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
 
     vocabulary = small(Written(wanted.select("term").distinct()).df)
     m = f"(100L - 25L + ((25L * n * {n_docs}L) div {n_terms}L))"
-    impacts = Written(index.df.join(vocabulary, "term").select("term", "row", F.expr(f"(1000000000L * tf) div (1000L * tf + 12L * {m})").alias("impact")))
+    impacts = Written(listed(index.df.join(vocabulary, "term")).select("term", "row", F.expr(f"(1000000000L * tf) div (1000L * tf + 12L * {m})").alias("impact")))
+    each = index.df.where("term = ''").select(F.explode(F.arrays_zip("rows", "ids")).alias("p"))
+    ids = Written(each.select(F.col("p.rows").alias("row"), F.col("p.ids").alias("doc_id"))).df
     index.drop()
     terms = impacts.df.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
     terms = terms.withColumn("w", F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long"))
@@ -124,7 +143,7 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = TOP, lead_share:
     others = Written(plan.where("not needed").select("item", "term", "weight")).df
     more = impacts.df.join(small(Written(others.select("term").distinct()).df), "term").join(candidates.select("item", "row"), "row")
     more = more.join(small(others), ["item", "term"]).select("item", "row", (F.col("weight") * F.col("impact")).alias("score"))
-    scores = candidates.unionByName(more).groupBy("item", "row").agg(F.sum("score").alias("score")).where("score > 0").join(ids.df, "row")
+    scores = candidates.unionByName(more).groupBy("item", "row").agg(F.sum("score").alias("score")).where("score > 0").join(ids, "row")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
     top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.join(small(named_items.select(F.col("row").alias("item"), "item_id")), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
