@@ -75,7 +75,7 @@ def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 def prefixes(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
     """(wid, words, length, token, offset) of windows that may occur: the rarest shingle, and the words before it."""
-    of = shingled(windows, widths).where("width = least(length, %d)" % SHINGLE)
+    of = shingled(windows.drop("width"), widths).where("width = least(length, %d)" % SHINGLE)
     of = Written(of.select("wid", "token", F.col("pos").alias("offset"))).df
     vocabulary = small(Written(of.select("token").distinct()).df)
     counts = shingled(docs.select("words"), widths).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
@@ -101,8 +101,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit (words inside occurrences), n_items, items (their ids as sorted text), spans (start and length of occurrences) and contaminated."""
-    kept = [named(c) for c in docs.columns if c not in (*_ADDED, "row")]
-    cut = Written(docs.select(*kept, words(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))).df
+    kept = F.struct(*[named(c) for c in docs.columns if c not in _ADDED])
+    cut = Written(docs.select(kept.alias("doc"), words(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))).df
     windows, holders = item_windows(items, window)
     found = Written(occurrences(cut, windows, window)).df
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,8 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
     of = found.select("row", "wid").distinct().join(holders, "wid").select("row", "item_id").distinct()
     of = of.groupBy("row").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
-    none = {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.col("n_hit").isNotNull()}
-    return cut.drop("words").join(hit, "row", "left").join(of, "row", "left").withColumns(none).drop("row")
+    added = {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.col("n_hit").isNotNull()}
+    return cut.select("doc", "row", "n_words").join(hit, "row", "left").join(of, "row", "left").withColumns(added).select("doc.*", *_ADDED)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
