@@ -8,7 +8,9 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -257,36 +259,30 @@ def parse_alignments(lines: DataFrame) -> DataFrame:
     return x.select("read_id", F.col("flag").cast("int").alias("flag"), "chrom", (F.col("start").cast("int") - 1).alias("start"), F.col("mapq").cast("int").alias("mapq"), "cigar", "sequence", "qualities", tags.alias("tags"))
 
 
-def _placed(cigar: str, start: int) -> list[int | None]:
-    """The reference position of each base of a read, None where it has none."""
-    out: list[int | None] = []
-    at = start
-    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+def _places(cigar: str) -> np.ndarray:
+    """For each base of a read, how far from the read's start it lies on the reference; -1 where it has no place."""
+    out, at = [], 0
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
         if op in "M=X":
-            out += range(at, at + int(n))
+            out.append(np.arange(at, at + int(n)))
             at += int(n)
         elif op in "IS":
-            out += [None] * int(n)
+            out.append(np.full(int(n), -1))
         elif op in "DN":
             at += int(n)
-    return out
-
-
-def _letters(tags: dict, sequence: str, reverse: bool, letter: str) -> list[tuple[int, int]]:
-    """(base, status) by the string of call letters: capitals are methylated."""
-    return [(i, int(c == letter.upper())) for i, c in enumerate(tags.get("XM") or "") if c.lower() == letter]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 _FLIP = str.maketrans("ACGTN", "TGCAN")
 
 
-def _modified(tags: dict, sequence: str, reverse: bool, letter: str) -> list[tuple[int, int]]:
+def _modified(skipped: str | None, likelihoods: str | None, sequence: str, reverse: bool) -> list[tuple[int, int]]:
     """(base, status) by the tags of modified bases: skips over C in the direction of sequencing; methylated from half likelihood on."""
-    likely = [int(v) for v in (tags.get("ML") or "").split(",")[1:]]
+    likely = [int(v) for v in (likelihoods or "").split(",")[1:]]
     own = (sequence or "").translate(_FLIP)[::-1] if reverse else sequence or ""
     at = [i for i, b in enumerate(own) if b == "C"]
     out, k = [], 0
-    for part in (tags.get("MM") or "").split(";"):
+    for part in (skipped or "").split(";"):
         name, *skips = part.split(",")
         if not name:
             continue
@@ -300,28 +296,75 @@ def _modified(tags: dict, sequence: str, reverse: bool, letter: str) -> list[tup
     return out
 
 
+#: Call letters of a context. Fixed values.
+LETTERS = {"CpG": "z", "CHG": "x", "CHH": "h", "any": "zxh"}
+
+
+def _ragged(values: list[bytes], most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings end to end, and where each begins; of each at most so many bytes."""
+    if most is not None:
+        values = [v[:k] for v, k in zip(values, most.tolist())]
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([0, *map(len, values)])
+
+
 def calls_of(alignments: DataFrame, caller: str = "bismark", context: str = "CpG", sample: str = "", min_mapq: int = 10, min_baseq: int = 20) -> DataFrame:
-    """(sample, read_id, chrom, pos, status, base_qual, mapq, strand): a row for each called base with a place on the reference.
+    """(sample, read_id, chrom, pos, status, base_qual, mapq, strand, mate_pair_id, allele_base): a row for each called base with a place on the reference.
 
-    caller: bismark (call letters in XM) or methyldackel (modified bases in MM and ML). Unmapped, secondary and
-    supplementary alignments are passed over, and bases or alignments below the minima. Chromosome and position are
-    plain columns, so a region is a filter.
+    caller: bismark (call letters in XM; context CpG, CHG, CHH or any) or methyldackel (modified bases in MM and ML).
+    Unmapped, secondary and supplementary alignments are passed over, duplicates and those that failed their quality
+    check too, and bases or alignments below the minima; a base without a quality has quality 0. The reads of an
+    Arrow batch are worked on side by side. Chromosome and position are plain columns, so a region is a filter.
     """
-    letter, decode = {"CpG": "z", "CHG": "x", "CHH": "h"}[context], {"bismark": _letters, "methyldackel": _modified}[caller]
+    status = np.full(256, -1, np.int8)
+    for c in LETTERS[context]:
+        status[ord(c)], status[ord(c.upper())] = 0, 1
+    spec = "sample string, read_id string, chrom string, pos int, status int, base_qual int, mapq int, strand string, mate_pair_id int, allele_base string"
+    names = [f.split()[0] for f in spec.split(", ")]
 
     def run(batches):
-        for g in batches:
-            rows = []
-            for r in g.itertuples(index=False):
-                place, reverse = _placed(r.cigar, r.start), bool(r.flag & 16)
-                for i, status in decode(dict(r.tags), r.sequence, reverse, letter):
-                    q = ord(r.qualities[i]) - 33 if r.qualities not in (None, "*") and i < len(r.qualities) else 255
-                    if i < len(place) and place[i] is not None and q >= min_baseq:
-                        rows.append((sample, r.read_id, r.chrom, place[i], status, q, r.mapq, "-" if reverse else "+"))
-            yield pd.DataFrame(rows, columns=["sample", "read_id", "chrom", "pos", "status", "base_qual", "mapq", "strand"])
-
-    own = alignments.where((F.col("flag").bitwiseAND(4 | 256 | 2048) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "*"))
-    return own.mapInPandas(run, "sample string, read_id string, chrom string, pos int, status int, base_qual int, mapq int, strand string")
+        places: dict[str, np.ndarray] = {}
+        for b in batches:
+            col = {n: b.column(n) for n in b.schema.names}
+            rel = [places[c] if c in places else places.setdefault(c, _places(c)) for c in col["cigar"].to_pylist()]
+            flag = col["flag"].to_numpy()
+            sequences = [(x or "").encode() if x != "*" else b"" for x in col["sequence"].to_pylist()]
+            sizes = np.array([len(r) for r in rel], np.int64)
+            if caller == "bismark":
+                letters, at = _ragged([(x or "").encode() for x in col["xm"].to_pylist()], sizes)
+                read = np.repeat(np.arange(len(rel)), np.diff(at))
+                base, called = np.arange(len(letters)) - at[read], status[letters]
+            else:
+                each = [_modified(mm, ml, s.decode(), bool(f & 16)) for mm, ml, s, f in zip(col["mm"].to_pylist(), col["ml"].to_pylist(), sequences, flag.tolist())]
+                read = np.repeat(np.arange(len(rel)), [len(x) for x in each])
+                base, called = np.array([(i, v) for x in each for i, v in x], np.int64).reshape(-1, 2).T
+            keep = (called >= 0) & (base < sizes[read])
+            read, base, called = read[keep], base[keep], called[keep]
+            flat, starts = np.concatenate([*rel, np.zeros(0, np.int64)]), np.cumsum([0, *sizes])
+            place = flat[starts[read] + base]
+            quality, bases = _at([(x or "*").encode() if x != "*" else b"" for x in col["qualities"].to_pylist()], read, base, 33), _at(sequences, read, base, 0)
+            keep = (place >= 0) & (quality >= min_baseq)
+            read, place, called, quality, bases = read[keep], place[keep], called[keep], quality[keep], bases[keep]
+            f = flag[read]
+            letters = pa.array([chr(c) if c else "" for c in range(256)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([sample]).take(pa.array(np.zeros(len(read), np.int64))), col["read_id"].take(pa.array(read)), col["chrom"].take(pa.array(read)),
+                pa.array((col["start"].to_numpy()[read] + place).astype(np.int32)), pa.array(called.astype(np.int32)), pa.array(np.minimum(quality, 127).astype(np.int32)),
+                pa.array(np.minimum(col["mapq"].to_numpy()[read], 127).astype(np.int32)), pa.array(["+", "-"]).take(pa.array((f >> 4 & 1).astype(np.int64))),
+                pa.array(np.where(f & 1, np.where(f & 64, 1, 2), 0).astype(np.int32)), letters.take(pa.array(bases.astype(np.int64))),
+            ], names)
+
+    own = alignments.where((F.col("flag").bitwiseAND(4 | 256 | 512 | 1024 | 2048) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "*"))
+    tags = [F.col("tags")[t].alias(t.lower()) for t in (("XM",) if caller == "bismark" else ("MM", "ML"))]
+    return own.select("read_id", "flag", "chrom", "start", "mapq", "cigar", "sequence", "qualities", *tags).mapInArrow(run, spec)
+
+
+def _at(values: list[bytes], read: np.ndarray, base: np.ndarray, less: int) -> np.ndarray:
+    """Byte `base` of each read's string, less a constant; 0 where the string ends before."""
+    flat, starts = _ragged(values)
+    there = base < np.diff(starts)[read]
+    out = np.zeros(len(read), np.int64)
+    out[there] = flat[(starts[read] + base)[there]].astype(np.int64) - less
+    return out
 
 
 def parse_variants(lines: DataFrame) -> DataFrame:
@@ -346,10 +389,10 @@ def alleles_of(alignments: DataFrame, variants: DataFrame, sample: str = "", min
         for g in batches:
             rows = []
             for r in g.itertuples(index=False):
-                for i, at in enumerate(_placed(r.cigar, r.start)):
+                for i, at in enumerate(_places(r.cigar).tolist()):
                     q = ord(r.qualities[i]) - 33 if r.qualities not in (None, "*") and i < len(r.qualities) else 255
-                    if at is not None and q >= min_baseq and i < len(r.sequence):
-                        rows.append((r.read_id, r.chrom, at, r.sequence[i].upper()))
+                    if at >= 0 and q >= min_baseq and i < len(r.sequence):
+                        rows.append((r.read_id, r.chrom, r.start + at, r.sequence[i].upper()))
             yield pd.DataFrame(rows, columns=["read_id", "chrom", "pos", "base"])
 
     bases = alignments.where((F.col("flag").bitwiseAND(4 | 256 | 2048) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "*")).mapInPandas(run, "read_id string, chrom string, pos int, base string")
