@@ -1,6 +1,8 @@
 """Models along a chromosome: hidden Markov segments, smoothers, imputation.
 
-What is sequential by nature runs per (sample, chrom) in Arrow-backed groups.
+No task holds a chromosome: all work on blocks of sites. Markov chains join the
+blocks' transfer matrices; smoothers and imputation see the sites around a
+block. Results don't depend on the size of blocks.
 """
 
 from __future__ import annotations
@@ -10,63 +12,220 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+from ..functions.tables import Written, small
 from . import ranges
 
 
-def hmm_segment(y: np.ndarray, means: list[float], self_loop: float, emission: str = "bernoulli", sd: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(most likely states, posteriors): log-space forward-backward and Viterbi, uniform start, sticky transitions.
+class Chain:
+    """A hidden Markov chain with sticky transitions and a uniform start, as products of transfer matrices.
 
-    A missing observation says nothing; of equal paths the lower state wins.
+    A stretch of sites is a matrix: how well each state before it goes with each
+    state at its end, as sums over paths (floats, logarithms) and as the best
+    path (whole numbers of 2^-28, so that sums come out the same in any order).
+    Products are associative, so stretches are worked on side by side: in a task
+    about sqrt(n) of them in one array, and blocks of a chromosome in tasks of
+    their own. A missing observation says nothing; of equal paths the lower
+    state wins, from the end on.
     """
-    y = np.asarray(y, float)
-    k, n = len(means), len(y)
-    mu = np.asarray(means, float)
-    if not n:
-        return np.zeros(0, int), np.zeros((0, k))
-    if emission == "bernoulli":
-        m = np.clip(mu, 1e-9, 1 - 1e-9)
-        e = y[:, None] * np.log(m) + (1 - y[:, None]) * np.log1p(-m)
-    else:
-        e = -0.5 * ((y[:, None] - mu) / sd) ** 2 - np.log(sd * np.sqrt(2 * np.pi))
-    e[np.isnan(y)] = -np.log(k)
-    a = np.full((k, k), np.log((1 - self_loop) / max(k - 1, 1)) if k > 1 else -np.inf)
-    np.fill_diagonal(a, np.log(self_loop) if k > 1 else 0.0)
-
-    def lse(x, axis):
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    fore, back, best, came = np.empty((n, k)), np.zeros((n, k)), np.empty((n, k)), np.zeros((n, k), int)
-    fore[0] = best[0] = e[0] - np.log(k)
-    for t in range(1, n):
-        fore[t] = e[t] + lse(fore[t - 1][:, None] + a, 0)
-        step = best[t - 1][:, None] + a
-        came[t] = step.argmax(axis=0)
-        best[t] = e[t] + step.max(axis=0)
-    for t in range(n - 2, -1, -1):
-        back[t] = lse(a + e[t + 1] + back[t + 1], 1)
-    post = fore + back
-    post = np.exp(post - lse(post, 1)[:, None])
-    path = np.empty(n, int)
-    path[-1] = best[-1].argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path, post
-
-
-def hmm_states(rows: DataFrame, keys: list[str], value: str, means: list[float], self_loop: float, emission: str = "bernoulli", sd: float = 0.1, min_sites: int = 5) -> DataFrame:
-    """rows (keys, pos, value, ...) with state and posterior of the last state; groups below min_sites give nothing."""
-    names = rows.columns
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        if len(g) < min_sites:
-            return g.iloc[:0].assign(state=pd.Series(dtype="int32"), posterior=pd.Series(dtype=float))
-        path, post = hmm_segment(g[value].to_numpy(float), means, self_loop, emission, sd)
-        return g.assign(state=path.astype("int32"), posterior=post[:, -1])
+    SCALE, NEVER = float(1 << 28), -(1 << 61)
+
+    def __init__(self, means: list[float], self_loop: float, emission: str = "bernoulli", sd: float = 0.1):
+        self.means, self.k, self.emission, self.sd = np.asarray(means, float), len(means), emission, sd
+        k = self.k
+        self.a = np.full((k, k), np.log((1 - self_loop) / max(k - 1, 1)) if k > 1 and self_loop < 1 else -np.inf)
+        np.fill_diagonal(self.a, np.log(self_loop) if k > 1 else 0.0)
+        self.ai = self.whole(self.a)
+
+    def whole(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * self.SCALE), self.NEVER).astype(np.int64)
+
+    def emissions(self, y: np.ndarray) -> np.ndarray:
+        y, mu = np.asarray(y, float)[:, None], self.means
+        if self.emission == "bernoulli":
+            m = np.clip(mu, 1e-9, 1 - 1e-9)
+            e = y * np.log(m) + (1 - y) * np.log1p(-m)
+        else:
+            e = -0.5 * ((y - mu) / self.sd) ** 2 - np.log(self.sd * np.sqrt(2 * np.pi))
+        return np.where(np.isnan(e), -np.log(self.k), e)
+
+    # a step of many vectors or matrices side by side; the last axis is the state
+
+    def _sum(self, f: np.ndarray, a: np.ndarray) -> np.ndarray:
+        x = f[..., :, None] + a
+        top = x.max(axis=-2, keepdims=True)
+        top = np.where(np.isfinite(top), top, 0)
+        with np.errstate(divide="ignore"):
+            return (top + np.log(np.exp(x - top).sum(axis=-2, keepdims=True)))[..., 0, :]
+
+    def _best(self, f: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return np.maximum((f[..., :, None] + a).max(axis=-2), self.NEVER)
+
+    def _cut(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sites as (stretches, sites of one, states), and which are there."""
+        width = int(np.sqrt(len(e))) + 1
+        count = -(-len(e) // width)
+        padded = np.zeros((count * width, self.k), e.dtype)
+        padded[: len(e)] = e
+        return padded.reshape(count, width, self.k), (np.arange(count * width) < len(e)).reshape(count, width)
+
+    def _products(self, e: np.ndarray, there: np.ndarray, step, a: np.ndarray, none) -> np.ndarray:
+        """The matrix of each stretch."""
+        m = np.full((len(e), self.k, self.k), none, e.dtype)
+        m[:, np.arange(self.k), np.arange(self.k)] = 0
+        for t in range(e.shape[1]):
+            m = np.where(there[:, t, None, None], step(m, a) + e[:, t, None, :], m)
+        return m
+
+    def _fold(self, f: np.ndarray, products: np.ndarray, step) -> np.ndarray:
+        """What comes into each stretch, and out of the last."""
+        out = [f]
+        for m in products:
+            out.append(step(out[-1], m))
+        return np.array(out)
+
+    def summary(self, e: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The block's matrices, sums and best; of a group's first block only the first row counts, from the start."""
+        out = []
+        for x, step, a, none in ((e, self._sum, self.a, -np.inf), (self.whole(e), self._best, self.ai, self.NEVER)):
+            start = x[0] + (self.whole(-np.log(self.k)) if x.dtype == np.int64 else -np.log(self.k))
+            cut, there = self._cut(x[1:] if first else x)
+            ms = self._products(cut, there, step, a, none)
+            m = np.full((self.k, self.k), none, x.dtype)
+            if first:
+                m[0] = self._fold(start, ms, step)[-1]
+            else:
+                np.fill_diagonal(m, 0)
+                m = self._fold(m, ms, step)[-1]
+            out.append(m)
+        return out[0], out[1]
+
+    def entry(self) -> tuple[np.ndarray, np.ndarray]:
+        """What comes into a group's first block."""
+        f, v = np.full(self.k, -np.inf), np.full(self.k, self.NEVER)
+        f[0] = v[0] = 0
+        return f, v
+
+    def through(self, f: np.ndarray, v: np.ndarray, sums: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._sum(f, sums), self._best(v, best)
+
+    def back(self, b: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return self._sum(b, sums.T)
+
+    def posteriors(self, e: np.ndarray, first: bool, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of each site and state, from the sums that come in at either end of the block."""
+        n, head = len(e), []
+        if first:
+            f = e[0] - np.log(self.k)
+            head, e = [f[None]], e[1:]
+        cut, there = self._cut(e)
+        ms = self._products(cut, there, self._sum, self.a, -np.inf)
+        now, fore = self._fold(f, ms, self._sum)[:-1], np.empty_like(cut)
+        for t in range(cut.shape[1]):
+            now = np.where(there[:, t, None], self._sum(now, self.a) + cut[:, t], now)
+            fore[:, t] = now
+        fore = np.concatenate([*head, fore.reshape(-1, self.k)[: len(e)]])
+        ends = self._fold(b, ms[::-1].transpose(0, 2, 1), self._sum)[::-1]  # before each stretch, and at the block's end
+        now, behind = ends[1:], np.empty_like(cut)
+        for t in range(cut.shape[1] - 1, -1, -1):
+            behind[:, t] = now
+            now = np.where(there[:, t, None], self._sum(now + cut[:, t], self.a.T), now)
+        behind = np.concatenate([*([ends[:1]] if first else []), behind.reshape(-1, self.k)[: len(e)]])
+        post = fore + behind
+        post -= post.max(axis=1, keepdims=True)
+        post = np.exp(post)
+        return (post / post.sum(axis=1, keepdims=True))[:n]
+
+    def paths(self, e: np.ndarray, first: bool, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the best path to each state at the block's end, by site; the state before the block that each comes from)."""
+        x, head = self.whole(e), 0
+        if first:
+            v, x, head = x[0] + self.whole(-np.log(self.k)), x[1:], 1
+        cut, there = self._cut(x)
+        now = self._fold(v, self._products(cut, there, self._best, self.ai, self.NEVER), self._best)[:-1]
+        came = np.zeros(cut.shape, np.int8)
+        for t in range(cut.shape[1]):
+            came[:, t] = (now[..., :, None] + self.ai).argmax(axis=-2)
+            now = np.where(there[:, t, None], self._best(now, self.ai) + cut[:, t], now)
+        state, path = np.broadcast_to(np.arange(self.k), (len(cut), self.k)).copy(), np.zeros((*cut.shape[:2], self.k), np.int8)
+        for t in range(cut.shape[1] - 1, -1, -1):
+            path[:, t] = state
+            state = np.where(there[:, t, None], np.take_along_axis(came[:, t].astype(np.int64), state, axis=1), state)
+        ends = np.arange(self.k)
+        for r in range(len(cut) - 1, -1, -1):  # a stretch ends in the state that the next one's path comes from
+            path[r], ends = path[r][:, ends], state[r][ends]
+        path = path.reshape(-1, self.k)[: len(x)]
+        return np.concatenate([ends[None].astype(np.int8), path]) if head else path, ends
+
+
+def hmm_segment(y: np.ndarray, means: list[float], self_loop: float, emission: str = "bernoulli", sd: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """(most likely states, posteriors) of one sequence."""
+    chain = Chain(means, self_loop, emission, sd)
+    if not len(y):
+        return np.zeros(0, int), np.zeros((0, chain.k))
+    e = chain.emissions(y)
+    f, v = chain.entry()
+    path, _ = chain.paths(e, True, v)
+    end = int(chain.through(f, v, *chain.summary(e, True))[1].argmax())
+    return path[:, end].astype(int), chain.posteriors(e, True, f, np.zeros(chain.k))
+
+
+def hmm_states(rows: DataFrame, keys: list[str], value: str, means: list[float], self_loop: float, emission: str = "bernoulli", sd: float = 0.1, min_sites: int = 5, block: int = ordered.BLOCK) -> DataFrame:
+    """rows (keys, pos, value, ...) with state and posterior of the last state; groups below min_sites give nothing.
+
+    A group is cut in blocks of sites. Their matrices, a row a block, are joined
+    along the group; with what comes in at either end each block then gets its
+    posteriors and its best path to each state at its end, and a last pass along
+    the rows of blocks says which of these the whole path takes. The result
+    doesn't depend on the size of blocks.
+    """
+    chain, names = Chain(means, self_loop, emission, sd), rows.columns
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites).select(*keys)
+    x = ordered.blocked(rows.join(small(Written(enough).df), keys, "left_semi"), keys, "pos", block)
+
+    def summed(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("place")
+        sums, best = chain.summary(chain.emissions(g[value].to_numpy(float)), bool(g["block"].iloc[0] == 0))
+        return g[[*keys, "block"]].iloc[:1].assign(sums=[sums.ravel()], best=[best.ravel()])
+
+    def along(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("block")
+        sums, best = ([np.asarray(m).reshape(chain.k, chain.k) for m in g[c]] for c in ("sums", "best"))
+        into, out, (f, v), b = [], [], chain.entry(), np.zeros(chain.k)
+        for s, m in zip(sums, best):
+            into.append((f, v))
+            f, v = chain.through(f, v, s, m)
+        for s in sums[::-1]:
+            out.append(b)
+            b = chain.back(b, s)
+        return g[[*keys, "block"]].assign(f=[f for f, _ in into], v=[v for _, v in into], b=out[::-1], last=[-1] * (len(g) - 1) + [int(v.argmax())])
+
+    matrices = x.select(*keys, "block", "place", value).groupBy(*keys, "block").applyInPandas(summed, f"{kinds}, block long, sums array<double>, best array<long>")
+    ends = Written(matrices.groupBy(*keys).applyInPandas(along, f"{kinds}, block long, f array<double>, v array<long>, b array<double>, last int")).df
+
+    def within(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("place")
+        first, e = bool(g["block"].iloc[0] == 0), chain.emissions(g[value].to_numpy(float))
+        f, v, b = (np.asarray(g[c].iloc[0]) for c in ("f", "v", "b"))
+        path, came = chain.paths(e, first, v)
+        return g[[*names, "block"]].assign(_paths=list(path.astype(np.int32)), _came=[came.astype(np.int32)] + [None] * (len(g) - 1), posterior=chain.posteriors(e, first, f, b)[:, -1])
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.select(*names).groupBy(*keys).applyInPandas(run, f"{spec}, state int, posterior double")
+    made = Written(x.join(small(ends), [*keys, "block"]).groupBy(*keys, "block").applyInPandas(within, f"{spec}, block long, _paths array<int>, _came array<int>, posterior double")).df
+
+    def taken(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("block")
+        state, states = int(g["last"].iloc[-1]), []
+        for came in g["_came"].tolist()[::-1]:
+            states.append(state)
+            state = int(came[state])
+        return g[[*keys, "block"]].assign(_end=states[::-1])
+
+    came = made.where("_came IS NOT NULL").select(*keys, "block", "_came").join(ends.select(*keys, "block", "last"), [*keys, "block"])
+    end = Written(came.groupBy(*keys).applyInPandas(taken, f"{kinds}, block long, _end int")).df
+    return made.join(small(end), [*keys, "block"]).select(*names, F.element_at("_paths", F.col("_end") + 1).alias("state"), "posterior")
 
 
 def state_runs(states: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,30 +267,43 @@ def gaussian_beta(pos: np.ndarray, beta: np.ndarray, cov: np.ndarray, bandwidth:
     return out
 
 
-def smooth(sites: DataFrame, kernel: str = "gaussian", **parameters) -> DataFrame:
-    """(sample, chrom, pos, beta, coverage, smoothed)."""
-    fn = {"gaussian": _grid_gaussian, "weighted": lambda p, b, c, bandwidth=10_000: gaussian_beta(p, b, c, bandwidth), "bsmooth": bsmooth}[kernel]
+def smooth(sites: DataFrame, kernel: str = "gaussian", block: int = ordered.BLOCK, **parameters) -> DataFrame:
+    """(sample, chrom, pos, beta, coverage, smoothed). A block sees as far around itself as the kernel reaches."""
+    fn, halo = {
+        "gaussian": (_grid_gaussian, {"reach": 4 * parameters.get("bandwidth", 1000) + 2 * max(1, int(parameters.get("bandwidth", 1000)) // 20), "beyond": 1}),
+        "weighted": (lambda p, b, c, own, low, high, n, bandwidth=10_000: gaussian_beta(p, b, c, bandwidth)[own], {"reach": 4 * parameters.get("bandwidth", 10_000)}),
+        "bsmooth": (lambda p, b, c, own, low, high, n, **more: bsmooth(p, b, c, **more)[own], {"reach": parameters.get("h", 1000) + 1, "sites": parameters.get("ns", 70) + 2}),
+    }[kernel]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        return g.assign(smoothed=fn(g["pos"].to_numpy(float), g["beta"].to_numpy(float), g["coverage"].to_numpy(float), **parameters))
+        g = g.sort_values("place")
+        own = g["own"].to_numpy(bool)
+        value = fn(g["pos"].to_numpy(float), g["beta"].to_numpy(float), g["coverage"].to_numpy(float), own, g["low"].iloc[0], g["high"].iloc[0], g["n"].iloc[0], **parameters)
+        return g.loc[own, ["sample", "chrom", "pos", "beta", "coverage"]].assign(smoothed=value)
 
-    return _betas(sites).groupBy("sample", "chrom").applyInPandas(run, "sample string, chrom string, pos int, beta double, coverage double, smoothed double")
+    keys = ["sample", "chrom"]
+    x = ordered.with_halo(_betas(sites), keys, size=block, **halo)
+    return x.groupBy(*keys, "block").applyInPandas(run, "sample string, chrom string, pos int, beta double, coverage double, smoothed double")
 
 
-def _grid_gaussian(pos, beta, cov, bandwidth: int = 1000) -> np.ndarray:
-    """Interpolated to a grid, filtered with coverage as weight (floor 0.1), and interpolated back; four sites at least."""
-    if len(pos) < 4:
-        return beta.copy()
+def _grid_gaussian(pos, beta, cov, own, low, high, n, bandwidth: int = 1000) -> np.ndarray:
+    """Interpolated to a grid from the chromosome's first site (low) on, filtered with coverage as weight (floor 0.1), and interpolated back; four sites at least."""
+    at = pos[own]
+    if n < 4:
+        return beta[own]
     cell = max(1, int(bandwidth) // 20)
-    grid = np.arange(pos[0], pos[-1] + cell, cell)
-    b, w = np.interp(grid, pos, beta), np.maximum(np.interp(grid, pos, cov), 0.1)
     sigma = max(bandwidth / cell, 0.5)
     r = int(4 * sigma + 0.5)
+    cells = int(np.ceil((high + cell - low) / cell))  # of the whole chromosome
+    first, last = int((at[0] - low) // cell), min(int((at[-1] - low) // cell) + 1, cells - 1)
+    a, b = max(first - r, 0), min(last + r, cells - 1)
+    grid = low + cell * np.arange(a, b + 1)
+    level, weight = np.interp(grid, pos, beta), np.maximum(np.interp(grid, pos, cov), 0.1)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
-    top, low = np.convolve(np.pad(b * w, r, "edge"), k, "valid"), np.convolve(np.pad(w, r, "edge"), k, "valid")
-    return np.clip(np.interp(pos, grid, top / low), 0, 1)
+    pad = (r - (first - a), r - (b - last))  # at the chromosome's ends only
+    top, below = np.convolve(np.pad(level * weight, pad, "edge"), k, "valid"), np.convolve(np.pad(weight, pad, "edge"), k, "valid")
+    return np.clip(np.interp(at, low + cell * np.arange(first, last + 1), top / below), 0, 1)
 
 
 def bsmooth(pos, beta, cov, ns: int = 70, h: int = 1000, degree: int = 2) -> np.ndarray:
@@ -187,21 +359,20 @@ def dmr_hmm(dmc: DataFrame, self_loop: float = 0.95, min_cpgs: int = 5, delta: f
     return g.where(ok).withColumn("dmr_type", F.when(F.col("state") == 2, "hyper").otherwise("hypo")).drop("run", "state")
 
 
-def knn_impute(sites: DataFrame, samples: list[str], k: int = 5, max_distance: int = 10_000) -> DataFrame:
-    """Missing betas of the site matrix from the sample's k nearest covered sites, weighted 1 / (distance + 1)."""
+def knn_impute(sites: DataFrame, samples: list[str], k: int = 5, max_distance: int = 10_000, block: int = ordered.BLOCK) -> DataFrame:
+    """Missing betas of the site matrix from the sample's k nearest covered sites, weighted 1 / (distance + 1); sites beyond max_distance have no weight, so a block sees that far."""
     from . import sites as S
 
     m = S.site_matrix(sites, samples)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable").reset_index(drop=True)
-        pos = g["pos"].to_numpy(float)
+        g = g.sort_values("place").reset_index(drop=True)
+        pos, own = g["pos"].to_numpy(float), g["own"].to_numpy(bool)
         for s in samples:
             v = g[s].to_numpy(float)
-            have = np.flatnonzero(~np.isnan(v))
-            if not len(have):
+            have, lost = np.flatnonzero(~np.isnan(v)), np.flatnonzero(np.isnan(v) & own)
+            if not len(have) or not len(lost):
                 continue
-            lost = np.flatnonzero(np.isnan(v))
             at = np.searchsorted(have, lost)[:, None] + np.arange(-k, k)
             near = have[np.clip(at, 0, len(have) - 1)]
             d = np.where((at >= 0) & (at < len(have)), np.abs(pos[near] - pos[lost, None]), np.inf)
@@ -212,10 +383,10 @@ def knn_impute(sites: DataFrame, samples: list[str], k: int = 5, max_distance: i
             fill = v.copy()
             fill[lost] = np.where(total > 0, (w * v[near]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
             g[s] = fill
-        return g
+        return g.loc[own, ["chrom", "pos", *samples]]
 
     spec = "chrom string, pos int, " + ", ".join(f"`{s}` double" for s in samples)
-    return m.groupBy("chrom").applyInPandas(run, spec)
+    return ordered.with_halo(m, ["chrom"], size=block, reach=max_distance).groupBy("chrom", "block").applyInPandas(run, spec)
 
 
 def pca(sites: DataFrame, samples: list[str], components: int = 2) -> DataFrame:
