@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
         return flags, kw
 
     groups = (opt("--case", nargs="+", required=True), opt("--control", nargs="+", required=True))
-    add("convert", opt("--sheet", required=True), opt("--format", default="bismark", choices=["bismark", "methyldackel", "combined_strand_bed"]), opt("--context", default="CpG"), store=False)
+    add("convert", opt("--sheet", required=True), opt("--format", default="bismark", choices=["bismark", "methyldackel", "combined_strand_bed"]), opt("--context", default="CpG"), opt("--fasta"), opt("--keep-strands", action="store_true"), store=False)
     add("filter", opt("--low", type=int, default=10), opt("--high", type=float, default=99.9), opt("--blacklist"))
     add("sample-summary")
     add("qc-report")
@@ -54,7 +54,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "convert":
         obs = readers.read_samplesheet(spark, a.sheet)
         paths = {r["sample_id"]: r["path"] for r in obs.select("sample_id", "path").toLocalIterator()}  # one row per file
-        return sinks.write_sites(readers.read_coverage(spark, paths, a.format, a.context), a.output)
+        readers.convert_if_stale(spark, paths, a.output, a.format, a.context, a.fasta, not a.keep_strands)
+        return None
     store = spark.read.parquet(a.store)
     if a.command == "filter":
         black = readers.read_bed(spark, a.blacklist) if a.blacklist else None

@@ -54,6 +54,16 @@ class Written:
             _live.remove(self.path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the written tables."""
+    path = f"{shared_dir(spark)}/s-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    _live.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read back: lineage ends, and every later pass sees the same values."""
     return Written(df).df

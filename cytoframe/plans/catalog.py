@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import annotate as A
 from ..operators import fdr, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
-from ..sources import readers, sinks, store, views as V
+from ..functions.tables import scratch
+from ..sources import fasta, readers, sinks, store, views as V
 from . import tails as T
 from .frame import MethylFrame
 
@@ -924,9 +924,7 @@ def smoothed_pseudo_counts(spark, d):
 @query("SELECT chrom, pos, round(CAST(meth_diff AS DOUBLE), 6) AS meth_diff, round(pvalue, 6) AS pvalue, round(qvalue, 6) AS qvalue FROM results", S_, D_)
 def result_store(spark, d):
     """Stored by chromosome, one of them rewritten, and read back."""
-    from ..functions.tables import shared_dir
-
-    at = store.ResultStore.create(V.results(spark, d), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    at = store.ResultStore.create(V.results(spark, d), scratch(spark))
     at.update_chrom("chr1", V.results(spark, d).where("chrom = 'chr1'"))
     return rounded(store.ResultStore.open(spark, at.path).to_dataframe())
 
@@ -944,6 +942,37 @@ def strands_from_bases(spark, d):
     return readers.infer_strand(s, bases).select("chrom", "pos", "strand", "context", "n_meth", "n_unmeth", "coverage", "sample")
 
 
+def _sequences(spark, d):
+    """Sequence text of the chromosomes of sites, a line for each part: its kind of base, then nothing known."""
+    part = V.table(spark, d, "part").select(F.expr("concat('chr', p_partkey % 5)").alias("c"), F.expr("p_partkey div 5").alias("k"), F.expr("concat(element_at(array('c', 'G', 'T', 'C'), cast(p_partkey % 4 + 1 as int)), repeat('N', 99))").alias("line"))
+    heads = spark.createDataFrame([(f"chr{i}", -1, f">chr{i} made of parts") for i in range(5)], part.schema)
+    path = scratch(spark) + "/sequences"
+    part.unionByName(heads).repartitionByRange("c").sortWithinPartitions("c", "k").select("line").write.text(path)
+    return path
+
+
+PARTS_ = """stranded AS (SELECT sites.* REPLACE (CASE (pos // 100 * 5 + CAST(substring(chrom, 4) AS INTEGER)) % 4 WHEN 1 THEN '-' WHEN 2 THEN '*' ELSE '+' END AS strand) FROM sites)"""
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, min(p_partkey // 5) * 100 AS first_base, max(p_partkey // 5 + 1) * 100 AS length, count(*) AS n_parts FROM part GROUP BY ALL")
+def sequence_lengths(spark, d):
+    x = fasta.read_fasta(spark, _sequences(spark, d), partition_bytes=10_007)
+    return x.groupBy("chrom").agg(F.min("start").alias("first_base"), F.max("end").alias("length"), F.sum(F.length(F.regexp_replace("bases", "N", ""))).alias("n_parts"))
+
+
+@query("SELECT chrom, pos, strand, context, n_meth, n_unmeth, coverage, sample FROM stranded", S_, PARTS_)
+def strands_from_sequence(spark, d):
+    return readers.stranded(V.sites(spark, d), fasta.read_fasta(spark, _sequences(spark, d), partition_bytes=50_000), merge=False).select("chrom", "pos", "strand", "context", "n_meth", "n_unmeth", "coverage", "sample")
+
+
+@query(
+    """SELECT sample, chrom, p AS pos, '+' AS strand, min(context) AS context, CAST(sum(n_meth) AS INTEGER) AS n_meth, CAST(sum(n_unmeth) AS INTEGER) AS n_unmeth, CAST(sum(coverage) AS INTEGER) AS coverage
+    FROM (SELECT *, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END AS p FROM stranded WHERE strand <> '*') GROUP BY sample, chrom, p""", S_, PARTS_,
+)
+def converted_with_sequence(spark, d):
+    return readers.stranded(V.sites(spark, d), fasta.read_fasta(spark, _sequences(spark, d))).select("sample", "chrom", "pos", "strand", "context", "n_meth", "n_unmeth", "coverage")
+
+
 @query("SELECT chrom, pos AS \"start\", pos + 1 AS \"end\", round(n_meth / CAST(coverage AS DOUBLE), 6) AS value FROM sites WHERE sample = 's1' AND coverage > 0", S_)
 def bedgraph_rows(spark, d):
     return rounded(sinks.bedgraph_rows(V.sites(spark, d), "s1"))

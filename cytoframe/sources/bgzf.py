@@ -26,9 +26,17 @@ MIN_SHIFT, DEPTH = 14, 5
 _COUNTS = 37450
 
 
+def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system of a path or address, and the path on it."""
+    if ":/" not in uri:
+        return pyarrow.fs.LocalFileSystem(), uri
+    scheme, _, rest = uri.partition(":/")
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else uri)
+
+
 def opened(uri: str) -> tuple[BinaryIO, int]:
     """A file that can be read from any place, wherever Arrow's file systems reach, and its size."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
+    fs, path = located(uri)
     f = fs.open_input_file(path)
     return f, f.size()
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from . import sinks, store
+from ..functions.tables import small, written
+from . import fasta, sinks, store
 
 #: File endings that a sample's name is followed by, longest first. Fixed values.
 SUFFIXES = (
@@ -130,18 +131,54 @@ def read_run_folder(spark: SparkSession, folder: str, treatment: str, control: s
     return read_coverage(spark, paths, "bismark", context), obs
 
 
-def convert_if_stale(spark: SparkSession, paths: dict[str, str], output: str, fmt: str = "bismark", context: str = "CpG") -> bool:
-    """Converts count files to a stored site table unless that was made of the same files as they are; True when work was done."""
+def converted(spark: SparkSession, paths: dict[str, str], fmt: str = "bismark", context: str = "CpG", reference: str | None = None, merge: bool = True) -> DataFrame:
+    """Site table of count files; with a reference sequence strands are told by its bases, and the strands of a site joined unless merge is off."""
+    sites = read_coverage(spark, paths, fmt, context)
+    if reference is None:
+        return sites
+    pieces = fasta.read_fasta(spark, reference)
+    return stranded(sites, pieces, merge)
+
+
+def stranded(sites: DataFrame, pieces: DataFrame, merge: bool = True) -> DataFrame:
+    """sites with strands by the bases of sequence pieces, merged.
+
+    A sample without minus strands stays as it is. In the others sites of
+    neither strand go, and a site is what both strands of it say.
+    """
+    own = infer_strand(sites, fasta.bases_at(sites, pieces))
+    if not merge:
+        return own.select(*sites.columns)
+    own = written(own)
+    both = small(written(own.groupBy("sample").agg(F.bool_or(F.col("strand") == "-").alias("_both"))))  # a row for each sample
+    own = own.join(both, "sample")
+    at = F.when(F.col("strand") == "-", F.col("pos") - 1).otherwise(F.col("pos")).cast("int")
+    two = own.where("_both AND strand <> '*'").withColumn("pos", at).groupBy("sample", "chrom", "pos").agg(
+        F.min("context").alias("context"), *(F.sum(c).cast("int").alias(c) for c in ("n_meth", "n_unmeth", "coverage"))
+    )
+    return own.where("NOT _both").select(*sites.columns).unionByName(two.withColumn("strand", F.lit("+")).select(*sites.columns))
+
+
+def strand_pairs(sites: DataFrame) -> DataFrame:
+    """(sample, paired, lone_plus, lone_minus): sites by the strands that they were seen on, before merging."""
+    at = F.when(F.col("strand") == "-", F.col("pos") - 1).otherwise(F.col("pos"))
+    g = sites.where("strand <> '*'").groupBy("sample", "chrom", at.alias("pos")).agg(F.bool_or(F.col("strand") == "+").alias("p"), F.bool_or(F.col("strand") == "-").alias("m"))
+    return g.groupBy("sample").agg(F.count_if(F.col("p") & F.col("m")).alias("paired"), F.count_if(F.col("p") & ~F.col("m")).alias("lone_plus"), F.count_if(F.col("m") & ~F.col("p")).alias("lone_minus"))
+
+
+def convert_if_stale(spark: SparkSession, paths: dict[str, str], output: str, fmt: str = "bismark", context: str = "CpG", reference: str | None = None, merge: bool = True) -> bool:
+    """Converts count files to a stored site table unless that was made of the same files as they are, in the same way; True when work was done."""
     conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     about = []
-    for sample, path in sorted(paths.items()):
+    for sample, path in [*sorted(paths.items()), *([("", reference)] if reference else [])]:
         status = hadoop(path).getFileSystem(conf).getFileStatus(hadoop(path))
         about.append([sample, path, status.getLen(), status.getModificationTime()])
-    key, stages = store.signature("convert", about, fmt, context), store.Stages(spark, f"{output}-log")
+    settings = {"format": fmt, "context": context, "reference": reference, "merge": merge}
+    key, stages = store.signature("convert", about, settings), store.Stages(spark, f"{output}-log")
     if stages.find("convert", key):
         return False
-    sinks.write_sites(read_coverage(spark, paths, fmt, context), output)
-    stages.append("convert", {"format": fmt, "context": context}, key, output)
+    sinks.write_sites(converted(spark, paths, fmt, context, reference, merge), output)
+    stages.append("convert", settings, key, output)
     return True
 
 
