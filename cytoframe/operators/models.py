@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,19 +189,19 @@ def age_clock(sites: DataFrame, coefficients: DataFrame, manifest: DataFrame, in
     return raw.select("sample", age.alias("age"), "n_found")
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares with non-negative coefficients by the active-set method."""
-    n = a.shape[1]
-    x, on = np.zeros(n), np.zeros(n, bool)
+def nnls(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Least squares with non-negative coefficients by the active-set method, from the sums g = A'A and c = A'b."""
+    n = len(c)
+    x, on, least = np.zeros(n), np.zeros(n, bool), 1e-12 * max(1.0, float(np.abs(c).max(initial=0)))
     for _ in range(10 * n):
-        w = a.T @ (b - a @ x)
+        w = c - g @ x
         w[on] = -np.inf
-        if on.all() or w.max() <= 1e-12:
+        if on.all() or w.max() <= least:
             break
         on[int(w.argmax())] = True
         while True:
             s = np.zeros(n)
-            s[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            s[on] = np.linalg.lstsq(g[np.ix_(on, on)], c[on], rcond=None)[0]
             if (s[on] > 0).all():
                 x = s
                 break
@@ -213,12 +214,34 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def deconvolve(sites: DataFrame, reference: DataFrame, manifest: DataFrame, cell_types: list[str]) -> DataFrame:
-    """(sample, cell_type, proportion), non-negative and summing to 1."""
+    """(sample, cell_type, proportion), non-negative and summing to 1; null for a sample that covers no site of the panel.
+
+    Each task sums the products of cell types and levels by sample; what meets
+    for a sample is a number for each two cell types, not its panel.
+    """
+    k = len(cell_types)
     panel = manifest.where("chrom IS NOT NULL AND pos IS NOT NULL").join(reference, "cpg_id").select("chrom", "pos", *cell_types)
     x = sites.where("coverage > 0").join(panel, ["chrom", "pos"]).select("sample", (F.col("n_meth") / F.col("coverage")).alias("beta"), *cell_types)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        got = nnls(g[cell_types].to_numpy(float), g["beta"].to_numpy(float))
+    def sums(batches):
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            code = names.indices.to_numpy()
+            a = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]], axis=1)  # level first
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                own = a[code == i]
+                p = (own[:, 1:].T @ own).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(p), pa.string()), pa.array(np.arange(len(p), dtype=np.int32)), pa.array(p)], ["sample", "at", "v"])
+
+    total = x.mapInArrow(sums, "sample string, at int, v double").groupBy("sample", "at").agg(F.sum("v").alias("v"))
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        p = g.sort_values("at")["v"].to_numpy().reshape(k, k + 1)
+        got = nnls(p[:, 1:], p[:, 0])
         return pd.DataFrame({"sample": g["sample"].iloc[0], "cell_type": cell_types, "proportion": got / got.sum() if got.sum() > 0 else got})
 
-    return x.groupBy("sample").applyInPandas(run, "sample string, cell_type string, proportion double")
+    got = total.groupBy("sample").applyInPandas(solve, "sample string, cell_type string, proportion double")
+    every = sites.select("sample").distinct().withColumn("cell_type", F.explode(F.array(*map(F.lit, cell_types))))
+    return every.join(got, ["sample", "cell_type"], "left")
+
+

@@ -8,6 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+from . import matrix
+
 
 def sample_summary(sites: DataFrame) -> DataFrame:
     return sites.groupBy("sample", "chrom").agg(
@@ -59,22 +62,19 @@ def sex_check(sites: DataFrame, chrom: str = "chrX", min_coverage: int = 5) -> D
 def sample_correlation(sites: DataFrame, samples: list[str], method: str = "pearson", min_coverage: int = 10) -> DataFrame:
     """(sample_a, sample_b, r) over the sites that all samples cover.
 
-    Sums of products per pair come from one aggregate over the common sites'
-    rows of values, not from a join of the table with itself.
+    Sums of products are gathered as tiles of samples over blocks of sites, not
+    from a join of the table with itself, nor from an expression for each pair.
     """
     ok = sites.where(F.col("coverage") >= min_coverage).withColumn("beta", F.col("n_meth") / F.col("coverage"))
     if method == "spearman":
         # average ranks from the counts of each sample's distinct values, over the sites that all have
-        common = ok.groupBy("chrom", "pos").agg(F.count_distinct("sample").alias("_k")).where(F.col("_k") == len(samples))
-        ok = ok.join(common.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+        common = written(ok.groupBy("chrom", "pos").agg(F.count_distinct("sample").alias("_k")).where(F.col("_k") == len(samples)).select("chrom", "pos"))
+        ok = ok.join(common, ["chrom", "pos"], "left_semi")
         h = ok.groupBy("sample", "beta").agg(F.count("*").alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy("sample").orderBy("beta").rowsBetween(Window.unboundedPreceding, 0))
         ok = ok.join(h.select("sample", "beta", (upto - (F.col("_n") - 1) / 2).alias("_r")), ["sample", "beta"]).withColumn("beta", F.col("_r"))
-    wide = ok.groupBy("chrom", "pos").pivot("sample", samples).agg(F.first("beta")).dropna()
-    pairs = [(a, b) for i, a in enumerate(samples) for b in samples[i + 1 :]]
-    one = wide.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
-    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("sample_a"), F.lit(b).alias("sample_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs)))
-    return one.select(rows.alias("x")).select("x.*")
+    middle = (common.count() + 1) / 2 if method == "spearman" else 0.5
+    return matrix.correlations(matrix.complete_sites(ok, samples, F.col("beta")), samples, middle)
 
 
 def coverage_histogram(sites: DataFrame, bins: int, top: int) -> DataFrame:

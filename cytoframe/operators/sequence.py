@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.tables import Written, small
-from . import ranges
+from . import matrix, ranges
 
 
 class Chain:
@@ -389,19 +389,14 @@ def knn_impute(sites: DataFrame, samples: list[str], k: int = 5, max_distance: i
     return ordered.with_halo(m, ["chrom"], size=block, reach=max_distance).groupBy("chrom", "block").applyInPandas(run, spec)
 
 
-def pca(sites: DataFrame, samples: list[str], components: int = 2) -> DataFrame:
-    """Sample coordinates: the samples' covariance over complete sites is summed by the executors, its small eigenproblem solved here."""
-    from . import sites as S
-
-    m = S.site_matrix(sites, samples).dropna()
-    means = m.agg(*(F.avg(s).alias(s) for s in samples)).first()
-    centre = m.withColumn("_c", sum((F.col(s) for s in samples), F.lit(0.0)) / len(samples))
-    dev = [(F.col(s) - F.col("_c")) for s in samples]
-    sums = centre.agg(*(F.sum(dev[i] * dev[j]).alias(f"{i}_{j}") for i in range(len(samples)) for j in range(i, len(samples)))).first()
-    g = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(samples))] for i in range(len(samples))])
+def pca(sites: DataFrame, samples: list[str], components: int = 2, n_sites: int | None = None, seed: int = 42) -> DataFrame:
+    """Sample coordinates over complete sites, or n_sites of them: the samples' products are summed by the executors, their small eigenproblem solved here."""
+    rows = matrix.complete_sites(sites.where("coverage > 0"), samples, F.col("n_meth") / F.col("coverage"))
+    n, sums, g = matrix.gram(rows if n_sites is None else matrix.site_sample(rows, n_sites, seed), len(samples))
+    g = g - g.mean(axis=0) - g.mean(axis=1)[:, None] + g.mean()  # each site less its mean over samples
     vals, vecs = np.linalg.eigh(g)
     order = np.argsort(vals)[::-1][:components]
     xy = vecs[:, order] * np.sqrt(np.maximum(vals[order], 0))
     xy *= np.where(xy[np.abs(xy).argmax(axis=0), np.arange(xy.shape[1])] < 0, -1, 1)
-    rows = [(s, float(means[s] or 0.0), *map(float, xy[i])) for i, s in enumerate(samples)]
+    rows = [(s, float(sums[i] / n + 0.5) if n else 0.0, *map(float, xy[i])) for i, s in enumerate(samples)]
     return sites.sparkSession.createDataFrame(rows, "sample string, mean_beta double, " + ", ".join(f"pc{i + 1} double" for i in range(xy.shape[1])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import annotate as A
-from ..operators import fdr, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
+from ..operators import fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
 from ..functions.tables import scratch
 from ..sources import fasta, readers, sinks, store, views as V
 from . import tails as T
@@ -1060,6 +1060,20 @@ def knn_impute(spark, d):
     return rounded(sequence.knn_impute(V.sites(spark, d), V.SAMPLES))
 
 
+@query(
+    """SELECT chrom, pos, s, round(v, 6) AS beta FROM (SELECT chrom, pos, list(n_meth / CAST(coverage AS DOUBLE) ORDER BY sample) AS vs FROM sites WHERE coverage > 0 GROUP BY chrom, pos HAVING count(*) = 8
+    ORDER BY md5('7:' || chrom || ':' || pos) LIMIT 40), LATERAL (SELECT unnest(range(8)) AS s, unnest(vs) AS v)""", S_,
+)
+def sampled_site_matrix(spark, d):
+    m = matrix.sample_site_matrix(V.sites(spark, d), V.SAMPLES, 40, 7)
+    return rounded(m.select("chrom", "pos", F.posexplode("row").alias("s", "beta")).withColumn("s", F.col("s").cast("long")))
+
+
+@query("SELECT sample, chrom, pos, coverage FROM sites ORDER BY md5('3:' || sample || ':' || chrom || ':' || pos) LIMIT 500", S_)
+def sampled_coverage(spark, d):
+    return matrix.coverage_sample(V.sites(spark, d), 500, 3)
+
+
 @query()
 def pca(spark, d):
     return rounded(sequence.pca(V.sites(spark, d), V.SAMPLES))
