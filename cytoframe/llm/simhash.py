@@ -165,8 +165,10 @@ PAIRS = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 11) % 32) for i in ra
 WIDE_SHARED = 3
 #: Deviations that a candidate's differing bits may lie over what is expected at the similarity asked for.
 SLACK = 3.0
-#: Lists up to this length are compared by shifting.
+#: Lists up to this length are compared by shifting, and all their candidates go on at once.
 SHORT = 16
+#: In rounds after the first, candidates in other groups that an item of a list is held against; grows by this factor.
+FURTHER = 8
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -199,20 +201,26 @@ def _candidates(x: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.nd
     return ok
 
 
-def wide_links(fps: DataFrame, most: int, list_cap: int = LIST_CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b), a < b: links between distinct wide fingerprints (column fp, binary) that connect all candidates that share an indexed pair of bytes."""
+def wide_links(fps: DataFrame, most: int, each: int = 0, list_cap: int = LIST_CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b), a < b: pairs of distinct wide fingerprints (fp, binary; group, bigint) of different groups that are candidates and share an indexed pair of bytes.
+
+    Without each: pairs that connect all that candidates connect, of a long list
+    only as many as it has items. With it: for each item the first `each`
+    candidates of other groups in every list, so all of them once it is as large
+    as a list.
+    """
     pieces = [F.concat(F.substring("fp", i + 1, 1), F.substring("fp", j + 1, 1)) for i, j in PAIRS]
     keys = F.array(*(F.lit(k << 16).bitwiseOR(F.conv(F.hex(x), 16, 10).cast("int")) for k, x in enumerate(pieces)))
     buckets = max(1, -(-fps.count() * len(PAIRS) // bucket_rows))
-    met = tiled(fps.select("fp", F.explode(keys).alias("key")), "key", F.xxhash64("fp"), list_cap)
-    met = met.select(F.pmod(F.xxhash64("key", "t0", "t1"), F.lit(buckets)).alias("bucket"), "key", "t0", "t1", "fp")
+    met = tiled(fps.select("fp", "group", F.explode(keys).alias("key")), "key", F.xxhash64("fp"), list_cap)
+    met = met.select(F.pmod(F.xxhash64("key", "t0", "t1"), F.lit(buckets)).alias("bucket"), "key", "t0", "t1", "fp", "group")
 
     def run(key, g):
         fp = g.column("fp").to_pylist()
         x = np.frombuffer(b"".join(fp), np.uint8).reshape(-1, 8 * WIDE)
         cols = [g.column(c).to_numpy() for c in ("key", "t0", "t1")]
         order = np.lexsort((*x.T[::-1], *cols[::-1]))
-        x, (k, t0, t1) = x[order], (c[order] for c in cols)
+        x, group, (k, t0, t1) = x[order], g.column("group").to_numpy()[order], (c[order] for c in cols)
         new = np.zeros(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])
         of = np.cumsum(new)
@@ -223,10 +231,18 @@ def wide_links(fps: DataFrame, most: int, list_cap: int = LIST_CAP, bucket_rows:
             i = np.flatnonzero((of[step:] == of[:-step]) & short[step:])
             if not len(i):
                 break
+            i = i[group[i] != group[i + step]]
             ok = _candidates(x, i, i + step, most)
             found.append((i[ok], i[ok] + step))
         for a, b in zip(starts[ends - starts > SHORT].tolist(), ends[ends - starts > SHORT].tolist()):
             own = x[a:b]
+            if each:
+                for i in range(a, b - 1):
+                    js = np.arange(i + 1, b)
+                    js = js[group[js] != group[i]]
+                    js = js[_candidates(x, np.full(len(js), i), js, most)][:each]
+                    found.append((np.full(len(js), i), js))
+                continue
             got = np.array(spanning(len(own), lambda i, js, own=own: _candidates(own, np.full(len(js), i), js, most)), np.int64).reshape(-1, 2) + a
             found.append((got[:, 0], got[:, 1]))
         i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
@@ -248,8 +264,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     one fingerprint are one group. component_id is a group's smallest doc_id,
     group_id a number of its own, for rows that share a doc_id. Candidates are found with high probability:
     a pair at the similarity asked for shares an indexed pair of bytes with a
-    chance of about 0.97, a closer one more surely. Within a long list
-    spanning candidates are held against each other only.
+    chance of about 0.97, a closer one more surely. A list first sends on only
+    what connects its candidates; where some of these turn out not to be links,
+    the groups that they left apart are held against each other in further
+    rounds, until no candidate of two groups is untested. So the groups are
+    those of all candidates, whatever the lengths of lists.
     """
     most = most_bits(similarity)
 
@@ -263,8 +282,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     held = Written(rows.mapInArrow(prints, "doc_id bigint, text_hash bigint, fp binary")).df
     total = held.count()
     classes = Written(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.count("*").alias("n")).select("fp", "r.doc_id", "r.text_hash", "n")).df
-    links = Written(wide_links(classes.select("fp"), most)).df
-
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(1)]
@@ -273,19 +290,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), b.column(2)], ["fp", "s", "n"])
         give_back()
 
-    # the first text of each fingerprint that has a candidate, and how many candidates want it
-    wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
-    first = small(Written(classes.drop("n").join(wanted, "fp")).df)
-    texts = rows.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash").eqNullSafe(F.col("f.text_hash")))).select("f.fp", "d.text", "f.n").dropDuplicates(["fp"])
-    sets = Written(texts.mapInArrow(shingles, "fp binary, s array<bigint>, n bigint")).df
-    both = 2 * links.count()
-    one = meet(links.withColumnRenamed("a", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "a", "s": "sa"})
-    two = meet(Written(one).df.withColumnRenamed("b", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "b", "s": "sb"})
-    same = F.size(F.array_intersect("sa", "sb"))
-    alike = two.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    def tested(links: DataFrame) -> DataFrame:
+        """links with alike: whether the first texts of both fingerprints are that similar."""
+        wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+        first = small(Written(classes.drop("n").join(wanted, "fp")).df)
+        texts = rows.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash").eqNullSafe(F.col("f.text_hash")))).select("f.fp", "d.text", "f.n").dropDuplicates(["fp"])
+        sets = Written(texts.mapInArrow(shingles, "fp binary, s array<bigint>, n bigint")).df
+        both = 2 * links.count()
+        one = meet(links.withColumnRenamed("a", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "a", "s": "sa"})
+        two = meet(Written(one).df.withColumnRenamed("b", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "b", "s": "sb"})
+        same = F.size(F.array_intersect("sa", "sb"))
+        return two.select("a", "b", (same >= similarity * (F.size("sa") + F.size("sb") - same)).alias("alike"))
+
+    def components(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(links.select(number("a").alias("a"), number("b").alias("b"))).withColumnRenamed("component", name)
+        return classes.select("fp", number("fp").alias("node")).join(Written(found).df, "node", "left").select("fp", F.coalesce(name, "node").alias(name))
+
     number = F.xxhash64  # fingerprints as numbers; a collision of two would need billions of them
-    comps = connected_components(alike.select(number("a").alias("a"), number("b").alias("b")))
-    named = classes.withColumn("node", number("fp")).join(Written(comps).df, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = Written(tested(Written(wide_links(classes.select("fp", number("fp").alias("group")), most)).df)).df
+    each, around = FURTHER, Written(components(known, "around")).df  # all that candidates connect: later ones lie within
+    while True:
+        named = Written(components(known.where("alike"), "component")).df
+        both = named.join(around, "fp")
+        split = both.groupBy("around").agg((F.min("component") < F.max("component")).alias("s")).where("s").select("around")
+        left = Written(both.join(split, "around", "left_semi").select("fp", F.col("component").alias("group"))).df
+        if not left.limit(1).count():
+            break
+        fresh = Written(wide_links(left, most, each).join(known, ["a", "b"], "left_anti")).df
+        if fresh.limit(1).count():
+            known = Written(known.unionByName(tested(fresh))).df
+        elif each >= LIST_CAP:
+            break
+        else:
+            each *= FURTHER
+    named = classes.join(named, "fp")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.select("fp", "component", "n").join(least, "component").select("fp", "component_id", F.col("component").alias("group_id"), "n")
     return meet(held, Written(of).df, "fp", total).select("doc_id", "text_hash", "component_id", "group_id")

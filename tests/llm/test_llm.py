@@ -420,12 +420,40 @@ def test_op6_near_duplicates_by_shingles(spark, odd):
     assert len({rows[g][0] for g in lab}) > 80  # changed texts are not all one group
     for list_cap, bucket in ((8, 64),):
         fps = simhash.Written(spark.createDataFrame(rows, "doc_id long, text string").select(F.sha2("text", 256).alias("h")).select(F.unhex("h").alias("fp"))).df.distinct()
-        assert simhash.wide_links(fps, 30, list_cap, bucket).count() == 0
+        assert simhash.wide_links(fps.withColumn("group", F.xxhash64("fp")), 30, 0, list_cap, bucket).count() == 0
     o = simhash.near_duplicates(odd).collect()
     assert len(o) == odd.count() and {r["component_id"] for r in o if r["doc_id"] in (3, 4, 5)} == {3} and {r["component_id"] for r in o if r["doc_id"] in (6, 7)} == {6}
     assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("n,seed,shorts", [(40, 3, (2, 1000)), (160, 4, (16,))])
+def test_op6_near_duplicates_in_long_lists(spark, monkeypatch, n, seed, shorts):
+    """Many texts about as similar as asked for, so that lists are long and many candidates are no links: the groups don't depend on how lists are cut."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for at in rng.choice(160, int(rng.integers(1, 8)), replace=False):
+            t[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(t)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    alike = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    lab = groups(n, alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for short in shorts:
+        monkeypatch.setattr(simhash, "SHORT", short)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+        seen.append(got)
+    assert seen[0] == seen[-1]
+    right = sum(got[i] == rows[lab[i]][0] for i in range(n))
+    assert len(set(lab)) > 1 and right >= 0.95 * n
+
+
 def repeat_truth(rows):
     rows = [((2**63 - 1) if i is None else i, (t or "").encode()) for i, t in rows]
     first = {}
