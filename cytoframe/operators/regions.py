@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import fdr, ranges, sites as S, tests
+from . import dispatch, fdr, ranges, sites as S, tests
 
 
 def smooth_counts(sites: DataFrame, span: int = 500) -> DataFrame:
@@ -46,10 +46,10 @@ def significant(p: str, alpha: float, delta: float) -> Column:
 
 
 def sliding_spans(dmc: DataFrame, sig: Column, window: int = 500, min_cpgs: int = 5, min_sig: int = 3) -> DataFrame:
-    """Union of the windows [pos, pos + window) that hold enough sites and significant sites."""
+    """Union of the windows [pos, pos + window) that hold enough sites and significant sites; windows that touch are one span."""
     x = dmc.withColumn("_sig", sig.cast("int"))
     w = Window.partitionBy("chrom").orderBy(F.col("pos").cast("long")).rangeBetween(0, window - 1)
-    c = x.withColumns({"_n": F.count("*").over(w), "_ns": F.sum("_sig").over(w), "end": (F.max("pos").over(w) + 1).cast("int")})
+    c = x.withColumns({"_n": F.count("*").over(w), "_ns": F.sum("_sig").over(w), "end": (F.col("pos") + window).cast("int")})
     return ranges.merge_spans(c.where((F.col("_n") >= min_cpgs) & (F.col("_ns") >= min_sig)).select("chrom", F.col("pos").alias("start"), "end"), ["chrom"])
 
 
@@ -104,33 +104,48 @@ def dmr_chain(dmc: DataFrame, preset: str | None = None, p: str = "pvalue", **se
 
 
 def merge_tiles(dmr: DataFrame) -> DataFrame:
-    """Neighbouring tiles of one direction become one: a running mean, and one-sided p-values combined two at a time in order; then BH.
+    """Neighbouring tiles of one direction become one: means of differences, levels and odds ratios, the larger numbers of samples, and one-sided p-values combined two at a time in order; then BH.
 
-    The fold runs over each island's own short list of tiles.
+    The fold runs over each island's own short list of tiles. A mean is missing where one of its tiles' is.
     """
     w = Window.partitionBy("chrom").orderBy("start")
     new = (F.lag("end").over(w).isNull()) | (F.col("start") > F.lag("end").over(w)) | (F.col("dmr_type") != F.lag("dmr_type").over(w))
     x = ranges.islands(dmr.withColumn("_new", new), ["chrom"], "start", F.col("_new")).withColumn("_z", C.normal_isf(C.clip(F.col("pvalue"), 1e-300, 1 - 1e-15)))
+    means = [F.when(F.count(c) == F.count("*"), F.avg(F.col(c).cast("double"))).alias(c) for c in ("meth_diff", "log2_odds_ratio", "mean_beta_case", "mean_beta_control") if c in dmr.columns]
     g = x.groupBy("chrom", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_cpgs").alias("n_cpgs"), F.first("dmr_type").alias("dmr_type"),
-        F.sort_array(F.collect_list(F.struct("start", F.col("meth_diff").cast("double").alias("d"), F.col("_z").alias("z")))).alias("_t"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_cpgs").alias("n_cpgs"), F.first("dmr_type").alias("dmr_type"), *means,
+        *(F.max(c).alias(c) for c in ("n_case", "n_control") if c in dmr.columns), F.sort_array(F.collect_list(F.struct("start", F.col("_z").alias("z")))).alias("_t"),
     )
-    diff = F.aggregate("_t", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, t: F.struct((a["s"] + t["d"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / a["n"])
     z = F.aggregate(F.slice("_t", F.lit(2), F.size("_t")), F.col("_t")[0]["z"], lambda a, t: (a + t["z"]) / F.sqrt(F.lit(2.0)))
-    out = g.withColumns({"meth_diff": diff, "pvalue": C.normal_sf(z)}).drop("_t", "island")
+    out = g.withColumn("pvalue", C.normal_sf(z)).drop("_t", "island")
     return fdr.adjust(out, "pvalue", "bh").drop("reject")
 
 
-def dmr_tiles(sites: DataFrame, case: Column, size: int = 1000, test: str = "logit_t", min_cpgs: int = 5, alpha: float = 0.05, delta: float = 0.1, merge: bool = True) -> DataFrame:
+def tested_tiles(sites: DataFrame, size: int, min_cpgs: int, samples: int | None = None) -> DataFrame:
+    """Counts of the tiles that hold enough sites of a sample; with a number of samples only tiles that as many have."""
     t = S.tiles(sites, size).where(F.col("n_cpgs") >= min_cpgs)
-    if test in ("logit_t", "welch_t"):
-        r = tests.welch(t, case, "logit" if test == "logit_t" else "none")
-    else:
-        r = tests.quasi_binomial(t, case, test, "site", "chi2")
-    n = t.groupBy("chrom", "pos").agg(F.max("n_cpgs").alias("n_cpgs"))
-    q = fdr.adjust(r.join(n, ["chrom", "pos"]), "pvalue", "bh", alpha)
-    hit = q.where(significant("qvalue", alpha, delta))
-    out = hit.select("chrom", F.col("pos").alias("start"), (F.col("pos") + size).alias("end"), "n_cpgs", "meth_diff", "pvalue", "qvalue", F.when(F.col("meth_diff") > 0, "hyper").otherwise("hypo").alias("dmr_type"))
+    if samples is None:
+        return t
+    return t.join(t.groupBy("chrom", "pos").agg(F.count("*").alias("_k")).where(F.col("_k") == samples).select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+
+
+def dmr_tiles(
+    sites: DataFrame, groups: dispatch.Groups, size: int = 1000, test: str = "logit_t", min_cpgs: int = 5, alpha: float = 0.05, delta: float = 0.1, merge: bool = True,
+    dispersion: str = "site", reference: str = "adaptive", united: bool = False, min_case: int = 0, min_control: int = 0,
+) -> DataFrame:
+    """Tiles that differ by any of the site tests on their counts, neighbours of one direction merged."""
+    t = tested_tiles(sites, size, min_cpgs, len(groups.samples) if united else None)
+    r = tests.masked(dispatch.site_test(t, groups, test, dispersion, reference), t, groups.is_case, min_case, min_control)
+    about = dispatch.covered(t, groups.is_case)
+    about = about.join(t.groupBy("chrom", "pos").agg(F.max("n_cpgs").alias("n_cpgs")), ["chrom", "pos"])
+    levels = [c for c in ("mean_beta_case", "mean_beta_control") if c not in r.columns]
+    x = r.drop("n_cpgs", "n_case", "n_control").join(about.select("chrom", "pos", "n_cpgs", "n_case", "n_control", *levels), ["chrom", "pos"])
+    q = fdr.adjust(x, "pvalue", "bh", alpha)
+    hit = q.where(significant("qvalue", alpha, delta) & F.col("pvalue").isNotNull())
+    out = hit.select(
+        "chrom", F.col("pos").alias("start"), (F.col("pos") + size).cast("int").alias("end"), "n_cpgs", "n_case", "n_control", "mean_beta_case", "mean_beta_control", "meth_diff", "log2_odds_ratio",
+        "pvalue", "qvalue", F.when(F.col("meth_diff") > 0, "hyper").otherwise("hypo").alias("dmr_type"),
+    )
     return merge_tiles(out) if merge else out
 
 

@@ -110,9 +110,13 @@ def quasi_binomial(sites: DataFrame, case: Column, statistic: str = "lr", disper
 
 
 def fisher(sites: DataFrame, case: Column) -> DataFrame:
+    """Exact test of the groups' summed counts; the odds ratio is that of the counts, infinite where only its numerator is over 0."""
     x = with_dispersion(accumulate(sites, case))
-    ua, ub = F.col("s0_a") - F.col("s1_a"), F.col("s0_b") - F.col("s1_b")
-    return _effects(x.withColumn("pvalue", C.fisher_tail("s1_a", ua, "s1_b", ub)), True)
+    ma, ua, mb, ub = (c.cast("double") for c in (F.col("s1_a"), F.col("s0_a") - F.col("s1_a"), F.col("s1_b"), F.col("s0_b") - F.col("s1_b")))
+    x = _effects(x.withColumn("pvalue", C.fisher_tail("s1_a", F.col("s0_a") - F.col("s1_a"), "s1_b", F.col("s0_b") - F.col("s1_b"))), False)
+    top, low = ma * ub, ua * mb
+    ratio = F.when((top > 0) & (low > 0), F.log2(F.when(top > 0, top) / F.when(low > 0, low))).when(top > 0, F.lit(float("inf")))
+    return x.withColumn("log2_odds_ratio", F.when((F.col("s0_a") > 0) & (F.col("s0_b") > 0), ratio))
 
 
 def cmh(sites: DataFrame, case: Column) -> DataFrame:
@@ -122,7 +126,9 @@ def cmh(sites: DataFrame, case: Column) -> DataFrame:
     they come; their number is the product of the group sizes.
     """
     pair = F.struct(F.col("n_meth").cast("double").alias("m"), F.col("coverage").cast("double").alias("n"))
-    g = sites.groupBy(*SITE).agg(F.collect_list(F.when(case, pair)).alias("xs"), F.collect_list(F.when(~case, pair)).alias("ys"))
+    level = F.when(F.col("coverage") > 0, F.col("n_meth") / F.col("coverage"))
+    spread = [f(F.when(on, level)).alias(f"{n}_{g}") for g, on in (("a", case), ("b", ~case)) for n, f in (("mean", F.avg), ("var", F.var_samp), ("v", F.count))]
+    g = sites.groupBy(*SITE).agg(F.collect_list(F.when(case, pair)).alias("xs"), F.collect_list(F.when(~case, pair)).alias("ys"), *spread)
     none = "named_struct('ome', 0.0D, 'var', 0.0D, 'or_num', 0.0D, 'or_den', 0.0D, 'k', 0)"
     n = "(x.n + y.n)"
     step = (
@@ -130,7 +136,8 @@ def cmh(sites: DataFrame, case: Column) -> DataFrame:
         f"'or_num', t.or_num + x.m * (y.n - y.m) / {n}, 'or_den', t.or_den + (x.n - x.m) * y.m / {n}, 'k', t.k + 1), t)"
     )
     fold = F.expr(f"aggregate(xs, {none}, (s, x) -> aggregate(ys, s, (t, y) -> {step}))")
-    out = g.select(*SITE, fold.alias("f")).where("f.k > 0").select(*SITE, "f.ome", "f.var", "f.or_num", "f.or_den")
+    kept = [f"{n}_{g}" for g in "ab" for n in ("mean", "var", "v")]
+    out = _effects(g.select(*SITE, fold.alias("f"), *kept).where("f.k > 0"), False).select("*", "f.ome", "f.var", "f.or_num", "f.or_den").drop("f")
     stat = F.when(F.col("var") > 0, F.col("ome") ** 2 / F.when(F.col("var") > 0, F.col("var")))
     ratio = F.when((F.col("or_num") > 0) & (F.col("or_den") > 0), F.log2(F.col("or_num") / F.when(F.col("or_den") > 0, F.col("or_den"))))
     return out.withColumn("stat", stat).withColumn("log2_odds_ratio", ratio).withColumn("pvalue", C.chi2_tail(F.col("stat")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import annotate as A
-from ..operators import fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
+from ..operators import dispatch, fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
 from ..functions.tables import scratch
 from ..sources import fasta, readers, sinks, store, views as V
 from . import tails as T
@@ -406,9 +406,13 @@ _CMH = (
 )
 
 
-@query(f"SELECT chrom, pos, round({T.fisher_doubled('s1_a', '(s0_a - s1_a)', 's1_b', '(s0_b - s1_b)')}, 6) AS pvalue, round({_LOG2.format('pi')}, 6) AS log2_odds_ratio FROM d2", S_, _ACC, _DISP)
+_FISHER_OR = "CASE WHEN s0_a > 0 AND s0_b > 0 AND s1_a * (s0_b - s1_b) > 0 THEN CASE WHEN (s0_a - s1_a) * s1_b > 0 THEN round(log2(CAST(s1_a AS DOUBLE) * (s0_b - s1_b) / (CAST(s0_a - s1_a AS DOUBLE) * s1_b)), 6) ELSE CAST('inf' AS DOUBLE) END END"
+_LEVELS = _effects("mean").split(", round(CASE")[0]
+
+
+@query(f"SELECT chrom, pos, round({T.fisher_doubled('s1_a', '(s0_a - s1_a)', 's1_b', '(s0_b - s1_b)')}, 6) AS pvalue, {_FISHER_OR} AS log2_odds_ratio, {_LEVELS} FROM d2", S_, _ACC, _DISP)
 def fisher_pooled(spark, d):
-    return rounded(tests.fisher(V.sites(spark, d), is_case()).select("chrom", "pos", "pvalue", "log2_odds_ratio"))
+    return rounded(tests.fisher(V.sites(spark, d), is_case()).select("chrom", "pos", "pvalue", "log2_odds_ratio", "mean_beta_case", "mean_beta_control", "meth_diff"))
 
 
 def _dmc(name, make, sql, *needs):
@@ -425,7 +429,7 @@ _dmc("dmc_lr", lambda s: tests.quasi_binomial(s, is_case(), "lr", "eb"), _tested
 _dmc("dmc_score", lambda s: tests.quasi_binomial(s, is_case(), "score", "site"), _tested(_effects("pi")), S_, _ACC, _DISP, _RAW, _quasi("score_raw", "phi_site"))
 _dmc(
     "dmc_cmh", lambda s: tests.cmh(s, is_case()),
-    f"SELECT chrom, pos, round(lor, 6) AS log2_odds_ratio, round(stat, 6) AS stat, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS reject FROM {T.bh('tested', 'pvalue')}", S_, _CMH,
+    f"SELECT chrom, pos, {_LEVELS}, round(lor, 6) AS log2_odds_ratio, round(stat, 6) AS stat, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS reject FROM {T.bh('(SELECT tested.*, mean_a, mean_b FROM tested JOIN acc USING (chrom, pos))', 'pvalue')}", S_, _ACC, _CMH,
 )
 _dmc("dmc_welch", lambda s: tests.welch(s, is_case()), _tested(_effects("mean")), S_, _ACC, _DISP, _welch(False))
 _dmc("dmc_logit_t", lambda s: tests.welch(s, is_case(), "logit"), _tested(_effects("mean")), S_, _ACC, _DISP, _welch(True))
@@ -571,7 +575,7 @@ def _sig():
 
 
 def _sliding(sg):
-    windows = f"SELECT chrom, pos AS s, CAST(max(pos) OVER w + 1 AS INTEGER) AS e, count(*) OVER w AS n, count(*) FILTER (WHERE sig) OVER w AS ns FROM {sg} WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 499 FOLLOWING)"
+    windows = f"SELECT chrom, pos AS s, CAST(pos + 500 AS INTEGER) AS e, count(*) OVER w AS n, count(*) FILTER (WHERE sig) OVER w AS ns FROM {sg} WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 499 FOLLOWING)"
     reach = f"SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ({windows}) WHERE n >= 5 AND ns >= 3"
     return f'SELECT chrom, min(s) AS "start", max(e) AS "end" FROM (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM ({reach})) GROUP BY chrom, k'
 
@@ -605,7 +609,7 @@ def chain_spans(spark, d):
     return regions.chain_spans(V.results(spark, d), _sig(), 200)
 
 
-def _merged(tiles):
+def _merged(tiles, more=""):
     """CTEs up to `merged`: neighbouring tiles (chrom, start, end, n_cpgs, meth_diff, pvalue, dmr_type) of one direction as one."""
     p = "least(greatest(pvalue, 1e-300), 1 - 1e-15)"
     isf = f"CASE WHEN {p} <= 0.5 THEN {T.normal_isf(p)} ELSE -{T.normal_isf(f'(1 - {p})')} END"
@@ -613,7 +617,7 @@ def _merged(tiles):
     return (
         f"tz AS (SELECT *, {isf} AS z FROM ({tiles})), "
         'ti AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN lag("end") OVER w IS NULL OR "start" > lag("end") OVER w OR dmr_type <> lag(dmr_type) OVER w THEN 1 ELSE 0 END AS new FROM tz WINDOW w AS (PARTITION BY chrom ORDER BY "start"))), '
-        'tg AS (SELECT chrom, min("start") AS "start", max("end") AS "end", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, any_value(dmr_type) AS dmr_type, avg(CAST(meth_diff AS DOUBLE)) AS meth_diff, list_reduce(list(z ORDER BY "start"), lambda a, b: (a + b) / sqrt(2)) AS z FROM ti GROUP BY chrom, k), '
+        'tg AS (SELECT chrom, min("start") AS "start", max("end") AS "end", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, any_value(dmr_type) AS dmr_type, avg(CAST(meth_diff AS DOUBLE)) AS meth_diff, ' + more + 'list_reduce(list(z ORDER BY "start"), lambda a, b: (a + b) / sqrt(2)) AS z FROM ti GROUP BY chrom, k), '
         f"merged AS (SELECT *, CASE WHEN z >= 0 THEN 0.5 * {half} ELSE 1 - 0.5 * {half} END AS pvalue FROM tg)"
     )
 
@@ -642,15 +646,39 @@ def dmr_chain(spark, d):
 
 
 _TILES = "allsites AS (SELECT * FROM sites), tl AS (SELECT sample, chrom, CAST(pos // 800 * 800 AS INTEGER) AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(coverage) AS BIGINT) AS coverage, count(*) AS n_cpgs FROM allsites GROUP BY sample, chrom, pos // 800 HAVING count(*) >= 5)"
-_TILE_HITS = (
-    "SELECT chrom, pos AS \"start\", pos + 800 AS \"end\", n_cpgs, diff AS meth_diff, pvalue, CASE WHEN diff > 0 THEN 'hyper' ELSE 'hypo' END AS dmr_type FROM "
-    f"{T.bh('(SELECT t.*, CAST(mean_a - mean_b AS FLOAT) AS diff, n_cpgs FROM tested t JOIN (SELECT chrom, pos, max(n_cpgs) AS n_cpgs FROM tl GROUP BY ALL) USING (chrom, pos))', 'pvalue')} WHERE q < 0.5 AND abs(diff) >= CAST(0.02 AS FLOAT)"
-)
+_OF_TILES = "log2_odds_ratio", "mean_beta_case", "mean_beta_control"
 
 
-@query(_MERGED, S_, _TILES, _ACC.replace("FROM sites", "FROM tl"), _DISP, _welch(True), _merged(_TILE_HITS))
-def dmr_tile(spark, d):
-    return rounded(regions.dmr_tiles(V.sites(spark, d), is_case(), 800, alpha=0.5, delta=0.02))
+def _tile_hits(mean, odds, tested="tested"):
+    """Tiles of `tested` (mean_a, v_a, pvalue and so on) that differ."""
+    x = f"(SELECT t.*, CAST({mean}_a - {mean}_b AS FLOAT) AS diff, n_cpgs FROM {tested} t JOIN (SELECT chrom, pos, max(n_cpgs) AS n_cpgs FROM tl GROUP BY ALL) USING (chrom, pos))"
+    return (
+        f"SELECT chrom, pos AS \"start\", pos + 800 AS \"end\", n_cpgs, diff AS meth_diff, {odds} AS log2_odds_ratio, CAST({mean}_a AS FLOAT) AS mean_beta_case, CAST({mean}_b AS FLOAT) AS mean_beta_control, v_a AS n_case, v_b AS n_control, pvalue, "
+        f"CASE WHEN diff > 0 THEN 'hyper' ELSE 'hypo' END AS dmr_type FROM {T.bh(x, 'pvalue')} WHERE q < 0.5 AND abs(diff) >= CAST(0.02 AS FLOAT)"
+    )
+
+
+def _tile_query(name, test, hits, *needs):
+    means = "".join(f"CASE WHEN count({c}) = count(*) THEN avg(CAST({c} AS DOUBLE)) END AS {c}, " for c in _OF_TILES) + "max(n_case) AS n_case, max(n_control) AS n_control, "
+    cols = ", ".join(f"round({c}, 6) AS {c}" for c in ("meth_diff", *_OF_TILES, "pvalue"))
+
+    def fn(spark, d):
+        return rounded(regions.dmr_tiles(V.sites(spark, d), dispatch.Groups(V.CASE, V.CONTROL), 800, test, alpha=0.5, delta=0.02, reference="chi2"))
+
+    fn.__name__ = name
+    sql = f'SELECT chrom, "start", "end", n_cpgs, CAST(n_case AS INTEGER) AS n_case, CAST(n_control AS INTEGER) AS n_control, dmr_type, {cols}, round(q, 6) AS qvalue FROM {T.bh("merged", "pvalue")}'
+    query(sql, S_, _TILES, *needs, _merged(hits, means))(fn)
+
+
+_TACC = _ACC.replace("FROM sites", "FROM tl")
+_tile_query("dmr_tile", "logit_t", _tile_hits("mean", _LOG2.format("mean")), _TACC, _DISP, _welch(True))
+_tile_query("dmr_tile_welch", "welch_t", _tile_hits("mean", _LOG2.format("mean")), _TACC, _DISP, _welch(False))
+_tile_query("dmr_tile_lr", "lr", _tile_hits("pi", _LOG2.format("pi")), _TACC, _DISP, _RAW, _quasi("lr_raw", "phi_site", "chi2"))
+_tile_query("dmr_tile_score", "score", _tile_hits("pi", _LOG2.format("pi")), _TACC, _DISP, _RAW, _quasi("score_raw", "phi_site", "chi2"))
+_tile_query("dmr_tile_fisher", "fisher", _tile_hits("mean", _FISHER_OR.replace("round(log2(", "(log2(").replace("), 6) ELSE", ")) ELSE"), "tf"), _TACC, _DISP,
+            f"tf AS (SELECT *, {T.fisher_doubled('s1_a', '(s0_a - s1_a)', 's1_b', '(s0_b - s1_b)')} AS pvalue FROM d2)")
+_tile_query("dmr_tile_cmh", "cmh", _tile_hits("mean", "lor", "tc"), _TACC, _CMH.replace("FROM sites x JOIN sites y", "FROM tl x JOIN tl y"),
+            "tc AS (SELECT tested.*, mean_a, mean_b, v_a, v_b FROM tested JOIN acc USING (chrom, pos))")
 
 
 @query("SELECT chrom, \"start\", \"end\", n_cpgs, n_dvc, round(mean_log_ratio, 6) AS mean_log_ratio, round(sign_sum, 6) AS sign_sum, round(pvalue, 6) AS pvalue, round(q, 6) AS qvalue, coalesce(q <= 0.05, false) AS is_dvr FROM "

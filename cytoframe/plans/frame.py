@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.tables import written
 from ..operators import annotate as A
-from ..operators import fdr, models, profiles, qc, reads, regions, sequence, sites as S, tests
+from ..operators import dispatch, fdr, models, profiles, qc, reads, regions, sequence, sites as S, tests
 from ..sources import sinks, store
 
 
@@ -88,6 +88,16 @@ class MethylFrame:
         at = {r["sample"]: r.asDict() for r in self.obs.collect()}  # a row for each sample
         return models.design([at[s] for s in self.samples], formula)
 
+    def _groups(self, test: str, formula: str | None = None, contrast: object = None) -> dispatch.Groups:
+        if test != "glm":
+            return dispatch.Groups(self.case, self.control)
+        names, full = self._design(formula or "~ treatment")
+        if contrast is not None:
+            return dispatch.Groups(self.case, self.control, full, contrasts=models.contrast(contrast, names))
+        if "treatment" not in names:
+            raise ValueError(f"no treatment term in {names}; give a contrast")
+        return dispatch.Groups(self.case, self.control, full, names.index("treatment"))
+
     def dmc(
         self, test: str = "auto", dispersion: str = "eb", reference: str = "adaptive", fdr_method: str = "bh", neighbour_bp: int | None = None, alpha: float = 0.05,
         formula: str | None = None, contrast: object = None, min_case: int = 0, min_control: int = 0, allow_single: bool = False,
@@ -108,21 +118,7 @@ class MethylFrame:
             neighbour_bp, separated = neighbour_bp or 500, 0.9 if separated is None else separated
         tests.check_groups(len(self.case), len(self.control), self.meta.get("united", "union"), allow_single or test == "fisher" or bool(formula), min_case, min_control)
         x = self._tested(smoothed, smooth_bp)
-        if test == "glm":
-            names, full = self._design(formula or "~ treatment")
-            if contrast is not None:
-                out = models.glm(x, self.samples, full, contrasts=models.contrast(contrast, names), reference=reference, dispersion=dispersion)
-            else:
-                if "treatment" not in names:
-                    raise ValueError(f"no treatment term in {names}; give a contrast")
-                k = names.index("treatment")
-                out = models.glm(x, self.samples, full, np.delete(full, k, axis=1), k, reference=reference, dispersion=dispersion)
-        else:
-            out = {
-                "lr": lambda: tests.quasi_binomial(x, self.is_case, "lr", dispersion, reference, separated), "score": lambda: tests.quasi_binomial(x, self.is_case, "score", dispersion, reference, separated),
-                "fisher": lambda: tests.fisher(x, self.is_case), "cmh": lambda: tests.cmh(x, self.is_case), "welch_t": lambda: tests.welch(x, self.is_case), "logit_t": lambda: tests.welch(x, self.is_case, "logit"),
-                "bb_lr": lambda: models.two_group_glm(x, self.case, self.control, dispersion, reference),
-            }[test]()
+        out = dispatch.site_test(x, self._groups(test, formula, contrast), test, dispersion, reference, separated)
         out = tests.masked(out, x, self.is_case, min_case, min_control)
         if permutations:
             if test not in ("lr", "score"):
@@ -153,14 +149,28 @@ class MethylFrame:
 
     # --- regions ----------------------------------------------------------
 
-    def dmr(self, method: str = "chain_merge", test: str = "auto", permutations: int = 0, seed: int = 42, **settings) -> DataFrame:
-        """Regions by chain_merge, sliding_window, hmm or tile, kept as results["dmr"]. Only tiles are tested anew, and only their labels can be permuted."""
+    def dmr(
+        self, method: str = "chain_merge", test: str = "auto", permutations: int = 0, seed: int = 42, min_mean_q: float | None = 0.05, formula: str | None = None, allow_single: bool = False, **settings,
+    ) -> DataFrame:
+        """Regions by chain_merge, sliding_window, hmm or tile, kept as results["dmr"]; those with a q-value of min_mean_q or more are left out, unless it is None.
+
+        Only tiles are tested anew, by any of the site tests (auto: as for
+        sites) or a regression by a formula; where sites were united by
+        intersection only tiles that every sample has are. Labels are permuted
+        for tiles of lr and score, by the test that was asked for.
+        """
         if method == "tile":
-            size = settings.get("size", 1000)
-            out = regions.dmr_tiles(self._tested(), self.is_case, **({} if test == "auto" else {"test": test}), **settings)
+            if test == "auto":
+                test = "glm" if formula else tests.auto_test(len(self.case), len(self.control), allow_single)
+            united, least = self.meta.get("united", "union"), [settings.get(c, 0) for c in ("min_case", "min_control")]
+            tests.check_groups(len(self.case), len(self.control), united, allow_single or test == "fisher" or bool(formula), *least)
+            x = self._tested()
+            out = regions.dmr_tiles(x, self._groups(test, formula), test=test, united=united == "intersect", **settings)
             if permutations:
-                t = S.tiles(self._tested(), size).where(F.col("n_cpgs") >= settings.get("min_cpgs", 5))
-                null = tests.permuted_tests(t, tests.label_sets(self.case, self.control, permutations, seed))
+                if test not in ("lr", "score"):
+                    raise ValueError("labels are permuted for lr and score")
+                t = regions.tested_tiles(x, settings.get("size", 1000), settings.get("min_cpgs", 5), len(self.samples) if united == "intersect" else None)
+                null = tests.permuted_tests(t, tests.label_sets(self.case, self.control, permutations, seed), test, settings.get("dispersion", "site"), settings.get("reference", "adaptive"))
                 out = fdr.adjust(tests.permuted_pvalues(out, null), "p_empirical", "bh", 0.05, "drop", "q_empirical").drop("reject")
         else:
             if permutations:
@@ -168,8 +178,9 @@ class MethylFrame:
             name = self.meta.get("last_dmc") if test == "auto" else f"dmc_{test}"
             source = self.results[name] if name in self.results else self.dmc(test)
             out = {"chain_merge": regions.dmr_chain, "sliding_window": regions.dmr_sliding, "hmm": sequence.dmr_hmm}[method](source, **settings)
-        self.results["dmr"] = out
-        return out
+        q = next((c for c in ("combined_qvalue", "qvalue") if c in out.columns), None)
+        self.results["dmr"] = out if min_mean_q is None or q is None else out.where(F.col(q) < min_mean_q)
+        return self.results["dmr"]
 
     def dvr(self, **settings) -> DataFrame:
         source = self.results["dvc"] if "dvc" in self.results else self.dvc()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cytoframe import schemas
 from cytoframe.functions import tables
-from cytoframe.operators import tests
+from cytoframe.operators import regions, tests
 from cytoframe.plans.frame import MethylFrame
 from cytoframe.sources import readers, report, sinks, store
 
@@ -334,3 +334,42 @@ def test_without_the_optional_parts(tmp_path):
     assert out.returncode == 0, out.stderr
     n, m, ops, pipeline = out.stdout.split()[-4:]
     assert int(n) > 100 and int(m) > 100 and pipeline == "False"
+
+
+@pytest.mark.parametrize("test", ["lr", "score", "fisher", "cmh", "welch_t", "logit_t", "bb_lr", "glm"])
+def test_tiles_by_every_test(frame, test):
+    got = frame.dmr("tile", test=test, size=600, min_cpgs=3).collect()
+    assert any(r["chrom"] == "chr1" and r["dmr_type"] == "hyper" and r["start"] < 1000 + 60 * 115 and r["end"] > 1000 + 60 * 65 for r in got)
+    assert all(r["n_case"] == 4 and r["n_control"] == 4 and abs(r["mean_beta_case"] - r["mean_beta_control"] - r["meth_diff"]) < 1e-5 and r["qvalue"] < 0.05 for r in got)
+
+
+def test_tile_defaults_and_filters(frame, sites):
+    auto, lr = (sorted(map(tuple, frame.dmr("tile", size=600, min_cpgs=3, **more).collect())) for more in ({}, {"test": "lr"}))
+    assert auto == lr
+    every, some = (frame.dmr("tile", size=600, min_cpgs=3, alpha=0.9, delta=0.0, min_mean_q=q).count() for q in (None, 0.05))
+    assert every > some
+    few = MethylFrame(sites.where(~F.col("sample").isin(CASE[:3]) | (F.col("chrom") == "chr2")), CASE, CONTROL)
+    assert few.dmr("tile", size=600, min_cpgs=3, test="score", alpha=0.9, delta=0.0, min_mean_q=None, min_case=3, min_control=1).where("chrom = 'chr1'").count() == 0
+    united = few.unite("intersect").dmr("tile", size=600, min_cpgs=3, test="score", alpha=0.9, delta=0.0, min_mean_q=None)
+    assert {r["chrom"] for r in united.collect()} <= {"chr2"}
+    with pytest.raises(ValueError):
+        frame.dmr("tile", test="nothing")
+    with pytest.raises(ValueError):
+        frame.dmr("tile", test="fisher", permutations=3)
+    glm = frame.dmr("tile", size=600, min_cpgs=3, formula="~ treatment").collect()
+    assert glm and all(r["n_case"] == 4 for r in glm)
+
+
+def test_sliding_spans_reach_to_the_window_s_end(spark):
+    rows = [("c", p, 0.3, 0.001, 0.001) for p in (0, 10, 20, 30, 40, 500, 510, 520, 530, 540)]
+    dmc = spark.createDataFrame(rows, "chrom string, pos int, meth_diff double, pvalue double, qvalue double")
+    spans = [(r["start"], r["end"]) for r in regions.sliding_spans(dmc, F.lit(True), 500).collect()]
+    assert spans == [(0, 1000)]  # windows from 0 and from 500 touch
+    assert [(r["start"], r["end"]) for r in regions.sliding_spans(dmc.where("pos < 100"), F.lit(True), 500).collect()] == [(0, 500)]
+
+
+def test_exact_test_s_odds_ratio_is_that_of_counts(spark):
+    rows = [("s0", "c", 0, 9, 10), ("s4", "c", 0, 2, 10), ("s0", "c", 1, 10, 10), ("s4", "c", 1, 3, 10), ("s0", "c", 2, 0, 10), ("s4", "c", 2, 3, 10), ("s0", "c", 3, 10, 10), ("s4", "c", 3, 10, 10)]
+    x = tests.fisher(spark.createDataFrame(rows, "sample string, chrom string, pos int, n_meth int, coverage int"), F.col("sample") == "s0")
+    got = {r["pos"]: r["log2_odds_ratio"] for r in x.collect()}
+    assert got == {0: pytest.approx(np.log2(9 * 8 / (1 * 2))), 1: float("inf"), 2: None, 3: None}
