@@ -167,8 +167,8 @@ WIDE_SHARED = 3
 SLACK = 3.0
 #: Lists up to this length are compared by shifting, and all their candidates go on at once.
 SHORT = 16
-#: In rounds after the first, candidates in other groups that an item of a list is held against; grows by this factor.
-FURTHER = 8
+#: Candidates of other groups that an item of a list is held against in the second round; in the third it is all that are left.
+FURTHER = 32
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -266,9 +266,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     a pair at the similarity asked for shares an indexed pair of bytes with a
     chance of about 0.97, a closer one more surely. A list first sends on only
     what connects its candidates; where some of these turn out not to be links,
-    the groups that they left apart are held against each other in further
-    rounds, until no candidate of two groups is untested. So the groups are
-    those of all candidates, whatever the lengths of lists.
+    the groups that they left apart are held against each other in two further
+    rounds: a few candidates of each item, then all that still lie between two
+    groups. So the groups are those of all candidates, whatever the lengths of
+    lists.
     """
     most = most_bits(similarity)
 
@@ -302,27 +303,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         same = F.size(F.array_intersect("sa", "sb"))
         return two.select("a", "b", (same >= similarity * (F.size("sa") + F.size("sb") - same)).alias("alike"))
 
-    def components(links: DataFrame, name: str) -> DataFrame:
-        found = connected_components(links.select(number("a").alias("a"), number("b").alias("b"))).withColumnRenamed("component", name)
-        return classes.select("fp", number("fp").alias("node")).join(Written(found).df, "node", "left").select("fp", F.coalesce(name, "node").alias(name))
-
     number = F.xxhash64  # fingerprints as numbers; a collision of two would need billions of them
+    own = classes.select("fp", number("fp").alias("node"))
     known = Written(tested(Written(wide_links(classes.select("fp", number("fp").alias("group")), most)).df)).df
-    each, around = FURTHER, Written(components(known, "around")).df  # all that candidates connect: later ones lie within
-    while True:
-        named = Written(components(known.where("alike"), "component")).df
-        both = named.join(around, "fp")
-        split = both.groupBy("around").agg((F.min("component") < F.max("component")).alias("s")).where("s").select("around")
-        left = Written(both.join(split, "around", "left_semi").select("fp", F.col("component").alias("group"))).df
-        if not left.limit(1).count():
-            break
-        fresh = Written(wide_links(left, most, each).join(known, ["a", "b"], "left_anti")).df
-        if fresh.limit(1).count():
-            known = Written(known.unionByName(tested(fresh))).df
-        elif each >= LIST_CAP:
-            break
-        else:
-            each *= FURTHER
+
+    def components(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(links.select(number("a").alias("a"), number("b").alias("b"))).withColumnRenamed("component", name)
+        return Written(own.join(found, "node", "left").select("fp", F.coalesce(name, "node").alias(name))).df
+
+    named = components(known.where("alike"), "component")
+    if known.where("NOT alike").limit(1).count():
+        around = components(known, "around")  # all that candidates connect: what is untested lies within
+        for each in (FURTHER, 2 * LIST_CAP):
+            both = named.join(around, "fp")
+            split = both.groupBy("around").agg((F.min("component") < F.max("component")).alias("s")).where("s").select("around")
+            left = Written(both.join(split, "around", "left_semi").select("fp", F.col("component").alias("group"))).df
+            fresh = Written(wide_links(left, most, each).join(known.select("a", "b"), ["a", "b"], "left_anti")).df
+            now = Written(tested(fresh)).df
+            known = known.unionByName(now)
+            links = now.where("alike").join(left.select(F.col("fp").alias("a"), F.col("group").alias("ga")), "a").join(left.select(F.col("fp").alias("b"), F.col("group").alias("gb")), "b")
+            merged = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            named = Written(named.join(merged, "component", "left").select("fp", F.coalesce("to", "component").alias("component"))).df
     named = classes.join(named, "fp")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.select("fp", "component", "n").join(least, "component").select("fp", "component_id", F.col("component").alias("group_id"), "n")
