@@ -56,7 +56,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         paths = {r["sample_id"]: r["path"] for r in obs.select("sample_id", "path").toLocalIterator()}  # one row per file
         readers.convert_if_stale(spark, paths, a.output, a.format, a.context, a.fasta, not a.keep_strands)
         return None
-    store = spark.read.parquet(a.store)
+    store = sinks.read_sites(spark, a.store)
     if a.command == "filter":
         black = readers.read_bed(spark, a.blacklist) if a.blacklist else None
         sinks.write_sites(S.filter_coverage(store, a.low, a.high, black), a.output)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from ..functions.tables import written
 from ..operators import annotate as A
 from ..operators import dispatch, fdr, models, profiles, qc, reads, regions, sequence, sites as S, tests
 from ..sources import sinks, store
+from ..sources.versions import Versions
 
 
 class MethylFrame:
@@ -275,16 +274,26 @@ class MethylFrame:
         return store.signature(store.data_signature(self.sites), self.case, self.control, self.meta)
 
     def save(self, path: str) -> None:
-        sinks.write_sites(self.sites, f"{path}/sites")
-        self.obs.write.mode("overwrite").parquet(f"{path}/obs")
+        """Sites, samples, results and settings in one commit; the frame may have been loaded from the same path. A load sees this save or the one before, whatever ends it midway."""
+        v = Versions(self.sites.sparkSession, path)
+        folder = v.fresh()
+        sites = self.sites.repartition("sample", "chrom").sortWithinPartitions("sample", "chrom", "pos")
+        sites.write.option("compression", "zstd").partitionBy("sample", "chrom").parquet(f"{v.root}/{folder}/sites")
+        self.obs.write.parquet(f"{v.root}/{folder}/obs")
         for k, df in self.results.items():
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/results/{k}")
-        about = json.dumps({"case": self.case, "control": self.control, "meta": self.meta, "results": sorted(self.results), "signature": self.signature(), "schema": self.sites.schema.jsonValue()})
-        self.sites.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+            df.write.option("compression", "zstd").parquet(f"{v.root}/{folder}/results/{k}")
+        about = {"case": self.case, "control": self.control, "meta": self.meta, "results": sorted(self.results), "signature": self.signature(), "schema": self.sites.schema.jsonValue()}
+        v.change(lambda _: about | {"folder": folder})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> MethylFrame:
-        about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        results = {k: spark.read.parquet(f"{path}/results/{k}") for k in about["results"]}
-        sites = spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/sites")
-        return cls(sites, about["case"], about["control"], results, about["meta"], spark.read.parquet(f"{path}/obs"))
+        v = Versions(spark, path)
+        about = v.current()[1]
+        if about is None:
+            raise FileNotFoundError(f"no saved frame at {path}")
+        at = f"{v.root}/{about['folder']}"
+        results = {k: spark.read.parquet(f"{at}/results/{k}") for k in about["results"]}
+        schema = StructType.fromJson(about["schema"])
+        sites = spark.read.schema(schema).parquet(f"{at}/sites").select(*schema.names)
+        obs = spark.read.parquet(f"{at}/obs")
+        return cls(sites, about["case"], about["control"], results, about["meta"], obs)

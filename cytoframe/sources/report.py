@@ -6,7 +6,7 @@ from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import store
+from ..functions.tables import _file_system
 
 _STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse;margin-bottom:2em}td,th{border:1px solid #ccc;padding:.2em .6em;text-align:right}"
 #: Most rows of a table that a page shows.
@@ -29,4 +29,7 @@ def html(tables: dict[str, DataFrame], title: str) -> str:
 
 
 def write_html(spark: SparkSession, tables: dict[str, DataFrame], path: str, title: str) -> None:
-    store._write(spark, path, html(tables, title))
+    fs, p = _file_system(spark, path)
+    stream = fs.create(p, True)
+    stream.write(bytearray(html(tables, title).encode()))
+    stream.close()

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .versions import Versions
 
 
 def chromosome_order(chrom: str = "chrom") -> Column:
@@ -69,10 +72,20 @@ def write_text(rows: DataFrame, path: str, order: list, header: str | None = Non
     (w.option("compression", compression) if compression else w).text(path)
 
 
-def write_sites(sites: DataFrame, path: str) -> None:
-    """The site table as Parquet, by sample and chromosome; a rewrite replaces the partitions that it has."""
-    w = sites.repartition("sample", "chrom").sortWithinPartitions("sample", "chrom", "pos").write.mode("overwrite")
-    w.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("sample", "chrom").parquet(path)
+def write_sites(sites: DataFrame, path: str, keep: bool = False) -> None:
+    """The site table as a store by sample and chromosome, in one commit: the samples of the table, and with keep also those that the store has besides."""
+    v = Versions(sites.sparkSession, path)
+    folder = v.fresh()
+    sites.repartition("sample", "chrom").sortWithinPartitions("sample", "chrom", "pos").write.option("compression", "zstd").partitionBy("sample", "chrom").parquet(f"{v.root}/{folder}")
+    parts = v.parts(folder)
+    v.change(lambda state: {"parts": ((state or {}).get("parts", {}) if keep else {}) | parts, "schema": sites.schema.jsonValue()})
+
+
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """A site store as its last commit left it, or plain Parquet."""
+    v = Versions(spark, path)
+    state = v.current()[1]
+    return spark.read.parquet(path) if state is None else v.read(list(state["parts"].values()), StructType.fromJson(state["schema"]))
 
 
 def qc_documents(tables: dict[str, DataFrame]) -> dict[str, str]:

@@ -12,28 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.tables import _file_system
 from . import sinks
-
-
-def _read(spark: SparkSession, path: str) -> str | None:
-    fs, p = _file_system(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _write(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written beside its place and moved there."""
-    fs, p = _file_system(spark, path)
-    _, beside = _file_system(spark, path + ".new")
-    stream = fs.create(beside, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+from .versions import Versions
 
 
 def data_signature(df: DataFrame, columns: list[str] | None = None) -> str:
@@ -50,20 +29,26 @@ def signature(*parts: object) -> str:
 
 
 class ResultStore:
-    """A table partitioned by chromosome, with a manifest beside it.
+    """A table partitioned by chromosome, with a manifest; each change is one commit.
 
-    A chromosome is one partition, so reading one prunes the others and
-    rewriting one leaves them as they are.
+    A chromosome is one folder, so reading one reads no other, and rewriting one
+    leaves the others' files as they are. Readers see a state as a whole.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.versions = Versions(spark, self.path)
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        folder = self.versions.fresh()
+        df.repartition("chrom").sortWithinPartitions("chrom", "pos").write.option("compression", "zstd").partitionBy("chrom").parquet(f"{self.path}/{folder}")
+        return self.versions.parts(folder)
 
     @classmethod
     def create(cls, df: DataFrame, path: str, **about) -> ResultStore:
         store = cls(df.sparkSession, path)
-        df.repartition("chrom").sortWithinPartitions("chrom", "pos").write.mode("overwrite").option("compression", "zstd").partitionBy("chrom").parquet(f"{store.path}/rows")
-        store.write_manifest(about | {"schema": df.schema.jsonValue()})
+        parts = store._write(df)
+        store.versions.change(lambda _: {"parts": parts, "about": about | {"schema": df.schema.jsonValue()}})
         return store
 
     @classmethod
@@ -74,18 +59,19 @@ class ResultStore:
         return store
 
     def manifest(self) -> dict | None:
-        found = _read(self.spark, f"{self.path}/manifest.json")
-        return None if found is None else json.loads(found)
+        state = self.versions.current()[1]
+        return None if state is None else state["about"]
 
     def write_manifest(self, about: dict) -> None:
-        _write(self.spark, f"{self.path}/manifest.json", json.dumps((self.manifest() or {}) | about, sort_keys=True))
+        self.versions.change(lambda state: {"parts": (state or {}).get("parts", {}), "about": (state or {}).get("about", {}) | about})
 
     def mark_adjusted(self, q: str = "qvalue", method: str = "bh") -> None:
         self.write_manifest({"adjusted": {"column": q, "method": method}})
 
     def to_dataframe(self, columns: list[str] | None = None) -> DataFrame:
-        schema = StructType.fromJson(self.manifest()["schema"])  # a chromosome's name stays text
-        return self.spark.read.schema(schema).parquet(f"{self.path}/rows").select(*(columns or schema.names))
+        state = self.versions.current()[1]
+        x = self.versions.read(list(state["parts"].values()), StructType.fromJson(state["about"]["schema"]))
+        return x.select(*columns) if columns else x
 
     def scan_chrom(self, chrom: str) -> DataFrame:
         return self.to_dataframe().where(F.col("chrom") == chrom)
@@ -104,11 +90,12 @@ class ResultStore:
             yield c, self.read_chrom(c, columns)
 
     def update_chrom(self, chrom: str, df: DataFrame) -> None:
-        """Replaces one chromosome; the others' files stay. df may read the store itself only by way of a written table."""
-        if df.where(F.col("chrom") != chrom).limit(1).count():
+        """Replaces one chromosome, or takes it out if df is empty; df may read the store itself."""
+        if df.where(~F.col("chrom").eqNullSafe(chrom)).limit(1).count():
             raise ValueError(f"rows of other chromosomes than {chrom}")
-        out = df.sortWithinPartitions("pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        out.partitionBy("chrom").parquet(f"{self.path}/rows")
+        parts = self._write(df)
+        name = f"chrom={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(chrom)}"
+        self.versions.change(lambda state: state | {"parts": {k: v for k, v in state["parts"].items() if k != name} | parts})
 
     def delete(self) -> None:
         fs, p = _file_system(self.spark, self.path)
@@ -116,13 +103,17 @@ class ResultStore:
 
 
 class Stages:
-    """A log of finished stages with their settings and input signatures; a stage is reused under the very same signature only."""
+    """A log of finished stages with their settings and input signatures; a stage is reused under the very same signature only.
+
+    Each entry is a commit, so entries of two that log at once are both kept.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, f"{self.root}/_stages")
 
     def all(self) -> list[dict]:
-        return json.loads(_read(self.spark, f"{self.root}/stages.json") or "[]")
+        return (self.versions.current()[1] or {"entries": []})["entries"]
 
     def find(self, stage: str, key: str | None = None) -> dict | None:
         """The last entry of a stage, or the one of a signature."""
@@ -130,7 +121,7 @@ class Stages:
 
     def append(self, stage: str, params: dict, key: str, path: str, **more) -> dict:
         entry = {"stage": stage, "params": params, "signature": key, "path": path} | more
-        _write(self.spark, f"{self.root}/stages.json", json.dumps([*self.all(), entry], sort_keys=True, default=str))
+        self.versions.change(lambda state: {"entries": [*(state or {"entries": []})["entries"], entry]})
         return entry
 
     def completed(self) -> list[str]:

@@ -13,7 +13,7 @@ from cytoframe import schemas
 from cytoframe.functions import tables
 from cytoframe.operators import regions, tests
 from cytoframe.plans.frame import MethylFrame
-from cytoframe.sources import readers, report, sinks, store
+from cytoframe.sources import readers, report, sinks, store, versions
 
 CASE, CONTROL = ["a1", "a2", "a3", "a4"], ["b1", "b2", "b3", "b4"]
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -244,7 +244,7 @@ def test_convert_only_if_stale(spark, tmp_path):
     coverage_file(p, [("chr1", 5, 6, 50, 1, 1)])
     assert readers.convert_if_stale(spark, {"s": p}, out) and not readers.convert_if_stale(spark, {"s": p}, out)
     coverage_file(p, [("chr1", 5, 6, 50, 1, 1), ("chr1", 8, 9, 50, 1, 1)])
-    assert readers.convert_if_stale(spark, {"s": p}, out) and spark.read.parquet(out).count() == 2
+    assert readers.convert_if_stale(spark, {"s": p}, out) and sinks.read_sites(spark, out).count() == 2
 
 
 SAM = [
@@ -373,3 +373,77 @@ def test_exact_test_s_odds_ratio_is_that_of_counts(spark):
     x = tests.fisher(spark.createDataFrame(rows, "sample string, chrom string, pos int, n_meth int, coverage int"), F.col("sample") == "s0")
     got = {r["pos"]: r["log2_odds_ratio"] for r in x.collect()}
     assert got == {0: pytest.approx(np.log2(9 * 8 / (1 * 2))), 1: float("inf"), 2: None, 3: None}
+
+
+def test_fewer_samples_saved_are_fewer_loaded(spark, sites, frame, tmp_path):
+    path = str(tmp_path / "saved")
+    MethylFrame(sites, CASE, CONTROL).save(path)
+    two = MethylFrame(sites.where(F.col("sample").isin("a1", "b1")), CASE[:1], CONTROL[:1])
+    two.save(path)
+    got = MethylFrame.load(spark, path)
+    assert {r[0] for r in got.sites.select("sample").distinct().collect()} == {"a1", "b1"} and got.sites.count() == two.sites.count()
+    got.filter_coverage(1, 100).save(path)  # over what it was read from
+    assert MethylFrame.load(spark, path).sites.count() > 0
+    out = str(tmp_path / "sites")
+    sinks.write_sites(sites, out)
+    sinks.write_sites(sites.where("sample = 'a1'").withColumn("sample", F.lit("new")), out, keep=True)
+    assert sinks.read_sites(spark, out).select("sample").distinct().count() == 9
+    sinks.write_sites(sites.where("sample = 'a1'"), out)
+    assert sinks.read_sites(spark, out).select("sample").distinct().count() == 1 and sinks.read_sites(spark, out).columns == sites.columns
+
+
+def test_a_save_that_ends_midway_leaves_the_one_before(spark, sites, tmp_path, monkeypatch):
+    path = str(tmp_path / "saved")
+    whole = MethylFrame(sites, CASE, CONTROL)
+    whole.save(path)
+    n = whole.sites.count()
+    small = MethylFrame(sites.where("sample IN ('a1', 'b1')"), CASE[:1], CONTROL[:1])
+    for step in ("commit", "signature"):
+        with monkeypatch.context() as m:
+            m.setattr(versions.Versions if step == "commit" else MethylFrame, step, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                small.save(path)
+        assert MethylFrame.load(spark, path).sites.count() == n
+    v = versions.Versions(spark, path)
+    number, _ = v.current()
+    stream = v.fs.create(v._path(f"_states/{number + 1:012d}.json"), False)
+    stream.write(bytearray(b'{"state": {"half'))  # a state that breaks off
+    stream.close()
+    assert MethylFrame.load(spark, path).sites.count() == n
+    small.save(path)
+    assert MethylFrame.load(spark, path).sites.count() == small.sites.count()
+
+
+def test_two_commits_on_one_state(spark, tmp_path):
+    v = versions.Versions(spark, str(tmp_path / "v"))
+    v.change(lambda s: {"n": 1})
+    number, _ = v.current()
+    v.commit({"n": 2}, number)
+    with pytest.raises(versions.Conflict):
+        v.commit({"n": 3}, number)
+    assert v.current()[1] == {"n": 2}
+    log, other = store.Stages(spark, str(tmp_path / "log")), store.Stages(spark, str(tmp_path / "log"))
+    began = log.versions.current
+
+    def late():  # another's entry comes between reading and writing
+        found = began()
+        log.versions.current = began
+        other.append("b", {}, "k2", "p2")
+        return found
+
+    log.versions.current = late
+    log.append("a", {}, "k1", "p1")
+    assert log.completed() == ["b", "a"]
+    for i in range(5):
+        v.change(lambda s: {"n": s["n"] + 1})
+    assert v.current()[1] == {"n": 7} and len(v.numbers()) == v.KEEP
+
+
+def test_result_store_takes_a_chromosome_out_and_reads_itself(spark, sites, tmp_path):
+    rows = sites.where("sample = 'a1'").select("chrom", "pos", "coverage")
+    s = store.ResultStore.create(rows, str(tmp_path / "r"))
+    before = s.to_dataframe()
+    s.update_chrom("chr1", s.read_chrom("chr1").withColumn("coverage", F.col("coverage") + 1000))
+    assert s.read_chrom("chr1").where("coverage < 1000").count() == 0 and before.where("coverage >= 1000").count() == 0
+    s.update_chrom("chr1", rows.limit(0))
+    assert s.chroms() == ["chr2"]
