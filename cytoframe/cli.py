@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import annotate, qc, sequence, sites as S
 from .plans.frame import MethylFrame
-from .sources import readers, report, sinks
+from .sources import bigwig, readers, report, sinks
 from .sources.store import write_matrix
 
 
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     add("annotate", opt("--gtf", required=True), opt("--islands"))
     add("smooth", opt("--bandwidth", type=int, default=1000))
     add("aggregate-regions", opt("--bed", required=True), opt("--min-sites", type=int, default=1))
-    add("export", opt("--kind", required=True, choices=["bedgraph", "methylkit", "matrix", "dmcs-bed", "dmrs-bed"]), opt("--sample"))
+    add("export", opt("--kind", required=True, choices=["bedgraph", "bigwig", "methylkit", "matrix", "dmcs-bed", "dmrs-bed"]), opt("--sample"))
     return p
 
 
@@ -92,6 +92,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         _save(S.aggregate_regions(store, readers.read_bed(spark, a.bed), a.min_sites), a.output)
     elif a.kind == "bedgraph":
         sinks.write_text(sinks.bedgraph_rows(store, a.sample), a.output, [sinks.chromosome_order(), "start"], "track type=bedGraph")
+    elif a.kind == "bigwig":
+        sizes = [(r["chrom"], r["size"]) for r in sinks.chromosome_sizes(store).collect()]  # a row for each chromosome
+        bigwig.write_bigwig(sinks.bedgraph_rows(store, a.sample), a.output, sizes)
     elif a.kind == "methylkit":
         sinks.methylkit_rows(store).write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("compression", "gzip").option("header", True).csv(a.output)
     elif a.kind == "matrix":

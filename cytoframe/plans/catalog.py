@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import annotate as A
 from ..operators import dispatch, fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
 from ..functions.tables import scratch
-from ..sources import fasta, readers, sinks, store, views as V
+from ..sources import bigwig, fasta, readers, sinks, store, views as V
 from . import tails as T
 from .frame import MethylFrame
 
@@ -1006,6 +1006,17 @@ def bedgraph_rows(spark, d):
     return rounded(sinks.bedgraph_rows(V.sites(spark, d), "s1"))
 
 
+@query(
+    """SELECT chrom, bases, min(pos) AS "start", max(pos) + 1 AS "end", count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares
+    FROM (SELECT chrom, pos, n_meth / CAST(coverage AS DOUBLE) AS v FROM sites WHERE sample = 's1' AND coverage > 0), (SELECT unnest([1000, 4000]) AS bases) GROUP BY chrom, bases, pos // bases""", S_,
+)
+def track_zoom_levels(spark, d):
+    rows = sinks.bedgraph_rows(V.sites(spark, d), "s1").withColumnRenamed("chrom", "c").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    fine = bigwig.zoom_records(rows, 1000)
+    both = fine.withColumn("bases", F.lit(1000)).unionByName(bigwig.zoom_records(fine, 4000).withColumn("bases", F.lit(4000)))
+    return rounded(both.withColumnRenamed("c", "chrom"))
+
+
 @query("SELECT chrom, max(pos) + 1 AS size FROM sites GROUP BY chrom", S_)
 def chromosome_sizes(spark, d):
     return sinks.chromosome_sizes(V.sites(spark, d))
