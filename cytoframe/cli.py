@@ -96,7 +96,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         sizes = [(r["chrom"], r["size"]) for r in sinks.chromosome_sizes(store).collect()]  # a row for each chromosome
         bigwig.write_bigwig(sinks.bedgraph_rows(store, a.sample), a.output, sizes)
     elif a.kind == "methylkit":
-        sinks.methylkit_rows(store).write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("compression", "gzip").option("header", True).csv(a.output)
+        sinks.write_methylkit(store, a.output)
     elif a.kind == "matrix":
         names = [r[0] for r in store.select("sample").distinct().orderBy("sample").collect()]  # a row for each sample
         write_matrix(store, spark.createDataFrame([(n,) for n in names], "sample string"), a.output, names, ("beta", "coverage"))

@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import annotate as A
 from ..operators import dispatch, fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
 from ..functions.tables import scratch
-from ..sources import bigwig, fasta, readers, sinks, store, views as V
+from ..sources import bigwig, fasta, indexed, readers, sinks, store, views as V
 from . import tails as T
 from .frame import MethylFrame
 
@@ -1017,6 +1017,19 @@ def track_zoom_levels(spark, d):
     return rounded(both.withColumnRenamed("c", "chrom"))
 
 
+@query(
+    """SELECT chrom || '.' || pos AS "chrBase", chrom AS chr, CAST(pos AS BIGINT) AS base, strand, CAST(coverage AS BIGINT) AS coverage FROM sites
+    WHERE coverage > 0 AND sample = 's2' AND chrom = 'chr3' AND pos >= 700 AND pos < 30000""", S_,
+)
+def methylkit_region(spark, d):
+    """Written with position indexes, and a region of one sample looked up."""
+    path = scratch(spark)
+    sinks.write_methylkit(V.sites(spark, d), path)
+    c = F.split("value", "\t")
+    got = indexed.read_region(spark, path, "s2", ("chr3", 700, 30_000))
+    return got.select(c[0].alias("chrBase"), c[1].alias("chr"), c[2].cast("long").alias("base"), c[3].alias("strand"), c[4].cast("long").alias("coverage"))
+
+
 @query("SELECT chrom, max(pos) + 1 AS size FROM sites GROUP BY chrom", S_)
 def chromosome_sizes(spark, d):
     return sinks.chromosome_sizes(V.sites(spark, d))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import indexed
 from .versions import Versions
 
 
@@ -62,6 +63,19 @@ def methylkit_rows(sites: DataFrame) -> DataFrame:
     return x.select("sample", F.concat_ws(".", "chrom", F.col("pos").cast("string")).alias("chrBase"), F.col("chrom").alias("chr"), F.col("pos").alias("base"), F.coalesce("strand", F.lit("*")).alias("strand"), "coverage", F.format_string("%.6f", freq).alias("freqC"), F.format_string("%.6f", 100 - freq).alias("freqT"))
 
 
+#: Heading of a table of methylKit rows. Fixed value.
+METHYLKIT_HEADER = ("chrBase", "chr", "base", "strand", "coverage", "freqC", "freqT")
+
+
+def write_methylkit(sites: DataFrame, path: str, obs: DataFrame | None = None) -> dict:
+    """methylKit rows of every sample in block gzip with position indexes, sorted by chromosome and position; the commit says which files are whose, and a sample's treatment by obs (sample, treatment)."""
+    x = methylkit_rows(sites)
+    line = F.concat_ws("\t", *(F.col(c).cast("string") for c in METHYLKIT_HEADER))
+    rows = x.select("sample", F.col("chr").alias("chrom"), F.col("base").alias("pos"), line.alias("line"))
+    about = {r["sample"]: {"treatment": r["treatment"]} for r in obs.select("sample", "treatment").collect()} if obs is not None else None  # a row for each sample
+    return indexed.write_table(rows, path, "\t".join(METHYLKIT_HEADER), (2, 3), about)
+
+
 def write_text(rows: DataFrame, path: str, order: list, header: str | None = None, compression: str | None = None) -> None:
     """Tab-separated text in global order: ranges of rows sorted side by side, in files that read in order."""
     line = F.concat_ws("\t", *(F.col(c).cast("string") for c in rows.columns))
