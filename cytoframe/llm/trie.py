@@ -4,7 +4,7 @@ A node is a distinct sequence of first turns. Its key is its depth and 128 bits
 that turns add to: each turn's hash, taken with its place, is xored in. So a
 conversation's keys are running sums, which add up over parts of it, and a
 conversation with a third of all turns is spread over many tasks like any other
-rows (`running`). No text leaves the first scan: rows hold hashes and counts.
+rows (`functions.ordered.running`). No text leaves the first scan: rows hold hashes and counts.
 
 * Partial tries: each task combines the rows of its part by node, with members
   counted, the smallest member and the members that end there.
@@ -35,10 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import running
 from ._common import Written, map_in_arrow, meet
 from .mixing import words
 
@@ -52,63 +53,6 @@ FAN_OUT = 20
 KEY = ["depth", "a", "b"]
 
 
-def running(rows: DataFrame, group: str, order: list[str], sums: tuple[str, ...] = (), xors: tuple[str, ...] = ()) -> DataFrame:
-    """rows with place (1, 2, … by order within group), and the named long columns as running sums or xors, own row included.
-
-    Rows are dealt in ranges of (group, order), so that a large group lies in
-    several parts; each part runs on its own, and the few groups that cross a
-    border get what came before by broadcast: a number of rows that grows with
-    the parts only.
-    """
-    spark, names, folds = rows.sparkSession, rows.columns, {"place": np.add, **dict.fromkeys(sums, np.add), **dict.fromkeys(xors, np.bitwise_xor)}
-    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    spec = T.StructType([*[f for f in rows.schema.fields], T.StructField("place", T.LongType()), T.StructField("_part", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, carry = TaskContext.get().partitionId(), None, {}
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            g = b.column(group).to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1))
-            lengths = np.diff(np.append(starts, n))
-            made = {}
-            for c, fold in folds.items():
-                x = np.ones(n, np.int64) if c == "place" else b.column(c).to_numpy().astype(np.int64)
-                run_ = fold.accumulate(x)
-                before = np.where(starts > 0, run_[starts - 1], 0)
-                back = np.repeat(before, lengths)
-                x = run_ - back if fold is np.add else run_ ^ back
-                if g[0] == last:
-                    x[: lengths[0]] = fold(x[: lengths[0]], carry[c])
-                made[c] = x
-            last, carry = g[-1], {c: x[-1] for c, x in made.items()}
-            cols = [pa.array(made[c]) if c in made else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(made["place"]), pa.array(np.full(n, part, np.int32))], spec.names)
-
-    local = Written(map_in_arrow(dealt, run, spec)).df
-    borders = [tuple(r) for r in local.groupBy("_part").agg(F.min(group), F.max(group)).orderBy("_part").collect()]
-    crossing = sorted({high for (_, _, high), (_, low, _) in zip(borders, borders[1:]) if high == low})
-    if not crossing:
-        return local.drop("_part")
-    ends = local.where(F.col(group).isin(crossing)).groupBy(group, "_part").agg(*[F.max_by(c, "place").alias(c) for c in folds])
-    before: dict = {}
-    offsets = []
-    for r in sorted(ends.collect(), key=lambda r: (r[group], r["_part"])):
-        so_far = before.get(r[group], dict.fromkeys(folds, 0))
-        offsets.append((r[group], r["_part"], *[so_far[c] for c in folds]))
-        before[r[group]] = {c: so_far[c] + r[c] if fold is np.add else so_far[c] ^ r[c] for c, fold in folds.items()}
-    given = T.StructType([local.schema[group], local.schema["_part"], *[T.StructField(f"_{c}", T.LongType()) for c in folds]])
-    joined = local.join(F.broadcast(spark.createDataFrame(offsets, given)), [group, "_part"], "left")
-    return joined.select(*[_plus(c, fold) if (fold := folds.get(c)) else F.col(c) for c in [*names, "place"]])
-
-
-def _plus(c: str, fold: np.ufunc) -> Column:
-    off = F.coalesce(F.col(f"_{c}"), F.lit(0))
-    return (F.col(c) + off if fold is np.add else F.col(c).bitwiseXOR(off)).alias(c)
-
-
 def _turns(conversations: DataFrame) -> DataFrame:
     """(c, turn, content, words): the md5 of role and text, and the words of the text."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
@@ -118,7 +62,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 def rebuilt(conversations: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     """(c, depth, content, words, end): the turns of every rebuilt conversation, with a textless one at depth 0; end says that it is the last."""
-    numbered = Written(running(_turns(conversations), "c", ["turn", "content"]).select("c", F.col("place").alias("pos"), "content", "words"))
+    numbered = Written(running(_turns(conversations), ["c"], ["turn", "content"]).select("c", F.col("place").alias("pos"), "content", "words"))
     lengths = Written(numbered.df.groupBy("c").agg(F.count("*").alias("n"))).df
     plan = lengths.withColumn("h", F.crc32(F.col("c").cast("string").cast("binary")) % 4).withColumn("donor", F.col("c") - F.col("c") % fan_out)
     plan = plan.join(lengths.select(F.col("c").alias("donor"), F.col("n").alias("has")), "donor", "left")
@@ -138,7 +82,7 @@ def keyed(turns: DataFrame) -> DataFrame:
     for x, seed in (("a", 1), ("b", 2)):
         turns = turns.withColumn(x, F.when(F.col("depth") > 0, F.xxhash64(F.lit(seed), "depth", "content")).otherwise(F.lit(0)).cast("long"))
     turns = turns.select("c", "depth", "words", "end", "a", "b", F.col("a").alias("pa"), F.col("b").alias("pb"))
-    at = running(turns, "c", ["depth"], xors=("a", "b"))
+    at = running(turns, ["c"], ["depth"], xors=("a", "b"))
     return at.select("c", *KEY, F.col("a").bitwiseXOR(F.col("pa")).alias("pa"), F.col("b").bitwiseXOR(F.col("pb")).alias("pb"), "words", "end")
 
 
@@ -234,7 +178,7 @@ def prefix_trie(conversations: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     nodes = Written(merged(partial_tries(rows.df))).df
     children = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))).withColumn("saved", (F.col("n_convs") - 1) * F.col("words"))
-    nodes = Written(running(nodes, "conv_id", ["depth"], sums=("saved",)).withColumn("above", F.col("saved") - (F.col("n_convs") - 1) * F.col("words"))).df
+    nodes = Written(running(nodes, ["conv_id"], ["depth"], sums=("saved",)).withColumn("above", F.col("saved") - (F.col("n_convs") - 1) * F.col("words"))).df
 
     chains = nodes.groupBy(F.col("conv_id").alias("c")).agg(F.max("saved").alias("total"), F.max_by((F.col("n_children") == 0).cast("long"), "depth").alias("leaf"), (F.max("depth") + 1).alias("n"))
     below = meet(rows.df.select("c", *KEY), Written(chains).df, "c", n_rows).groupBy(*KEY).agg(F.sum("total").alias("below"), F.sum("leaf").alias("n_leaves"))

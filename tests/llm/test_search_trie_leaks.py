@@ -89,20 +89,6 @@ def test_op11_sql_on_odd_rows(spark):
     assert sorted(c.execute(trie.SQL).fetchall(), key=key) == sorted(trie_rows(spark.createDataFrame(rows, SPEC)), key=key) == sorted(trie_truth(rows), key=key)
 
 
-def test_op11_running_sums_cross_parts(spark):
-    df = spark.range(5000).selectExpr("id % 3 div 2 AS g", "id AS o", "id * 7919 % 1000003 AS x", "xxhash64(id) AS y").repartition(13)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {(r["g"], r["o"]): (r["place"], r["x"], r["y"]) for r in trie.running(df, "g", ["o"], sums=("x",), xors=("y",)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    state = {}
-    for r in sorted(df.collect(), key=lambda r: (r["g"], r["o"])):
-        p, x, y = state.get(r["g"], (0, 0, 0))
-        state[r["g"]] = p + 1, x + r["x"], y ^ r["y"]
-        assert got[r["g"], r["o"]] == state[r["g"]]
-
-
 def test_op11_end_lists_longer_than_a_block(spark, monkeypatch):
     rows = [(c, 0, "user", "same") for c in range(200)]
     want = trie_truth(rows)
