@@ -111,18 +111,47 @@ def t_sf2(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return betainc(df / 2, 0.5, df / (df + t * t))
 
 
+#: Tables of counts that are summed at once, in terms of their tails.
+_TERMS = 1 << 21
+
+
+def _log_factorials(most: int):
+    """Of whole numbers up to most: a table, or where that would be long the function."""
+    if most > 1 << 22:
+        return lambda k: lgamma(k + 1.0)
+    table = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most + 1)))))
+    return lambda k: table[k]
+
+
+def _tails(low: np.ndarray, high: np.ndarray):
+    """Pieces of rows with their terms: (rows, which row of the piece each term is of, terms, where each row's terms begin)."""
+    sizes = high - low + 1
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(low):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TERMS, "right")), at + 1)
+        own = sizes[at:to]
+        of, starts = np.repeat(np.arange(to - at), own), np.cumsum(own) - own
+        yield slice(at, to), of, np.arange(int(own.sum())) - starts[of] + low[at:to][of], starts
+        at = to
+
+
 def fisher_doubled(a, b, c, d) -> np.ndarray:
     """min(1, 2 x tail) of the hypergeometric on the side of a's expectation; rows (a, b) and (c, d)."""
+    a, b, c, d = (np.asarray(v, np.int64) for v in (a, b, c, d))
+    n, r, k = a + b + c + d, a + b, a + c
     out = np.ones(len(a))
-    for i, (a_, b_, c_, d_) in enumerate(zip(*(np.asarray(v, np.int64) for v in (a, b, c, d)))):
-        n, r, k = int(a_ + b_ + c_ + d_), int(a_ + b_), int(a_ + c_)
-        if not n or not r or not k or r == n or k == n:
-            continue
-        lo, hi = max(0, r + k - n), min(r, k)
-        x = np.arange(a_, hi + 1) if a_ * n >= r * k else np.arange(lo, a_ + 1)
-        lp = lgamma(k + 1.0) - lgamma(x + 1.0) - lgamma(k - x + 1.0) + lgamma(n - k + 1.0) - lgamma(r - x + 1.0) - lgamma(n - k - r + x + 1.0)
-        lp -= lgamma(n + 1.0) - lgamma(r + 1.0) - lgamma(n - r + 1.0)
-        out[i] = min(1.0, 2 * float(np.exp(lp).sum()))
+    some = np.flatnonzero((r > 0) & (k > 0) & (r < n) & (k < n))
+    if not len(some):
+        return out
+    a, n, r, k = a[some], n[some], r[some], k[some]
+    upper = a * n >= r * k
+    f = _log_factorials(int(n.max()))
+    whole = f(k) + f(n - k) - f(n) + f(r) + f(n - r)
+    for rows, of, x, starts in _tails(np.where(upper, a, np.maximum(0, r + k - n)), np.where(upper, np.minimum(r, k), a)):
+        nn, rr, kk = n[rows][of], r[rows][of], k[rows][of]
+        lp = whole[rows][of] - f(x) - f(kk - x) - f(rr - x) - f(nn - kk - rr + x)
+        out[some[rows]] = np.minimum(1.0, 2 * np.add.reduceat(np.exp(lp), starts))
     return out
 
 
@@ -138,14 +167,18 @@ def binom_sf(k: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
 
 def fisher_two_sided(a, b, c, d) -> np.ndarray:
     """Sum of the probabilities of all tables at most as likely as the one seen; rows (a, b) and (c, d)."""
+    a, b, c, d = (np.asarray(v, np.int64) for v in (a, b, c, d))
+    n, r, k = a + b + c + d, a + b, a + c
     out = np.ones(len(a))
-    for i, (a_, b_, c_, d_) in enumerate(zip(*(np.asarray(v, np.int64) for v in (a, b, c, d)))):
-        n, r, k = int(a_ + b_ + c_ + d_), int(a_ + b_), int(a_ + c_)
-        if not n:
-            continue
-        low = max(0, r + k - n)
-        x = np.arange(low, min(r, k) + 1)
-        lp = -lgamma(x + 1.0) - lgamma(k - x + 1.0) - lgamma(r - x + 1.0) - lgamma(n - k - r + x + 1.0)
-        p = np.exp(lp - lp.max())
-        out[i] = min(1.0, float(p[p <= p[a_ - low] * (1 + 1e-7)].sum() / p.sum()))
+    some = np.flatnonzero(n > 0)
+    if not len(some):
+        return out
+    a, n, r, k = a[some], n[some], r[some], k[some]
+    f, low = _log_factorials(int(n.max())), np.maximum(0, r + k - n)
+    for rows, of, x, starts in _tails(low, np.minimum(r, k)):
+        nn, rr, kk = n[rows][of], r[rows][of], k[rows][of]
+        lp = -f(x) - f(kk - x) - f(rr - x) - f(nn - kk - rr + x)
+        p = np.exp(lp - np.maximum.reduceat(lp, starts)[of])
+        seen = p[starts + a[rows] - low[rows]]
+        out[some[rows]] = np.minimum(1.0, np.add.reduceat(np.where(p <= seen[of] * (1 + 1e-7), p, 0.0), starts) / np.add.reduceat(p, starts))
     return out

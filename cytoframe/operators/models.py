@@ -73,19 +73,20 @@ def irls(m: np.ndarray, n: np.ndarray, x: np.ndarray, rounds: int = 25, tol: flo
 
     def solve(w, z):
         a = np.einsum("sj,ji,jk->sik", w, x, x) + 1e-10 * np.eye(p)
-        return np.linalg.solve(a, np.einsum("sj,ji,sj->si", w, x, z)[..., None])[..., 0], a
+        return np.linalg.solve(a, np.einsum("sj,ji,sj->si", w, x, z)[..., None])[..., 0]
 
     start = np.clip(y, MU_BOUND, 1 - MU_BOUND)
-    beta, _ = solve(n.astype(float), np.log(start / (1 - start)))
+    beta = solve(n.astype(float), np.log(start / (1 - start)))
+    live = np.arange(len(m))  # a site that has converged stays as it is, whatever the others do
     for _ in range(rounds):
-        eta = np.clip(beta @ x.T, -ETA_BOUND, ETA_BOUND)
-        mu = np.clip(1 / (1 + np.exp(-eta)), MU_BOUND, 1 - MU_BOUND)
-        w = n * mu * (1 - mu)
-        new, a = solve(w, eta + (y - mu) / (mu * (1 - mu)))
-        done = np.abs(new - beta).max() < tol
-        beta = new
-        if done:
+        if not len(live):
             break
+        eta = np.clip(beta[live] @ x.T, -ETA_BOUND, ETA_BOUND)
+        mu = np.clip(1 / (1 + np.exp(-eta)), MU_BOUND, 1 - MU_BOUND)
+        new = solve(n[live] * mu * (1 - mu), eta + (y[live] - mu) / (mu * (1 - mu)))
+        moved = np.abs(new - beta[live]).max(axis=1) >= tol
+        beta[live] = new
+        live = live[moved]
     eta = np.clip(beta @ x.T, -ETA_BOUND, ETA_BOUND)
     mu = np.clip(1 / (1 + np.exp(-eta)), MU_BOUND, 1 - MU_BOUND)
     a = np.einsum("sj,ji,jk->sik", n * mu * (1 - mu), x, x) + 1e-10 * np.eye(p)

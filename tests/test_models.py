@@ -297,3 +297,14 @@ def test_hot_p_values_and_nulls(spark):
     assert len(got) == 5000
     for r, w in zip(got, want):
         assert r["qvalue"] is None if r["pvalue"] is None else abs(r["qvalue"] - w) < 1e-9
+
+
+def test_a_site_s_fit_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(7)
+    n = rng.integers(1, 40, (30, 6))
+    m = rng.binomial(n, rng.random((30, 1)))
+    x = np.stack([np.ones(6), [1, 1, 1, 0, 0, 0], rng.random(6)], axis=1)
+    whole = models.irls(m, n, x)
+    for i in range(30):
+        one = models.irls(m[i : i + 1], n[i : i + 1], x)
+        assert np.allclose(one["beta"][0], whole["beta"][i], equal_nan=True, rtol=1e-12, atol=1e-12)

@@ -41,3 +41,26 @@ def test_binomial_tail():
     want = sum(math.comb(20, i) * 0.3**i * 0.7 ** (20 - i) for i in range(9, 21))
     assert abs(sp.binom_sf(np.array([8]), np.array([20]), 0.3)[0] - want) < 1e-12
     assert sp.binom_sf(np.array([-1, 20]), np.array([20, 20]), 0.3).tolist() == [1.0, 0.0]
+
+
+def test_exact_tests_side_by_side(monkeypatch):
+    """Against sums over whole tables in exact fractions, in pieces of any size."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = np.random.default_rng(4)
+    rows = [tuple(int(v) for v in rng.integers(0, 30, 4)) for _ in range(60)] + [(0, 0, 0, 0), (0, 0, 3, 4), (5, 0, 7, 0), (0, 9, 9, 0), (9, 0, 0, 9), (400, 3, 2, 390)]
+    doubled, both = [], []
+    for a, b, c, d in rows:
+        n, r, k = a + b + c + d, a + b, a + c
+        p = {x: Fraction(comb(k, x) * comb(n - k, r - x), comb(n, r)) for x in range(max(0, r + k - n), min(r, k) + 1)}
+        trivial = not r or not k or r == n or k == n
+        doubled.append(1.0 if trivial else float(min(1, 2 * sum(v for x, v in p.items() if (x >= a if a * n >= r * k else x <= a)))))
+        both.append(float(sum(v for v in p.values() if v <= p[a] * Fraction(10_000_001, 10_000_000))) if n else 1.0)
+    cols = list(zip(*rows))
+    for terms in (1, 50, 1 << 21):
+        monkeypatch.setattr(sp, "_TERMS", terms)
+        assert np.allclose(sp.fisher_doubled(*cols), doubled, rtol=1e-9) and np.allclose(sp.fisher_two_sided(*cols), both, rtol=1e-6)
+    big = sp.fisher_doubled([3_000_000], [2_000_000], [2_999_000], [2_001_000])  # beyond the table
+    assert 0 < big[0] < 1
+    assert len(sp.fisher_doubled([], [], [], [])) == 0
