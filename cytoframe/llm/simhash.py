@@ -167,8 +167,8 @@ WIDE_SHARED = 3
 SLACK = 3.0
 #: Lists up to this length are compared by shifting, and all their candidates go on at once.
 SHORT = 16
-#: Candidates of other groups that an item of a list is held against in the second round; in the third it is all that are left.
-FURTHER = 32
+#: Where more fingerprints than FEW hang together by candidates, an item of a list is first held against so many candidates of other groups only; in the last round it is all that are left.
+FEW, FURTHER = 512, 32
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -266,10 +266,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     a pair at the similarity asked for shares an indexed pair of bytes with a
     chance of about 0.97, a closer one more surely. A list first sends on only
     what connects its candidates; where some of these turn out not to be links,
-    the groups that they left apart are held against each other in two further
-    rounds: a few candidates of each item, then all that still lie between two
-    groups. So the groups are those of all candidates, whatever the lengths of
-    lists.
+    the groups that they left apart are held against each other: first a few
+    candidates of each item, then all that still lie between two groups. So the
+    groups are those of all candidates, whatever the lengths of lists.
     """
     most = most_bits(similarity)
 
@@ -291,40 +290,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), b.column(2)], ["fp", "s", "n"])
         give_back()
 
-    def tested(links: DataFrame) -> DataFrame:
-        """links with alike: whether the first texts of both fingerprints are that similar."""
-        wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
-        first = small(Written(classes.drop("n").join(wanted, "fp")).df)
-        texts = rows.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash").eqNullSafe(F.col("f.text_hash")))).select("f.fp", "d.text", "f.n").dropDuplicates(["fp"])
-        sets = Written(texts.mapInArrow(shingles, "fp binary, s array<bigint>, n bigint")).df
-        both = 2 * links.count()
-        one = meet(links.withColumnRenamed("a", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "a", "s": "sa"})
-        two = meet(Written(one).df.withColumnRenamed("b", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "b", "s": "sb"})
-        same = F.size(F.array_intersect("sa", "sb"))
-        return two.select("a", "b", (same >= similarity * (F.size("sa") + F.size("sb") - same)).alias("alike"))
-
     number = F.xxhash64  # fingerprints as numbers; a collision of two would need billions of them
-    own = classes.select("fp", number("fp").alias("node"))
-    known = Written(tested(Written(wide_links(classes.select("fp", number("fp").alias("group")), most)).df)).df
-
-    def components(links: DataFrame, name: str) -> DataFrame:
-        found = connected_components(links.select(number("a").alias("a"), number("b").alias("b"))).withColumnRenamed("component", name)
-        return Written(own.join(found, "node", "left").select("fp", F.coalesce(name, "node").alias(name))).df
-
-    named = components(known.where("alike"), "component")
-    if known.where("NOT alike").limit(1).count():
-        around = components(known, "around")  # all that candidates connect: what is untested lies within
-        for each in (FURTHER, 2 * LIST_CAP):
-            both = named.join(around, "fp")
-            split = both.groupBy("around").agg((F.min("component") < F.max("component")).alias("s")).where("s").select("around")
-            left = Written(both.join(split, "around", "left_semi").select("fp", F.col("component").alias("group"))).df
-            fresh = Written(wide_links(left, most, each).join(known.select("a", "b"), ["a", "b"], "left_anti")).df
-            now = Written(tested(fresh)).df
+    same = F.size(F.array_intersect("sa", "sb"))
+    alike = (same >= similarity * (F.size("sa") + F.size("sb") - same)).alias("alike")
+
+    # the first text of each fingerprint that has a candidate, and how many candidates want it
+    links = Written(wide_links(classes.select("fp", number("fp").alias("group")), most)).df
+    wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    first = small(Written(classes.drop("n").join(wanted, "fp")).df)
+    texts = rows.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash").eqNullSafe(F.col("f.text_hash")))).select("f.fp", "d.text", "f.n").dropDuplicates(["fp"])
+    sets = Written(texts.mapInArrow(shingles, "fp binary, s array<bigint>, n bigint")).df
+    both = 2 * links.count()
+    one = meet(links.withColumnRenamed("a", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "a", "s": "sa"})
+    two = meet(Written(one).df.withColumnRenamed("b", "fp"), sets, "fp", both, 100).withColumnsRenamed({"fp": "b", "s": "sb"})
+    known = Written(two.select("a", "b", alike)).df
+    found = connected_components(known.where("alike").select(number("a").alias("a"), number("b").alias("b")))
+    named = classes.select("fp", number("fp").alias("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+    named = Written(named).df
+
+    def ends(links: DataFrame, groups: DataFrame) -> DataFrame:
+        """(a, b): the groups of both ends of links."""
+        for x in "ab":
+            links = links.join(groups.select(F.col("fp").alias(x), F.col("group").alias(f"g{x}")), x)
+        return links.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+
+    # candidates that turned out to be none lie between groups; what is untested lies within what these connect
+    apart = Written(ends(known.where("NOT alike"), named)).df
+    if apart.limit(1).count():
+        around = connected_components(apart).select(F.col("node").alias("group"), F.col("component").alias("around"))
+        left = Written(named.join(around, "group").select("fp", "group", "around")).df
+        largest = left.groupBy("around").count().agg(F.max("count")).first()[0]
+        for each in (2 * LIST_CAP,) if largest <= FEW else (FURTHER, 2 * LIST_CAP):
+            fresh = wide_links(left.select("fp", "group"), most, each).join(known.select("a", "b"), ["a", "b"], "left_anti")
+            for x in "ab":
+                fresh = fresh.join(sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}")), x)
+            now = Written(fresh.select("a", "b", alike)).df
             known = known.unionByName(now)
-            links = now.where("alike").join(left.select(F.col("fp").alias("a"), F.col("group").alias("ga")), "a").join(left.select(F.col("fp").alias("b"), F.col("group").alias("gb")), "b")
-            merged = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            named = Written(named.join(merged, "component", "left").select("fp", F.coalesce("to", "component").alias("component"))).df
+            merged = connected_components(ends(now.where("alike"), left)).select(F.col("node").alias("group"), F.col("component").alias("to"))
+            left = Written(left.join(merged, "group", "left").select("fp", F.coalesce("to", "group").alias("group"), "around")).df
+        named = named.join(left.select("fp", F.col("group").alias("_g")), "fp", "left").select("fp", F.coalesce("_g", "group").alias("group"))
+    named = named.withColumnRenamed("group", "component")
     named = classes.join(named, "fp")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.select("fp", "component", "n").join(least, "component").select("fp", "component_id", F.col("component").alias("group_id"), "n")

@@ -445,6 +445,7 @@ def test_op6_near_duplicates_in_long_lists(spark, monkeypatch, n, seed, shorts):
     lab = groups(n, alike)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen = []
+    monkeypatch.setattr(simhash, "FEW", 8 if n > 100 else 512)
     for short in shorts:
         monkeypatch.setattr(simhash, "SHORT", short)
         got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
