@@ -190,7 +190,7 @@ def age_clock(sites: DataFrame, coefficients: DataFrame, manifest: DataFrame, in
     return raw.select("sample", age.alias("age"), "n_found")
 
 
-def nnls(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+def nnls_of_sums(g: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Least squares with non-negative coefficients by the active-set method, from the sums g = A'A and c = A'b."""
     n = len(c)
     x, on, least = np.zeros(n), np.zeros(n, bool), 1e-12 * max(1.0, float(np.abs(c).max(initial=0)))
@@ -214,6 +214,11 @@ def nnls(g: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x
 
 
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same from the rows themselves."""
+    return nnls_of_sums(a.T @ a, a.T @ b)
+
+
 def deconvolve(sites: DataFrame, reference: DataFrame, manifest: DataFrame, cell_types: list[str]) -> DataFrame:
     """(sample, cell_type, proportion), non-negative and summing to 1; null for a sample that covers no site of the panel.
 
@@ -238,7 +243,7 @@ def deconvolve(sites: DataFrame, reference: DataFrame, manifest: DataFrame, cell
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         p = g.sort_values("at")["v"].to_numpy().reshape(k, k + 1)
-        got = nnls(p[:, 1:], p[:, 0])
+        got = nnls_of_sums(p[:, 1:], p[:, 0])
         return pd.DataFrame({"sample": g["sample"].iloc[0], "cell_type": cell_types, "proportion": got / got.sum() if got.sum() > 0 else got})
 
     got = total.groupBy("sample").applyInPandas(solve, "sample string, cell_type string, proportion double")

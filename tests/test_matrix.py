@@ -68,10 +68,10 @@ def test_least_squares_from_sums(spark):
     rng = np.random.default_rng(2)
     for _ in range(50):
         a, b = rng.random((30, 6)), rng.random(30) - 0.3
-        x = models.nnls(a.T @ a, a.T @ b)
+        x = models.nnls_of_sums(a.T @ a, a.T @ b)
         grad = a.T @ (b - a @ x)
         assert (x >= 0).all() and (grad < 1e-8).all() and np.abs(grad[x > 1e-10]).max(initial=0) < 1e-8
-    assert models.nnls(np.zeros((2, 2)), np.zeros(2)).tolist() == [0, 0]
+    assert models.nnls_of_sums(np.zeros((2, 2)), np.zeros(2)).tolist() == [0, 0]
 
 
 def test_deconvolution_keeps_samples_without_the_panel(spark):
