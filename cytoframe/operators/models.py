@@ -14,30 +14,82 @@ from ..functions import columns as C
 from ..functions.tables import written
 
 
-def design(obs: list[dict], formula: str) -> tuple[list[str], np.ndarray]:
-    """(term names, matrix) of `~ a + b + a:b`; numbers as they are, text as treatment-coded levels, the first sorted level the base."""
-    terms = [t.strip() for t in formula.split("~", 1)[-1].split("+") if t.strip() and t.strip() != "1"]
+#: What a formula may do to a column of numbers.
+TRANSFORMS = {"log": np.log, "log2": np.log2, "log10": np.log10, "exp": np.exp, "sqrt": np.sqrt, "center": lambda v: v - v.mean(), "standardize": lambda v: (v - v.mean()) / v.std()}
+
+
+def _terms(formula: str, covariates: list[str] | tuple[str, ...]) -> tuple[bool, list[tuple[str, ...]]]:
+    """(whether there is an intercept, terms as factors): a * b is a + b + a:b, a term behind a minus goes, `0` or `- 1` takes the intercept; main effects first."""
+    intercept, terms = True, []
+    text = formula.split("~", 1)[-1]
+    for sign, term in re.findall(r"([+-]?)\s*((?:[^+\-(]|\([^)]*\))+)", text):
+        term = term.strip()
+        if term in ("0", "1"):
+            intercept = (term == "1") == (sign != "-")
+            continue
+        made: list[tuple[str, ...]] = [()]
+        for part in re.split(r"\*(?!\*)(?![^(]*\))", term):
+            own = tuple(f.strip() for f in part.split(":"))
+            made = made + [(*m, *own) for m in made]
+        made = [m for m in dict.fromkeys(made) if m]
+        if any(not f for m in made for f in m):
+            raise ValueError(f"term {term!r} is not understood")
+        terms = [t for t in terms if t not in made] if sign == "-" else [*terms, *(m for m in made if m not in terms)]
+    terms += [(c,) for c in covariates if (c,) not in terms]
+    return intercept, sorted(terms, key=len)
+
+
+def design(obs: list[dict], formula: str = "~", covariates: list[str] | tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
+    """(term names, matrix) of a formula over rows of samples, and covariates added to it.
+
+    Numbers are taken as they are, text and C(name) as levels against the first
+    sorted one; without an intercept the first factor of levels has a column for
+    each. Terms: a + b, a:b, a * b, - a, 0 or - 1, I(a ** 2), and the functions
+    of TRANSFORMS, with or without `np.` before. A missing value is an
+    error.
+    """
+    intercept, terms = _terms(formula, covariates)
+
+    def values(name: str) -> list:
+        if name not in obs[0]:
+            raise ValueError(f"no column {name!r}; there are {sorted(obs[0])}")
+        col = [o[name] for o in obs]
+        if any(v is None or v != v for v in col):
+            raise ValueError(f"column {name!r} has missing values")
+        return col
+
+    def numbers(name: str) -> np.ndarray:
+        return np.array([float(v) for v in values(name)])
+
+    whole = not intercept
 
     def factor(name: str) -> list[tuple[str, np.ndarray]]:
-        inner = re.fullmatch(r"C\((\w+)\)", name)
-        col = [o[inner[1] if inner else name] for o in obs]
-        if not inner:
+        nonlocal whole
+        power, call = re.fullmatch(r"I\((\w+)\s*\*\*\s*(\d+)\)", name), re.fullmatch(r"(?:np\.)?(\w+)\((\w+)\)", name)
+        if power:
+            return [(name, numbers(power[1]) ** int(power[2]))]
+        if call and call[1] in TRANSFORMS:
+            return [(name, TRANSFORMS[call[1]](numbers(call[2])))]
+        if call and call[1] != "C" or not call and not re.fullmatch(r"\w+", name):
+            raise ValueError(f"factor {name!r} is not understood")
+        col = values(call[2] if call else name)
+        if not call:
             try:
                 return [(name, np.array([float(v) for v in col]))]
             except (TypeError, ValueError):
                 pass
-        levels = sorted({str(v) for v in col})
-        return [(f"{name}[T.{lv}]", np.array([float(str(v) == lv) for v in col])) for lv in levels[1:]]
+        levels, all_, whole = sorted({str(v) for v in col}), whole, False
+        return [(f"{name}[{'' if all_ else 'T.'}{lv}]", np.array([float(str(v) == lv) for v in col])) for lv in levels[0 if all_ else 1 :]]
 
-    names, cols = ["Intercept"], [np.ones(len(obs))]
+    names, cols = (["Intercept"], [np.ones(len(obs))]) if intercept else ([], [])
     for t in terms:
-        if re.search(r"[-*/^]", t):
-            raise ValueError(f"term {t!r}: only +, : and C() are understood")
         made = [("", np.ones(len(obs)))]
-        for part in t.split(":"):
-            made = [(f"{a}:{n}".strip(":"), x * y) for a, x in made for n, y in factor(part.strip())]
+        for part in t:
+            made = [(f"{a}:{n}".strip(":"), x * y) for a, x in made for n, y in factor(part)]
         names += [n for n, _ in made]
         cols += [c for _, c in made]
+    if not names:
+        raise ValueError("a formula without terms")
     return names, np.stack(cols, axis=1)
 
 

@@ -83,14 +83,17 @@ class MethylFrame:
 
     # --- per site ---------------------------------------------------------
 
-    def _design(self, formula: str) -> tuple[list[str], np.ndarray]:
+    def _design(self, formula: str, covariates: list[str] | tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
         at = {r["sample"]: r.asDict() for r in self.obs.collect()}  # a row for each sample
-        return models.design([at[s] for s in self.samples], formula)
+        names, full = models.design([at[s] for s in self.samples], formula, covariates)
+        if len(names) >= len(self.samples):
+            raise ValueError(f"{len(names)} columns for {len(self.samples)} samples; drop terms or add samples")
+        return names, full
 
-    def _groups(self, test: str, formula: str | None = None, contrast: object = None) -> dispatch.Groups:
+    def _groups(self, test: str, formula: str | None = None, contrast: object = None, covariates: list[str] | tuple[str, ...] = ()) -> dispatch.Groups:
         if test != "glm":
             return dispatch.Groups(self.case, self.control)
-        names, full = self._design(formula or "~ treatment")
+        names, full = self._design(formula or "~ treatment", covariates)
         if contrast is not None:
             return dispatch.Groups(self.case, self.control, full, contrasts=models.contrast(contrast, names))
         if "treatment" not in names:
@@ -99,25 +102,26 @@ class MethylFrame:
 
     def dmc(
         self, test: str = "auto", dispersion: str = "eb", reference: str = "adaptive", fdr_method: str = "bh", neighbour_bp: int | None = None, alpha: float = 0.05,
-        formula: str | None = None, contrast: object = None, min_case: int = 0, min_control: int = 0, allow_single: bool = False,
+        formula: str | None = None, covariates: list[str] | tuple[str, ...] = (), contrast: object = None, min_case: int = 0, min_control: int = 0, allow_single: bool = False,
         smoothed: bool = False, smooth_bp: int | None = None, separated: float | None = None, permutations: int = 0, seed: int = 42, boost: bool | str = False,
     ) -> DataFrame:
         """Per-site results with q-values, kept as results["dmc_<test>"].
 
         test: auto, lr, score, fisher, cmh, welch_t, logit_t, bb_lr or glm. A
-        formula over obs makes it a regression, with a contrast of its terms
-        or else the treatment term against the rest. permutations adds an
+        formula over obs, or covariates beside the treatment, make it a
+        regression, with a contrast of its terms or else the treatment term
+        against the rest. permutations adds an
         empirical p-value from as many shuffles of the labels. boost combines
         neighbours within 500 bp and lets an exact test count where levels
         differ by 0.9; as "auto" it does so for lr with two samples or fewer in a group.
         """
         if test == "auto":
-            test = "glm" if formula else tests.auto_test(len(self.case), len(self.control), allow_single)
+            test = "glm" if formula or covariates else tests.auto_test(len(self.case), len(self.control), allow_single)
         if boost is True or (boost == "auto" and test == "lr" and min(len(self.case), len(self.control)) <= 2):
             neighbour_bp, separated = neighbour_bp or 500, 0.9 if separated is None else separated
         tests.check_groups(len(self.case), len(self.control), self.meta.get("united", "union"), allow_single or test == "fisher" or bool(formula), min_case, min_control)
         x = self._tested(smoothed, smooth_bp)
-        out = dispatch.site_test(x, self._groups(test, formula, contrast), test, dispersion, reference, separated)
+        out = dispatch.site_test(x, self._groups(test, formula, contrast, covariates), test, dispersion, reference, separated)
         out = tests.masked(out, x, self.is_case, min_case, min_control)
         if permutations:
             if test not in ("lr", "score"):
@@ -149,7 +153,7 @@ class MethylFrame:
     # --- regions ----------------------------------------------------------
 
     def dmr(
-        self, method: str = "chain_merge", test: str = "auto", permutations: int = 0, seed: int = 42, min_mean_q: float | None = 0.05, formula: str | None = None, allow_single: bool = False, **settings,
+        self, method: str = "chain_merge", test: str = "auto", permutations: int = 0, seed: int = 42, min_mean_q: float | None = 0.05, formula: str | None = None, covariates: list[str] | tuple[str, ...] = (), allow_single: bool = False, **settings,
     ) -> DataFrame:
         """Regions by chain_merge, sliding_window, hmm or tile, kept as results["dmr"]; those with a q-value of min_mean_q or more are left out, unless it is None.
 
@@ -160,11 +164,11 @@ class MethylFrame:
         """
         if method == "tile":
             if test == "auto":
-                test = "glm" if formula else tests.auto_test(len(self.case), len(self.control), allow_single)
+                test = "glm" if formula or covariates else tests.auto_test(len(self.case), len(self.control), allow_single)
             united, least = self.meta.get("united", "union"), [settings.get(c, 0) for c in ("min_case", "min_control")]
             tests.check_groups(len(self.case), len(self.control), united, allow_single or test == "fisher" or bool(formula), *least)
             x = self._tested()
-            out = regions.dmr_tiles(x, self._groups(test, formula), test=test, united=united == "intersect", **settings)
+            out = regions.dmr_tiles(x, self._groups(test, formula, covariates=covariates), test=test, united=united == "intersect", **settings)
             if permutations:
                 if test not in ("lr", "score"):
                     raise ValueError("labels are permuted for lr and score")

@@ -18,13 +18,15 @@ def _cell(v: object) -> str:
 
 
 def html(tables: dict[str, DataFrame], title: str) -> str:
-    """A page with a heading and a table for each; meant for short tables, of which it shows ROWS rows."""
+    """A page with a heading and a table for each; meant for short tables: of a longer one it shows ROWS rows, and says so."""
     parts = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><style>{_STYLE}</style><h1>{escape(title)}</h1>"]
     for name, df in tables.items():
-        rows = df.limit(ROWS).collect()
+        rows = df.limit(ROWS + 1).collect()
+        more = f"<p>The first {ROWS} of {df.count()} rows.</p>" if len(rows) > ROWS else ""
+        rows = rows[:ROWS]
         head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{_cell(v)}</td>" for v in r) + "</tr>" for r in rows)
-        parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>{more}")
     return "\n".join(parts) + "\n"
 
 

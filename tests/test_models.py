@@ -308,3 +308,21 @@ def test_a_site_s_fit_does_not_depend_on_its_neighbours():
     for i in range(30):
         one = models.irls(m[i : i + 1], n[i : i + 1], x)
         assert np.allclose(one["beta"][0], whole["beta"][i], equal_nan=True, rtol=1e-12, atol=1e-12)
+
+
+def test_formulas():
+    obs = [{"treatment": i % 2, "age": 20.0 + i, "donor": "abc"[i % 3], "n": i + 1} for i in range(12)]
+    names, x = models.design(obs, "~ treatment * donor + log(age)")
+    assert names == ["Intercept", "treatment", "donor[T.b]", "donor[T.c]", "log(age)", "treatment:donor[T.b]", "treatment:donor[T.c]"]
+    assert np.allclose(x[:, 4], np.log([o["age"] for o in obs])) and np.allclose(x[:, 5], x[:, 1] * x[:, 2])
+    assert models.design(obs, "~ treatment * donor - treatment:donor")[0] == ["Intercept", "treatment", "donor[T.b]", "donor[T.c]"]
+    names, x = models.design(obs, "~ 0 + donor + I(age ** 2) + np.sqrt(n) + center(age)", ["treatment"])
+    assert names == ["donor[a]", "donor[b]", "donor[c]", "I(age ** 2)", "np.sqrt(n)", "center(age)", "treatment"]
+    assert (x[:, :3].sum(axis=1) == 1).all() and np.allclose(x[:, 3], [o["age"] ** 2 for o in obs]) and abs(x[:, 5].sum()) < 1e-9
+    assert models.design(obs, "treatment - 1")[0] == ["treatment"] and models.design(obs, "~ treatment", ["treatment", "age"])[0] == ["Intercept", "treatment", "age"]
+    assert models.design(obs, "~ C(n) - C(n) + treatment")[0] == ["Intercept", "treatment"]
+    for bad, why in (("~ treatment + nothing", "no column"), ("~ bs(age)", "not understood"), ("~ age ^ 2", "not understood"), ("~ 0", "without terms")):
+        with pytest.raises(ValueError, match=why):
+            models.design(obs, bad)
+    with pytest.raises(ValueError, match="missing"):
+        models.design([*obs, {"treatment": 1, "age": None, "donor": "a", "n": 3}], "~ age")
