@@ -759,4 +759,4 @@ def test_columns_of_any_name_and_type(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
