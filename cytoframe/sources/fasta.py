@@ -24,6 +24,8 @@ from ..operators import ranges
 from . import bgzf
 
 PARTITION_BYTES = 16 << 20
+#: Ranges shorter than PARTITION_BYTES may be asked for; beyond about a megabyte there are no more than twice as many of them as this.
+MOST_SHORT = 256
 #: Bases of a piece at most, and bytes of a heading.
 PIECE, HEADING = 8192, 1 << 16
 DDL = "file string, offset long, name string, bases string"
@@ -48,7 +50,8 @@ class FastaReader(DataSourceReader):
         found = [info] if info.is_file else [f for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.is_file and not f.base_name.startswith(("_", "."))]
         if not info.is_file and info.type == pyarrow.fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        return [Part(scheme + f.path, low, min(low + self.step, f.size)) for f in sorted(found, key=lambda f: f.path) for low in range(0, f.size, self.step)]
+        step = max(self.step, min(PARTITION_BYTES, sum(f.size for f in found) // MOST_SHORT // 4096 * 4096))
+        return [Part(scheme + f.path, low, min(low + step, f.size)) for f in sorted(found, key=lambda f: f.path) for low in range(0, f.size, step)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -70,9 +73,11 @@ def _pieces(part: Part) -> Iterator[tuple[int, str | None, str | None]]:
     """(offset, name, None) of headings that begin in the part, and (offset, None, bases) of its sequence bytes."""
     f, size = bgzf.opened(part.path)
     with f:
-        back = max(part.low - HEADING, 0)
-        f.seek(back)
-        before = f.read(part.low - back)
+        back, before = part.low, b""
+        while back and part.low - back < HEADING and b"\n" not in before:  # lines are mostly short
+            back = max(part.low - max(2 * (part.low - back), 512), part.low - HEADING, 0)
+            f.seek(back)
+            before = f.read(part.low - back)
         line = before.rfind(b"\n") + 1  # what the part begins in the middle of; without any line end it is sequence
         in_heading = before[line : line + 1] == b">" and (line > 0 or back == 0)
         at, held = part.low, b""
@@ -127,9 +132,10 @@ class FastaSource(DataSource):
 def read_fasta(spark: SparkSession, path: str, **options: int) -> DataFrame:
     """(chrom, start, end, bases): pieces of every sequence, 0-based; a sequence is named by its heading's first word."""
     spark.dataSource.register(FastaSource)
-    x = spark.read.format("fasta").options(**options).load(path)
-    x = x.withColumn("head", F.col("name").isNotNull().cast("long")).withColumn("upto", F.coalesce(F.length("bases"), F.lit(0)).cast("long"))
+    read = Written(spark.read.format("fasta").options(**options).load(path))  # dealing in ranges looks at the rows twice
+    x = read.df.withColumn("head", F.col("name").isNotNull().cast("long")).withColumn("upto", F.coalesce(F.length("bases"), F.lit(0)).cast("long"))
     x = ordered.running(x, ["file"], ["offset"], sums=("head", "upto"))
+    read.drop()
     heads = small(Written(x.where("name IS NOT NULL").select("file", "head", F.col("name").alias("chrom"), F.col("upto").alias("_from"))).df)
     end = (F.col("upto") - F.col("_from")).cast("int")
     return x.where("bases IS NOT NULL").select("file", "head", "upto", "bases").join(heads, ["file", "head"]).select("chrom", (end - F.length("bases")).alias("start"), end.alias("end"), "bases")

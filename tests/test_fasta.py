@@ -61,3 +61,12 @@ def test_conversion_with_a_sequence(spark, tmp_path):
     out = str(tmp_path / "store")
     assert readers.convert_if_stale(spark, paths, out, reference=ref) and not readers.convert_if_stale(spark, paths, out, reference=ref)
     assert readers.convert_if_stale(spark, paths, out)
+
+
+def test_short_ranges_are_bounded_in_number(tmp_path):
+    """Ranges of few bytes are asked for; a file of any size still has a bounded number of them, none over the usual size."""
+    p = tmp_path / "long.fa"
+    p.write_bytes(b">a\n" + b"ACGT\n" * 400_000)
+    parts = fasta.FastaReader({"path": str(p), "partition_bytes": "7"}).partitions()
+    assert len(parts) <= 2 * fasta.MOST_SHORT and parts[0].low == 0 and parts[-1].high == p.stat().st_size
+    assert all(a.high == b.low for a, b in zip(parts, parts[1:]))
