@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.tables import written
+from ..functions.tables import small, written
 from . import fdr
 
 SITE = ["chrom", "pos"]
@@ -240,11 +240,12 @@ def permuted_pvalues(observed: DataFrame, null: DataFrame, p: str = "pvalue") ->
     summed by value; no row meets every other.
     """
     observed = written(observed)  # joined by value below
-    v = observed.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.lit(0).cast("bigint").alias("_n")).union(null.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.count("*").alias("_n")))
-    c = fdr.running_total(v.groupBy("_v").agg(F.sum("_n").alias("_n")), "_v", "_n")
-    total = null.agg(F.count(p).alias("_all"))
-    out = observed.join(c.select(F.col("_v").alias(p), "_upto"), p, "left").crossJoin(total)  # one row
-    return out.withColumn("p_empirical", F.when(F.col(p).isNotNull(), (F.col("_upto") + 1) / (F.col("_all") + 1))).drop("_upto", "_all")
+    own = observed.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.lit(0).cast("bigint").alias("_n"))
+    v = own.union(null.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.count("*").alias("_n")))
+    v = written(v.groupBy("_v").agg(F.sum("_n").alias("_n")))  # the null is worked out once
+    total = v.agg(F.sum("_n")).first()[0] or 0
+    upto = small(written(fdr.running_total(v, "_v", "_n").select(F.col("_v").alias(p), "_upto")))
+    return observed.join(upto, p, "left").withColumn("p_empirical", F.when(F.col(p).isNotNull(), (F.col("_upto") + 1) / F.lit(total + 1))).drop("_upto")
 
 
 def shrink_differences(dmc: DataFrame) -> DataFrame:

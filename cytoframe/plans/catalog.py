@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import annotate as A
 from ..operators import dispatch, fdr, matrix, models, profiles as P, qc, ranges, reads, regions, sequence, sites as S, tests
-from ..functions.tables import scratch
+from ..functions.tables import scratch, written
 from ..sources import bigwig, fasta, indexed, readers, sinks, store, views as V
 from . import tails as T
 from .frame import MethylFrame
@@ -538,7 +538,7 @@ def shrink_meth_diff(spark, d):
 
 @query("SELECT chrom, pos, round(((SELECT count(*) FROM results y WHERE 1 - y.pvalue * y.pvalue <= x.pvalue) + 1) / CAST((SELECT count(*) FROM results) + 1 AS DOUBLE), 6) AS p_empirical FROM results x", S_, D_)
 def empirical_p(spark, d):
-    r = V.results(spark, d)
+    r = written(V.results(spark, d))  # of both tables
     return rounded(tests.permuted_pvalues(r, r.select((1 - F.col("pvalue") * F.col("pvalue")).alias("pvalue"))).select("chrom", "pos", "p_empirical"))
 
 
