@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .tables import Written, small
 
-#: Rows of a block.
-BLOCK = 100_000
+#: Rows of a block. A task's Python holds a few hundred bytes for each of them.
+BLOCK = 25_000
 
 
 def _starts(columns: list[pa.Array]) -> np.ndarray:

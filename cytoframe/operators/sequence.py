@@ -213,7 +213,9 @@ def hmm_states(rows: DataFrame, keys: list[str], value: str, means: list[float],
         return g[[*names, "block"]].assign(_paths=list(path.astype(np.int32)), _came=[came.astype(np.int32)] + [None] * (len(g) - 1), posterior=chain.posteriors(e, first, f, b)[:, -1])
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    made = Written(x.join(small(ends), [*keys, "block"]).groupBy(*keys, "block").applyInPandas(within, f"{spec}, block long, _paths array<int>, _came array<int>, posterior double")).df
+    ends_at_first = [F.when((F.col("place") - 1) % block == 0, F.col(c)).alias(c) for c in ("f", "v", "b")]  # once a block, not in every row
+    given = x.join(small(ends), [*keys, "block"]).select(*names, "block", "place", *ends_at_first)
+    made = Written(given.groupBy(*keys, "block").applyInPandas(within, f"{spec}, block long, _paths array<int>, _came array<int>, posterior double")).df
 
     def taken(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block")

@@ -105,3 +105,9 @@ def test_smoothers_and_imputation_for_every_block_size(spark, split, sites):
     whole = rows(sequence.knn_impute(thin, ["s0", "s1"], max_distance=700).fillna(-1.0))
     for block in (5, 100):
         close(rows(sequence.knn_impute(thin, ["s0", "s1"], max_distance=700, block=block).fillna(-1.0)), whole)
+
+
+def test_a_long_group_is_blocks_that_a_task_can_hold(spark):
+    rows = spark.range(60_000).selectExpr("'a' AS k", "cast(id AS int) AS pos")
+    sizes = sorted(r["count"] for r in ordered.blocked(rows, ["k"]).groupBy("block").count().collect())
+    assert sum(sizes) == 60_000 and sizes[-1] <= 25_000
