@@ -411,7 +411,12 @@ def _bucket_spans(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     first = order[np.concatenate(([True], cls[1:] != cls[:-1]))]  # a string's least document
     cls_of = np.empty(len(order), np.int64)
     cls_of[order] = cls
-    item, offset = marked_windows(m[first], n[first], doc[first], window)
+    # equal windows have equal minimizers, so a string that is alone with its own can't share a window with another
+    _, number, strings = np.unique(gram[some][first], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(strings[number] > 1)
+    kept = first[several]
+    item, offset = marked_windows(m[kept], n[kept], doc[kept], window)
+    item = several[item]
     # a string of another document than its least goes as a whole
     other = doc > doc[first][cls_of]
     spans = [(doc[other], th[other], (at[other] << _LEN) + n[other])]
