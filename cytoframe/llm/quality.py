@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, map_in_arrow, named
+from ._common import give_back, held_out, map_in_arrow, named
 
 SAMPLE, DIMS, K = 6000, 64, 15
 POWER = 4.0
@@ -35,6 +35,8 @@ FEATURES = HASHED + TERMS + STYLE
 #: Weight of the words beside that of the character shapes.
 TERM_WEIGHT = 0.7
 _BATCH_BYTES = 2_000_000
+#: Rows that are weighed at once.
+_ROWS = 256
 
 
 def _shapes() -> tuple[np.ndarray, int]:
@@ -112,14 +114,14 @@ def counts(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Inverse frequencies, the latent space and the labelled vectors in it."""
+    """Inverse frequencies, the latent space and the labelled vectors in it. spend: the counts x are weighed in place and not usable afterwards."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, dims: int, k: int, seed: int = 3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, dims: int, k: int, seed: int = 3, spend: bool = False):
         self.k, self.y, self.mean = min(k, len(y)), y.astype(np.float32), float(y.mean()) if len(y) else 0.5
         if not len(y):
             return
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-        w = self._weigh(x)
+        self.idf = np.log((1 + len(x)) / (1 + sum((x[i : i + _ROWS] > 0).sum(axis=0) for i in range(0, len(x), _ROWS)))).astype(np.float32) + 0.1
+        w = self._weigh(x, spend)
         rng = np.random.default_rng(seed)
         q = rng.standard_normal((w.shape[1], min(dims + 16, w.shape[1]))).astype(np.float32)
         for _ in range(4):
@@ -129,12 +131,16 @@ class Model:
         self.space = (q @ vt.T)[:, : min(dims, rank)].astype(np.float32)
         self.vectors = self._unit(w @ self.space)
 
-    def _weigh(self, x: np.ndarray) -> np.ndarray:
-        w = np.log1p(x) * self.idf
-        w[:, -STYLE:] = x[:, -STYLE:]
-        for part, weight in ((slice(0, HASHED), 1.0), (slice(HASHED, -STYLE), TERM_WEIGHT)):
-            w[:, part] *= weight / np.maximum(np.linalg.norm(w[:, part], axis=1, keepdims=True), 1e-9)
-        return w
+    def _weigh(self, x: np.ndarray, spend: bool = False) -> np.ndarray:
+        """Counts weighed, some rows at a time; spend: in place, so that no second table of that size is needed."""
+        x = x if spend else x.copy()
+        for at in range(0, len(x), _ROWS):
+            w = x[at : at + _ROWS]
+            np.log1p(w[:, :-STYLE], out=w[:, :-STYLE])
+            w[:, :-STYLE] *= self.idf[:-STYLE]
+            for part, weight in ((slice(0, HASHED), 1.0), (slice(HASHED, -STYLE), TERM_WEIGHT)):
+                w[:, part] *= weight / np.maximum(np.linalg.norm(w[:, part], axis=1, keepdims=True), 1e-9)
+        return x
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -184,7 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     for at, i in enumerate(order):
         x[at, np.frombuffer(rows["slots"][i].as_py(), "<u2")] = np.frombuffer(rows["vals"][i].as_py(), "<f4")
         y[at] = rows["y"][i].as_py()
-    return Model(x, y, dims, k)
+    del rows, order
+    model = Model(x, y, dims, k, spend=True)
+    del x
+    give_back()  # the driver goes on for long with what is left of this
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, **parameters) -> DataFrame:

@@ -74,6 +74,20 @@ def test_op1_votes_are_exact_cosines():
     assert abs(m.score(x[:1])[0] - (w * m.y[near]).sum() / w.sum()) < 1e-6
 
 
+def test_op1_weighs_in_place():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x, y = rng.poisson(0.1, (1500, quality.FEATURES)).astype(np.float32), (rng.random(1500) > 0.5).astype(float)
+    a = quality.Model(x.copy(), y, 16, 5)
+    own = x.copy()
+    tracemalloc.start()
+    b = quality.Model(own, y, 16, 5, spend=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes and np.array_equal(a.vectors, b.vectors) and np.array_equal(a.space, b.space)
+
+
 def test_op1_copies_of_one_labelled_text(spark):
     rows = [(i, "The same labelled text, many times. " * 3) for i in range(50)] + [(60 + i, f"Another text; number {i}! " * (i + 1)) for i in range(20)] + [(0, "a repeated id")] * 30
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -705,6 +719,19 @@ def test_components_of_a_long_path(spark):
     assert _common.connected_components(e).agg(F.max("component"), F.count("*")).first() == (0, 5001)
 
 
+def test_components_in_one_bucket_take_few_jobs_and_equal_those_of_many(spark):
+    e = spark.range(3000).selectExpr("xxhash64(id) % 2000 AS a", "xxhash64(id, 1) % 2000 AS b").localCheckpoint()
+    found = {}
+    for size in (1 << 16, 400):
+        spark.sparkContext.setJobGroup(f"components-{size}", "")
+        found[size] = _common.connected_components(e, size)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{size}"))
+        found[size] = sorted(map(tuple, found[size].collect()))
+        assert size == 400 or jobs < 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[400] == found[1 << 16] and len(found[400]) > 1000
+
+
 def test_hot_keys_meet_every_row(spark):
     rows = spark.range(4000).selectExpr("IF(id < 2500, 0, id) AS key", "id AS x")
     table = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("first"))
