@@ -23,6 +23,7 @@ import types
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,42 +39,90 @@ CACHE_WORDS = 600_000
 _LOOSE = re.compile(r" \s|\s ")
 
 
-class _Kept(dict):
-    """What make(key) gave, for up to `most` keys at a time."""
+#: Words that are encoded as one text.
+_RUN = 20_000
 
-    def __init__(self, make):
-        self.make, self.most = make, CACHE_WORDS
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.make(key)
-        return found
-
-
-def _worker_store(path: str) -> tuple:
-    """This Python worker's tokenizer and the ids of words that it has met, kept between its tasks.
+class _Words(dict):
+    """Ids of words, for about `most` of them at a time; the new words of some texts are encoded together.
 
     A key is a word after a space, or, behind a NUL, a part with no space before
     it; a word with marks is made of entries of its own.
     """
+
+    def __init__(self, tok):
+        self.tok, self.most = tok, CACHE_WORDS
+        vocabulary = tok.get_vocab()
+        self.heads = {}
+        for mark, first in ((" ", "\u0120"), ("\n", "\u010a")):  # as byte-level vocabularies write a space and a line break
+            self.heads[mark] = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.heads[mark][[i for t, i in vocabulary.items() if t[:1] == first]] = True
+
+    @staticmethod
+    def _parts(key: str) -> list[str]:
+        bare = key[:1] == "\0"
+        first, *rest = _cut(key[1:] if bare else " " + key)
+        return ["\0" + first if bare else first[1:], *("\0" + p for p in rest)]
+
+    def __missing__(self, key: str) -> bytes:
+        parts = self._parts(key)
+        if len(parts) == 1:
+            found = _pack_ids(self.tok.encode(key[1:] if key[:1] == "\0" else " " + key, add_special_tokens=False).ids)
+        else:
+            found = b"".join([self[p] for p in parts])
+        self[key] = found
+        return found
+
+    def of(self, texts: list[list[str]]) -> Iterator[bytes]:
+        """Ids of texts, given as their words."""
+        had = [list(map(self.get, t)) for t in texts]
+        new = {w for t, ids in zip(texts, had) if None in ids for w, x in zip(t, ids) if x is None}
+        if len(self) + len(new) > self.most:  # too many: of the others only those of these texts stay
+            stay = {w: x for t, ids in zip(texts, had) for w, x in zip(t, ids) if x is not None}
+            self.clear()
+            self.update(stay)
+        self._learn(new)
+        for t, ids in zip(texts, had):
+            yield b"".join([self[w] if x is None else x for w, x in zip(t, ids)] if None in ids else ids)
+
+    def _learn(self, new: set[str]) -> None:
+        plain, bare, made = {w for w in new if w.isalpha()}, set(), []
+        for w in new - plain:
+            parts = self._parts(w)
+            if len(parts) > 1:
+                made.append((w, parts))
+            for p in parts:
+                if p not in self:
+                    if p.isalpha():
+                        plain.add(p)
+                    elif p[1:].isalpha() and p[:1] == "\0":
+                        bare.add(p[1:])
+        self._encode(list(plain), " ", "", 0)
+        self._encode(list(bare), "\n", "\0", 4)
+        for w, parts in made:
+            self[w] = b"".join([self[p] for p in parts])
+
+    def _encode(self, words: list[str], mark: str, before: str, skip: int) -> None:
+        """Words of letters as one text; skip: bytes of the mark. Between letters a space begins a token and a line break is one, and no other token begins with them."""
+        for at in range(0, len(words), _RUN):
+            run = words[at : at + _RUN]
+            ids = np.array(self.tok.encode_batch_fast([mark + mark.join(run)], add_special_tokens=False)[0].ids, "<u4")
+            heads = np.flatnonzero(self.heads[mark][ids])
+            if len(heads) != len(run):  # not a byte-level vocabulary: each is encoded on its own when it is asked for
+                continue
+            data, ends = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
+            self.update(zip([before + w for w in run], [data[a + skip : b] for a, b in zip(ends, ends[1:])]))
+
+
+def _worker_store(path: str) -> tuple:
+    """This Python worker's tokenizer and the ids of words that it has met, kept between its tasks."""
     store = sys.modules.setdefault("_cyto_worker_store", types.ModuleType("_cyto_worker_store")).__dict__
     if path not in store:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
-
-        def word(key: str) -> bytes:
-            bare = key[:1] == "\0"
-            cut = _cut(key[1:] if bare else " " + key)
-            if len(cut) == 1:
-                return _pack_ids(tok.encode(cut[0], add_special_tokens=False).ids)
-            return b"".join([words["\0" + cut[0] if bare else cut[0][1:]], *(words["\0" + p] for p in cut[1:])])
-
-        words = _Kept(word)
-        store[path] = tok, words, special
+        store[path] = tok, _Words(tok), [t.content for t in tok.get_added_tokens_decoder().values()]
     return store[path]
 
 
@@ -105,14 +154,15 @@ def encode_texts(texts: list[str], path: str, cache_words: int = CACHE_WORDS) ->
     """
     tok, words, special = _worker_store(path)
     words.most = cache_words
-    get, out = words.__getitem__, []
+    out: list = []
     for t in texts:
         # white space but spaces and line breaks isn't printable; the slower pattern is for texts that have some
         if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or (not t.replace("\n", "").isprintable() and ("\0" in t or _LOOSE.search(t))) or any(s in t for s in special):
             out.append(_pack_ids(tok.encode(t, add_special_tokens=False).ids))
         else:
-            out.append(b"".join(map(get, ("\0" + t).split(" "))))  # the mark: no space before the first
-    return out
+            out.append(("\0" + t).split(" "))  # the mark: no space before the first
+    found = words.of([x for x in out if isinstance(x, list)])
+    return [next(found) if isinstance(x, list) else x for x in out]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:

@@ -567,6 +567,36 @@ def test_op8_cuts_are_token_edges_and_fullest_closes():
     assert bins[0] > bins[1] and sum(lengths) / 2048 / bins[0] > 0.97  # the bound closes bins, at little loss
 
 
+def test_op8_new_words_are_encoded_together():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.calls = tok, 0
+
+        def __getattr__(self, name):
+            self.calls += name.startswith("encode")
+            return getattr(self.tok, name)
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    letters = np.array(list("abcdeéñßX"))
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 12)))
+    texts = ["".join(word() + str(rng.choice(["", ",", ".", "!!", ".\n" + word(), "\n" + word() + ","])) + " " for _ in range(200)) + "end" for _ in range(20)]
+    want = [packing._pack_ids(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    seen = Counting(tok)
+    words = packing._Words(seen)
+    split = [("\0" + t).split(" ") for t in texts]
+    assert list(words.of(split)) == want and seen.calls < 50 and len(words) > 2000
+    words.most = 300
+    for _ in range(2):  # too many words: they are dropped and met again
+        assert [next(words.of([s])) for s in split] == want and len(words) < 1200
+    words.heads = {m: h & False for m, h in words.heads.items()}  # no byte-level vocabulary
+    words.clear()
+    assert list(words.of(split)) == want
+
+
 def test_op8_packs_in_the_order_of_arrival(spark):
     rows = [(i, 0, 0, int(n), 7) for i, n in enumerate(np.random.default_rng(5).integers(1, 2049, 3000))]
     d = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
