@@ -31,6 +31,7 @@ pass unused. Without training rows every word is spelled by an even mixer.
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Written, held_out, meet
+from ._common import LOWER, UPPER, Written, held_out, meet, tidied
 
 VOCABULARY = 1 << 18
 #: Most slots, as powers of two, of the tables of the word before, the two before and the last common one.
@@ -124,6 +125,12 @@ class Code:
         self.bits = tuple(min(b, grown) for b in TABLE_BITS)
         self.sizes = [len(words) + 1, *(1 << b for b in self.bits)]
 
+    def without_words(self) -> Code:
+        """The same for tasks that see numbers only: it takes a fraction of the memory."""
+        out = copy.copy(self)
+        out.number = {}
+        return out
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a text's words, the end last."""
         out = np.fromiter(map(self.number.get, words, repeat(ESCAPE)), np.int32, len(words))
@@ -332,6 +339,17 @@ class Mixer:
 Reader = Callable[[pa.RecordBatch], Iterator[Iterator[Bits]]]
 
 
+#: Rows of a batch that are worked on, and handed on, at once.
+_ROWS = 1024
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches in parts of few rows, so that what Python makes of one is bounded by these."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
+
+
 def _added(table: np.ndarray) -> list[np.ndarray]:
     """Parts in which a table is summed, of at most 64 Ki counts."""
     return np.array_split(table, max(1, len(table) >> 16))
@@ -358,7 +376,7 @@ def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[i
         return pa.table({"j": [key[0].as_py()], "i": [key[1].as_py()], "data": pa.array([data], pa.binary())})
 
     spec = "j bigint, i bigint, data binary"
-    got = taught.mapInArrow(count, spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()  # as many rows and bytes as the tables have, whatever the input
+    got = taught.mapInArrow(tidied(count), spec).groupBy("j", "i").applyInArrow(total, spec).toArrow()  # as many rows and bytes as the tables have, whatever the input
     found = {(j, i): np.frombuffer(zlib.decompress(d), np.uint32) for j, i, d in zip(*(c.to_pylist() for c in got.columns))}
     empty = [np.zeros(2 * n, np.uint32) for n in sizes]
     tables = [np.concatenate([found[j, i] for i in range(len(_added(t)))]) if found else t for j, t in enumerate(empty)]
@@ -377,7 +395,7 @@ def fit_mixer(taught: DataFrame, reader: Reader, sizes: list[int], gate: tuple[i
             yield pa.RecordBatch.from_arrays([pa.array([float(own.seen)]), pa.array([own.weights.astype(float).ravel().tolist()]), pa.array([(own.map - start).ravel().tolist()])], ["n", "w", "m"])
 
     # one row a task, summed by the executors
-    each = taught.mapInArrow(learn, "n double, w array<double>, m array<double>")
+    each = taught.mapInArrow(tidied(learn), "n double, w array<double>, m array<double>")
     named = each.selectExpr("n", "posexplode(concat(transform(w, x -> x * n), m)) AS (at, x)").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     flat = sorted((r["at"], r["x"], r["n"]) for r in named.collect())  # one row for each weight and cell of the map
     x = np.array([v for _, v, _ in flat])
@@ -425,7 +443,7 @@ def word_table(docs: DataFrame) -> DataFrame:
                     yield from rows()
         yield from rows()
 
-    return docs.select("learn", "text").mapInArrow(run, "token binary, c bigint, n bigint").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select("learn", "text").mapInArrow(tidied(run), "token binary, c bigint, n bigint").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def encoded(docs: DataFrame, code) -> DataFrame:
@@ -433,7 +451,7 @@ def encoded(docs: DataFrame, code) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in _slices(batches):
             size, symbols, behind = [], [], []
             for text in b.column(2):
                 words = tokens(text.as_py())
@@ -445,7 +463,7 @@ def encoded(docs: DataFrame, code) -> DataFrame:
             uid += len(size)
             yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(symbols, pa.binary()), pa.array(behind, pa.list_(pa.binary()))], ["uid", "doc_id", "learn", "n_bytes", "symbols", "behind"])
 
-    return docs.select("doc_id", "learn", "text").mapInArrow(run, "uid bigint, doc_id bigint, learn boolean, n_bytes bigint, symbols binary, behind array<binary>")
+    return docs.select("doc_id", "learn", "text").mapInArrow(tidied(run), "uid bigint, doc_id bigint, learn boolean, n_bytes bigint, symbols binary, behind array<binary>")
 
 
 def _some(b: pa.RecordBatch, column: int) -> Iterator[list[np.ndarray]]:
@@ -487,8 +505,12 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
     names, counts = [names[i] for i in order], counts[order]
     ends = words.where("token = X''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    code = spark.sparkContext.broadcast(Code(names, counts, n - ends - int(counts.sum()), ends, n))
-    texts = Written(encoded(docs, code)).df
+    whole = Code(names, counts, n - ends - int(counts.sum()), ends, n)
+    listed = spark.sparkContext.broadcast(whole)
+    texts = Written(encoded(docs, listed)).df
+    listed.destroy()
+    code = spark.sparkContext.broadcast(whole.without_words())
+    del whole
     taught = texts.where("learn").select("symbols")
 
     def read_texts(b: pa.RecordBatch) -> Iterator[Iterator[Bits]]:
@@ -524,7 +546,8 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
                 out[new] += np.log10(discount * r["v"] / r["n"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], ["token", "c", "n", "inner"])
 
-    rare = Written(rare.mapInArrow(spell, "token binary, c bigint, n bigint, inner double")).df
+    rare = Written(rare.mapInArrow(tidied(spell), "token binary, c bigint, n bigint, inner double")).df
+    speller.tables.destroy()
     # how often a word behind an escape, the first of each training text aside, is one that the text had before
     seen = texts.where("learn").agg(F.sum(F.greatest(F.size("behind") - 1, F.lit(0))), F.sum(F.size("behind") - F.size(F.array_distinct("behind")))).first()
     again = ((seen[1] or 0) + 1) / ((seen[0] or 0) + 2)
@@ -533,7 +556,7 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, new_word = model.mixer(), math.log10(1 - again)
-        for b in batches:
+        for b in _slices(batches):
             score, base, size, known = [], [], [], []
             for part in _some(b, 2):
                 score += mixer.log10(code.value.pieces(part), len(part)).tolist()
@@ -562,7 +585,9 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
             )
 
     spec = "uid bigint, token binary, times bigint, doc_id bigint, n_tokens bigint, own_known bigint, own_base double, own_score double, n_bytes bigint"
-    rows = Written(texts.select("uid", "doc_id", "symbols", "behind", "n_bytes").mapInArrow(score, spec)).df
+    rows = Written(texts.select("uid", "doc_id", "symbols", "behind", "n_bytes").mapInArrow(tidied(score), spec)).df
+    for shared in (code, values, model.tables):  # what follows reads written tables only
+        shared.destroy()
     met = meet(rows.where("token IS NOT NULL").select("uid", "token", "times"), rare.withColumn("base", base), "token", rows.count())
     per = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.col("base")).alias("base"), F.sum("inner").alias("inner"))
     per = rows.where("token IS NULL").drop("token", "times").join(per, "uid", "left").na.fill(0, ["known", "base", "inner"])

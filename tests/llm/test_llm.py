@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -567,6 +568,20 @@ def test_op8_cuts_are_token_edges_and_fullest_closes():
     assert bins[0] > bins[1] and sum(lengths) / 2048 / bins[0] > 0.97  # the bound closes bins, at little loss
 
 
+def test_op4_leaves_no_broadcast_and_hands_on_few_rows_at_once(spark, monkeypatch):
+    import os
+
+    kind, made = type(spark.sparkContext), []
+    make = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, v: made.append(make(self, v)) or made[-1])
+    d = spark.createDataFrame([(i, f"some words and word{i} again") for i in range(40)], "doc_id long, text string")
+    got = lm.lm_scores(d)
+    assert len(made) == 5 and not any(os.path.exists(b._path) for b in made)
+    assert got.count() == 40
+    b = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    assert [p.num_rows for p in lm._slices(iter([b]))] == [1024, 1024, 452]
+
+
 def test_op8_new_words_are_encoded_together():
     from public_tokenizers import path
     from tokenizers import Tokenizer
