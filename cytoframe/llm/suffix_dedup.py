@@ -4,7 +4,8 @@ A byte goes if it is covered by a `window`-byte string that also starts in a
 document with a smaller id. Windows are dealt to buckets by their minimizer
 (the least hash among their 16-byte grams), so equal windows meet in one bucket
 whatever document they are in. A first pass sends 40 bits of each minimizer and
-finds those that two documents have; all others are done with. A second pass
+finds those that two documents have; all others are done with, but for the few
+of a document that are like a shared one of its own in 24 bits. A second pass
 sends the text around the shared ones: neighbouring windows with one minimizer
 are one string of at most 84 bytes. In a bucket the distinct strings are the
 text of a run-length index: its Burrows-Wheeler transform kept as runs, with text positions sampled
@@ -16,7 +17,9 @@ and of a class all but the least document's windows are marked.
 Equal minimizers and strings of one batch of documents are combined before the
 shuffle: all but the least document's are marked at once. So a passage that a third of all
 documents share is one string a batch. Buckets hold about `bucket_bytes` of
-text each, whatever the input's size.
+text each, on large inputs up to four times as much, whatever the input's size.
+Only strings that also have half a window beside their minimizer in common with
+another document's are indexed.
 
 Defined cases: a null text is empty. A null doc_id sorts after all others, and
 all such rows are one document. Rows of one doc_id are one document, each row
@@ -42,8 +45,14 @@ from ._common import map_in_arrow, named
 WINDOW = 50
 GRAM = 16
 BUCKET_BYTES = 4_000_000
+#: With more buckets than this they hold up to four times as much: every batch sends each bucket a row, and those grow with batches times buckets.
+BUCKETS = 256
 #: Text whose windows are worked out at once; a longer document is taken in overlapping pieces.
-_BATCH_BYTES = 2_000_000
+_BATCH_BYTES = 8_000_000
+#: Windows whose minimizers are found at once, few enough for a core's cache.
+_PIECE = 1 << 14
+#: Shared minimizers that are put together before they are sent, and parts that their documents are dealt to: rows grow with the input, not with documents times tasks.
+_SENT, _PARTS = 1 << 21, 1024
 _POS_BITS = np.uint64(22)
 _POS = np.uint64((1 << 22) - 1)
 _LAST = (1 << 63) - 1
@@ -53,7 +62,7 @@ _LEN = 24
 
 def _words8(x: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as one number."""
-    return np.lib.stride_tricks.as_strided(x.view(np.uint8), (len(x) - 7, 8), (1, 1)).copy().view("<u8").ravel()
+    return np.ndarray(len(x) - 7, "<u8", x, strides=(1,)).copy()
 
 
 def _mixed(v: np.ndarray) -> np.ndarray:
@@ -70,22 +79,31 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
+def _minimizer_places(x: np.ndarray, window: int) -> np.ndarray:
+    """Where each window's minimizer begins; of equal hashes in a window the leftmost counts."""
+    width = window - GRAM + 1
+    out = np.empty(len(x) - window + 1, np.int32)
+    for a in range(0, len(out), _PIECE):
+        k = min(_PIECE, len(out) - a)
+        key = (gram_hashes(x[a : a + k + window - 1]) & ~_POS) | np.arange(k + width - 1, dtype=np.uint64)
+        have = 1
+        while have * 2 <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        if have < width:
+            key = np.minimum(key[:k], key[width - have :])
+        out[a : a + k] = (key & _POS).astype(np.int32) + a
+    return out
+
+
 def strings_of(x: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, gram) of the strings that cut x's windows by minimizer; gram is the minimizer's place.
 
-    doc: number of the document of each byte; no window crosses documents. Of
-    equal hashes in a window the leftmost counts.
+    doc: number of the document of each byte; no window crosses documents.
     """
     if len(x) < window:
         return (np.zeros(0, np.int64),) * 3
-    key = (gram_hashes(x) & ~_POS) | np.arange(len(x) - GRAM + 1, dtype=np.uint64)
-    width, have, m = window - GRAM + 1, 1, key
-    while have * 2 <= width:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    if have < width:
-        m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
-    at = (m & _POS).astype(np.int64)
+    at = _minimizer_places(x, window)
     ok = doc[: len(at)] == doc[window - 1 :]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | ~ok[:-1]
@@ -93,7 +111,7 @@ def strings_of(x: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np
     # a string ends where the next begins or windows stop being whole
     stop = np.flatnonzero(np.append(new | ~ok, True))
     ends = stop[np.searchsorted(stop, starts, side="right")]
-    return starts, ends + window - 1, at[starts]
+    return starts, ends + window - 1, at[starts].astype(np.int64)
 
 
 _PAD = 88
@@ -142,22 +160,25 @@ class RunLengthIndex:
         self.item = np.repeat(np.arange(len(n)), n)
         total = len(self.text)
         left = self.ends - np.arange(total)
-        sym = np.zeros(total + 7, np.int64)
-        sym[:total] = self.text
+        used = np.zeros(256, bool)
+        used[self.text] = True
+        code = np.cumsum(used)  # from 1 on; 0 stands behind the end
+        bits = max(1, int(code[-1]).bit_length())
+        have = max(1, (63 - total.bit_length()) // bits)
+        sym = np.zeros(total + have, np.int64)
+        sym[:total] = code[self.text]
         rank = np.zeros(total, np.int64)
-        for k in range(7):  # 9 bits a symbol: byte + 1, or 0 behind the end
-            rank <<= 9
-            rank += np.where(left > k, sym[k : k + total] + 1, 0)
-        order, rank = self._ranked(rank)
-        have = 7
-        while total and have < m.shape[1] and rank[order[-1]] + 1 < total:
+        for k in range(have):
+            rank <<= bits
+            rank += np.where(left > k, sym[k : k + total], 0)
+        order, rank, ranks = self._ranked(rank)
+        while have < m.shape[1] and ranks < total:
             nxt = np.zeros(total, np.int64)
-            far = left > have
-            nxt[far] = rank[np.flatnonzero(far) + have] + 1
-            order, rank = self._ranked(rank * (total + 1) + nxt)
+            if have < total:
+                nxt[:-have] = np.where(left[:-have] > have, rank[have:] + 1, 0)
+            order, rank, ranks = self._ranked(rank * (total + 1) + nxt)
             have *= 2
-        # equal remainders by position, that is by string
-        self.order = order = np.sort(rank * max(total, 1) + np.arange(total)) % max(total, 1)
+        self.order = order  # equal remainders by position, that is by string
         before = np.full(total, 256, np.int16)  # what a string's first byte follows is like nothing else
         inside = np.ones(total, bool)
         inside[np.cumsum(n) - n] = False
@@ -170,14 +191,24 @@ class RunLengthIndex:
         self.sampled = order[self.heads]
 
     @staticmethod
-    def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key)
-        s = key[order]
-        new = np.ones(len(s), np.int64)
+    def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Positions by key, equal keys by position; each position's rank among the distinct keys; how many those are."""
+        total = len(key)
+        place = total.bit_length()
+        if total and int(key.max()).bit_length() + place <= 64:  # numbers sort far faster than places by number
+            s = (key.astype(np.uint64) << np.uint64(place)) | np.arange(total, dtype=np.uint64)
+            s.sort()
+            order = (s & np.uint64((1 << place) - 1)).astype(np.int64)
+            s >>= np.uint64(place)
+        else:
+            order = np.argsort(key, kind="stable")
+            s = key[order]
+        new = np.ones(total, np.int64)
         new[1:] = s[1:] != s[:-1]
-        rank = np.empty(len(s), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return order, rank
+        new = np.cumsum(new) - 1
+        rank = np.empty(total, np.int64)
+        rank[order] = new
+        return order, rank, int(new[-1]) + 1 if total else 0
 
     def matches(self) -> np.ndarray:
         """Length of each position's match with its lexicographic predecessor, within both strings.
@@ -190,12 +221,14 @@ class RunLengthIndex:
         q = self.order[np.maximum(self.heads - 1, 0)]
         room = np.minimum(self.ends[p] - p, self.ends[q] - q)
         room[self.heads == 0] = 0
+        words = _words8(np.concatenate((self.text, np.zeros(8, np.uint8))))
         got, live, k = np.zeros(len(p), np.int64), np.flatnonzero(room > 0), 0
         while len(live):
-            live = live[self.text[p[live] + k] == self.text[q[live] + k]]
-            k += 1
-            got[live] = k
-            live = live[room[live] > k]
+            d = words[p[live] + k] ^ words[q[live] + k]
+            same = np.bitwise_count((d & (~d + np.uint64(1))) - np.uint64(1)) >> 3  # bytes before the first that differs
+            got[live] = np.minimum(k + same.astype(np.int64), room[live])
+            k += 8
+            live = live[(same == 8) & (room[live] > k)]
         at = np.full(total, -1, np.int64)
         at[p] = got + p
         return np.maximum.accumulate(at) - np.arange(total)
@@ -224,16 +257,21 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return struct.pack("<II", len(arrays[0]), len(raw)) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-_ID = np.uint64((1 << 40) - 1)
+#: Bytes of a minimizer's hash: where documents are told apart by it, and within one document.
+_ID, _OWN = 5, 3
+
+
+def _low(h: np.ndarray, size: int) -> np.ndarray:
+    return h & np.uint64((1 << 8 * size) - 1)
 
 
-def _pack40(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _packed(ids: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(ids.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -262,7 +300,7 @@ def _batched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
 def _strings(parts: list[bytes], window: int):
     lens = np.array([len(p) for p in parts], np.int64)
     x = np.frombuffer(b"".join(parts), np.uint8)
-    no = np.repeat(np.arange(len(parts)), lens)
+    no = np.repeat(np.arange(len(parts), dtype=np.int32), lens)
     starts, ends, gram = strings_of(x, no, window)
     h = _mixed(gram_hashes_at(x, gram)) if len(gram) else np.zeros(0, np.uint64)
     return x, starts, ends, gram, no[starts], (np.cumsum(lens) - lens), h
@@ -275,6 +313,35 @@ def _cut_by(bucket: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, in
     return order, zip(b[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(b)).tolist())
 
 
+def _in_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same key."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.argsort(key)
+    k, d = key[order], doc[order]
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), np.diff(np.append(head, len(k))))
+    return out
+
+
+def _alike(m: np.ndarray, lens: np.ndarray, off: np.ndarray, gram: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Which strings can share a window with one of another document.
+
+    Equal windows have their minimizer at the same place, so half of the other
+    bytes of a window, on its left or on its right, are equal too.
+    """
+    side = (window - GRAM) // 2
+    cols = np.arange(GRAM + side)
+    out = np.zeros(len(lens), bool)
+    for first in (off - side, off):
+        some = np.flatnonzero((first >= 0) & (first + len(cols) <= lens))
+        part = np.zeros((len(some), _PAD), np.uint8)
+        part[:, : len(cols)] = m[some[:, None], first[some, None] + cols]
+        out[some[_in_two(_row_hashes(part, gram[some]), doc[some])]] = True
+    return out
+
+
 def _minimizers(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
     """Blobs of (document, 40 bits of a minimizer) for the buckets; rows with a document are minimizers already known to be shared."""
     names = ["bucket", "blob", "doc"]
@@ -294,40 +361,89 @@ def _minimizers(batches: Iterator[pa.RecordBatch], buckets: int, window: int) ->
             md, mg = d[many], g[many]
             o, cuts = _cut_by(md)
             for doc_id, a, b in cuts:
-                rows.append((doc_id % buckets, _pack40(mg[o[a:b]] & _ID), doc_id))
+                rows.append((doc_id % buckets, _packed(mg[o[a:b]], _ID), doc_id))
         hd, hg = d[head], g[head]
         o, cuts = _cut_by(((hg >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
         for bucket, a, b in cuts:
             r = o[a:b][np.argsort(hd[o[a:b]], kind="stable")]
-            rows.append((bucket, _blob(np.diff(hd[r], prepend=0), np.frombuffer(_pack40(hg[r] & _ID), np.uint8)), None))
+            rows.append((bucket, _blob(np.diff(hd[r], prepend=0), np.frombuffer(_packed(hg[r], _ID), np.uint8)), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64()))], names)
 
 
-def _shared_minimizers(g: pa.Table) -> pa.Table:
-    """(doc, ids) of a bucket's minimizers that two documents have."""
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of one key at a time, of rows that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        no = b.column(key).to_numpy()
+        cuts = np.flatnonzero(no[1:] != no[:-1]) + 1
+        for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(no)]):
+            if held and len(no) and held[-1].column(key)[0].as_py() != no[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if e > a:
+                held.append(b.slice(a, e - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared_of(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, 40 bits) of a bucket's minimizers that two documents have."""
     known = g.filter(pc.is_valid(g.column("doc")))
+    packed = known.column("blob").to_pylist()
+    out_d = [np.repeat(known.column("doc").to_numpy(), np.array([len(p) // _ID for p in packed], np.int64))]
+    out_i = [_unpacked(b"".join(packed), _ID)]
     docs, ids = [], []
     unpack = zstandard.ZstdDecompressor()
     for blob in g.filter(pc.is_null(g.column("doc"))).column("blob").to_pylist():
         k, size = struct.unpack_from("<II", blob)
         raw = unpack.decompress(blob[8:], max_output_size=size)
         docs.append(np.cumsum(np.frombuffer(raw, "<i8", k)))
-        ids.append(_unpack40(raw[8 * k :]))
-    out_d, out_i = known.column("doc").to_pylist(), known.column("blob").to_pylist()
+        ids.append(_unpacked(raw[8 * k :], _ID))
     if docs:
         d, i = np.concatenate(docs), np.concatenate(ids)
-        order = np.lexsort((d, i))
+        hit = _in_two(i, d)
+        out_d.append(d[hit])
+        out_i.append(i[hit])
+    return np.concatenate(out_d), np.concatenate(out_i)
+
+
+def _shared_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of (document, minimizer that two have) for the parts that documents are dealt to, of rows that are sorted by bucket."""
+
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        d, i = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(d)
         d, i = d[order], i[order]
-        head = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-        n = np.diff(np.append(head, len(i)))
-        hit = np.repeat(d[head] != d[head + n - 1], n)
-        d, i = d[hit], i[hit]
-        if len(d):
-            o, cuts = _cut_by(d)
-            for doc, a, b in cuts:
-                out_d.append(doc)
-                out_i.append(_pack40(i[o[a:b]]))
-    return pa.table({"doc": pa.array(out_d, pa.int64()), "ids": pa.array(out_i, pa.binary())})
+        o, cuts = _cut_by((_mixed(d.view(np.uint64)) % np.uint64(_PARTS)).astype(np.int64))
+        rows = [(part, _blob(np.diff(d[o[a:b]], prepend=0), np.frombuffer(_packed(i[o[a:b]], _OWN), np.uint8))) for part, a, b in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary()))], ["part", "blob"])
+
+    found, size = [], 0
+    for g in _by_key(batches, "bucket"):
+        found.append(_shared_of(g))
+        size += len(found[-1][0])
+        if size >= _SENT:
+            yield sent(found)
+            found, size = [], 0
+    if size:
+        yield sent(found)
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, ids), one row for each document, of blobs that are sorted by part."""
+    unpack = zstandard.ZstdDecompressor()
+    for g in _by_key(batches, "part"):
+        found, ids = [], []
+        for blob in g.column("blob").to_pylist():
+            k, size = struct.unpack_from("<II", blob)
+            raw = unpack.decompress(blob[8:], max_output_size=size)
+            found.append(np.cumsum(np.frombuffer(raw, "<i8", k)))
+            ids.append(np.frombuffer(raw, np.uint8, offset=8 * k).reshape(-1, _OWN))
+        o, cuts = _cut_by(np.concatenate(found))
+        docs, _, ends = zip(*cuts)
+        offsets = pa.py_buffer(_OWN * np.array([0, *ends], np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(docs), [None, offsets, pa.py_buffer(np.concatenate(ids)[o].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), packed], ["doc", "ids"])
 
 
 def _map(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -335,10 +451,10 @@ def _map(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterat
     names = ["bucket", "blob", "doc", "th", "span"]
     for ids, ths, parts, offs, shared in _batched(batches, window):
         x, starts, ends, gram, of, base, h = _strings(parts, window)
-        sets = [_unpack40(b"".join(s)) for s in shared]
+        sets = [_unpacked(s, _OWN) for s in shared]
         # minimizers are looked up by document in one sorted list; 24 bits number a batch's documents
         keys = np.sort(np.concatenate([(np.uint64(k) << np.uint64(40)) | s for k, s in enumerate(sets)]))
-        mine = (of.astype(np.uint64) << np.uint64(40)) | (h & _ID)
+        mine = (of.astype(np.uint64) << np.uint64(40)) | _low(h, _OWN)
         at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
         keep = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
         starts, ends, gram, of, h = starts[keep], ends[keep], gram[keep], of[keep], h[keep]
@@ -393,14 +509,8 @@ def _bucket_spans(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     doc, th, at, n, off, text = map(np.concatenate, cols)
     n = n.astype(np.int64)
     starts = np.cumsum(n) - n
-    # minimizers that two documents have
     gram = gram_hashes_at(text, starts + off)
-    order = np.lexsort((doc, gram))
-    g, d = gram[order], doc[order]
-    head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    size = np.diff(np.append(head, len(g)))
-    shared = np.repeat(d[head] != d[head + size - 1], size)
-    some = np.sort(order[shared])
+    some = np.flatnonzero(_in_two(gram, doc))
     if not len(some):
         return (np.zeros(0, np.int64),) * 3
     doc, th, at, n, starts = doc[some], th[some], at[some], n[some], starts[some]
@@ -411,12 +521,10 @@ def _bucket_spans(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     first = order[np.concatenate(([True], cls[1:] != cls[:-1]))]  # a string's least document
     cls_of = np.empty(len(order), np.int64)
     cls_of[order] = cls
-    # equal windows have equal minimizers, so a string that is alone with its own can't share a window with another
-    _, number, strings = np.unique(gram[some][first], return_inverse=True, return_counts=True)
-    several = np.flatnonzero(strings[number] > 1)
-    kept = first[several]
+    alike = np.flatnonzero(_alike(m[first], n[first], off[some][first].astype(np.int64), gram[some][first], doc[first], window))
+    kept = first[alike]
     item, offset = marked_windows(m[kept], n[kept], doc[kept], window)
-    item = several[item]
+    item = alike[item]
     # a string of another document than its least goes as a whole
     other = doc > doc[first][cls_of]
     spans = [(doc[other], th[other], (at[other] << _LEN) + n[other])]
@@ -439,17 +547,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "_th": F.xxhash64("text")})
 
 
+def bucket_count(size: int, bucket_bytes: int) -> int:
+    """Buckets of about bucket_bytes; where that would be over BUCKETS, of up to four times as much."""
+    n = max(1, -(-size // bucket_bytes))
+    return n if n <= BUCKETS else max(BUCKETS, -(-n // 4))
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc, spans): pairs of text hash, and start and length of a byte span to go, of each id's rows (null: the largest number)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    buckets = bucket_count(size, bucket_bytes)
     keyed = _keyed(docs)
     grams = keyed.select("_doc", "_th", "text").mapInArrow(lambda b: _minimizers(b, buckets, window), "bucket bigint, blob binary, doc bigint")
-
-    def find(key, g):
-        return _shared_minimizers(g)
-
-    shared = grams.groupBy("bucket").applyInArrow(find, "doc bigint, ids binary").groupBy("doc").agg(F.collect_list("ids").alias("ids"))
+    found = grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_minimizers, "part bigint, blob binary")
+    shared = found.repartition("part").sortWithinPartitions("part").mapInArrow(_by_document, "doc bigint, ids binary")
     # the same columns by the same key as in the join that applies the spans, so that one exchange of the texts serves both
     held = keyed.join(shared.withColumnRenamed("doc", "_doc"), "_doc")
     mapped = map_in_arrow(held, lambda b: _map(b, buckets, window), T.StructType.fromDDL("bucket bigint, blob binary, doc bigint, th bigint, span bigint"))
@@ -465,17 +576,21 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUC
     return met.groupBy("doc").agg(F.collect_list(F.struct("th", "span")).alias("spans"))
 
 
-def _merged(spans: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for x in sorted(spans):
-        a = x >> _LEN
-        b = a + (x & ((1 << _LEN) - 1))
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def _runs(th: np.ndarray, spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs that the rows' spans cover, in order; of a row's spans those with its text hash count."""
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+    mine = flat.field("th").to_numpy() == th[row]
+    row, span = row[mine], flat.field("span").to_numpy()[mine]
+    begin = span >> _LEN
+    order = np.lexsort((begin, row))
+    row, begin, length = row[order], begin[order], (span & ((1 << _LEN) - 1))[order]
+    base = row << 40  # texts are shorter
+    reach = np.maximum.accumulate(base + begin + length)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | ((base + begin)[1:] > reach[:-1])
+    a = np.flatnonzero(new)
+    return row[a], begin[a], (reach - base)[np.append(a[1:], len(row)) - 1] if len(a) else begin[a]
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -489,9 +604,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, th, spans in zip(b.column("text"), b.column("_th").to_pylist(), b.column("spans").to_pylist()):
+            row, begin, end = _runs(b.column("_th").to_numpy(), b.column("spans"))
+            at = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+            begin, end = begin.tolist(), end.tolist()
+            for text, lo, hi in zip(b.column("text"), at, at[1:]):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs = _merged([s["span"] for s in spans or () if s["th"] == th])
+                runs = list(zip(begin[lo:hi], end[lo:hi]))
                 kept, last = [], 0
                 for a, e in runs:
                     kept.append(data[last:a])

@@ -524,6 +524,59 @@ def test_op7_index_runs_and_matches():
     assert len(ix.runs) == len(ix.sampled) < len(ix.text)
 
 
+def test_op7_ranks_of_short_and_long_keys():
+    rng = np.random.default_rng(5)
+    for top in (50, 1 << 62):
+        key = rng.integers(0, top, 500)
+        key[::3] = key[0]
+        order, rank, ranks = suffix_dedup.RunLengthIndex._ranked(key)
+        assert order.tolist() == np.argsort(key, kind="stable").tolist()
+        values, number = np.unique(key, return_inverse=True)
+        assert rank.tolist() == number.tolist() and ranks == len(values)
+
+
+def test_op7_indexes_only_strings_that_can_share_a_window(monkeypatch):
+    """Many strings around one minimizer, of which two share windows with another document's, and two only with their own."""
+    rng = np.random.default_rng(6)
+    gram = b"the minimizer is"
+    side = [bytes(rng.integers(97, 123, 34).astype(np.uint8)) for _ in range(60)]
+    strings = [side[2 * k] + gram + side[2 * k + 1] for k in range(20)]
+    strings += [strings[0][10:], strings[3][:-10]]  # of other documents than strings 0 and 3
+    strings += [strings[5][12:]]  # of the same document as string 5
+    doc = np.array([*range(20), 30, 31, 5])
+    n = np.array([len(s) for s in strings])
+    m = np.array([list(s.ljust(88, b"\0")) for s in strings], np.uint8)
+    off = np.array([s.index(gram) for s in strings])
+    hashes = np.full(len(n), 7, np.uint64)
+    assert np.flatnonzero(suffix_dedup._alike(m, n, off, hashes, doc, 50)).tolist() == [0, 3, 20, 21]
+    seen = []
+    real = suffix_dedup.marked_windows
+    monkeypatch.setattr(suffix_dedup, "marked_windows", lambda m, *a: seen.append(len(m)) or real(m, *a))
+    blob = suffix_dedup._blob(doc, doc * 11, doc * 0, n.astype(np.uint8), off.astype(np.uint8), np.frombuffer(b"".join(strings), np.uint8))
+    gone, _, span = suffix_dedup._bucket_spans([blob], 50)
+    assert seen == [4] and sorted(zip(gone.tolist(), (span & ((1 << 24) - 1)).tolist())) == [(30, 74), (31, 74)]
+
+
+def test_op7_rows_sent_stay_few():
+    """Rows that go back to documents don't grow with documents times buckets, each document gets one, and buckets grow before there are very many."""
+    rows = []
+    for bucket in range(40):
+        ids = np.arange(3, dtype=np.uint64) + np.uint64(10 * bucket)
+        docs = np.array([1, 2, 2])
+        ids[1] = ids[0]  # documents 1 and 2 share one, the other is alone
+        rows.append((bucket, suffix_dedup._blob(np.diff(docs, prepend=0), np.frombuffer(suffix_dedup._packed(ids, 5), np.uint8)), None))
+        rows.append((bucket, suffix_dedup._packed(np.array([5000 + bucket], np.uint64), 5), 1))
+    t = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64()))], ["bucket", "blob", "doc"])
+    sent = pa.Table.from_batches(suffix_dedup._shared_minimizers(t.slice(a, 7) for a in range(0, 80, 7)))
+    assert sent.num_rows == 2
+    twice = pa.concat_tables([sent, sent]).sort_by("part").combine_chunks().to_batches()[0]  # as of two tasks
+    out = pa.Table.from_batches(suffix_dedup._by_document(twice.slice(a, 1) for a in range(4)))
+    got = {d: sorted(set(suffix_dedup._unpacked(i, 3).tolist())) for d, i in zip(out["doc"].to_pylist(), out["ids"].to_pylist())}
+    assert out.num_rows == 2 and got == {1: sorted([*range(0, 400, 10), *range(5000, 5040)]), 2: list(range(0, 400, 10))}
+    assert suffix_dedup.bucket_count(0, 10) == 1 and suffix_dedup.bucket_count(2560, 10) == 256
+    assert suffix_dedup.bucket_count(5120, 10) == 256 and suffix_dedup.bucket_count(102_400, 10) == 2560
+
+
 def test_op8_round_trip(spark, docs, texts, odd):
     from public_tokenizers import path
     from tokenizers import Tokenizer
