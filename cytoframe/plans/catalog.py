@@ -501,7 +501,8 @@ def dmc_contrast(spark, d):
     return rounded(models.glm(V.sites(spark, d), V.SAMPLES, x, contrasts=models.contrast("treatment - age", names)))
 
 
-@query(f"SELECT chrom, pos, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN log2(var_a / var_b) END, 6) AS var_log_ratio, round(p_var, 6) AS p_var, round(q, 6) AS q_var, round(pvalue, 6) AS p_mean, coalesce(q < 0.05 AND pvalue > 0.05, false) AS is_dvc FROM {T.bh('vt', 'p_var', drop=True)}", S_, _ACC, _DISP, _welch(False), f"vt AS (SELECT *, {T.chi2('ba')} AS p_var FROM (SELECT *, {_BARTLETT} AS ba FROM tested))")
+# of equal variances the statistic is 0, but its logarithms can leave it at -4e-16, whose root is no number and sorts above all
+@query(f"SELECT chrom, pos, round(CASE WHEN v_a > 1 AND v_b > 1 AND var_a > 0 AND var_b > 0 THEN log2(var_a / var_b) END, 6) AS var_log_ratio, round(p_var, 6) AS p_var, round(q, 6) AS q_var, round(pvalue, 6) AS p_mean, coalesce(q < 0.05 AND pvalue > 0.05, false) AS is_dvc FROM {T.bh('vt', 'p_var', drop=True)}", S_, _ACC, _DISP, _welch(False), f"vt AS (SELECT *, {T.chi2('ba')} AS p_var FROM (SELECT *, CASE WHEN bs < 0 THEN 0 ELSE bs END AS ba FROM (SELECT *, {_BARTLETT} AS bs FROM tested)))")
 def dvc(spark, d):
     x = fdr.adjust(tests.bartlett(V.sites(spark, d), is_case()), "p_var", "bh", 0.05, "drop", "q_var")
     return rounded(x.select("chrom", "pos", "var_log_ratio", "p_var", "q_var", "p_mean", F.coalesce((F.col("q_var") < 0.05) & (F.col("p_mean") > 0.05), F.lit(False)).alias("is_dvc")))
