@@ -17,7 +17,7 @@ and of a class all but the least document's windows are marked.
 Equal minimizers and strings of one batch of documents are combined before the
 shuffle: all but the least document's are marked at once. So a passage that a third of all
 documents share is one string a batch. Buckets hold about `bucket_bytes` of
-text each, on large inputs up to four times as much, whatever the input's size.
+text each, on large inputs up to twice as much, whatever the input's size.
 Only strings that also have half a window beside their minimizer in common with
 another document's are indexed.
 
@@ -45,7 +45,7 @@ from ._common import map_in_arrow, named
 WINDOW = 50
 GRAM = 16
 BUCKET_BYTES = 4_000_000
-#: With more buckets than this they hold up to four times as much: every batch sends each bucket a row, and those grow with batches times buckets.
+#: With more buckets than this they hold up to twice as much: every batch sends each bucket a row, and those grow with batches times buckets.
 BUCKETS = 256
 #: Text whose windows are worked out at once; a longer document is taken in overlapping pieces.
 _BATCH_BYTES = 8_000_000
@@ -548,9 +548,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucket_count(size: int, bucket_bytes: int) -> int:
-    """Buckets of about bucket_bytes; where that would be over BUCKETS, of up to four times as much."""
+    """Buckets of about bucket_bytes; where that would be over BUCKETS, of up to twice as much."""
     n = max(1, -(-size // bucket_bytes))
-    return n if n <= BUCKETS else max(BUCKETS, -(-n // 4))
+    return n if n <= BUCKETS else max(BUCKETS, -(-n // 2))
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
